@@ -12,11 +12,12 @@ import functools
 import operator
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions import text
 from foliant.plans.spec import Field, Spec, SpecError, UnknownField, shared_field, split_path
@@ -367,7 +368,22 @@ def meta(name: str) -> str:
     return path
 
 
-def compile_predicate(predicate: Predicate | None, specs: Spec | list[Spec], words: dict[str, str] | None = None) -> Column:
+def _present(fields: dict[str, Field], dtype: T.DataType) -> dict[str, Field]:
+    """The declared fields that the data holds; derived ones may not have been computed."""
+    while isinstance(dtype, T.ArrayType):
+        dtype = dtype.elementType
+    if not isinstance(dtype, T.StructType):
+        return {}
+    have = set(dtype.fieldNames())
+    return {k: replace(f, fields=_present(f.fields, dtype[k].dataType)) for k, f in fields.items() if k in have}
+
+
+def compile_predicate(
+    predicate: Predicate | None,
+    specs: Spec | list[Spec],
+    words: dict[str, str] | None = None,
+    body: T.StructType | None = None,
+) -> Column:
     """One boolean column over an entries DataFrame, to filter by; ``words`` maps text paths to columns of stored
     words. A null counts as false."""
     specs = [specs] if isinstance(specs, Spec) else list(specs)
@@ -380,9 +396,15 @@ def compile_predicate(predicate: Predicate | None, specs: Spec | list[Spec], wor
     for spec in specs[1:]:
         for name, f in spec.fields.items():
             fields.setdefault(name, f)
+    if body is not None:
+        fields = _present(fields, body)
     return predicate.column(Scope(fields, F.col("entry"), words=words or {}))
 
 
-def matching(df: DataFrame, predicate: Predicate | None, specs: Spec | list[Spec], words: dict[str, str] | None = None) -> DataFrame:
+def matching(
+    df: DataFrame, predicate: Predicate | None, specs: Spec | list[Spec], words: dict[str, str] | None = None
+) -> DataFrame:
     """Entries for which the predicate holds."""
-    return df if predicate is None else df.filter(compile_predicate(predicate, specs, words))
+    if predicate is None:
+        return df
+    return df.filter(compile_predicate(predicate, specs, words, df.schema["entry"].dataType))
