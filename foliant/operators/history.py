@@ -54,18 +54,25 @@ def heads(hist: DataFrame) -> DataFrame:
     return latest_per_key(hist, ["entity_id"], "history_id")
 
 
+def _touched(hist: DataFrame, since: float) -> DataFrame:
+    """Rows of the entities with some change after ``since``: few rows reach the aggregation of an incremental read."""
+    recent = hist.filter(F.col("last_modified") > since).select("entity_id").distinct()
+    return hist.join(recent, "entity_id", "left_semi")
+
+
 def latest(hist: DataFrame, since: float | None = None) -> DataFrame:
     """Current state: newest rows that are not deletions, optionally only those changed after ``since``."""
-    current = heads(hist).filter(~F.col("discarded"))
-    return current if since is None else current.filter(F.col("last_modified") > since)
+    if since is None:
+        return heads(hist).filter(~F.col("discarded"))
+    return heads(_touched(hist, since)).filter(~F.col("discarded") & (F.col("last_modified") > since))
 
 
 def deleted(hist: DataFrame, since: float | None = None) -> DataFrame:
     """Ids whose newest row is a deletion. Bodies are not read."""
     narrow = hist.select("entity_id", "history_id", "last_modified", "discarded")
-    gone = heads(narrow).filter("discarded")
-    if since is not None:
-        gone = gone.filter(F.col("last_modified") > since)
+    if since is None:
+        return heads(narrow).filter("discarded").select("entity_id")
+    gone = heads(_touched(narrow, since)).filter(F.col("discarded") & (F.col("last_modified") > since))
     return gone.select("entity_id")
 
 

@@ -281,12 +281,13 @@ def match_paradigms(lemmas: DataFrame, paradigms: DataFrame, chunk: int = CHUNK)
     for i in range(pieces):
         some = paradigms.filter(F.pmod(F.xxhash64("name"), F.lit(pieces)) == i) if pieces > 1 else paradigms
         held = some.agg(F.collect_list(F.struct("name", "definition")).alias("p")).scalar()
+        given = lemmas.withColumn("_paradigms", held)
 
         def attempt(p: Column) -> Column:
             return F.struct(p.getField("name").alias("name"), forms(F.col("lemma"), F.col("kind"), p.getField("definition")).alias("forms"))
 
-        tried = F.filter(F.transform(held, attempt), lambda t: fits(t.getField("forms"), F.col("include"), F.col("exclude")))
-        rows = lemmas.select("lemma", F.explode(tried).alias("t")).select("lemma", "t.name", "t.forms")
+        tried = F.filter(F.transform("_paradigms", attempt), lambda t: fits(t.getField("forms"), F.col("include"), F.col("exclude")))
+        rows = given.select("lemma", F.explode(tried).alias("t")).select("lemma", "t.name", "t.forms")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliant.operators.history import latest_per_key
 
-RESOURCE_TYPE = T.StructType.fromDDL(
+RESOURCE_TYPE = (
     "history_id long, entity_id string, resource_id string, version int, name string, table_name string, "
     "config string, is_published boolean, last_modified double, last_modified_by string, message string, op string, "
     "discarded boolean"

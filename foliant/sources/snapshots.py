@@ -8,6 +8,7 @@ Readers follow the newest pointer row and never see a half-written snapshot; an
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from foliant.operators.history import deleted, latest, max_modified
 from foliant.plans.spec import Spec, split_path
 from foliant.session import materialise
 
-POINTERS = T.StructType.fromDDL(
-    "resource string, snapshot string, since double, buckets int, folders map<int,string>, made double, current boolean, "
+POINTERS = (
+    "resource string, snapshot string, since double, buckets int, folders map<int,string>, shape string, made double, "
     "dropped boolean"
 )
 BUCKETS = 64
@@ -33,15 +34,20 @@ def _pointers(spark: SparkSession, root: str) -> DataFrame:
 
 def _add_pointer(spark: SparkSession, root: str, **row) -> None:
     made = time.time_ns() / 1e9
-    values = [(row["resource"], row["snapshot"], row["since"], row["buckets"], row["folders"], made, True, row.get("dropped", False))]
+    values = [(row["resource"], row["snapshot"], row["since"], row["buckets"], row["folders"], row["shape"], made, row.get("dropped", False))]
     spark.createDataFrame(values, POINTERS).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
 
 
+def usable(pointers: DataFrame) -> DataFrame:
+    """Pointer rows of snapshots that have not been dropped."""
+    gone = pointers.filter("dropped").select("resource", "snapshot").distinct()
+    return pointers.filter(~F.col("dropped")).join(gone, ["resource", "snapshot"], "left_anti")
+
+
 def current_pointer(spark: SparkSession, root: str, resource: str):
     """The newest pointer row of a collection, or None."""
     try:
-        rows = _pointers(spark, root).filter((F.col("resource") == resource) & ~F.col("dropped"))
-        return rows.orderBy(F.col("made").desc()).first()
+        return usable(_pointers(spark, root).filter(F.col("resource") == resource)).orderBy(F.col("made").desc()).first()
     except Exception as err:
         if "PATH_NOT_FOUND" in str(err):
             return None
@@ -91,22 +97,27 @@ def publish_snapshot(spark: SparkSession, hist: DataFrame, spec: Spec, root: str
     """Build a complete snapshot beside the old one and make it current; returns its name."""
     name = f"{spec.name}_{time.strftime('%Y-%m-%d-%H%M%S')}{time.time_ns() % 10**9:09d}"
     since = max_modified(hist).first()["last_modified"]
-    _write(index_rows(hist, spec, context), f"{root}/{name}", buckets)
+    rows = index_rows(hist, spec, context)
+    _write(rows, f"{root}/{name}", buckets)
     old = current_pointer(spark, root, spec.name)
-    _add_pointer(spark, root, resource=spec.name, snapshot=name, since=since, buckets=buckets, folders={b: name for b in range(buckets)})
+    _add_pointer(spark, root, resource=spec.name, snapshot=name, since=since, buckets=buckets, folders={b: name for b in range(buckets)}, shape=rows.schema.json())
     if drop_old and old is not None:
         _drop(spark, root, old, keep={name})
     return name
 
 
 def _drop(spark: SparkSession, root: str, pointer, keep: set[str]) -> None:
-    """Remove the folders of a snapshot that the current one does not use."""
+    """Remove the folders of a snapshot that the current one does not use, and mark every snapshot that needs them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in set(pointer["folders"].values()) - keep:
+    gone = set(pointer["folders"].values()) - keep
+    for folder in gone:
         path = jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}")
         path.getFileSystem(conf).delete(path, True)
-    _mark_dropped(spark, root, pointer)
+    # one pointer row per publish or sync
+    for row in _pointers(spark, root).filter(F.col("resource") == pointer["resource"]).collect():
+        if gone & set(row["folders"].values()) and not row["dropped"]:
+            _mark_dropped(spark, root, row)
 
 
 def _mark_dropped(spark: SparkSession, root: str, pointer) -> None:
@@ -120,7 +131,7 @@ def set_current(spark: SparkSession, root: str, resource: str, snapshot: str) ->
     old = rows.orderBy(F.col("made").desc()).first()
     if old is None or old["dropped"]:
         raise ValueError(f"no snapshot {snapshot} of {resource}")
-    _add_pointer(spark, root, **{k: old[k] for k in ("resource", "snapshot", "since", "buckets", "folders")})
+    _add_pointer(spark, root, **{k: old[k] for k in ("resource", "snapshot", "since", "buckets", "folders", "shape")})
 
 
 def read_snapshot(spark: SparkSession, root: str, resource: str, only: set[int] | None = None) -> DataFrame:
@@ -132,14 +143,14 @@ def read_snapshot(spark: SparkSession, root: str, resource: str, only: set[int]
     for bucket, folder in pointer["folders"].items():
         if only is None or bucket in only:
             by_folder.setdefault(folder, []).append(bucket)
-    out = None
+    shape = T.StructType.fromJson(json.loads(pointer["shape"]))
+    out = spark.createDataFrame([], shape)
     for folder, held in sorted(by_folder.items()):
-        part = spark.read.parquet(f"{root}/{folder}")
+        part = spark.read.schema(T.StructType([*shape.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{root}/{folder}")
         if len(held) < pointer["buckets"]:
             part = part.filter(F.col("bucket").isin(held))
-        part = part.drop("bucket")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out if out is not None else spark.read.parquet(f"{root}/{pointer['snapshot']}").drop("bucket").limit(0)
+        out = out.unionByName(part.drop("bucket"))
+    return out
 
 
 def merge(snapshot: DataFrame, upserts: DataFrame, gone: DataFrame) -> DataFrame:
@@ -160,11 +171,8 @@ def apply_changes(spark: SparkSession, root: str, spec: Spec, upserts: DataFrame
     name = f"{spec.name}_{time.strftime('%Y-%m-%d-%H%M%S')}{time.time_ns() % 10**9:09d}"
     merged = merge(read_snapshot(spark, root, spec.name, hit), upserts, gone)
     _write(merged, f"{root}/{name}", buckets)
-    # a bucket whose entries were all deleted has no folder: the pointer leaves it out
-    left = {r["bucket"] for r in spark.read.schema("bucket int").parquet(f"{root}/{name}").select("bucket").distinct().collect()} if merged.limit(1).count() else set()
-    folders = {b: f for b, f in pointer["folders"].items() if b not in hit}
-    folders.update({b: name for b in left})
-    _add_pointer(spark, root, resource=spec.name, snapshot=name, since=since, buckets=buckets, folders=folders)
+    folders = {b: name if b in hit else f for b, f in pointer["folders"].items()}
+    _add_pointer(spark, root, resource=spec.name, snapshot=name, since=since, buckets=buckets, folders=folders, shape=merged.schema.json())
     return len(hit)
 
 
@@ -195,10 +203,9 @@ def refresh(spark: SparkSession, hist: DataFrame, spec: Spec, root: str, ids: Da
 def list_snapshots(spark: SparkSession, root: str, resources: list[str]) -> DataFrame:
     """(resource, name, current, size): every snapshot of the collections; ``missing`` where there is none."""
     asked = spark.createDataFrame([(r,) for r in resources], "resource string")
-    pointers = _pointers(spark, root)
-    newest = pointers.filter(~F.col("dropped")).groupBy("resource").agg(F.max_by("snapshot", "made").alias("now"))
-    gone = pointers.filter("dropped").select("resource", "snapshot").distinct()
-    known = pointers.select("resource", "snapshot").distinct().join(gone, ["resource", "snapshot"], "left_anti")
+    pointers = usable(_pointers(spark, root))
+    newest = pointers.groupBy("resource").agg(F.max_by("snapshot", "made").alias("now"))
+    known = pointers.select("resource", "snapshot").distinct()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
     sizes = (
         files.select(F.regexp_extract("path", r"/([^/]+)/bucket=\d+/[^/]+$", 1).alias("snapshot"), "length")
