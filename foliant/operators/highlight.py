@@ -18,6 +18,9 @@ WORD_IN_TEXT = (
     rf"|-*[\p{{L}}\p{{N}}_]{_MARKED}*(?:(?<=\p{{L}})['’.:·](?=\p{{L}}){_MARKED}+|(?<=\p{{N}})[.,;'’](?=\p{{N}}){_MARKED}+)*"
 )
 
+# stands for a word while a text is cut into what lies between its words
+CUT = "\ue00f"
+
 FRAGMENTS = "array<struct<key:string,value:array<string>>>"
 
 Matcher = Callable[[Column], Callable[[Column, Column], Column]]
@@ -55,7 +58,7 @@ def _matcher(p: Compare | Freetext) -> Matcher:
 def marked(col: Column, matchers: list[Matcher]) -> Column:
     """The text with matched words in ``<em>``; null when nothing matches."""
     words = F.regexp_extract_all(col, F.lit(f"(?:{WORD_IN_TEXT})"), F.lit(0))
-    gaps = F.split(col, f"(?:{WORD_IN_TEXT})", -1)
+    gaps = F.split(F.regexp_replace(col, f"(?:{WORD_IN_TEXT})", CUT), CUT, -1)
     folded = F.transform(words, text.fold)
     tests = [m(folded) for m in matchers]
 
