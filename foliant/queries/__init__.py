@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.queries import records, search
+from foliant.queries import edits, lexical, records, search, storage
 
-MODULES = (search, records)
+MODULES = (search, records, edits, lexical, storage)
 
 
 def all_queries() -> dict:

@@ -94,7 +94,7 @@ def flatten_paths(spark, d):
     return per.groupBy("field", "pos").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("value").alias("low"))
 
 
-@add("J6_flatten_extra", """SELECT 'k' AS field, regexp_extract(props, '"k": ([0-9]+)', 1) AS value, count(*) AS n FROM events GROUP BY value""")
+@add("J6_flatten_extra", """SELECT 'k' AS field, regexp_extract(props, '"k": ([0-9]+)', 1) AS value, count(*) AS n FROM events GROUP BY ALL""")
 def flatten_extra(spark, d):
     events = T.load(spark, d, "events").select("event_id", "props")
     return R.flatten_extra(events, ["event_id"], "props").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -36,9 +36,9 @@ def list_resources(resources: DataFrame, published: bool = True, globs: list[str
     return rows
 
 
-def show_resource(resources: DataFrame, resource_id: str, version: int | None = None) -> DataFrame:
-    """Metadata and config of one collection, now or at an older version."""
-    rows = resources.filter(F.col("resource_id") == resource_id)
+def show_resource(resources: DataFrame, resource_id: str | None = None, version: int | None = None) -> DataFrame:
+    """Metadata and config of one collection (or of all), now or at an older version."""
+    rows = resources if resource_id is None else resources.filter(F.col("resource_id") == resource_id)
     return latest_resources(rows) if version is None else rows.filter(F.col("version") == version)
 
 
