@@ -30,7 +30,8 @@ def add(name: str, sql: str | None):
     return put
 
 
-CODE = F.col("entry").getField("code").alias("code")
+def code():
+    return F.col("entry").getField("code").alias("code")
 
 
 def numbers(col):
@@ -46,20 +47,20 @@ def get_path(spark, d):
     df = T.orders(spark, d)
     values = P.get_path(df, "entry.lines.quantity")
     second = P.get_path(df, ["entry", "lines", 1, "part"])
-    return df.select(CODE, F.array_max(values).alias("top"), F.array_min(values).alias("low"), second.alias("second"))
+    return df.select(code(), F.array_max(values).alias("top"), F.array_min(values).alias("low"), second.alias("second"))
 
 
 @add("J2_set_path", f"WITH {T.SQL_LINES} SELECT code, sum(CASE WHEN pos = 0 THEN 1000 ELSE quantity END) AS total FROM l GROUP BY code")
 def set_path(spark, d):
     df = P.set_path(T.orders(spark, d), ["entry", "lines", 0, "quantity"], F.lit(1000.0))
-    return df.filter("entry.lines IS NOT NULL").select(CODE, numbers(P.get_path(df, "entry.lines.quantity")).alias("total"))
+    return df.filter("entry.lines IS NOT NULL").select(code(), numbers(P.get_path(df, "entry.lines.quantity")).alias("total"))
 
 
 @add("J3_del_path", f"WITH {T.SQL_LINES} SELECT code, count(*) AS lines, sum(quantity) AS total FROM l WHERE pos > 0 GROUP BY code")
 def del_path(spark, d):
     df = P.del_path(P.del_path(T.orders(spark, d), ["entry", "lines", 0]), "entry.lines.amount")
     assert P.type_at(df.schema["entry"].dataType, "lines.amount") is None
-    return df.filter("size(entry.lines) > 0").select(CODE, as_long(F.size("entry.lines"), "lines"), numbers(P.get_path(df, "entry.lines.quantity")).alias("total"))
+    return df.filter("size(entry.lines) > 0").select(code(), as_long(F.size("entry.lines"), "lines"), numbers(P.get_path(df, "entry.lines.quantity")).alias("total"))
 
 
 @add("J4_prune", f"WITH {T.SQL_LINES} SELECT code, count(*) AS lines, sum(quantity) AS total FROM l WHERE flag <> 'R' AND quantity <= 30 GROUP BY code")
@@ -70,7 +71,7 @@ def prune(spark, d):
         return (value["flag"] != "R") & (value["quantity"] <= 30) if path == ("lines",) and "flag" in dtype.simpleString() and not dtype.simpleString().startswith("array") else None
 
     pruned = df.withColumn("entry", P.prune(F.col("entry"), df.schema["entry"].dataType, keep))
-    return pruned.filter("size(entry.lines) > 0").select(CODE, as_long(F.size("entry.lines"), "lines"), numbers(F.col("entry.lines.quantity")).alias("total"))
+    return pruned.filter("size(entry.lines) > 0").select(code(), as_long(F.size("entry.lines"), "lines"), numbers(F.col("entry.lines.quantity")).alias("total"))
 
 
 ORDER_PATHS = f"""WITH {T.SQL_LINES},
@@ -122,7 +123,7 @@ def explode_path(spark, d):
 @add("J9_has_path", f"WITH {T.SQL_LINES} SELECT o_orderkey AS code, count(code) > 0 AS has_lines, count(code) > 3 AS has_fourth FROM orders LEFT JOIN l ON code = o_orderkey GROUP BY o_orderkey")
 def has_path(spark, d):
     df = T.orders(spark, d)
-    return df.select(CODE, P.has_path(df, "entry.lines.part").alias("has_lines"), P.has_path(df, "entry.lines.3.part").alias("has_fourth"))
+    return df.select(code(), P.has_path(df, "entry.lines.part").alias("has_lines"), P.has_path(df, "entry.lines.3.part").alias("has_fourth"))
 
 
 @add("J10_rename", f"WITH {T.SQL_LINES} SELECT o_orderkey AS code, o_orderstatus AS state, o_custkey AS owner, count(CASE WHEN flag = 'R' THEN 1 END) AS returned FROM orders LEFT JOIN l ON code = o_orderkey GROUP BY ALL")
@@ -132,7 +133,7 @@ def rename(spark, d):
     moved = R.rename_field(R.rename_field(grouped, "head.status", "state"), "head.customer", "head.owner")
     moved = R.rename_field(moved, "lines.flag", "lines.mark")
     returned = F.size(F.filter(F.coalesce("entry.lines.mark", F.array().cast("array<string>")), lambda m: m == "R"))
-    return moved.select(CODE, "entry.state", F.col("entry.head.owner").alias("owner"), as_long(returned, "returned"))
+    return moved.select(code(), "entry.state", F.col("entry.head.owner").alias("owner"), as_long(returned, "returned"))
 
 
 @add("J11_default", """SELECT event_id, CASE WHEN value > 50 THEN -1 ELSE CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) END AS k, 'none' AS note FROM events""")
@@ -170,7 +171,7 @@ def unstored(spark, d):
 def flatten_nested_lists(spark, d):
     df = T.orders(spark, d).filter("entry.lines IS NOT NULL")
     pairs = F.transform("entry.lines", lambda x: F.array(F.array(x["part"]), F.array(x["supplier"])))
-    df = df.select(CODE, pairs.alias("nested"))
+    df = df.select(code(), pairs.alias("nested"))
     flat = P.flatten_all(F.col("nested"), df.schema["nested"].dataType)
     return df.select("code", as_long(F.size(flat), "n"), F.aggregate(flat, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
@@ -182,7 +183,7 @@ def visible(spark, d):
     df = df.withColumn("entry", F.struct("entry.code", marked.alias("lines")))
     dtype = df.schema["entry"].dataType
     return df.select(
-        CODE,
+        code(),
         as_long(F.size(P.visible(F.col("entry"), dtype)["lines"]), "shown"),
         as_long(F.size(P.visible(F.col("entry"), dtype, printed=True)["lines"]), "printed"),
     )
@@ -281,7 +282,7 @@ def batched_lookup(spark, d):
 @add("L2_link", "SELECT o_orderkey AS code, CASE WHEN c_custkey IS NULL THEN 'not found' END AS error, c_name AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def link(spark, d):
     linked = L.link(T.orders(spark, d), T.customers(spark, d), "customer", "code")
-    return linked.select(CODE, "link.error", F.col("link.entry.name").alias("name"))
+    return linked.select(code(), "link.error", F.col("link.entry.name").alias("name"))
 
 
 @add(
@@ -290,13 +291,13 @@ def link(spark, d):
 )
 def link_errors(spark, d):
     linked = L.link(T.customers(spark, d), T.suppliers(spark, d), "nation", "nation")
-    return linked.select(CODE, "link.error", F.col("link.entry.name").alias("name"))
+    return linked.select(code(), "link.error", F.col("link.entry.name").alias("name"))
 
 
 @add("L3_backlink", "SELECT c_custkey AS code, 0 AS part, count(o_orderkey) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def backlink(spark, d):
     linked = L.backlink(T.customers(spark, d), T.orders(spark, d), "customer", "code", "code")
-    return linked.select(CODE, "part", as_long(F.size("backlinks"), "n"), F.array_min("backlinks").alias("low"), F.array_max("backlinks").alias("high"))
+    return linked.select(code(), "part", as_long(F.size("backlinks"), "n"), F.array_min("backlinks").alias("low"), F.array_max("backlinks").alias("high"))
 
 
 @add("L3_backlink_edges", f"WITH {T.SQL_LINES} SELECT DISTINCT supplier AS ref, code AS value FROM l")
@@ -310,7 +311,7 @@ NATIONS = Spec.from_dict({"resource_id": "regions", "fields": {"code": {"type":
 @add("L4_collect_resource", "SELECT s_suppkey AS code, (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS regions FROM supplier")
 def collect_resource(spark, d):
     regions = as_entries(T.load(spark, d, "region").selectExpr("r_regionkey code", "r_name name"), NATIONS, F.col("code"))
-    return L.collect_resource(T.suppliers(spark, d), regions, "name").select(CODE, F.array_join("values", ",").alias("regions"))
+    return L.collect_resource(T.suppliers(spark, d), regions, "name").select(code(), F.array_join("values", ",").alias("regions"))
 
 
 @add("L15_by_ids", "SELECT c_custkey AS code, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -367,21 +368,21 @@ def derive_in_elements(spark, d):
     inner = Field(type="object", collection=True, fields={**lines.fields, "_part": Field.from_dict(_link("parts", "lines.part"))})
     spec = T.ORDERS.with_fields({**T.ORDERS.fields, "lines": inner})
     rows = D.derive(T.orders(spark, d), spec, context(spark, d))
-    return rows.select(CODE, F.posexplode("entry.lines").alias("pos", "line")).select("code", as_long("pos", "pos"), F.col("line._part.entry.name").alias("name"))
+    return rows.select(code(), F.posexplode("entry.lines").alias("pos", "line")).select("code", as_long("pos", "pos"), F.col("line._part.entry.name").alias("name"))
 
 
 @add("D4_list_parameters", f"WITH {T.SQL_LINES} SELECT code, pos, p_name AS name FROM l LEFT JOIN part ON p_partkey = part")
 def list_parameters(spark, d):
     spec = spec_with(_parts=_link("parts", "lines.part", collection=True, flatten_params=True))
     rows = D.derive(T.orders(spark, d), spec, context(spark, d))
-    return rows.select(CODE, F.posexplode("entry._parts").alias("pos", "p")).select("code", as_long("pos", "pos"), F.col("p.entry.name").alias("name"))
+    return rows.select(code(), F.posexplode("entry._parts").alias("pos", "p")).select("code", as_long("pos", "pos"), F.col("p.entry.name").alias("name"))
 
 
 @add("D4_list_combinations", f"WITH {T.SQL_LINES} SELECT a.code, count(*) AS n, min(a.part || ':' || b.state) AS low, max(a.part || ':' || b.state) AS high FROM l a JOIN l b ON a.code = b.code GROUP BY a.code")
 def list_combinations(spark, d):
     spec = spec_with(pairs=_virtual("spell", {"part": "lines.part", "state": "lines.state"}, collection=True, flatten_params=True))
     rows = D.derive(T.orders(spark, d), spec).filter("size(entry.pairs) > 0")
-    return rows.select(CODE, as_long(F.size("entry.pairs"), "n"), F.array_min("entry.pairs").alias("low"), F.array_max("entry.pairs").alias("high"))
+    return rows.select(code(), as_long(F.size("entry.pairs"), "n"), F.array_min("entry.pairs").alias("low"), F.array_max("entry.pairs").alias("high"))
 
 
 CALLS = "answered"
