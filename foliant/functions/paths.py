@@ -17,6 +17,11 @@ from foliant.plans.spec import split_path
 Leaf = Callable[[Column, T.DataType], Column]
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def parts_of(path: str | list) -> list:
     """Path components; digits in a dotted path are positions."""
     return [int(p) if isinstance(p, str) and p.isdigit() else p for p in split_path(path)]

@@ -26,11 +26,16 @@ KEPT = "åäöÅÄÖ"
 # Letters that fold to more than one letter.
 EXPANSIONS = (("ß", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"))
 
-_LETTER = r"[\p{L}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]]"
-WORD = (
-    r"[\p{IsHan}\p{IsHiragana}]"
-    rf"|{_LETTER}+(?:(?<=\p{{L}})['’.:·](?=\p{{L}}){_LETTER}+|(?<=\p{{N}})[.,;'’](?=\p{{N}}){_LETTER}+)*"
-)
+
+def _word(letter: str) -> str:
+    return rf"{letter}+(?:(?<=\p{{L}})['’.:·](?=\p{{L}}){letter}+|(?<=\p{{N}})[.,;'’](?=\p{{N}}){letter}+)*"
+
+
+# intersecting character classes is slow, so the pattern that splits ideographs is kept for texts that hold some
+IDEOGRAPH = r"[\p{IsHan}\p{IsHiragana}]"
+WORD = _word(r"[\p{L}\p{N}_]")
+WORD_OR_IDEOGRAPH = IDEOGRAPH + "|" + _word(rf"[\p{{L}}\p{{N}}_&&[^{IDEOGRAPH[1:-1]}]]")
+MAY_HOLD_IDEOGRAPHS = r"[\x{2e80}-\x{9fff}\x{f900}-\x{faff}\x{1b000}-\x{3ffff}]"
 
 
 @functools.cache
@@ -68,7 +73,9 @@ def fold(col: Column) -> Column:
 
 def analyze(col: Column) -> Column:
     """The words of a text, in order."""
-    return F.regexp_extract_all(fold(col), F.lit(WORD), F.lit(0))
+    plain = F.regexp_extract_all(fold(col), F.lit(WORD), F.lit(0))
+    mixed = F.regexp_extract_all(fold(col), F.lit(WORD_OR_IDEOGRAPH), F.lit(0))
+    return F.when(F.rlike(col, F.lit(MAY_HOLD_IDEOGRAPHS)), mixed).otherwise(plain)
 
 
 def raw(col: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text
+from foliant.functions.paths import bind
 from foliant.operators.predicates import And, Compare, Freetext, Not, Or, Predicate, Sub, _present
 from foliant.plans.spec import Field, Spec, split_path
 
@@ -23,60 +25,64 @@ CUT = "\ue00f"
 
 FRAGMENTS = "array<struct<key:string,value:array<string>>>"
 
-Matcher = Callable[[Column], Callable[[Column, Column], Column]]
+Matcher = Callable[[Column], Column]
 
 
 def _matcher(p: Compare | Freetext) -> Matcher:
-    """From folded words to a test of (word, index)."""
+    """From the folded words of a text to an array that tells which of them match."""
     op = "equals" if isinstance(p, Freetext) else p.op
     arg = str(p.value).lower()
 
-    def phrase(words: Column) -> Callable[[Column, Column], Column]:
+    def phrase(words: Column) -> Column:
         wanted = text.analyze(F.lit(arg))
         size = F.size(wanted)
         starts = F.filter(
-            F.sequence(F.lit(0), F.size(words)), lambda i: (size > 0) & (F.slice(words, i + 1, F.greatest(size, F.lit(1))) == wanted)
+            F.sequence(F.lit(0), F.size(words)),
+            lambda i: (size > 0) & (F.slice(words, i + 1, F.greatest(size, F.lit(1))) == wanted),
+        )
+        return bind(
+            starts,
+            lambda found: F.transform(words, lambda _w, i: F.exists(found, lambda s: (s <= i) & (i < s + size))),
         )
-        return lambda w, i: F.exists(starts, lambda s: (s <= i) & (i < s + size))
-
-    def word(words: Column) -> Callable[[Column, Column], Column]:
-        tests: dict[str, Callable[[Column], Column]] = {
-            "contains": lambda w: F.contains(w, F.lit(arg)),
-            "startswith": lambda w: F.startswith(w, F.lit(arg)),
-            "endswith": lambda w: F.endswith(w, F.lit(arg)),
-            "regexp": lambda w: F.rlike(w, F.lit(f"^(?:{arg})$")),
-            "gt": lambda w: w > F.lit(arg),
-            "gte": lambda w: w >= F.lit(arg),
-            "lt": lambda w: w < F.lit(arg),
-            "lte": lambda w: w <= F.lit(arg),
-        }
-        return lambda w, i: tests[op](w)
 
-    return phrase if op == "equals" else word
+    tests: dict[str, Callable[[Column], Column]] = {
+        "contains": lambda w: F.contains(w, F.lit(arg)),
+        "startswith": lambda w: F.startswith(w, F.lit(arg)),
+        "endswith": lambda w: F.endswith(w, F.lit(arg)),
+        "regexp": lambda w: F.rlike(w, F.lit(f"^(?:{arg})$")),
+        "gt": lambda w: w > F.lit(arg),
+        "gte": lambda w: w >= F.lit(arg),
+        "lt": lambda w: w < F.lit(arg),
+        "lte": lambda w: w <= F.lit(arg),
+    }
+    return phrase if op == "equals" else lambda words: F.transform(words, tests[op])
 
 
 def marked(col: Column, matchers: list[Matcher]) -> Column:
     """The text with matched words in ``<em>``; null when nothing matches."""
     words = F.regexp_extract_all(col, F.lit(f"(?:{WORD_IN_TEXT})"), F.lit(0))
     gaps = F.split(F.regexp_replace(col, f"(?:{WORD_IN_TEXT})", CUT), CUT, -1)
-    folded = F.transform(words, text.fold)
-    tests = [m(folded) for m in matchers]
-
-    def hit(w: Column, i: Column) -> Column:
-        out = F.lit(False)
-        for t in tests:
-            out = out | t(w, i)
-        return out
-
-    hits = F.transform(folded, hit)
-    pieces = F.transform(
-        words,
-        lambda w, i: F.concat(
-            F.get(gaps, i), F.when(F.get(hits, i), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w)
-        ),
-    )
-    whole = F.concat(F.array_join(pieces, ""), F.get(gaps, F.size(words)))
-    return F.when(F.exists(hits, lambda h: h), whole)
+
+    def hits_of(folded: Column) -> Column:
+        found = [m(folded) for m in matchers]
+        return functools.reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x | y), found)
+
+    def glue(parts: Column) -> Column:
+        own, between, hits = parts.getField("words"), parts.getField("gaps"), parts.getField("hits")
+        pieces = F.transform(
+            own,
+            lambda w, i: F.concat(
+                F.get(between, i), F.when(F.get(hits, i), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w)
+            ),
+        )
+        whole = F.concat(F.array_join(pieces, ""), F.get(between, F.size(own)))
+        return F.when(F.exists(hits, lambda h: h), whole)
+
+    def with_hits(own: Column) -> Column:
+        hits = bind(F.transform(own, text.fold), hits_of)
+        return bind(F.struct(own.alias("words"), gaps.alias("gaps"), hits.alias("hits")), glue)
+
+    return bind(words, with_hits)
 
 
 def _leaves(p: Predicate, prefix: str, all_text: list[str]) -> list[tuple[str, Matcher]]:
@@ -131,18 +137,17 @@ def highlight(df: DataFrame, predicate: Predicate | None, spec: Spec, positions:
     found = F.flatten(
         F.array(*[_fragments(F.col("entry"), fields, split_path(p), F.lit(""), ms, positions) for p, ms in by_path.items()])
     )
-    if positions:
-        made = F.map_from_entries(found)
-    else:
-        # the elements of one field share its key
-        keys = F.array_distinct(F.transform(found, lambda e: e.getField("key")))
-        made = F.map_from_entries(
-            F.transform(
-                keys,
-                lambda k: F.struct(
-                    k.alias("key"),
-                    F.flatten(F.transform(F.filter(found, lambda e: e.getField("key") == k), lambda e: e.getField("value"))).alias("value"),
-                ),
-            )
-        )
-    return df.withColumn(name, F.when(F.size(found) > 0, made))
+
+    def as_map(rows: Column) -> Column:
+        if positions:
+            made = F.map_from_entries(rows)
+        else:
+            # the elements of one field share its key
+            def merged(key: Column) -> Column:
+                same = F.filter(rows, lambda e: e.getField("key") == key)
+                return F.struct(key.alias("key"), F.flatten(F.transform(same, lambda e: e.getField("value"))).alias("value"))
+
+            made = F.map_from_entries(F.transform(F.array_distinct(F.transform(rows, lambda e: e.getField("key"))), merged))
+        return F.when(F.size(rows) > 0, made)
+
+    return df.withColumn(name, bind(found, as_map))

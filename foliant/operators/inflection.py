@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.paths import bind
+
 DEFINITION = (
     "array<struct<row:double,rules:string,heading:string,tagg:string,prescript:string,postscript:string,extra:string>>"
 )
@@ -171,47 +173,53 @@ ROW = (
 def table(all_forms: Column) -> Column:
     """Forms grouped by heading and line, headings in order of first use: the inflection table. Neighbouring forms
     of one heading and line share a row."""
-    headings = F.array_distinct(F.transform(all_forms, lambda f: f.getField("heading")))
-
-    def rows(heading: Column) -> Column:
-        own = F.filter(all_forms, lambda f: f.getField("heading").eqNullSafe(heading))
-
-        def starts(f: Column, i: Column) -> Column:
-            before = F.get(own, i - 1)
-            return (i == 0) | ~before.getField("linenumber").eqNullSafe(f.getField("linenumber"))
-
-        marked = F.transform(own, lambda f, i: F.struct(f.alias("f"), starts(f, i).cast("int").alias("s")))
-        numbered = F.transform(
-            marked,
-            lambda m, i: F.struct(
-                m.getField("f").alias("f"),
-                m.getField("s").alias("s"),
-                F.aggregate(F.slice(marked, 1, i + 1), F.lit(0), lambda n, x: n + x.getField("s")).alias("line"),
+
+    def line_numbers(own: Column) -> Column:
+        """The forms of one heading, each with the number of the row it belongs to."""
+
+        def step(acc: Column, f: Column) -> Column:
+            last = F.get(acc, F.size(acc) - 1)
+            same = last.getField("f").getField("linenumber").eqNullSafe(f.getField("linenumber"))
+            number = F.coalesce(last.getField("line") + F.when(same, 0).otherwise(1), F.lit(0))
+            return F.concat(acc, F.array(F.struct(f.alias("f"), number.alias("line"))))
+
+        return F.aggregate(own, F.array().cast(f"array<struct<f:{FORM},line:int>>"), step)
+
+    def row(numbered: Column, first: Column) -> Column:
+        same = F.filter(numbered, lambda x: x.getField("line") == first.getField("line"))
+        f = first.getField("f")
+        preform = F.transform(
+            same,
+            lambda x: F.struct(
+                x.getField("f").getField("prescript").alias("prescript"),
+                x.getField("f").getField("form").alias("form"),
+                x.getField("f").getField("tag").alias("tag"),
             ),
         )
-        firsts = F.filter(numbered, lambda m: m.getField("s") == 1)
-
-        def row(m: Column) -> Column:
-            same = F.filter(numbered, lambda x: x.getField("line") == m.getField("line"))
-            f = m.getField("f")
-            preform = F.transform(
-                same,
-                lambda x: F.struct(
-                    x.getField("f").getField("prescript").alias("prescript"),
-                    x.getField("f").getField("form").alias("form"),
-                    x.getField("f").getField("tag").alias("tag"),
-                ),
-            )
-            return F.struct(
-                f.getField("linenumber").alias("linenumber"),
-                preform.alias("preform"),
-                f.getField("postscript").alias("postscript"),
-                f.getField("extra").alias("extra"),
-            )
-
-        return F.transform(firsts, row)
-
-    return F.transform(headings, lambda h: F.struct(h.alias("heading"), rows(h).alias("rows")))
+        return F.struct(
+            f.getField("linenumber").alias("linenumber"),
+            preform.alias("preform"),
+            f.getField("postscript").alias("postscript"),
+            f.getField("extra").alias("extra"),
+        )
+
+    def rows(numbered: Column) -> Column:
+        firsts = F.filter(
+            numbered,
+            lambda m, i: (i == 0) | (F.get(numbered, F.greatest(i - 1, F.lit(0))).getField("line") != m.getField("line")),
+        )
+        return F.transform(firsts, lambda m: row(numbered, m))
+
+    def headings(made: Column) -> Column:
+        names = F.array_distinct(F.transform(made, lambda f: f.getField("heading")))
+
+        def one(name: Column) -> Column:
+            own = F.filter(made, lambda f: f.getField("heading").eqNullSafe(name))
+            return F.struct(name.alias("heading"), bind(line_numbers(own), rows).alias("rows"))
+
+        return F.transform(names, one)
+
+    return bind(all_forms, headings)
 
 
 def inflect(lemmas: DataFrame, paradigms: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from foliant.functions.paths import (
 )
 from foliant.plans.spec import Spec
 
-PATH_ROW = "array<struct<path:string,positions:array<int>,value:string,kind:string>>"
+PATH_ROW = "array<struct<path:string,field:string,positions:array<int>,value:string,kind:string>>"
 
 
 def _kind(dtype: T.DataType) -> str:
@@ -30,13 +30,14 @@ def _concat(arrays: list[Column], ddl: str) -> Column:
     return F.flatten(F.array(*arrays)) if arrays else F.array().cast(ddl)
 
 
-def _path_rows(col: Column, dtype: T.DataType, path: Column, positions: Column, inner: bool) -> Column:
+def _path_rows(col: Column, dtype: T.DataType, path: Column, field: str, positions: Column, inner: bool) -> Column:
     """An array with one struct per value below ``col``, in record order, built in one pass over the record."""
     empty = F.array().cast(PATH_ROW)
     leaf = not isinstance(dtype, (T.ArrayType, T.StructType))
     own = F.array(
         F.struct(
             path.alias("path"),
+            F.lit(field).alias("field"),
             positions.alias("positions"),
             (col.cast("string") if leaf else F.lit(None).cast("string")).alias("value"),
             F.lit(_kind(dtype)).alias("kind"),
@@ -49,13 +50,13 @@ def _path_rows(col: Column, dtype: T.DataType, path: Column, positions: Column,
         members = []
         for f in dtype.fields:
             at = F.concat(path, F.lit(f".{f.name}"))
-            members.append(_path_rows(col.getField(f.name), f.dataType, at, positions, inner))
+            members.append(_path_rows(col.getField(f.name), f.dataType, at, f"{field}.{f.name}", positions, inner))
         below = _concat(members, PATH_ROW)
     else:
 
         def element(x: Column, i: Column) -> Column:
             at = F.concat(path, F.lit("."), i.cast("string"))
-            return _path_rows(x, dtype.elementType, at, F.concat(positions, F.array(i)), inner)
+            return _path_rows(x, dtype.elementType, at, field, F.concat(positions, F.array(i)), inner)
 
         below = F.flatten(F.transform(col, element))
     rows = F.concat(own, below) if inner else below
@@ -70,13 +71,13 @@ def flatten_paths(df: DataFrame, keys: list[str], root: str = "entry", inner: bo
     dtype = df.schema[root].dataType
     none = F.array().cast("array<int>")
     members = [
-        _path_rows(F.col(root).getField(f.name), f.dataType, F.lit(f.name), none, inner) for f in dtype.fields
+        _path_rows(F.col(root).getField(f.name), f.dataType, F.lit(f.name), f.name, none, inner) for f in dtype.fields
     ]
     rows = df.select(*keys, F.explode(_concat(members, PATH_ROW)).alias("r"))
     return rows.select(
         *keys,
         F.col("r.path").alias("path"),
-        F.regexp_replace("r.path", r"\.\d+(?=\.|$)", "").alias("field"),
+        F.col("r.field").alias("field"),
         F.col("r.positions").alias("positions"),
         F.col("r.value").alias("value"),
         F.col("r.kind").alias("kind"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions.paths import is_visible, type_at, update, visible
+from foliant.functions.paths import bind, is_visible, type_at, update, visible
 from foliant.functions.text import clean_refs, clean_tags
 from foliant.operators.derive import at_parents, resolve
 from foliant.operators.history import latest_per_key
@@ -182,12 +182,16 @@ def _strings_flat(dtype: T.DataType, path: str, skip: set, crossed: bool, at: Ca
 
 
 def forward_refs(df: DataFrame, layout: Layout = SALEX) -> Column:
-    """The references of an entry: array of (ref, visas), one per reference, visible if any occurrence is.
+    """The references of an entry: array of (ref, visas), one per reference, visible if any occurrence is."""
+    return forward_refs_of(F.col("entry"), df.schema["entry"].dataType, layout)
+
+
+def forward_refs_of(entry: Column, dtype: T.StructType, layout: Layout = SALEX) -> Column:
+    """``forward_refs`` of any nested value.
 
     References stand in the fields of the layout and as ``refid=`` codes in any string. Everything happens inside the
     row; duplicates are settled by sorting the entry's own references.
     """
-    dtype = df.schema["entry"].dataType
     found = []
     for path, kind in layout.ref_fields.items():
         root = split_path(path)[0]
@@ -196,8 +200,8 @@ def forward_refs(df: DataFrame, layout: Layout = SALEX) -> Column:
             return F.array(F.struct(_full_ref(value.cast("string"), root, kind).alias("ref"), shown.alias("visas")))
 
         if type_at(dtype, split_path(path)) is not None:
-            found.append(_members(F.col("entry"), dtype, split_path(path), one, F.lit(True), REF_ROW))
-    top = is_visible(F.col("entry"), dtype)
+            found.append(_members(entry, dtype, split_path(path), one, F.lit(True), REF_ROW))
+    top = is_visible(entry, dtype)
     for root in ("so", "saol"):
         if root not in dtype.fieldNames():
             continue
@@ -211,16 +215,19 @@ def forward_refs(df: DataFrame, layout: Layout = SALEX) -> Column:
             # most strings hold no code: look for the marker before running the pattern
             return F.when(F.contains(value, F.lit("refid=")), F.transform(refs, row)).otherwise(F.array().cast(REF_ROW))
 
-        found.extend(_strings(F.col("entry").getField(root), dtype[root].dataType, root, set(layout.ref_fields), False, codes, top))
+        found.extend(_strings(entry.getField(root), dtype[root].dataType, root, set(layout.ref_fields), False, codes, top))
     if not found:
         return F.array().cast(REF_ROW)
     rows = F.array_sort(F.array_distinct(F.filter(F.flatten(F.array(*found)), lambda r: r.getField("ref").isNotNull())))
-    # sorted by (ref, visas): the last row of a run is visible if any is
-    following = F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))
-    return F.filter(
-        rows,
-        lambda r, i: F.coalesce(F.get(following, i).getField("ref") != r.getField("ref"), F.lit(True)),
-    )
+
+    def last_of_runs(sorted_rows: Column) -> Column:
+        # sorted by (ref, visas): the last row of a run is visible if any is
+        def ends(r: Column, i: Column) -> Column:
+            return F.coalesce(F.get(sorted_rows, i + 1).getField("ref") != r.getField("ref"), F.lit(True))
+
+        return F.filter(sorted_rows, ends)
+
+    return bind(rows, last_of_runs)
 
 
 def forward_edges(df: DataFrame, layout: Layout = SALEX) -> DataFrame:
@@ -294,21 +301,42 @@ def backward_refs(df: DataFrame, edges: DataFrame, nested: DataFrame | None = No
 def id_info(df: DataFrame, layout: Layout = SALEX) -> DataFrame:
     """The id directory: (resource, entry_id, id, attributes): every id in the visible part of an entry, described
     by values read relative to where the id stands. Senses are numbered when there is more than one."""
-    dtype = df.schema["entry"].dataType
-    seen = df.withColumn("entry", visible(F.col("entry"), dtype))
+    rows = id_info_of(F.col("entry"), df.schema["entry"].dataType, layout)
+    out = df.select("resource", F.col("id").alias("entry_id"), F.explode(rows).alias("r"))
+    return out.select("resource", "entry_id", "r.*")
+
+
+ID_ROW = "array<struct<id:string," + ",".join(f"`{a}`:string" for a in ATTRIBUTES) + ">>"
+
+
+def id_info_of(entry: Column, dtype: T.StructType, layout: Layout = SALEX) -> Column:
+    """``id_info`` of any nested value, as one array."""
+
+    def number(old: Column | None, _t: T.DataType | None, _p: Column) -> Column:
+        many = F.size(old) > 1
+        return F.transform(old, lambda x, i: x.withField("h_nr", F.when(many, i + 1)))
+
+    seen, shape = visible(entry, dtype), dtype
     for path in layout.numbered:
         parts = split_path(path)
-        array = type_at(seen.schema["entry"].dataType, parts)
-        if not isinstance(array, T.ArrayType):
-            continue
+        if isinstance(type_at(shape, parts), T.ArrayType):
+            seen = update(seen, shape, parts, number)
+            shape = _numbered(shape, parts)
+    return bind(seen, lambda obj: _directory(obj, shape, layout))
 
-        def number(old: Column | None, _t: T.DataType | None, _p: Column) -> Column:
-            many = F.size(old) > 1
-            return F.transform(old, lambda x, i: x.withField("h_nr", F.when(many, i + 1)))
 
-        seen = seen.withColumn("entry", update(F.col("entry"), seen.schema["entry"].dataType, parts, number))
-    dtype = seen.schema["entry"].dataType
-    shape = "array<struct<id:string," + ",".join(f"`{a}`:string" for a in ATTRIBUTES) + ">>"
+def _numbered(dtype: T.DataType, parts: list) -> T.DataType:
+    """A type whose objects at ``parts`` also have a number."""
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_numbered(dtype.elementType, parts))
+    if not parts:
+        return T.StructType([f for f in dtype.fields if f.name != "h_nr"] + [T.StructField("h_nr", T.IntegerType())])
+    return T.StructType(
+        [T.StructField(f.name, _numbered(f.dataType, parts[1:]) if f.name == parts[0] else f.dataType) for f in dtype.fields]
+    )
+
+
+def _directory(entry: Column, dtype: T.StructType, layout: Layout) -> Column:
     found = []
     for path, attributes in layout.info.items():
         parts = split_path(path)
@@ -330,14 +358,13 @@ def id_info(df: DataFrame, layout: Layout = SALEX) -> DataFrame:
                 members.append(value.alias(name))
             return F.when(own.isNotNull(), F.struct(*members))
 
-        nested = at_parents(F.col("entry"), dtype, parts[:-1], describe)
+        nested = at_parents(entry, dtype, parts[:-1], describe)
         levels = sum(isinstance(type_at(dtype, parts[: i + 1]), T.ArrayType) for i in range(len(parts) - 1))
         rows = nested if levels else F.array(nested)
         for _ in range(levels - 1):
             rows = F.flatten(F.filter(rows, lambda x: x.isNotNull()))
-        found.append(F.coalesce(F.filter(rows, lambda x: x.isNotNull()), F.array().cast(shape)))
-    out = seen.select("resource", F.col("id").alias("entry_id"), F.explode(F.flatten(F.array(*found))).alias("r"))
-    return out.select("resource", "entry_id", "r.*")
+        found.append(F.coalesce(F.filter(rows, lambda x: x.isNotNull()), F.array().cast(ID_ROW)))
+    return F.flatten(F.array(*found)) if found else F.array().cast(ID_ROW)
 
 
 def reference_info(edges: DataFrame, directory: DataFrame, prefix: str = "") -> DataFrame:

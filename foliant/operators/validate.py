@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.paths import bind
 from foliant.plans.spec import Field, Spec
 
 _KIND = {"string": "string", "long_string": "string", "integer": "integer", "number": "number", "boolean": "boolean"}
@@ -73,18 +74,23 @@ def _one_argument(f: Field, path: str):
 
 def problems(raw: Column, spec: Spec) -> Column:
     """The reasons a JSON record breaks its spec, as an array; empty for a valid one."""
-    v = F.try_parse_json(raw)
-    is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-    found = _members(v, spec.fields, "")
-    if not spec.additional_properties:
-        known = F.array(*[F.lit(n) for n in spec.fields]) if spec.fields else _no()
-        extra = F.transform(F.array_except(F.json_object_keys(raw), known), lambda k: F.concat(k, F.lit(" is not declared")))
-        found = F.concat(found, F.coalesce(extra, _no()))
-    return (
-        F.when(v.isNull(), F.array(F.lit("not valid JSON")))
-        .when(~is_object, F.array(F.lit("record must be object")))
-        .otherwise(found)
-    )
+
+    def judge(v: Column) -> Column:
+        is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+        found = _members(v, spec.fields, "")
+        if not spec.additional_properties:
+            known = F.array(*[F.lit(n) for n in spec.fields]) if spec.fields else _no()
+            undeclared = F.array_except(F.json_object_keys(raw), known)
+            extra = F.transform(undeclared, lambda k: F.concat(k, F.lit(" is not declared")))
+            found = F.concat(found, F.coalesce(extra, _no()))
+        return (
+            F.when(v.isNull(), F.array(F.lit("not valid JSON")))
+            .when(~is_object, F.array(F.lit("record must be object")))
+            .otherwise(found)
+        )
+
+    # the text is parsed once per record
+    return bind(F.try_parse_json(raw), judge)
 
 
 def check(df: DataFrame, spec: Spec, raw: str = "raw") -> DataFrame:

@@ -21,7 +21,7 @@ from foliant.session import materialise
 # Neighbours asked for.
 K = 10
 
-CELLS = 64
+MAX_CELLS = 256
 BLOCK = 2048
 DIGITS = 9
 
@@ -110,11 +110,14 @@ def _route(assigned: DataFrame, cells: DataFrame, pivots: np.ndarray, probes: in
 
 
 def knn(
-    vectors: DataFrame, k: int = K, cells: int = CELLS, block: int = BLOCK, probes: int | None = None
+    vectors: DataFrame, k: int = K, cells: int | None = None, block: int = BLOCK, probes: int | None = None
 ) -> DataFrame:
     """``vectors(id, class, vector)`` -> (id, neighbour, similarity, rank): the ``k`` most similar other vectors of
     the same class; equal similarities (nine digits) are ordered by id."""
     vectors = vectors.select("id", "class", "vector").filter("vector IS NOT NULL AND class IS NOT NULL")
+    if cells is None:
+        # about a block per cell, within a fixed number of pivots
+        cells = max(1, min(MAX_CELLS, -(-vectors.count() // block)))
     pivots = _pivots(vectors, cells)
     assigned = materialise(assign(vectors, pivots), "assigned")
     sizes = _cells(assigned, k)

@@ -306,11 +306,11 @@ def flagship(spark, d):
 SHORT = Spec.from_dict({"resource_id": "turns", "fields": {"role": {"type": "long_string"}, "text": {"type": "string"}}, "sort": "role"})
 
 
-@add("P3_phrase_in_conversations", f"WITH w AS (SELECT conv_id, turn, role, {T.sql_words('text')} AS words FROM conversations) SELECT conv_id, turn FROM w WHERE role = 'user' AND {T.sql_phrase('words', 'is', 'a')}")
+@add("P3_phrase_in_conversations", f"WITH w AS (SELECT conv_id, turn, role, {T.sql_words('text')} AS words FROM conversations) SELECT conv_id, turn FROM w WHERE role = 'user' AND {T.sql_phrase('words', 'of', 'the')}")
 def phrase_in_conversations(spark, d):
     turns = T.load(spark, d, "conversations")
     rows = as_entries(turns, SHORT, F.concat_ws(":", "conv_id", "turn"))
-    hits = P.matching(rows, P.and_(P.equals("role", "user"), P.equals("text", "is a")), SHORT)
+    hits = P.matching(rows, P.and_(P.equals("role", "user"), P.equals("text", "of the")), SHORT)
     key = F.split("id", ":")
     return hits.select(F.get(key, F.lit(0)).cast("long").alias("conv_id"), F.get(key, F.lit(1)).cast("long").alias("turn"))
 

@@ -95,6 +95,21 @@ def bulk_add(spark, d):
     return hist.select("body.code", "body.segment", "version", "op", F.col("last_modified_by").alias("user"))
 
 
+@add("V13_import", "SELECT c_custkey AS code, 'C' || c_custkey AS entity_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'builder' ELSE 'job' END AS \"user\", CAST(c_custkey AS DOUBLE) AS last_modified, row_number() OVER (ORDER BY c_custkey) - 1 AS history_id FROM customer")
+def import_entries(spark, d):
+    envelope = F.struct(
+        F.concat(F.lit("C"), "c_custkey").alias("id"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "builder").alias("user"),
+        F.col("c_custkey").cast("double").alias("last_modified"),
+        F.struct(F.col("c_custkey").alias("code"), F.col("c_name").alias("name")).alias("entry"),
+    )
+    folder, path = new_folder(spark, "import"), new_folder(spark, "history")
+    T.load(spark, d, "customer").select(envelope.alias("e")).select("e.*").write.json(folder)
+    E.bulk_add(spark, path, E.read_import(spark, folder, T.CUSTOMERS, "job").drop("body"), T.CUSTOMERS, "job")
+    hist = E.read_history(spark, path, T.CUSTOMERS.body_type())
+    return hist.select("body.code", "entity_id", F.col("last_modified_by").alias("user"), "last_modified", "history_id")
+
+
 BUCKETS = 8
 SNAP = f"WITH {T.SQL_HEADS} SELECT entity_id AS id, version, value, k FROM heads WHERE NOT discarded"
 

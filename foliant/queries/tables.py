@@ -9,12 +9,17 @@ from foliant.functions import text
 from foliant.operators.collections import as_entries
 from foliant.operators.history import with_versions
 from foliant.plans.spec import Spec
-from foliant.session import tune
+from foliant.session import spread, tune
+
+
+TEXTS = ("documents", "conversations", "pages")
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     tune(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    # texts are analysed word by word: worth all cores
+    return spread(table) if name in TEXTS else table
 
 
 # ---------------------------------------------------------------- flat collections

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # per-row work is costly here (word splitting, nested records): merge only very small partitions below one per core
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # one entry, link target or class may hold a third of all rows: split such partitions at run time,
     # also when the split costs one more exchange after the join
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -61,6 +63,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on a table that is read as fewer tasks than there are cores.
+
+    A table of many files has more tasks than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later steps neither recompute nor re-roll it."""
     spark = df.sparkSession

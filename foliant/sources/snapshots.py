@@ -106,6 +106,11 @@ def publish_snapshot(spark: SparkSession, hist: DataFrame, spec: Spec, root: str
     return name
 
 
+def publish_all(spark: SparkSession, collections: list[tuple[DataFrame, Spec]], root: str, context: Context | None = None, drop_old: bool = False, buckets: int = BUCKETS) -> list[str]:
+    """Publish every given collection (history and spec); returns the snapshot names."""
+    return [publish_snapshot(spark, hist, spec, root, context, drop_old, buckets) for hist, spec in collections]
+
+
 def _drop(spark: SparkSession, root: str, pointer, keep: set[str]) -> None:
     """Remove the folders of a snapshot that the current one does not use, and mark every snapshot that needs them."""
     jvm = spark.sparkContext._jvm

@@ -247,3 +247,30 @@ def test_highlight(spark):
     assert marks(p, nested, NESTED) == {1: {"infT.wf": ["<em>väl-känd</em> x", "<em>välkänd</em>"]}}
     assert marks(p, nested, NESTED, positions=True) == {1: {"infT[0].wf": ["<em>väl-känd</em> x"], "infT[2].wf": ["<em>välkänd</em>"]}}
     assert list(itertools.chain()) == []
+
+
+def test_derived_functions(spark, lexicon):
+    from foliant.operators import builtin  # noqa: F401
+    from foliant.operators import derive as D
+
+    def virtual(plugin, **field_params):
+        return {"virtual": True, "plugin": plugin, "field_params": field_params}
+
+    spec = Spec.from_dict({**SO, "fields": {**SO["fields"], "refs": virtual("forward_references", entry=""), "ids": virtual("id_info", entry="")}})
+    rows = {r.id: r.entry for r in D.derive(lexicon, spec).collect()}
+    assert {(x.ref, x.visas) for x in rows["dold"].refs} == {("so.lnr1", False)} and len(rows["ett"].refs) == 6
+    assert {x.id for x in rows["två"].ids} == {"so.lnr2", "so.xnr20", "saol.lnr2"}
+
+    fields = {"valens": {"type": "string"}, "word": {"type": "string"}, "kind": {"type": "string"}, "group": {"type": "string"}, "vec": {"type": "dense_vector"}}
+    derived = {"v": virtual("valency", valens="valens"), "near": {**virtual("neighbours", id="valens", **{"class": "group", "vector": "vec"}), "params": {"k": 1}}}
+    spec = Spec.from_dict({"resource_id": "pats", "fields": {**fields, **derived}})
+    records = [{"valens": "a/b", "group": "g", "vec": [1.0, 0.0]}, {"valens": "c", "group": "g", "vec": [1.0, 0.1]}, {"valens": "d", "group": "g", "vec": [0.0, 1.0]}]
+    df = data.entries(spark, records, spec, "valens")
+    got = {r.id: r.entry for r in D.derive(df, spec).collect()}
+    assert [x.exp_valens for x in got["a/b"].v] == ["a", "b"] and got["c"].v == []
+    assert [x.id for x in got["a/b"].near] == ["c"] and [x.id for x in got["d"].near] == ["c"]
+
+    D.register("first_paradigm", lambda _f, p: F.struct(F.from_json(F.lit(json.dumps(paradigm("s2", (1, "+en", "S", "t"))["definition"])), I.DEFINITION).alias("definition")), {"type": "string"})
+    words = Spec.from_dict({"resource_id": "words", "fields": {"word": {"type": "string"}, "tab": virtual("first_paradigm", word="word"), "infl": {**virtual("inflection", lemma="word", table="tab"), "hidden": False}}})
+    out = D.derive(data.entries(spark, [{"word": "hund"}], words, "word"), words).first().entry
+    assert out.infl[0].heading == "S" and out.infl[0].rows[0].preform[0].form == "hunden"
