@@ -19,7 +19,7 @@ from foliant.functions.paths import (
 )
 from foliant.plans.spec import Spec
 
-PATH_ROW = "array<struct<path:string,field:string,positions:array<int>,value:string,kind:string>>"
+PATH_ROW = "array<struct<field:string,template:string,positions:array<int>,value:string,kind:string>>"
 
 
 def _kind(dtype: T.DataType) -> str:
@@ -30,37 +30,49 @@ def _concat(arrays: list[Column], ddl: str) -> Column:
     return F.flatten(F.array(*arrays)) if arrays else F.array().cast(ddl)
 
 
-def _path_rows(col: Column, dtype: T.DataType, path: Column, field: str, positions: Column, inner: bool) -> Column:
-    """An array with one struct per value below ``col``, in record order, built in one pass over the record."""
-    empty = F.array().cast(PATH_ROW)
+def _slot(depth: int) -> str:
+    return f"{{{depth}}}"
+
+
+def _path_rows(
+    col: Column, dtype: T.DataType, field: str, template: str, positions: Column, depth: int, inner: bool
+) -> tuple[list[Column], list[Column]]:
+    """Structs for the values at and below ``col`` and arrays of structs for what lies in its arrays.
+
+    A path is kept as a constant template and the positions that go into it, so the row itself builds no text.
+    """
     leaf = not isinstance(dtype, (T.ArrayType, T.StructType))
-    own = F.array(
-        F.struct(
-            path.alias("path"),
-            F.lit(field).alias("field"),
-            positions.alias("positions"),
-            (col.cast("string") if leaf else F.lit(None).cast("string")).alias("value"),
-            F.lit(_kind(dtype)).alias("kind"),
-        )
-    )
+    value = col.cast("string") if leaf else F.lit(None).cast("string")
+    # an absent value has no kind, which is how its row is dropped later
+    kind = F.when(col.isNotNull(), _kind(dtype))
+    own = F.struct(
+        F.lit(field).alias("field"), F.lit(template).alias("template"), positions.alias("positions"), value.alias("value"), kind.alias("kind")
+    )
     if leaf:
-        return F.when(col.isNotNull(), own).otherwise(empty)
-    below: Column
+        return [own], []
+    structs, arrays = ([own] if inner else []), []
     if isinstance(dtype, T.StructType):
-        members = []
         for f in dtype.fields:
-            at = F.concat(path, F.lit(f".{f.name}"))
-            members.append(_path_rows(col.getField(f.name), f.dataType, at, f"{field}.{f.name}", positions, inner))
-        below = _concat(members, PATH_ROW)
+            more = _path_rows(col.getField(f.name), f.dataType, f"{field}.{f.name}", f"{template}.{f.name}", positions, depth, inner)
+            structs.extend(more[0])
+            arrays.extend(more[1])
     else:
 
         def element(x: Column, i: Column) -> Column:
-            at = F.concat(path, F.lit("."), i.cast("string"))
-            return _path_rows(x, dtype.elementType, at, field, F.concat(positions, F.array(i)), inner)
+            here = F.concat(positions, F.array(i))
+            below = _path_rows(x, dtype.elementType, field, f"{template}.{_slot(depth)}", here, depth + 1, inner)
+            return _concat([F.array(*below[0])] * bool(below[0]) + below[1], PATH_ROW)
+
+        arrays.append(F.coalesce(F.flatten(F.transform(col, element)), F.array().cast(PATH_ROW)))
+    return structs, arrays
+
 
-        below = F.flatten(F.transform(col, element))
-    rows = F.concat(own, below) if inner else below
-    return F.when(col.isNotNull(), rows).otherwise(empty)
+def _depth(dtype: T.DataType) -> int:
+    if isinstance(dtype, T.ArrayType):
+        return 1 + _depth(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return max((_depth(f.dataType) for f in dtype.fields), default=0)
+    return 0
 
 
 def flatten_paths(df: DataFrame, keys: list[str], root: str = "entry", inner: bool = False) -> DataFrame:
@@ -70,13 +82,21 @@ def flatten_paths(df: DataFrame, keys: list[str], root: str = "entry", inner: bo
     """
     dtype = df.schema[root].dataType
     none = F.array().cast("array<int>")
-    members = [
-        _path_rows(F.col(root).getField(f.name), f.dataType, F.lit(f.name), f.name, none, inner) for f in dtype.fields
-    ]
-    rows = df.select(*keys, F.explode(_concat(members, PATH_ROW)).alias("r"))
+    structs: list[Column] = []
+    arrays: list[Column] = []
+    for f in dtype.fields:
+        more = _path_rows(F.col(root).getField(f.name), f.dataType, f.name, f.name, none, 0, inner)
+        structs.extend(more[0])
+        arrays.extend(more[1])
+    built = _concat([F.array(*structs)] * bool(structs) + arrays, PATH_ROW)
+    rows = df.select(*keys, F.explode(built).alias("r")).filter("r.kind IS NOT NULL")
+    path = F.col("r.template")
+    for depth in range(_depth(dtype)):
+        number = F.coalesce(F.get("r.positions", F.lit(depth)).cast("string"), F.lit(""))
+        path = F.replace(path, F.lit(_slot(depth)), number)
     return rows.select(
         *keys,
-        F.col("r.path").alias("path"),
+        path.alias("path"),
         F.col("r.field").alias("field"),
         F.col("r.positions").alias("positions"),
         F.col("r.value").alias("value"),

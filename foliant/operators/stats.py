@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.paths import values_at
 from foliant.plans.spec import Spec
+from foliant.session import materialise
 
 # The most distinct values a report may have.
 MAX_VALUES = 66000
@@ -39,6 +40,8 @@ def statistics(df: DataFrame, path: str, spec: Spec | None = None, max_values: i
         spec.field(path)
     counts = value_counts(df, path)
     if max_values is not None:
+        # counted once: the check and the report read the written counts
+        counts = materialise(counts, "counts")
         check_values(counts, max_values)
     return counts.orderBy(F.col("count").desc(), F.col("value").asc())
 

@@ -89,7 +89,7 @@ p AS (SELECT o_orderkey AS code, 'code' AS field, CAST(o_orderkey AS VARCHAR) AS
 @add("J6_flatten_paths", ORDER_PATHS + "SELECT field, pos, count(*) AS n, count(DISTINCT value) AS kinds, min(value) AS low FROM p GROUP BY field, pos")
 def flatten_paths(spark, d):
     rows = R.flatten_paths(T.orders(spark, d), ["id"]).filter(~F.col("field").isin("price", "lines.number", "lines.quantity", "lines.amount"))
-    keyed = rows.withColumn("pos", F.array_join(F.col("positions").cast("array<string>"), "."))
+    keyed = rows.withColumn("pos", F.coalesce(F.get("positions", F.lit(0)).cast("string"), F.lit("")))
     # distinct values by two aggregations with map-side combining
     per = keyed.groupBy("field", "pos", "value").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("field", "pos").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("value").alias("low"))
