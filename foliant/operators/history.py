@@ -168,7 +168,7 @@ def check_unique(hist: DataFrame) -> DataFrame:
 
 def chunk_of(position: str | Column, width: int = WIDTH) -> Column:
     col = F.col(position) if isinstance(position, str) else position
-    return F.floor(col / width).cast("long")
+    return F.call_function("div", col.cast("long"), F.lit(width))
 
 
 def with_versions(log: DataFrame, entity: str = "entity_id", position: str = "history_id", width: int = WIDTH) -> DataFrame:

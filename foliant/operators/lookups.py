@@ -192,29 +192,27 @@ def protection(resources: DataFrame) -> DataFrame:
 LEVELS = {"READ": 1, "WRITE": 2, "ADMIN": 3}
 
 
-def permitted(users: DataFrame, grants: DataFrame, resources: DataFrame, level: str) -> DataFrame:
-    """(user, resource_id) pairs that may be used at ``level``.
+def permitted(requests: DataFrame, grants: DataFrame, resources: DataFrame, level: str) -> DataFrame:
+    """Those of the ``requests(user, resource_id)`` that are allowed at ``level``.
 
     Reading is open unless the collection is read-protected; writing and administering always need a grant of at
-    least the level. ``grants(user, resource_id, level)`` holds numbers; ``users(user)`` the users asked about. The
-    open collections are listed once per user, which is the size of the answer.
+    least the level. ``grants(user, resource_id, level)`` holds numbers. Two equi-joins: collections open to everyone
+    are a property of the collection, so users and collections are never multiplied.
     """
     from foliant.sources.catalog import latest_resources
 
-    needed = LEVELS[level]
-    enough = grants.filter(F.col("level") >= needed).select("user", "resource_id").distinct()
-    known = latest_resources(resources).filter(~F.col("discarded")).select("resource_id", "config")
-    granted = enough.join(users, "user", "left_semi").join(known, "resource_id", "left_semi")
-    if level != "READ":
-        return granted
-    shut = F.coalesce(F.get_json_object("config", "$.protected.read") == "true", F.lit(False))
-    openly = known.filter(~shut).agg(F.array_sort(F.collect_list("resource_id")).alias("r"))
-    everyone = users.distinct().select("user", F.explode(openly.scalar()).alias("resource_id"))
-    return everyone.unionByName(granted.select("user", "resource_id")).distinct()
+    enough = grants.filter(F.col("level") >= LEVELS[level]).select("user", "resource_id").distinct()
+    shut = F.lit(True)
+    if level == "READ":
+        shut = F.coalesce(F.get_json_object("config", "$.protected.read") == "true", F.lit(False))
+    known = latest_resources(resources).filter(~F.col("discarded")).select("resource_id", shut.alias("_shut"))
+    asked = requests.join(known, "resource_id")
+    granted = asked.join(enough.withColumn("_granted", F.lit(True)), ["user", "resource_id"], "left")
+    return granted.filter(~F.col("_shut") | F.col("_granted")).select(*requests.columns)
 
 
 def permitted_entries(df: DataFrame, grants: DataFrame, resources: DataFrame, user: str, level: str = "READ") -> DataFrame:
     """Entries of the collections one user may use at a level."""
-    spark = df.sparkSession
-    allowed = permitted(spark.createDataFrame([(user,)], "user string"), grants, resources, level)
+    asked = resources.select("resource_id").distinct().withColumn("user", F.lit(user))
+    allowed = permitted(asked, grants.filter(F.col("user") == user), resources, level)
     return df.join(allowed.select(F.col("resource_id").alias("resource")), "resource", "left_semi")

@@ -280,28 +280,32 @@ def published(spark, d):
     return L.published(df, T.catalog(spark, d)).select("code")
 
 
-def _grants(spark, d) -> DataFrame:
+def _orders_as(spark, d) -> DataFrame:
+    """Order priorities stand for users, customers for collections."""
     level = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
-    return T.load(spark, d, "orders").select(F.col("o_orderpriority").alias("user"), F.concat(F.lit("cust_"), "o_custkey").alias("resource_id"), level.alias("level"))
+    user, resource = F.col("o_orderpriority").alias("user"), F.concat(F.lit("cust_"), "o_custkey").alias("resource_id")
+    return T.load(spark, d, "orders").select(user, resource, level.alias("level"), "o_totalprice")
 
 
 def _permitted(level: str):
     def run(spark, d):
-        grants = _grants(spark, d)
-        return L.permitted(grants.select("user").distinct(), grants, T.catalog(spark, d), level).select("user", "resource_id")
+        rows = _orders_as(spark, d)
+        requests = rows.select("user", "resource_id").distinct()
+        grants = rows.filter("o_totalprice > 350000").select("user", "resource_id", "level")
+        return L.permitted(requests, grants, T.catalog(spark, d), level).select("user", "resource_id")
 
     return run
 
 
-_GRANTS = "g AS (SELECT o_orderpriority AS \"user\", 'cust_' || o_custkey AS resource_id, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS level FROM orders)"
+_GRANTS = """a AS (SELECT o_orderpriority AS "user", 'cust_' || o_custkey AS resource_id, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS level, o_totalprice > 350000 AS granted FROM orders),
+q AS (SELECT "user", resource_id, coalesce(max(level) FILTER (granted), 0) AS level FROM a GROUP BY ALL)"""
 QUERIES["L11_permitted_to_write"] = (
     _permitted("WRITE"),
-    f'WITH {T.SQL_CATALOG}, {_GRANTS} SELECT DISTINCT "user", resource_id FROM g JOIN now USING (resource_id) WHERE level >= 2 AND NOT discarded',
+    f'WITH {T.SQL_CATALOG}, {_GRANTS} SELECT "user", resource_id FROM q JOIN now USING (resource_id) WHERE NOT discarded AND level >= 2',
 )
 QUERIES["L11_permitted_to_read"] = (
     _permitted("READ"),
-    f'WITH {T.SQL_CATALOG}, {_GRANTS} SELECT DISTINCT "user", resource_id FROM g JOIN now USING (resource_id) WHERE NOT discarded '
-    "UNION SELECT DISTINCT u.\"user\", now.resource_id FROM g u JOIN now ON NOT discarded AND (protected IS NULL OR protected <> 'READ')",
+    f"WITH {T.SQL_CATALOG}, {_GRANTS} SELECT \"user\", resource_id FROM q JOIN now USING (resource_id) WHERE NOT discarded AND (level >= 1 OR protected IS DISTINCT FROM 'READ')",
 )
 
 

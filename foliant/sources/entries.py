@@ -123,7 +123,7 @@ def dense_index(df: DataFrame, order: list[str], name: str, start: int | Column
 
 
 def append_history(spark: SparkSession, path: str, rows: DataFrame, body: T.DataType, first: int | None = None) -> int:
-    """Append versions to a history table; never changes what is there. Returns the last ``history_id`` written.
+    """Append versions to a history table; never changes what is there. Returns the first ``history_id`` used.
 
     Ids continue after the greatest one there, by (last_modified, position).
     """
@@ -138,7 +138,7 @@ def append_history(spark: SparkSession, path: str, rows: DataFrame, body: T.Data
     numbered = dense_index(rows, ["last_modified", "position"], "history_id", first)
     wanted = history_type(body)
     numbered.select(*[F.col(f.name).cast(f.dataType) for f in wanted.fields]).write.mode("append").parquet(path)
-    return read_history(spark, path, body).agg(F.max("history_id").alias("m")).first()["m"]
+    return first
 
 
 def bulk_add(spark: SparkSession, path: str, records: DataFrame, spec: Spec, user: str, message: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -89,8 +89,8 @@ def with_words(rows: DataFrame, paths: list[str]) -> tuple[DataFrame, dict[str,
 
 def _write(rows: DataFrame, folder: str, buckets: int) -> None:
     bucketed = rows.withColumn("bucket", bucket_of(buckets))
-    # one shuffle so that every bucket is written by few tasks; AQE splits what is too large for one
-    bucketed.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    # one shuffle that brings a bucket to few tasks; a rebalance is split where a bucket is too large for one task
+    bucketed.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(folder)
 
 
 def publish_snapshot(spark: SparkSession, hist: DataFrame, spec: Spec, root: str, context: Context | None = None, drop_old: bool = False, buckets: int = BUCKETS) -> str:

@@ -128,9 +128,10 @@ def test_catalog(spark):
     assert names(C.list_resources(cat, globs=["pl?nts"])) == ["plants"]
     assert C.show_resource(cat, "places").first().version == 2 and C.show_resource(cat, "places", 1).first().is_published is False
     assert {r.resource_id: r.protected for r in L.protection(cat).collect()} == {"places": "READ", "plants": "WRITE", "words": None}
-    users = spark.createDataFrame([("ann",), ("bob",)], "user string")
+    ids = ("places", "plants", "words", "drafts", "unknown")
+    asked = spark.createDataFrame([(u, r) for u in ("ann", "bob") for r in ids], "user string, resource_id string")
     grants = spark.createDataFrame([("ann", "places", 1), ("ann", "words", 3), ("bob", "plants", 2)], "user string, resource_id string, level int")
-    may = lambda lv: {(r.user, r.resource_id) for r in L.permitted(users, grants, cat, lv).collect()}
+    may = lambda lv: {(r.user, r.resource_id) for r in L.permitted(asked, grants, cat, lv).collect()}
     assert may("WRITE") == {("ann", "words"), ("bob", "plants")} and may("ADMIN") == {("ann", "words")}
     assert may("READ") == {(u, r) for u in ("ann", "bob") for r in ("plants", "words", "drafts")} | {("ann", "places")}
     df = spark.createDataFrame([("places", 1), ("drafts", 2), ("words", 3)], "resource string, n int")
