@@ -102,7 +102,7 @@ class Layout:
     numbered: tuple = ("so.huvudbetydelser", "saol.huvudbetydelser")
 
 
-SALEX = Layout()
+SWEDISH = Layout()
 
 
 def format_ref(kind: Column, ref: Column) -> Column:
@@ -181,12 +181,12 @@ def _strings_flat(dtype: T.DataType, path: str, skip: set, crossed: bool, at: Ca
     return each
 
 
-def forward_refs(df: DataFrame, layout: Layout = SALEX) -> Column:
+def forward_refs(df: DataFrame, layout: Layout = SWEDISH) -> Column:
     """The references of an entry: array of (ref, visas), one per reference, visible if any occurrence is."""
     return forward_refs_of(F.col("entry"), df.schema["entry"].dataType, layout)
 
 
-def forward_refs_of(entry: Column, dtype: T.StructType, layout: Layout = SALEX) -> Column:
+def forward_refs_of(entry: Column, dtype: T.StructType, layout: Layout = SWEDISH) -> Column:
     """``forward_refs`` of any nested value.
 
     References stand in the fields of the layout and as ``refid=`` codes in any string. Everything happens inside the
@@ -230,13 +230,13 @@ def forward_refs_of(entry: Column, dtype: T.StructType, layout: Layout = SALEX)
     return bind(rows, last_of_runs)
 
 
-def forward_edges(df: DataFrame, layout: Layout = SALEX) -> DataFrame:
+def forward_edges(df: DataFrame, layout: Layout = SWEDISH) -> DataFrame:
     """(resource, id, ref, visas): one row per entry and reference. No shuffle."""
     rows = df.select("resource", "id", F.explode(forward_refs(df, layout)).alias("r"))
     return rows.select("resource", "id", F.col("r.ref").alias("ref"), F.col("r.visas").alias("visas"))
 
 
-def find_ids(df: DataFrame, layout: Layout = SALEX) -> DataFrame:
+def find_ids(df: DataFrame, layout: Layout = SWEDISH) -> DataFrame:
     """(resource, id, kind, ref): every id in every entry."""
     dtype = df.schema["entry"].dataType
     found = []
@@ -251,7 +251,7 @@ def find_ids(df: DataFrame, layout: Layout = SALEX) -> DataFrame:
     return rows.select("resource", "id", "r.kind", "r.ref")
 
 
-def backward_edges(df: DataFrame, edges: DataFrame, layout: Layout = SALEX) -> DataFrame:
+def backward_edges(df: DataFrame, edges: DataFrame, layout: Layout = SWEDISH) -> DataFrame:
     """(resource, id, ref, from_id, ortografi, homografNr, visas, subobject): every entry that refers to any id of an
     entry, in long form. An id that a third of all references point at is split by the skew-join handling; nothing
     is collected."""
@@ -285,7 +285,7 @@ def backward_edges(df: DataFrame, edges: DataFrame, layout: Layout = SALEX) -> D
     )
 
 
-def backward_refs(df: DataFrame, edges: DataFrame, nested: DataFrame | None = None, layout: Layout = SALEX, limit: int = PART) -> DataFrame:
+def backward_refs(df: DataFrame, edges: DataFrame, nested: DataFrame | None = None, layout: Layout = SWEDISH, limit: int = PART) -> DataFrame:
     """Entries with their incoming references as arrays (several ``part`` rows beyond ``limit``).
 
     ``nested`` holds the references found for sub-objects, in the shape of ``backward_edges``; they are appended with
@@ -298,7 +298,7 @@ def backward_refs(df: DataFrame, edges: DataFrame, nested: DataFrame | None = No
     return collect_parts(rows, ["resource", "id"], value, "references", limit)
 
 
-def id_info(df: DataFrame, layout: Layout = SALEX) -> DataFrame:
+def id_info(df: DataFrame, layout: Layout = SWEDISH) -> DataFrame:
     """The id directory: (resource, entry_id, id, attributes): every id in the visible part of an entry, described
     by values read relative to where the id stands. Senses are numbered when there is more than one."""
     rows = id_info_of(F.col("entry"), df.schema["entry"].dataType, layout)
@@ -309,7 +309,7 @@ def id_info(df: DataFrame, layout: Layout = SALEX) -> DataFrame:
 ID_ROW = "array<struct<id:string," + ",".join(f"`{a}`:string" for a in ATTRIBUTES) + ">>"
 
 
-def id_info_of(entry: Column, dtype: T.StructType, layout: Layout = SALEX) -> Column:
+def id_info_of(entry: Column, dtype: T.StructType, layout: Layout = SWEDISH) -> Column:
     """``id_info`` of any nested value, as one array."""
 
     def number(old: Column | None, _t: T.DataType | None, _p: Column) -> Column:
@@ -426,7 +426,7 @@ def sense_text(headword: Column, inflection: Column, sense: Column, dtype: T.Str
 
 __all__ = [
     "Layout",
-    "SALEX",
+    "SWEDISH",
     "backward_edges",
     "backward_refs",
     "find_ids",

@@ -127,7 +127,7 @@ def test_neighbours(spark, cells, block):
 
 
 SO = {
-    "resource_id": "salex",
+    "resource_id": "dictionary",
     "fields": {
         "ortografi": {"type": "string"},
         "ordklass": {"type": "string"},
