@@ -46,6 +46,10 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# folders made for sessions without a shared one, by application
+_own_folders: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -53,9 +57,10 @@ def work_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="foliant-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="foliant-")
+    return _own_folders[application]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

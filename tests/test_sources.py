@@ -222,3 +222,27 @@ def test_streams(spark):
     S.publish_snapshot(spark, empty, SPEC, mirror, buckets=4)
     ST.stream_sync(spark, hist_path, SPEC, mirror, f"{mirror}-cp").awaitTermination()
     assert state(S.read_snapshot(spark, mirror, "things")) == {r.entity_id: r.body.n for r in latest(hist).collect()}
+
+
+class _Unset:
+    """A session on one machine, or on a cluster, without a shared folder."""
+
+    def __init__(self, master):
+        self.sparkContext = self
+        self.master, self.applicationId = master, "app-" + master
+        self.conf = self
+
+    def getConf(self):
+        return self
+
+    def get(self, *_args):
+        return None
+
+
+def test_work_folder():
+    from foliant.session import work_dir
+
+    own = work_dir(_Unset("local[2]"))
+    assert own and own == work_dir(_Unset("local[2]"))
+    with pytest.raises(RuntimeError):
+        work_dir(_Unset("yarn"))
