@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20
 #: Units of a source that are put in order by one task.
-CHUNK = 20_000
+CHUNK = 2_000
 #: Times that one more unit is looked for to fill what a source still lacks.
 TOP_UPS = 2
 
