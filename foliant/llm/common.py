@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.session import SETTINGS
 
 #: Bounds on what a Python worker holds at once, whatever the length of the texts.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def prepared(spark: SparkSession) -> SparkSession:

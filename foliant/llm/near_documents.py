@@ -8,10 +8,10 @@ Consistent weighted sampling draws ``BANDS * ROWS`` samples (shingle, quantised
 same sample with a probability of their weighted Jaccard similarity, sum of minima over sum of maxima. Texts that agree
 on all rows of a band are candidates. Candidates are verified by their exact weighted similarity.
 
-A band bucket may hold very many texts. They are not paired with each other: in each round a bucket has one leader, of
-the least seeded hash, with whom all texts of other components are compared. What links joins components, and rounds go
-on with other leaders until one adds no link. Every band has its own leaders. A group of near copies is so connected
-with a few comparisons for each text.
+A band bucket may hold very many texts. They are not paired with each other: in each round a bucket has a few leaders,
+those of the least seeded hashes in its largest component, with whom its texts of other components are compared. What
+links joins components, and rounds go on with other leaders until one adds no link. Every band has its own leaders. A
+group of near copies is so connected with a few comparisons for each text.
 
 Equal texts (as plain words) are one text from the start, and copies are never expanded.
 
@@ -39,6 +39,8 @@ BANDS, ROWS = 10, 3
 BITS = 16
 #: Candidates that agree in fewer of all samples are not looked at: of pairs with a similarity of 0.8 or more, fewer than one in a million does.
 LEAST_AGREEING = 13
+#: Leaders of a bucket in each round after the first.
+LEADERS = 4
 #: Shingles that are sampled at once, to stay within the processor's cache.
 SLICE = 16_384
 
@@ -180,38 +182,52 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = materialise(buckets.join(shared, "bucket"), "buckets").withColumn("component", F.col("gid"))
 
-    tested = links = named = None
-    number = 0
+    named = texts.select("gid", F.col("gid").alias("component"))
+    tested, number = None, 0
     while True:
-        number += 1
-        seed = number
-        order = F.struct(F.xxhash64(F.lit(seed), F.col("bucket"), F.col("gid")).alias("h"), F.col("gid").alias("leader"), F.col("component").alias("leads"))
-        spread = buckets.groupBy("bucket").agg(F.min(order).alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        pairs = buckets.join(spread.select("bucket", "first.leader", "first.leads"), "bucket").filter("component <> leads")
-        pairs = pairs.select(F.least("gid", "leader").alias("a"), F.greatest("gid", "leader").alias("b")).distinct()
+        pairs = _next_pairs(buckets, number)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
         new = materialise(_linked_pairs(pairs, texts, rows, weights, least, size), "verified")
         if new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        named = materialise(components(links), "components").withColumnRenamed("node", "gid")
-        buckets = materialise(buckets.drop("component").join(named, "gid", "left").withColumn("component", F.coalesce("component", "gid")), "buckets")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        number += 1
+        joined = materialise(components(new), "components").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        renamed = F.coalesce("into", "component").alias("component")
+        named = materialise(named.join(joined, "component", "left").select("gid", renamed), "named")
+        buckets = materialise(buckets.join(joined, "component", "left").select("bucket", "gid", renamed), "buckets")
 
-    whole = texts.drop("samples")
-    whole = whole.withColumn("component", F.col("gid")) if named is None else whole.join(named, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    whole = texts.drop("samples").join(named, "gid")
     ids = whole.groupBy("component").agg(F.min("least_id").alias("class_id"))
     members = whole.join(ids, "component").select("key", "class_id")
     out = signed.select("doc_id", "key").join(members, "key", "left")
     return out.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+def _next_pairs(buckets: DataFrame, number: int) -> DataFrame:
+    """(a, b, of_a, of_b): texts to be compared in round ``number``, and their components.
+
+    The leaders of a bucket are of its largest component, so that comparisons go to the texts that are not yet in it.
+    """
+    sizes = buckets.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "component")).alias("largest")
+    several = sizes.groupBy("bucket").agg(largest, F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", F.col("largest.component").alias("leads"))
+    open_buckets = buckets.join(several, "bucket")
+    seeds = [number * LEADERS + i for i in range(LEADERS if number else 1)]
+    least = [F.min(F.struct(F.xxhash64(F.lit(seed), F.col("bucket"), F.col("gid")), "gid"))["gid"] for seed in seeds]
+    leaders = open_buckets.filter("component = leads").groupBy("bucket").agg(F.array_distinct(F.array(*least)).alias("leaders"))
+    pairs = open_buckets.filter("component <> leads").join(leaders, "bucket").select("gid", "component", "leads", F.explode("leaders").alias("leader"))
+    turned = F.col("gid") > F.col("leader")
+    in_order = lambda x, y: (F.when(turned, y).otherwise(x), F.when(turned, x).otherwise(y))
+    a, b = in_order(F.col("gid"), F.col("leader"))
+    of_a, of_b = in_order(F.col("component"), F.col("leads"))
+    return pairs.select(a.alias("a"), b.alias("b"), of_a.alias("of_a"), of_b.alias("of_b")).distinct()
+
+
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, weights, least: float, size: int) -> DataFrame:
-    """The pairs (a, b) of texts that are similar enough, judged first by their samples and then by the texts."""
+    """The components (a, b) of texts that are similar enough, judged first by their samples and then by the texts."""
     one, other = (texts.select(F.col("gid").alias(s), F.col("least_id").alias(f"id_{s}"), F.col("key").alias(f"key_{s}"), F.col("samples").alias(f"samples_{s}")) for s in "ab")
     agreeing = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda x: x))
     close = pairs.join(one, "a").join(other, "b").filter(agreeing >= LEAST_AGREEING).drop("samples_a", "samples_b")
@@ -221,7 +237,8 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, weights,
     for s in "ab":
         side = found.select(F.col("doc_id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
         close = close.join(side, f"id_{s}")
-    return close.select("a", "b", "key_a", "key_b", "text_a", "text_b").mapInArrow(_verified(weights, least, size), "a long, b long").distinct()
+    close = close.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"), "key_a", "key_b", "text_a", "text_b")
+    return close.mapInArrow(_verified(weights, least, size), "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
