@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import mixed, table
-from foliant.llm.scoring import _packed, _unpacked
+from foliant.llm.packing import by_part, pack_keys, pack_numbers, unpack_keys, unpack_numbers
 from foliant.session import materialise, new_folder
 
 LENGTH = 50
@@ -184,15 +184,11 @@ class Batch:
 def _asked(names: list[np.ndarray], docs: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct names by part, the place of each given name among them, and the least and greatest document of each."""
     flat, owner = np.concatenate([*names, np.empty(0, np.uint64)]), np.concatenate([*docs, np.empty(0, np.int64)])
-    distinct, at = np.unique(flat, return_inverse=True)
-    by_part = np.argsort(distinct % np.uint64(parts), kind="stable")
-    place = np.empty(len(by_part), np.int64)
-    place[by_part] = np.arange(len(by_part))
-    at = place[at]
+    distinct, at = by_part(flat, parts)
     least, most = np.full(len(distinct), LAST), np.full(len(distinct), np.iinfo(np.int64).min)
     np.minimum.at(least, at, owner)
     np.maximum.at(most, at, owner)
-    return distinct[by_part], at, least, most
+    return distinct, at, least, most
 
 
 class Rounds:
@@ -252,30 +248,30 @@ def _sent(batch: int, parts: int, names: np.ndarray, values: np.ndarray) -> pa.T
     out = []
     for p, a, b in zip(every, starts, np.append(starts[1:], len(names)), strict=True):
         base = int(values[a:b].min())
-        out.append((batch, int(p), names[a:b].tobytes(), base, _packed((values[a:b] - base).astype(np.uint64))))
+        out.append((batch, int(p), pack_keys(names[a:b], parts), base, pack_numbers((values[a:b] - base).astype(np.uint64))))
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
     columns = zip(*out, strict=True) if out else [[]] * 5
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["batch", "part", "names", "base", "values"])
 
 
-def _received(rows: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+def _received(rows: pa.Table, part: int, parts: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Lengths of the batches' lists, all names, their values, and for each the place of its name among the sorted ones."""
-    lists = [np.frombuffer(x, np.uint64) for x in rows.column("names").to_pylist()]
-    values = np.concatenate([_unpacked(v) + b for v, b in zip(rows.column("values").to_pylist(), rows.column("base").to_pylist(), strict=True)])
+    lists = [unpack_keys(x, part, parts) for x in rows.column("names").to_pylist()]
+    values = np.concatenate([unpack_numbers(v) + b for v, b in zip(rows.column("values").to_pylist(), rows.column("base").to_pylist(), strict=True)])
     distinct, at = np.unique(np.concatenate(lists), return_inverse=True)
     return [len(x) for x in lists], distinct, values, at
 
 
 def _reply(rows: pa.Table, number: int, values: np.ndarray, lengths: list[int]) -> pa.Table:
-    packed = [_packed(v.astype(np.uint64)) for v in np.split(values, np.cumsum(lengths)[:-1])]
+    packed = [pack_numbers(v.astype(np.uint64)) for v in np.split(values, np.cumsum(lengths)[:-1])]
     columns = [pa.array([number] * len(packed), pa.int32()), pa.array(packed, pa.binary())]
     return pa.table([rows.column("batch"), rows.column("part"), *columns], names=["batch", "part", "round", "values"])
 
 
-def _least(number: int):
+def _least(number: int, parts: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """How far the least document of each name lies before the batch's own; mostly 0, which packs to little."""
-        lengths, distinct, values, at = _received(rows)
+        lengths, distinct, values, at = _received(rows, key[0].as_py(), parts)
         least = np.full(len(distinct), LAST)
         np.minimum.at(least, at, values)
         return _reply(rows, number, values - least[at], lengths)
@@ -283,10 +279,10 @@ def _least(number: int):
     return run
 
 
-def _shared(number: int):
+def _shared(number: int, parts: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """Whether a name occurs in several documents: of several batches, or of one that says so."""
-        lengths, distinct, values, at = _received(rows)
+        lengths, distinct, values, at = _received(rows, key[0].as_py(), parts)
         several = (np.bincount(at, minlength=len(distinct)) > 1) | (np.bincount(at, values, len(distinct)) > 0)
         return _reply(rows, number, several[at].astype(np.int64), lengths)
 
@@ -298,7 +294,7 @@ def _answers(rows: pa.Table) -> list[np.ndarray]:
     rows = rows.sort_by([("round", "ascending"), ("part", "ascending")])
     rounds: list[list[np.ndarray]] = [[], [], []]
     for number, values in zip(rows.column("round").to_pylist(), rows.column("values").to_pylist(), strict=True):
-        rounds[number].append(_unpacked(values))
+        rounds[number].append(unpack_numbers(values))
     return [np.concatenate([*r, np.empty(0, np.int64)]) for r in rounds]
 
 
@@ -389,11 +385,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     parts = max(1, -(-int(total) // BATCH_BYTES))
     rows = batched(docs, parts)
     asked = rows.groupBy("batch").applyInArrow(_ask_phrases(parts), ASKED)
-    answers = materialise(asked.groupBy("part").applyInArrow(_least(0), ANSWER), "phrases")
+    answers = materialise(asked.groupBy("part").applyInArrow(_least(0, parts), ANSWER), "phrases")
     asked = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_ask_grams(parts), ASKED)
-    answers = answers.unionByName(materialise(asked.groupBy("part").applyInArrow(_shared(1), ANSWER), "grams"))
+    answers = answers.unionByName(materialise(asked.groupBy("part").applyInArrow(_shared(1, parts), ANSWER), "grams"))
     asked = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_ask_strings(parts), ASKED)
-    answers = answers.unionByName(materialise(asked.groupBy("part").applyInArrow(_least(2), ANSWER), "strings"))
+    answers = answers.unionByName(materialise(asked.groupBy("part").applyInArrow(_least(2, parts), ANSWER), "strings"))
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_removed(parts), REMOVED)
 
 

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import MIX, encoded_words, mixed, table, word_hashes
+from foliant.llm.packing import by_part, pack_keys, pack_numbers, unpack_keys, unpack_numbers
 from foliant.session import materialise
 
 FOLDS = 10
 ALPHA = 0.1
 #: Bytes of text in a batch, on average, and about as many bytes of requests in a part.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 ROUNDS = 60
 #: Steps for each doubling of an estimate when estimates are grouped.
 STEPS = 2
@@ -55,33 +56,12 @@ class Tokens:
         before[1:] = self.words[:-1]
         before[np.concatenate([[0], self.ends[:-1]]) if len(texts) else []] = n + 1
         self.pairs = mixed(hashes[before] * MIX + hashes[self.words])
-        self.word_keys, word_of = self._by_part(mixed(hashes), parts)
+        self.word_keys, word_of = by_part(mixed(hashes), parts)
         self.word_at = word_of[self.words]
         self.before_at = word_of[before]
-        self.pair_keys, self.pair_at = self._by_part(self.pairs, parts)
+        self.pair_keys, self.pair_at = by_part(self.pairs, parts)
         self.word_parts, self.pair_parts = (k % np.uint64(parts) for k in (self.word_keys, self.pair_keys))
 
-    @staticmethod
-    def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        distinct, at = np.unique(keys, return_inverse=True)
-        order = np.argsort(distinct % np.uint64(parts), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return distinct[order], place[at]
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """Counts as the smallest whole numbers that hold them, compressed."""
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(values) or values.max() <= np.iinfo(k).max)
-    raw = values.astype(kind).tobytes()
-    return bytes([np.dtype(kind).itemsize]) + len(raw).to_bytes(8, "big") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[1:9], "big")
-    raw = pa.decompress(data[9:], size, "zstd", asbytes=True) if size else b""
-    return np.frombuffer(raw, f"u{data[0]}").astype(np.int64)
-
 
 ASKED = "batch long, part long, words binary, word_counts binary, pairs binary, pair_counts binary"
 
@@ -98,7 +78,7 @@ def _asked(parts: int):
         out = []
         for p in every:
             w, q = cut(tokens.word_keys, tokens.word_parts, p), cut(tokens.pair_keys, tokens.pair_parts, p)
-            out.append((key[0].as_py(), int(p), tokens.word_keys[w].tobytes(), _packed(n_words[w]), tokens.pair_keys[q].tobytes(), _packed(n_pairs[q])))
+            out.append((key[0].as_py(), int(p), pack_keys(tokens.word_keys[w], parts), pack_numbers(n_words[w]), pack_keys(tokens.pair_keys[q], parts), pack_numbers(n_pairs[q])))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64()] + [pa.binary()] * 4, strict=True)], names=["batch", "part", "words", "word_counts", "pairs", "pair_counts"])
 
     return run
@@ -107,25 +87,28 @@ def _asked(parts: int):
 ANSWERS = "batch long, part long, words binary, pairs binary"
 
 
-def _answered(key: tuple, rows: pa.Table) -> pa.Table:
-    """Add up the counts of a part's keys and answer every batch in the order that it asked.
+def _answered(parts: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """Add up the counts of a part's keys and answer every batch in the order that it asked.
+
+        A word's answer is twice its count, plus one for the one batch that is to count it as a member of the vocabulary.
+        """
+        answers = []
+        for keys, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
+            asked = [unpack_keys(x, key[0].as_py(), parts) for x in rows.column(keys).to_pylist()]
+            given = np.concatenate([unpack_numbers(x) for x in rows.column(counts).to_pylist()])
+            flat = np.concatenate(asked)
+            distinct, first, at = np.unique(flat, return_index=True, return_inverse=True)
+            total = np.zeros(len(distinct), np.int64)
+            np.add.at(total, at, given)
+            back = total[at]
+            if keys == "words":
+                back = back * 2
+                back[first[(total > 0) & (distinct != mixed(np.array([START_KEY]))[0])]] += 1
+            answers.append([pack_numbers(x) for x in np.split(back, np.cumsum([len(a) for a in asked])[:-1])])
+        return pa.table([rows.column("batch"), rows.column("part"), pa.array(answers[0], pa.binary()), pa.array(answers[1], pa.binary())], names=["batch", "part", "words", "pairs"])
 
-    A word's answer is twice its count, plus one for the one batch that is to count it as a member of the vocabulary.
-    """
-    answers = []
-    for keys, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
-        asked = [np.frombuffer(x, np.uint64) for x in rows.column(keys).to_pylist()]
-        given = np.concatenate([_unpacked(x) for x in rows.column(counts).to_pylist()])
-        flat = np.concatenate(asked)
-        distinct, first, at = np.unique(flat, return_index=True, return_inverse=True)
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, at, given)
-        back = total[at]
-        if keys == "words":
-            back = back * 2
-            back[first[(total > 0) & (distinct != mixed(np.array([START_KEY]))[0])]] += 1
-        answers.append([_packed(x) for x in np.split(back, np.cumsum([len(a) for a in asked])[:-1])])
-    return pa.table([rows.column("batch"), rows.column("part"), pa.array(answers[0], pa.binary()), pa.array(answers[1], pa.binary())], names=["batch", "part", "words", "pairs"])
+    return run
 
 
 COUNTED = "doc_ids array<bigint>, held_out array<boolean>, lengths binary, words binary, pairs binary, first long, owned long, train_tokens long"
@@ -135,12 +118,12 @@ def _counted(parts: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         tokens = Tokens(docs.column("text").to_pylist(), parts)
         answers = answers.sort_by("part")
-        words, pairs = (np.concatenate([_unpacked(x) for x in answers.column(c).to_pylist()]) for c in ("words", "pairs"))
+        words, pairs = (np.concatenate([unpack_numbers(x) for x in answers.column(c).to_pylist()]) for c in ("words", "pairs"))
         owned, words = int((words & 1).sum()), words >> 1
         held = docs.column("held_out").to_pylist()
         train = int(tokens.lengths[~np.array(held, bool)].sum())
         first = int(words[tokens.before_at[0]])
-        row = (docs.column("doc_id").to_pylist(), held, _packed(tokens.lengths), _packed(words[tokens.word_at]), _packed(pairs[tokens.pair_at]), first, owned, train)
+        row = (docs.column("doc_id").to_pylist(), held, pack_numbers(tokens.lengths), pack_numbers(words[tokens.word_at]), pack_numbers(pairs[tokens.pair_at]), first, owned, train)
         kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_())] + [pa.binary()] * 3 + [pa.int64()] * 3
         return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names="doc_ids held_out lengths words pairs first owned train_tokens".split())
 
@@ -154,7 +137,7 @@ def counted(docs: DataFrame) -> DataFrame:
     held = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % FOLDS == 0
     dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("long").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     asked = dealt.groupBy("batch").applyInArrow(_asked(n), ASKED)
-    answers = asked.groupBy("part").applyInArrow(_answered, ANSWERS)
+    answers = asked.groupBy("part").applyInArrow(_answered(n), ANSWERS)
     return materialise(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_counted(n), COUNTED), "counted")
 
 
@@ -163,7 +146,7 @@ class _Batch:
 
     def __init__(self, row: dict):
         self.ids, self.held, self.first = row["doc_ids"], np.array(row["held_out"], bool), row["first"]
-        self.lengths, self.words, self.pairs = (_unpacked(row[c]) for c in ("lengths", "words", "pairs"))
+        self.lengths, self.words, self.pairs = (unpack_numbers(row[c]) for c in ("lengths", "words", "pairs"))
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.contexts = np.empty_like(self.words)
         self.contexts[1:] = self.words[:-1]
