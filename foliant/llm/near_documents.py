@@ -41,6 +41,8 @@ BITS = 16
 LEAST_AGREEING = 13
 #: Leaders of a bucket in each round after the first.
 LEADERS = 4
+#: Ids of texts to be compared that are sent to all executors, 8 bytes each; more of them are joined by a shuffle.
+MOST_SENT = 1 << 20
 #: Shingles that are sampled at once, to stay within the processor's cache.
 SLICE = 16_384
 
@@ -232,7 +234,9 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, weights,
     agreeing = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda x: x))
     close = pairs.join(one, "a").join(other, "b").filter(agreeing >= LEAST_AGREEING).drop("samples_a", "samples_b")
     close = materialise(close, "close")
-    wanted = close.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct()
+    wanted = materialise(close.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct(), "wanted")
+    if wanted.count() <= MOST_SENT:
+        wanted = F.broadcast(wanted)
     found = rows.join(wanted, "doc_id", "left_semi").distinct()
     for s in "ab":
         side = found.select(F.col("doc_id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
