@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     graded = labels.select("doc_id", grade.alias("grade")).filter("grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     some = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``sample`` rows of two numbers
-    texts = texts.select("grade", "text")
+    texts = texts.dropDuplicates(["doc_id"]).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("grade").cast(pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["grade", "features"])
 
     # sorted, so that sums are added in the same order in every run
-    rows = sorted(texts.mapInArrow(run, "grade long, features binary").limit(2 * sample).collect(), key=lambda r: (r[0], bytes(r[1])))
+    rows = sorted(texts.mapInArrow(run, "grade long, features binary").collect(), key=lambda r: (r[0], bytes(r[1])))
     return fit([np.frombuffer(r["features"], np.int32) for r in rows], np.array([r["grade"] for r in rows], np.int64))
 
 
