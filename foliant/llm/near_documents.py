@@ -41,7 +41,7 @@ BITS = 16
 LEAST_AGREEING = 13
 #: Leaders of a bucket in each round after the first.
 LEADERS = 4
-#: Ids of texts to be compared that are sent to all executors, 8 bytes each; more of them are joined by a shuffle.
+#: Ids of texts that are sent to all executors to find or drop these, 8 bytes each; more of them are joined by a shuffle.
 MOST_SENT = 1 << 20
 #: Shingles that are sampled at once, to stay within the processor's cache.
 SLICE = 16_384
@@ -199,7 +199,9 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
         joined = materialise(components(new), "components").select(F.col("node").alias("component"), F.col("component").alias("into"))
         renamed = F.coalesce("into", "component").alias("component")
         named = materialise(named.join(joined, "component", "left").select("gid", renamed), "named")
-        buckets = materialise(buckets.join(joined, "component", "left").select("bucket", "gid", renamed), "buckets")
+        labelled = buckets.join(joined, "component", "left").select("bucket", "gid", renamed)
+        still = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        buckets = materialise(labelled.join(still.select("bucket"), "bucket", "left_semi"), "buckets")
 
     whole = texts.drop("samples").join(named, "gid")
     ids = whole.groupBy("component").agg(F.min("least_id").alias("class_id"))
@@ -228,15 +230,18 @@ def _next_pairs(buckets: DataFrame, number: int) -> DataFrame:
     return pairs.select(a.alias("a"), b.alias("b"), of_a.alias("of_a"), of_b.alias("of_b")).distinct()
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Written ids, to be sent to all executors while they are few enough."""
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, weights, least: float, size: int) -> DataFrame:
     """The components (a, b) of texts that are similar enough, judged first by their samples and then by the texts."""
     one, other = (texts.select(F.col("gid").alias(s), F.col("least_id").alias(f"id_{s}"), F.col("key").alias(f"key_{s}"), F.col("samples").alias(f"samples_{s}")) for s in "ab")
     agreeing = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda x: x))
     close = pairs.join(one, "a").join(other, "b").filter(agreeing >= LEAST_AGREEING).drop("samples_a", "samples_b")
     close = materialise(close, "close")
-    wanted = materialise(close.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct(), "wanted")
-    if wanted.count() <= MOST_SENT:
-        wanted = F.broadcast(wanted)
+    wanted = _sent(materialise(close.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct(), "wanted"))
     found = rows.join(wanted, "doc_id", "left_semi").distinct()
     for s in "ab":
         side = found.select(F.col("doc_id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
@@ -253,7 +258,8 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     (doc,) = fresh(docs, "class_doc")
     rows = materialise(classes(docs, least), "classes")
     by_id = rows.groupBy(F.col("doc_id").alias(doc)).agg(F.max(F.col("doc_id") == F.col("class_id")).alias("first"))
-    kept = docs.join(by_id.filter("not first"), F.col("doc_id") == F.col(doc), "left_anti")
+    gone = _sent(materialise(by_id.filter("not first").select(doc), "gone"))
+    kept = docs.join(gone, F.col("doc_id") == F.col(doc), "left_anti")
     again = rows.filter("key is not null").groupBy(F.col("doc_id").alias(doc), "key").count().filter("count > 1").select(doc).distinct()
     again = materialise(again, "repeated")
     if again.isEmpty():
