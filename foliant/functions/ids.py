@@ -46,12 +46,14 @@ def epoch_seconds(col: Column) -> Column:
 
 
 def normalise_ts(df: DataFrame, name: str = "last_modified") -> DataFrame:
-    """``last_modified`` as epoch seconds; a missing one becomes a distinct time from now on, in row order."""
+    """``last_modified`` as epoch seconds; a missing one becomes the time of the job, the same for all of its rows.
+
+    Rows with equal times are told apart by their position or history id.
+    """
     source = F.col(name)
     if dict(df.dtypes)[name].startswith("timestamp"):
         seconds = F.unix_micros(source.cast("timestamp")) / 1e6
     else:
         seconds = epoch_seconds(source)
-    now = F.unix_micros(F.current_timestamp())
-    fresh = (now + F.monotonically_increasing_id()) / 1e6
+    fresh = F.unix_micros(F.current_timestamp()) / 1e6
     return df.withColumn(name, F.when(source.isNull(), fresh).otherwise(seconds))

@@ -18,8 +18,9 @@ PART = 100_000
 
 
 def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Entries with the given ``ids(id)``."""
-    return df.join(ids.select(F.col("id").cast("string")).distinct(), "id", "left_semi")
+    """Entries with the given ``ids(id)``, or ``ids(resource, id)`` where ids of several collections are the same."""
+    keys = [c for c in ("resource", "id") if c in ids.columns]
+    return df.join(ids.select(*[F.col(c).cast("string") for c in keys]).distinct(), keys, "left_semi")
 
 
 def field_values(df: DataFrame, path: str) -> Column:

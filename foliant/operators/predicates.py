@@ -190,7 +190,7 @@ class Compare(Predicate):
         arg = str(self.value).lower()
         words = _words(scope, col, at)
         if self.op == "regexp" or (self.regex and self.op in ("contains", "startswith", "endswith")):
-            return text.any_word_matches(words, self._pattern().lower() if self.op != "regexp" else arg)
+            return text.any_word_matches(words, f"(?iu){self._pattern()}")
         if self.op == "contains":
             return text.any_word_contains(words, arg)
         if self.op == "startswith":

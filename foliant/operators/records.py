@@ -366,14 +366,16 @@ def add_default(df: DataFrame, path: str, value: object, root: str = "entry") ->
 
 def replace_text(df: DataFrame, replacements: DataFrame, root: str = "entry") -> DataFrame:
     """Replace substrings in every string of the entries named by ``replacements(id, pos, search, replace)``.
+    A column ``resource`` beside ``id`` tells collections with equal ids apart.
 
     Returns the changed entries only, as update commands would carry them. The edits of one entry are applied in
     order, as one small script per entry; entries without edits never leave the scan side of the join.
     """
-    scripts = replacements.groupBy("id").agg(
+    keys = [c for c in ("resource", "id") if c in replacements.columns and c in df.columns]
+    scripts = replacements.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("pos", "search", "replace"))).alias("edits")
     )
-    joined = df.join(scripts, "id")
+    joined = df.join(scripts, keys)
     dtype = df.schema[root].dataType
 
     def edit(leaf: Column) -> Column:

@@ -266,14 +266,15 @@ def backward_edges(df: DataFrame, edges: DataFrame, layout: Layout = SWEDISH) ->
         return col.cast("string")
 
     sources = df.select(
+        F.col("resource").alias("_from"),
         F.col("id").alias("from_id"),
         F.coalesce(read("ortografi"), F.lit("?")).alias("ortografi"),
         read("so.homografNr").alias("_so"),
         read("saol.homografNr").alias("_saol"),
     )
     targets = find_ids(df, layout).select("resource", "id", "ref").distinct()
-    hits = edges.select(F.col("id").alias("from_id"), "ref", "visas").join(targets, "ref")
-    return hits.join(sources, "from_id").select(
+    hits = edges.select(F.col("resource").alias("_from"), F.col("id").alias("from_id"), "ref", "visas").join(targets, "ref")
+    return hits.join(sources, ["_from", "from_id"]).select(
         "resource",
         "id",
         "ref",

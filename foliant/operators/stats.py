@@ -34,8 +34,8 @@ def check_values(counts: DataFrame, max_values: int = MAX_VALUES) -> None:
         raise TooManyValues("Too many unique values for statistics")
 
 
-def statistics(df: DataFrame, path: str, spec: Spec | None = None, max_values: int | None = MAX_VALUES) -> DataFrame:
-    """The report: values by falling count, then value. ``max_values=None`` leaves the size unchecked."""
+def statistics(df: DataFrame, path: str, spec: Spec | None = None, max_values: int | None = None) -> DataFrame:
+    """The report: values by falling count, then value. It is whole at any size; ``max_values`` is an explicit bound."""
     if spec is not None:
         spec.field(path)
     counts = value_counts(df, path)

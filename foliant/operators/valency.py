@@ -2,72 +2,165 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# characters that stand for brackets and spaces of a group that has been worked off
-_DONE = {"(": "", ")": "", "[": "", "]": "", " ": ""}
-_RESTORE = str.maketrans({v: k for k, v in _DONE.items()} | {"_": " "})
-
-_GROUP = re.compile(r"\((?P<round>[^()\[\]]+)\)")
-_TAGGED = re.compile(r"\[(?P<tag>\w+) (?P<square>[^()\[\]]+)\]")
-_CHOICE = re.compile(r"[^ ()\[\]]+/[^ ()\[\]]+")
+# How patterns are spaced before they are read, applied in order.
+SPACING = [
+    (r"\[caps /", "/[caps "),
+    (r" {2,}", " "),
+    (r" \] ?", "] "),
+    (r" ?/ ?", "/"),
+    (r"\[caps ([()])\]", "$1"),
+]
+CLOSES = {")": "(", "]": "["}
+_TAG = re.compile(r"(\w+) (?=.)", re.DOTALL)
 
 
 def cleanup(col: Column) -> Column:
     """Spacing around brackets and slashes put in order."""
-    out = F.regexp_replace(col, r"\[caps /", "/[caps ")
-    out = F.regexp_replace(out, r" {2,}", " ")
-    out = F.regexp_replace(out, r" \] ?", "] ")
-    out = F.regexp_replace(out, r" ?/ ?", "/")
-    return F.regexp_replace(out, r"\[caps ([()])\]", "$1")
+    for pattern, replacement in SPACING:
+        col = F.regexp_replace(col, pattern, replacement)
+    return col
+
+
+@dataclass
+class Choice:
+    """Alternatives that a slash separates; ``number`` is the place of the decision among those of the pattern."""
+
+    alternatives: list[list]
+    number: int = -1
+
+
+@dataclass
+class Group:
+    """What a pair of brackets holds; ``tag`` is the word that a square bracket begins with."""
+
+    opening: str
+    closing: str
+    tag: str
+    parts: list
+    start: int
+
+
+def _grouped(pattern: str) -> list:
+    """Characters and groups. Brackets without a partner, without content or, if square, without a tag are characters."""
+    open_: list[tuple[str, int, list]] = [("", -1, [])]
+    for at, char in enumerate(pattern):
+        if char in "([":
+            open_.append((char, at, []))
+        elif char in CLOSES:
+            opening, start, units = open_[-1]
+            tag = _TAG.match("".join(u if isinstance(u, str) else "\0" for u in units)) if opening == "[" else None
+            whole = opening == CLOSES[char] and units and not any(u in "()[]" for u in units if isinstance(u, str))
+            if whole and (opening == "(" or tag):
+                open_.pop()
+                length = len(tag[0]) if tag else 0
+                open_[-1][2].append(Group(opening, char, tag[0] if tag else "", units[length:], start))
+            else:
+                units.append(char)
+                while len(open_) > 1:  # what is open now never closes
+                    opening, _, units = open_.pop()
+                    open_[-1][2].extend([opening, *units])
+        else:
+            open_[-1][2].append(char)
+    while len(open_) > 1:
+        opening, _, units = open_.pop()
+        open_[-1][2].extend([opening, *units])
+    return open_[0][2]
+
+
+def _chosen(units: list) -> list:
+    """Runs without a space or an open bracket become choices where a slash stands inside them."""
+    out: list = []
+    run: list = []
+    for unit in [*units, " "]:
+        if not isinstance(unit, str) or unit not in " ()[]":
+            run.append(unit)
+            continue
+        if "/" in run[1:-1]:
+            alternatives: list[list] = [[]]
+            for u in run:
+                if u == "/":
+                    alternatives.append([])
+                else:
+                    alternatives[-1].append(u)
+            out.append(Choice(alternatives))
+        else:
+            out.extend(run)
+        run = []
+        out.append(unit)
+    return out[:-1]
 
 
-def _sealed(text: str, left: str, right: str) -> str:
-    return _DONE[left] + text.replace(" ", _DONE[" "]) + _DONE[right]
+def _groups(units: list) -> list[Group]:
+    found = []
+    for unit in units:
+        if isinstance(unit, Group):
+            found += [unit, *_groups(unit.parts)]
+    return found
 
 
-def _rewrites(pattern: str) -> list[str] | None:
-    """What the first open group or choice of a pattern can become; None when nothing is left to choose."""
-    if found := _GROUP.search(pattern):
-        options = [_sealed(v, "(", ")") for v in variants(found["round"])]
-    elif found := _TAGGED.search(pattern):
-        options = [_sealed(f"{found['tag']} {v}", "[", "]") for v in variants(found["square"])]
-    elif found := _CHOICE.search(pattern):
-        options = found[0].split("/")
-    else:
-        return None
-    return [pattern[: found.start()] + option + pattern[found.end() :] for option in options]
+def _read(pattern: str) -> tuple[list, list[Choice]]:
+    """The tree of a pattern and its decisions, the slowest first.
 
+    Decisions are taken from the inside out: of the groups that hold no undecided one the leftmost, round before square,
+    and those outside of all groups last.
+    """
+    units = _grouped(pattern)
+    waiting = _groups(units)
+    inner = {id(g): {id(x) for x in _groups(g.parts)} for g in waiting}
+    decisions: list[Choice] = []
+
+    def decide(parts: list) -> list:
+        chosen = _chosen(parts)
+        decisions.extend(x for x in chosen if isinstance(x, Choice))
+        return chosen
 
-def variants(pattern: str) -> Iterator[str]:
-    """All variants of a cleaned pattern, in reading order of their choices."""
-    waiting = [pattern]
     while waiting:
-        current = waiting.pop()
-        options = _rewrites(current)
-        if options is None:
-            yield current
+        undecided = {id(g) for g in waiting}
+        free = [g for g in waiting if not inner[id(g)] & undecided]
+        group = min(free, key=lambda g: (g.opening == "[", g.start))
+        group.parts = decide(group.parts)
+        waiting = [g for g in waiting if g is not group]
+    tree = decide(units)
+    for number, choice in enumerate(decisions):
+        choice.number = number
+    return tree, decisions
+
+
+def _written(parts: list, picks: tuple[int, ...]) -> str:
+    out = []
+    for part in parts:
+        if isinstance(part, Choice):
+            out.append(_written(part.alternatives[picks[part.number]], picks))
+        elif isinstance(part, Group):
+            out.append(f"{part.opening}{part.tag}{_written(part.parts, picks)}{part.closing}")
         else:
-            waiting.extend(reversed(options))
+            out.append(part)
+    return "".join(out)
+
+
+def variants(pattern: str) -> Iterator[str]:
+    """All variants of a cleaned pattern, in the order of their decisions."""
+    tree, decisions = _read(pattern)
+    for picks in itertools.product(*(range(len(c.alternatives)) for c in decisions)):
+        yield _written(tree, picks).replace("_", " ")
 
 
 def expansions(pattern: str, cleaned: str) -> Iterator[tuple[int, str]]:
     """Numbered variants that differ from the pattern; a single one counts as none."""
-    kept = (v for v in (x.translate(_RESTORE) for x in variants(cleaned)) if v != pattern)
-    first = next(kept, None)
-    second = next(kept, None)
-    if first is None or second is None:
-        return
-    yield 0, first
-    yield 1, second
-    for i, v in enumerate(kept, start=2):
-        yield i, v
+    kept = (v for v in variants(cleaned) if v != pattern)
+    some = list(itertools.islice(kept, 2))
+    if len(some) == 2:
+        yield from enumerate(itertools.chain(some, kept))
 
 
 ROWS_PER_FRAME = 10_000

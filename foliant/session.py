@@ -51,11 +51,11 @@ _own_folders: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; on one machine a temporary one where none is set."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":  # local[8] is one machine, local-cluster is not
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own_folders:

@@ -15,7 +15,7 @@ from foliant.operators.highlight import highlight
 from foliant.functions import text
 from foliant.plans.spec import Spec
 from tests import data
-from tests.test_query import NESTED, PLACES
+from tests.test_query import GARDENS, NESTED
 
 
 @pytest.mark.parametrize("chunk", [1])
@@ -232,15 +232,15 @@ def test_markup(spark):
 
 
 def test_highlight(spark):
-    places = data.entries(spark, data.PLACES, PLACES)
+    gardens = data.entries(spark, data.GARDENS, GARDENS)
 
-    def marks(p, df=places, spec=PLACES, **kw):
+    def marks(p, df=gardens, spec=GARDENS, **kw):
         return {r.entry.code: r.highlight for r in highlight(P.matching(df, p, spec), p, spec, **kw).collect()}
 
-    assert marks(P.equals("name", "test")) == {1: {"name": ["Grund <em>test</em>"]}, 3: {"name": ["Botten <em>test</em>"]}}
-    assert marks(P.equals("name", "grund test")) == {1: {"name": ["<em>Grund</em> <em>test</em>"]}}
-    assert marks(P.freetext("str2"))[1] == {"str_collection": ["<em>str2</em>"]}
-    assert marks(P.equals("area", 20000)) == {2: None}
+    assert marks(P.equals("name", "court")) == {1: {"name": ["Linden <em>court</em>"]}, 2: {"name": ["Oak <em>court</em>"]}}
+    assert marks(P.equals("name", "oak court")) == {2: {"name": ["<em>Oak</em> <em>court</em>"]}}
+    assert marks(P.freetext("herb"))[1] == {"tags": ["<em>herb</em>"]}
+    assert marks(P.equals("size", 300)) == {5: None}
     assert marks(None)[1] is None
     nested = data.entries(spark, [{"code": 1, "infT": [{"wf": "väl-känd x"}, {"wf": "y"}, {"wf": "välkänd"}]}], NESTED)
     p = P.sub("infT", P.startswith("wf", "välk"))

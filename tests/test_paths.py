@@ -6,123 +6,122 @@ from pyspark.sql import functions as F
 from foliant.functions import paths as P
 from foliant.operators import records as R
 
-
-def load(spark, doc, ddl):
+SHOP = "name string, aisles array<struct<floor:int,racks:array<struct<boxes:array<int>,open:boolean>>>>, owner struct<since:int,sold:struct<year:int>>"
+BOOKS = {
+    "name": "corner",
+    "aisles": [
+        {"floor": 0, "racks": [{"boxes": [7, 8], "open": True}, {"boxes": []}]},
+        {"floor": 2, "racks": []},
+        {"racks": [{"open": False}]},
+    ],
+    "owner": {"since": 1990},
+}
+
+
+def load(spark, doc, ddl=SHOP):
     row = spark.createDataFrame([(json.dumps(doc),)], "j string")
     return row.select(F.lit("1").alias("id"), F.from_json("j", ddl).alias("entry"))
 
 
 def body(df):
-    text = df.select(F.to_json("entry").alias("j")).first().j
-    return json.loads(text)
-
-
-LEMMA = "SOLemman array<struct<lexem:array<struct<kc_nr:int>>>>"
-DOC = {"SOLemman": [{"lexem": [{"kc_nr": 1}, {"kc_nr": 2}]}, {"lexem": [{"kc_nr": 3}, {"kc_nr": 4}]}]}
+    return json.loads(df.select(F.to_json("entry").alias("j")).first().j)
 
 
 def value(df, path):
-    v = df.select(P.get_path(df, path).alias("v")).first().v
-    return v
+    return df.select(P.get_path(df, path).alias("v")).first().v
 
 
-def test_get_path(spark):
-    assert value(load(spark, {"SOLemman": {"s_nr": 5}}, "SOLemman struct<s_nr:int>"), "entry.SOLemman.s_nr") == 5
-    df = load(spark, {"SOLemman": [{"s_nr": 5}, {"s_nr": 3}]}, "SOLemman array<struct<s_nr:int>>")
-    assert value(df, "entry.SOLemman.s_nr") == [5, 3]
-    assert value(df, ["entry", "SOLemman", 1, "s_nr"]) == 3
-    assert value(load(spark, DOC, LEMMA), "entry.SOLemman.lexem.kc_nr") == [[1, 2], [3, 4]]
+def test_reading(spark):
+    df = load(spark, BOOKS)
+    assert value(df, "entry.owner.since") == 1990 and value(df, "entry.owner.sold.year") is None
+    assert value(df, "entry.aisles.floor") in ([0, 2, None], [0, 2])
+    assert value(df, ["entry", "aisles", 1, "floor"]) == 2
+    assert value(df, ["entry", "aisles", 0, "racks", 0, "boxes"]) == [7, 8]
+    assert value(df, ["entry", "aisles", 0, "racks", 0, "boxes", 1]) == 8
+    assert value(df, ["entry", "aisles", 0, "racks", "open"])[0] is True
 
 
-def test_set_and_delete(spark):
-    df = P.set_path(load(spark, DOC, LEMMA), ["entry", "SOLemman", 0, "lexem", 1, "kc_nr"], F.lit(5))
-    assert value(df, "entry.SOLemman.lexem.kc_nr") == [[1, 5], [3, 4]]
-    df = P.del_path(df, ["entry", "SOLemman", 0, "lexem", 1, "kc_nr"])
-    assert body(df) == {"SOLemman": [{"lexem": [{"kc_nr": 1}, {}]}, {"lexem": [{"kc_nr": 3}, {"kc_nr": 4}]}]}
-    assert body(P.del_path(df, "entry.SOLemman.lexem")) == {"SOLemman": [{}, {}]}
+def test_writing(spark):
+    df = load(spark, BOOKS)
+    changed = body(P.set_path(df, ["entry", "aisles", 0, "racks", 0, "boxes"], F.array(F.lit(1))))
+    assert changed["aisles"][0]["racks"][0] == {"boxes": [1], "open": True} and changed["aisles"][1:] == body(df)["aisles"][1:]
+    assert body(P.set_path(df, "entry.owner.since", F.lit(2001)))["owner"] == {"since": 2001}
+    gone = body(P.del_path(df, ["entry", "aisles", 0, "racks", 0, "open"]))
+    assert gone["aisles"][0]["racks"][0] == {"boxes": [7, 8]} and gone["aisles"][2] == {"racks": [{"open": False}]}
+    assert body(P.del_path(df, "entry.aisles.racks"))["aisles"] == [{"floor": 0}, {"floor": 2}, {}]
+    assert "owner" not in body(P.del_path(df, "entry.owner"))
 
 
-def test_prune(spark):
-    df = load(spark, {"x": ["delete", "a", "delete"], "y": ["b"], "z": "delete"}, "x array<string>, y array<string>, z string")
-    kept = P.prune(F.col("entry"), df.schema["entry"].dataType, lambda _p, c, t: c != "delete" if t.simpleString() == "string" else None)
-    assert body(df.withColumn("entry", kept)) == {"x": ["a"], "y": ["b"]}
+def test_pruning(spark):
+    ddl = "top struct<words:array<string>,one:string>, rest array<string>"
+    df = load(spark, {"top": {"words": ["keep", "?", "keep too"], "one": "?"}, "rest": ["?"]}, ddl)
+    kept = P.prune(F.col("entry"), df.schema["entry"].dataType, lambda _p, c, t: c != "?" if t.simpleString() == "string" else None)
+    out = body(df.withColumn("entry", kept))
+    assert out["top"] == {"words": ["keep", "keep too"]} and not out.get("rest")
 
 
 def test_visible(spark):
-    ddl = "so struct<visas:boolean,hb:array<struct<visas:boolean,endastDigitalt:boolean,k:int>>>"
-    df = load(spark, {"so": {"hb": [{"visas": False, "k": 1}, {"k": 2}, {"endastDigitalt": True, "k": 3}]}}, ddl)
+    ddl = "so struct<visas:boolean,parts:array<struct<visas:boolean,endastDigitalt:boolean,n:int>>>"
+    df = load(spark, {"so": {"parts": [{"n": 4}, {"visas": False, "n": 5}, {"visas": True, "endastDigitalt": True, "n": 6}]}}, ddl)
     dtype = df.schema["entry"].dataType
-    assert body(df.withColumn("entry", P.visible(F.col("entry"), dtype)))["so"]["hb"] == [{"k": 2}, {"endastDigitalt": True, "k": 3}]
-    assert body(df.withColumn("entry", P.visible(F.col("entry"), dtype, printed=True)))["so"]["hb"] == [{"k": 2}]
+    shown = body(df.withColumn("entry", P.visible(F.col("entry"), dtype)))["so"]["parts"]
+    assert [x["n"] for x in shown] == [4, 6]
+    printed = body(df.withColumn("entry", P.visible(F.col("entry"), dtype, printed=True)))["so"]["parts"]
+    assert [x["n"] for x in printed] == [4]
 
 
 def test_all_paths_and_fields(spark):
-    df = load(spark, {"SOLemman": [{"s_nr": 1}, {"s_nr": 2}]}, "SOLemman array<struct<s_nr:int>>")
+    df = load(spark, BOOKS)
     rows = [r.path for r in R.flatten_paths(df, ["id"], inner=True).collect()]
-    assert rows == ["SOLemman", "SOLemman.0", "SOLemman.0.s_nr", "SOLemman.1", "SOLemman.1.s_nr"]
-    fields = {(r.field, r["values"], r.entries) for r in R.field_inventory(df).collect()}
-    assert fields == {("SOLemman", 1, 1), ("SOLemman.s_nr", 2, 1)}
+    assert {"name", "aisles", "aisles.0.racks.0.boxes.1", "aisles.2.racks.0.open", "owner.since"} <= set(rows)
+    assert len(rows) == len(set(rows)) and not any(p.startswith(("owner.sold", "aisles.2.floor")) for p in rows)
+    fields = {r.field: (r["values"], r.entries) for r in R.field_inventory(df).collect()}
+    assert fields["aisles.floor"] == (2, 1) and fields["owner.since"] == (1, 1) and fields["aisles.racks.open"] == (2, 1)
 
 
 def test_expand_path(spark):
-    df = load(spark, {"SOLemman": [{"s_nr": 1}, {"s_nr": 2}]}, "SOLemman array<struct<s_nr:int>>")
+    df = load(spark, BOOKS)
 
     def found(path, **kw):
         return [r.path for r in R.explode_path(df, path, ["id"], **kw).collect()]
 
-    assert found("SOLemman") == ["SOLemman.0", "SOLemman.1"]
-    assert found("SOLemman.s_nr") == ["SOLemman.0.s_nr", "SOLemman.1.s_nr"]
-    assert found("SOLemman.0.s_nr") == ["SOLemman.0.s_nr"]
-    assert found("SOLemman", arrays=False) == ["SOLemman"]
-    assert found("SOLemman.s_nr", arrays=False) == ["SOLemman.0.s_nr", "SOLemman.1.s_nr"]
+    assert found("aisles") == ["aisles.0", "aisles.1", "aisles.2"] and found("aisles", arrays=False) == ["aisles"]
+    assert found("aisles.floor") == ["aisles.0.floor", "aisles.1.floor"]
+    assert found("aisles.2.racks.open") == ["aisles.2.racks.0.open"]
+    assert found("owner.since") == ["owner.since"] and found("owner.sold.year") == []
 
 
 def test_has_path(spark):
-    df = load(spark, {"a": [{"b": 1}, {}], "c": []}, "a array<struct<b:int>>, c array<int>, d string")
-    checks = {p: df.select(P.has_path(df, p).alias("h")).first().h for p in ("entry.a.b", "entry.a.1.b", "entry.a.0.b", "entry.c", "entry.d", "entry.zz")}
-    assert checks == {"entry.a.b": True, "entry.a.1.b": False, "entry.a.0.b": True, "entry.c": False, "entry.d": False, "entry.zz": False}
-
-
-NEST = "SOLemman array<struct<lexem:struct<kc_nr:int,more:array<int>>>>"
-MORE = {"SOLemman": [{"lexem": {"kc_nr": 1, "more": [2]}}, {"lexem": {"kc_nr": 3, "more": [4]}}]}
-
-
-def test_rename(spark):
-    df = R.rename_field(load(spark, MORE, NEST), "SOLemman.lexem.more", "SOLemman.lexem.more_renamed")
-    renamed = {"SOLemman": [{"lexem": {"kc_nr": 1, "more_renamed": [2]}}, {"lexem": {"kc_nr": 3, "more_renamed": [4]}}]}
-    assert body(df) == renamed
-    with pytest.raises(R.RenameError, match="already exists"):
-        R.rename_field(df, "SOLemman.lexem.more_renamed", "SOLemman.lexem.kc_nr")
-    up = R.rename_field(df, "SOLemman.lexem.more_renamed", "SOLemman.more_renamed")
-    assert body(up) == {"SOLemman": [{"lexem": {"kc_nr": 1}, "more_renamed": [2]}, {"lexem": {"kc_nr": 3}, "more_renamed": [4]}]}
-    assert body(R.rename_field(up, "SOLemman.more_renamed", "SOLemman.lexem.more_renamed")) == renamed
-    with pytest.raises(R.RenameError, match="already exists"):
-        R.rename_field(df, "SOLemman.lexem", "SOLemman")
-    with pytest.raises(R.RenameError, match="overlap"):
-        R.rename_field(df, "SOLemman.lexem", "SOLemman.lexem.new")
-    with pytest.raises(R.RenameError, match="does not exist"):
-        R.rename_field(df, "SOLemman.lexem.more_renamed", "SOLemman.lexem.a.b")
-    assert body(R.rename_field(df, "SOLemman.lexem.more_renamed", "SOLemman.lexem.more_renamed")) == renamed
-    assert body(R.rename_field(df, "SOLemman.lexem.non.existent", "something_else")) == renamed
-
-
-def test_rename_ambiguous(spark):
-    doc = {**MORE, "SAOLLemman": [{"l_nr": 1}]}
-    df = load(spark, doc, NEST + ", SAOLLemman array<struct<l_nr:int>>")
-    with pytest.raises(R.RenameError, match="ambiguous"):
-        R.rename_field(df, "SOLemman.lexem.kc_nr", "SAOLLemman.kc_nr")
+    df = load(spark, BOOKS)
+    expected = {"entry.aisles.floor": True, "entry.aisles.2.floor": False, "entry.aisles.1.floor": True, "entry.owner.sold": False, "entry.name": True, "entry.nowhere": False}
+    assert {p: df.select(P.has_path(df, p).alias("h")).first().h for p in expected} == expected
+
+
+def test_renaming(spark):
+    df = load(spark, {"owner": {"since": 3, "sold": {"year": 4}}, "name": "x"})
+    lower = R.rename_field(df, "owner.since", "owner.sold.since")
+    assert body(lower) == {"owner": {"sold": {"year": 4, "since": 3}}, "name": "x"}
+    assert body(R.rename_field(lower, "owner.sold.since", "owner.since")) == body(df)
+    assert body(R.rename_field(df, "owner.sold", "owner.handed_on"))["owner"] == {"since": 3, "handed_on": {"year": 4}}
+    assert body(R.rename_field(df, "owner.since", "owner.since")) == body(df)
+    assert body(R.rename_field(df, "owner.unknown", "elsewhere")) == body(df)
+    for source, target, problem in (
+        ("owner.since", "name", "already exists"),
+        ("owner", "owner.inside", "overlap"),
+        ("owner.since", "owner.nowhere.deep", "does not exist"),
+    ):
+        with pytest.raises(R.RenameError, match=problem):
+            R.rename_field(df, source, target)
+    many = load(spark, BOOKS)
     with pytest.raises(R.RenameError, match="ambiguous"):
-        R.rename_field(df, "SAOLLemman.l_nr", "SOLemman.lexem.l_nr")
+        R.rename_field(many, "name", "aisles.label")
 
 
 def test_default(spark):
-    ddl = "SOLemman array<struct<lexem:struct<visas:boolean,more:array<int>>>>"
-    doc = {"SOLemman": [{"lexem": {"visas": False, "more": [2]}}, {"lexem": {"more": [4]}}]}
-    df = R.add_default(load(spark, doc, ddl), "SOLemman.visas", True)
-    expected = {"SOLemman": [{"lexem": {"visas": False, "more": [2]}, "visas": True}, {"lexem": {"more": [4]}, "visas": True}]}
-    assert body(df) == expected
-    assert body(R.add_default(df, "SOLemman.lexem.more", [])) == expected
-    assert body(R.add_default(df, "SOLemman.lexem.visas", True))["SOLemman"][1]["lexem"]["visas"] is True
+    df = R.add_default(load(spark, BOOKS), "aisles.racks.open", True)
+    racks = [[r.get("open") for r in a["racks"]] for a in body(df)["aisles"]]
+    assert racks == [[True, True], [], [False]]
+    assert body(R.add_default(df, "aisles.checked", False))["aisles"][1]["checked"] is False
 
 
 def test_replace_text(spark):
@@ -131,3 +130,6 @@ def test_replace_text(spark):
     assert body(R.replace_text(df, edits)) == {"a": "yy bar", "b": [{"c": "yy"}], "n": 1}
     none = spark.createDataFrame([("1", 0, "zzz", "x")], "id string, pos int, search string, replace string")
     assert R.replace_text(df, none).count() == 0
+    two = df.withColumn("resource", F.explode(F.array(F.lit("p"), F.lit("q"))))
+    one = edits.withColumn("resource", F.lit("q"))
+    assert [r.resource for r in R.replace_text(two, one).collect()] == ["q"]

@@ -13,21 +13,21 @@ from foliant.operators import stats as S
 from foliant.plans.spec import Field, IncompatibleFields, SortError, Spec, SpecError, UnknownField
 from tests import data
 
-PLACES = Spec.from_dict(data.PLACES_SPEC)
-TOWNS = Spec.from_dict(data.MUNICIPALITIES_SPEC)
+GARDENS = Spec.from_dict(data.GARDENS_SPEC)
+DISTRICTS = Spec.from_dict(data.DISTRICTS_SPEC)
 
 
 @pytest.fixture(scope="module")
-def places(spark):
-    return data.entries(spark, data.PLACES, PLACES).cache()
+def gardens(spark):
+    return data.entries(spark, data.GARDENS, GARDENS).cache()
 
 
 @pytest.fixture(scope="module")
-def towns(spark):
-    return data.entries(spark, data.MUNICIPALITIES, TOWNS).cache()
+def districts(spark):
+    return data.entries(spark, data.DISTRICTS, DISTRICTS).cache()
 
 
-def codes(df, predicate, spec=PLACES):
+def codes(df, predicate, spec=GARDENS):
     return sorted(r.c for r in P.matching(df, predicate, spec).select(F.col("entry.code").alias("c")).collect())
 
 
@@ -41,44 +41,46 @@ def test_words(spark):
     assert words("  ") == []
 
 
-def test_leaf_predicates(places):
-    assert codes(places, P.equals("name", "Alvik")) == [6]
-    assert codes(places, P.equals("name", "TEST")) == [1, 3]
-    assert codes(places, P.equals("name", "grund test")) == [1]
-    assert codes(places, P.equals("name", "test grund")) == []
-    assert codes(places, P.equals("name", "...")) == []
-    assert codes(places, P.contains("name", "Grund")) == [1, 2]
-    assert codes(places, P.contains("name", "d t")) == []
-    assert codes(places, P.regexp("name", "a.*")) == [6, 7]
-    assert codes(places, P.startswith("name", "bju")) == [8, 9]
-    assert codes(places, P.endswith("name", "vik")) == [5, 6, 8]
-    assert codes(places, P.contains("name", "v.k", regex=True)) == [5, 6, 8, 9]
-    assert codes(places, P.gt("name", "piteå")) == [1, 3, 5]
-    assert codes(places, P.equals("municipality", 1)) == [1, 2]
-    assert codes(places, P.gte("population", 6312)) == [2, 6]
-    assert codes(places, P.lt("density", 7)) == [2]
-    assert codes(places, P.exists("larger_place")) == [1, 3, 4, 7, 8, 9, 10]
-    assert codes(places, P.missing("density")) == [4, 5]
-    assert codes(places, P.equals("str_collection", "str2")) == [1]
-    assert codes(places, P.equals(P.meta("id"), "3")) == [3]
-    assert codes(places, P.gte(P.meta("version"), 2)) == []
+def test_leaf_predicates(gardens):
+    assert codes(gardens, P.equals("name", "willow")) == [8]
+    assert codes(gardens, P.equals("name", "COURT")) == [1, 2]
+    assert codes(gardens, P.equals("name", "linden court")) == [1]
+    assert codes(gardens, P.equals("name", "court linden")) == []
+    assert codes(gardens, P.equals("name", "...")) == []
+    assert codes(gardens, P.contains("name", "Oak")) == [2, 4]
+    assert codes(gardens, P.contains("name", "n c")) == []
+    assert codes(gardens, P.regexp("name", "O.*")) == [2, 4]
+    assert codes(gardens, P.regexp("name", r"\D+")) == list(range(1, 9)) and codes(gardens, P.regexp("name", r"\d+")) == []
+    assert codes(gardens, P.regexp("name", r"\p{Lu}.*")) == list(range(1, 9))  # case does not matter
+    assert codes(gardens, P.startswith("name", "mapl")) == [3]
+    assert codes(gardens, P.endswith("name", "lm")) == [6, 7]
+    assert codes(gardens, P.contains("name", r"L\Sn", regex=True)) == [1, 3, 5]
+    assert codes(gardens, P.gt("name", "walk")) == [6, 8]
+    assert codes(gardens, P.equals("district", 1)) == [1, 4, 8]
+    assert codes(gardens, P.gte("visitors", 2500)) == [2, 5]
+    assert codes(gardens, P.lt("rating", 2)) == [6]
+    assert codes(gardens, P.exists("parent")) == [2, 3, 4, 6, 7, 8]
+    assert codes(gardens, P.missing("rating")) == [4]
+    assert codes(gardens, P.equals("tags", "herb")) == [1]
+    assert codes(gardens, P.equals(P.meta("id"), "3")) == [3]
+    assert codes(gardens, P.gte(P.meta("version"), 2)) == []
     with pytest.raises(SpecError):
-        codes(places, P.regexp("population", "1"))
+        codes(gardens, P.regexp("visitors", "1"))
     with pytest.raises(UnknownField):
-        codes(places, P.equals("nothing", 1))
-
-
-def test_combinations(places):
-    assert codes(places, None) == list(range(1, 11))
-    assert codes(places, P.and_()) == list(range(1, 11))
-    assert codes(places, P.or_()) == []
-    assert codes(places, P.and_(P.equals("municipality", 2), P.lt("population", 4000))) == [7, 9, 10]
-    assert codes(places, P.not_(P.gt("population", 1000))) == [5, 9, 10]
-    assert codes(places, P.not_(P.gt("population", 1000), P.equals("name", "rutvik"))) == [9, 10]
-    assert codes(places, P.not_(P.not_(P.gt("population", 5000)))) == [2, 6, 8]
-    assert codes(places, P.freetext("Piteå")) == [10]
-    assert codes(places, P.freetext("12")) == [6, 7, 8, 9, 10]
-    assert codes(places, P.freetext("user1")) == list(range(1, 11))
+        codes(gardens, P.equals("nothing", 1))
+
+
+def test_combinations(gardens):
+    everyone = list(range(1, 9))
+    assert codes(gardens, None) == everyone and codes(gardens, P.and_()) == everyone
+    assert codes(gardens, P.or_()) == []
+    assert codes(gardens, P.and_(P.equals("district", 2), P.lt("visitors", 2000))) == [1, 7]
+    assert codes(gardens, P.not_(P.gt("visitors", 400))) == [3, 4, 6, 8]
+    assert codes(gardens, P.not_(P.gt("visitors", 400), P.equals("name", "willow"))) == [3, 4, 6]
+    assert codes(gardens, P.not_(P.not_(P.gt("visitors", 1000)))) == [2, 5]
+    assert codes(gardens, P.freetext("Ängsholm")) == [6]
+    assert codes(gardens, P.freetext("75")) == [2, 3]
+    assert codes(gardens, P.freetext("user1")) == everyone
     with pytest.raises(SpecError):
         P.not_()
 
@@ -115,29 +117,29 @@ def test_same_element_and_any_element(spark):
     assert P.sub("a", P.and_(P.equals("b", 1), P.exists("c"))).paths() == {"a.b", "a.c"}
 
 
-def test_sort_and_pages(places, towns):
-    names = [r.value for r in Q.query(places, PLACES, size=None, path="entry.name").hits.collect()]
-    assert names == ["Alhamn", "Alvik", "Bjurvik", "Bjurvik2", "Botten test", "Grund test", "Grunds", "Hambo", "Piteå", "Rutvik"]
-    found = Q.query(places, PLACES, P.gt("area", 7000), sort=["density|desc", "name"], from_=1, size=3)
-    assert [r.entry.code for r in found.hits.collect()] == [10, 3, 2]
-    assert found.total.first().total == 6
-    assert [tuple(r) for r in found.distribution.collect()] == [("places", 6)]
-    desc = Q.query(places, PLACES, sort=["population|desc"], size=None).hits.collect()
-    assert desc[-1].entry.code == 5
-    assert Q.query(places, PLACES, size=0).hits.count() == 0
-    values = [r.value for r in Q.query(places, PLACES, path="entry.municipality").hits.collect()]
+def test_sort_and_pages(gardens, districts):
+    names = [r.value for r in Q.query(gardens, GARDENS, size=None, path="entry.name").hits.collect()]
+    assert names == ["Birch lane", "Elm walk", "Linden court", "Maple lane", "Oak court", "Oaken", "Willow", "Ängsholm"]
+    found = Q.query(gardens, GARDENS, P.gt("size", 20), sort=["rating|desc", "name"], from_=1, size=3)
+    assert [r.entry.code for r in found.hits.collect()] == [5, 3, 1]
+    assert found.total.first().total == 5
+    assert [tuple(r) for r in found.distribution.collect()] == [("gardens", 5)]
+    falling = Q.query(gardens, GARDENS, sort=["visitors|desc"], size=None).hits.collect()
+    assert {r.entry.code for r in falling[-2:]} == {3, 8}
+    assert Q.query(gardens, GARDENS, size=0).hits.count() == 0
+    values = [r.value for r in Q.query(gardens, GARDENS, path="entry.district").hits.collect()]
     assert [2, 3] in values and [1] in values
-    both = K.union_collections([(places, PLACES), (towns, TOWNS)])
-    stats = {r.resource: r["count"] for r in Q.distribution(P.matching(both, P.exists("name"), [PLACES, TOWNS])).collect()}
-    assert stats == {"places": 10, "municipalities": 3}
+    both = K.union_collections([(gardens, GARDENS), (districts, DISTRICTS)])
+    stats = {r.resource: r["count"] for r in Q.distribution(P.matching(both, P.exists("name"), [GARDENS, DISTRICTS])).collect()}
+    assert stats == {"gardens": 8, "districts": 3}
     with pytest.raises(IncompatibleFields):
-        P.matching(both, P.exists("population"), [PLACES, TOWNS])
+        P.matching(both, P.exists("size"), [GARDENS, DISTRICTS])
     with pytest.raises(UnknownField):
-        P.matching(both, P.exists("density"), [PLACES, TOWNS])
+        P.matching(both, P.exists("rating"), [GARDENS, DISTRICTS])
     with pytest.raises(SortError):
-        Q.ordered(both, [PLACES, Spec("xx", {"n": Field(type="integer")}, sort=("n",))])
+        Q.ordered(both, [GARDENS, Spec("xx", {"n": Field(type="integer")}, sort=("n",))])
     with pytest.raises(SortError):
-        Q.ordered(places, PLACES, ["nope"])
+        Q.ordered(gardens, GARDENS, ["nope"])
 
 
 def test_swedish_order(spark):
@@ -148,122 +150,127 @@ def test_swedish_order(spark):
     assert [r.entry.w for r in Q.ordered(df, spec, ["arr.k|desc"]).collect()][:1] == ["ö"]
 
 
-def test_statistics(places, spark):
-    assert {(r.value, r["count"]) for r in S.statistics(places, "area", PLACES).collect()} == {(6312, 4), (50000, 3), (7312, 2), (20000, 1)}
-    assert [tuple(r) for r in S.statistics(places, "municipality", PLACES).collect()] == [(2, 7), (3, 6), (1, 2)]
+def test_statistics(gardens, spark):
+    assert {(r.value, r["count"]) for r in S.statistics(gardens, "size", GARDENS).collect()} == {(75, 2), (40, 2), (10, 2), (300, 1)}
+    assert [tuple(r) for r in S.statistics(gardens, "district", GARDENS).collect()] == [(2, 4), (3, 4), (1, 3)]
     with pytest.raises(S.TooManyValues):
-        S.statistics(places, "name", PLACES, max_values=3)
+        S.statistics(gardens, "name", GARDENS, max_values=3)
     nested = data.entries(spark, [{"code": 1, "infT": [{"wf": "a"}, {"wf": "a"}, {"wf": "b"}]}, {"code": 2, "infT": [{"wf": "a"}]}], NESTED)
     assert [tuple(r) for r in S.statistics(nested, "infT.wf").collect()] == [("a", 2), ("b", 1)]
 
 
-def test_lookups(places, towns, spark):
-    got = {r.id: (r.link.error, r.link.entry and r.link.entry.name) for r in L.link(places, towns, "larger_place", "code").filter("entry.larger_place is not null").collect()}
-    assert got["3"] == ("not found", None) and got["4"] == (None, "Piteå kommun") and got["9"] == (None, "Luleå kommun")
-    many = L.link(towns, places, "code", "municipality").collect()
+def test_lookups(gardens, districts, spark):
+    got = {r.id: (r.link.error, r.link.entry and r.link.entry.name) for r in L.link(gardens, districts, "parent", "code").filter("entry.parent is not null").collect()}
+    assert got == {"2": (None, "North ward"), "3": (None, "South ward"), "4": ("not found", None), "6": ("not found", None), "7": (None, "South ward"), "8": ("not found", None)}
+    many = L.link(districts, gardens, "code", "district").collect()
     assert {r.link.error for r in many} == {"multiple matches"}
-    expected = {m["code"]: sorted(p["code"] for p in data.PLACES if m["code"] in p["municipality"]) for m in data.MUNICIPALITIES}
-    back = L.backlink(towns, places, "municipality", "code", "code").collect()
+    expected = {1: [1, 4, 8], 2: [1, 2, 5, 7], 3: [3, 5, 6, 8]}
+    back = L.backlink(districts, gardens, "district", "code", "code").collect()
     assert {r.entry.code: r.backlinks for r in back} == expected
-    parts = L.backlink(towns, places, "municipality", "code", "code", limit=3).collect()
+    parts = L.backlink(districts, gardens, "district", "code", "code", limit=1).collect()
     assert len(parts) > 3
     merged = {}
     for r in parts:
         merged.setdefault(r.entry.code, []).extend(r.backlinks)
     assert {k: sorted(v) for k, v in merged.items()} == expected
-    assert L.collect_resource(places, towns, "name").first()["values"] == ["Luleå kommun", "Norsjö kommun", "Piteå kommun"]
+    assert sorted(L.collect_resource(gardens, districts, "name").first()["values"]) == ["Isle of Ängs", "North ward", "South ward"]
     with pytest.raises(ValueError):
-        L.collect_resource(places, towns, "name", limit=2)
-    words = spark.createDataFrame([("piteå",), ("kommun",), ("norsjö kommun",), ("kommun norsjö",), ("x",)], "word string")
-    assert sorted(r.word for r in L.not_found(words, towns, ["name", "state"]).collect()) == ["kommun norsjö", "x"]
+        L.collect_resource(gardens, districts, "name", limit=2)
+    words = spark.createDataFrame([("ängs",), ("ward",), ("south ward",), ("ward south",), ("x",)], "word string")
+    assert sorted(r.word for r in L.not_found(words, districts, ["name", "county"]).collect()) == ["ward south", "x"]
     keys = spark.createDataFrame([(0, 3), (1, 1), (2, 99)], "query int, value long")
-    hits = sorted((r.query, r.hit.id if r.hit else None) for r in L.multi_lookup(keys, places, "municipality").collect())
-    assert hits[-1] == (2, None) and len([h for h in hits if h[0] == 0]) == 6
-    assert L.by_ids(places, spark.createDataFrame([("1",), ("2",), ("77",)], "id string")).count() == 2
-
-
-def test_derive(places, towns):
-    context = D.Context({"municipalities": D.Table(towns, TOWNS), "places": D.Table(places, PLACES)})
-    out = D.derive(places, PLACES, context, until="indexed").filter("id = '3'").first()
-    assert [m.entry.name for m in out.entry._municipality] == ["Norsjö kommun", "Piteå kommun"]
-    spec = D.effective_spec(PLACES, context)
-    everything = D.derive(places, PLACES, context)
-    assert codes(everything, P.sub("_municipality", P.freetext("Piteå")), spec) == [3, 4, 5, 6, 7, 8]
-    assert codes(everything, P.freetext("Piteå"), spec) == [3, 4, 5, 6, 7, 8, 10]
-    fields = {k: v for k, v in data.MUNICIPALITIES_SPEC["fields"].items() if k in ("name", "code")}
-    fields["_places"] = {"virtual": True, "plugin": "backlink", "params": {"resource": "places", "target": "municipality", "field": "code"}, "field_params": {"id": "code"}}
-    fields["_names"] = {"virtual": True, "plugin": "resource", "params": {"resource": "municipalities", "path": "name"}, "field_params": {}}
-    back = Spec.from_dict({"resource_id": "municipalities", "fields": fields})
-    rows = D.derive(towns, back, context).collect()
-    expected = {m["code"]: sorted(p["code"] for p in data.PLACES if m["code"] in p["municipality"]) for m in data.MUNICIPALITIES}
-    assert {r.entry.code: r.entry._places for r in rows} == expected
-    assert rows[0].entry._names == ["Luleå kommun", "Norsjö kommun", "Piteå kommun"]
+    hits = sorted((r.query, r.hit.id if r.hit else None) for r in L.multi_lookup(keys, gardens, "district").collect())
+    assert hits == [(0, "3"), (0, "5"), (0, "6"), (0, "8"), (1, "1"), (1, "4"), (1, "8"), (2, None)]
+    assert L.by_ids(gardens, spark.createDataFrame([("1",), ("2",), ("77",)], "id string")).count() == 2
+    both = K.union_collections([(gardens, GARDENS), (districts, DISTRICTS)])
+    assert L.by_ids(both, spark.createDataFrame([("1",)], "id string")).count() == 2
+    assert L.by_ids(both, spark.createDataFrame([("gardens", "1")], "resource string, id string")).count() == 1
+
+
+def test_derive(gardens, districts):
+    context = D.Context({"districts": D.Table(districts, DISTRICTS), "gardens": D.Table(gardens, GARDENS)})
+    out = D.derive(gardens, GARDENS, context, until="indexed").filter("id = '5'").first()
+    assert [m.entry.name for m in out.entry._district] == ["South ward", "Isle of Ängs"]
+    spec = D.effective_spec(GARDENS, context)
+    everything = D.derive(gardens, GARDENS, context)
+    assert codes(everything, P.sub("_district", P.freetext("isle")), spec) == [3, 5, 6, 8]
+    assert codes(everything, P.or_(P.freetext("isle"), P.freetext("walk")), spec) == [3, 5, 6, 7, 8]
+    fields = {k: data.DISTRICTS_SPEC["fields"][k] for k in ("name", "code")}
+    fields["_gardens"] = {"virtual": True, "plugin": "backlink", "params": {"resource": "gardens", "target": "district", "field": "code"}, "field_params": {"id": "code"}}
+    fields["_names"] = {"virtual": True, "plugin": "resource", "params": {"resource": "districts", "path": "name"}, "field_params": {}}
+    back = Spec.from_dict({"resource_id": "districts", "fields": fields})
+    rows = D.derive(districts, back, context).collect()
+    assert {r.entry.code: r.entry._gardens for r in rows} == {1: [1, 4, 8], 2: [1, 2, 5, 7], 3: [3, 5, 6, 8]}
+    assert all(sorted(r.entry._names) == ["Isle of Ängs", "North ward", "South ward"] for r in rows)
 
 
 def chained(**extra):
-    fields = json.loads(json.dumps(data.PLACES_SPEC["fields"]))
-    del fields["_municipality"]
+    fields = json.loads(json.dumps(data.GARDENS_SPEC["fields"]))
+    del fields["_district"]
     fields.update(extra)
-    return Spec.from_dict({"resource_id": "places", "fields": fields})
+    return Spec.from_dict({"resource_id": "gardens", "fields": fields})
 
 
 def copy(source, type="integer", **kw):
     return {"virtual": True, "plugin": "copy", "params": {"config": {"type": type}}, "field_params": {"value": source}, **kw}
 
 
-def test_derive_order_and_flags(places):
-    spec = chained(a3=copy("a2", collection="true"), a1=copy("municipality", collection="true", hidden=True), a2=copy("a1", collection=True))
-    row = D.derive(places, spec).filter("id = '3'").first().entry
+def test_derive_order_and_flags(gardens):
+    spec = chained(a3=copy("a2", collection="true"), a1=copy("district", collection="true", hidden=True), a2=copy("a1", collection=True))
+    assert D.derivation_order(spec) == ["a1", "a2", "a3"]
+    row = D.derive(gardens, spec).filter("id = '5'").first().entry
     assert row.a3 == [2, 3] and row.a2 == [2, 3] and "a1" not in row.asDict()
     with pytest.raises(D.DeriveError, match="cycle"):
-        D.derive(places, chained(a=copy("b"), b=copy("a")))
-    with pytest.raises(D.DeriveError, match="earlier phase"):
-        D.derive(places, chained(a=copy("b"), b=copy("code", searchable=False)), until="indexed")
+        D.derive(gardens, chained(a=copy("b"), b=copy("a")))
+    with pytest.raises(D.DeriveError, match="cycle"):
+        D.derive(gardens, chained(a=copy("a")))
+    with pytest.raises(D.DeriveError, match="later phase"):
+        D.derive(gardens, chained(a=copy("b"), b=copy("code", searchable=False)), until="indexed")
     with pytest.raises(D.DeriveError, match="not found"):
-        D.derive(places, chained(a={"virtual": True, "plugin": "nope"}))
+        D.derive(gardens, chained(a={"virtual": True, "plugin": "nope"}))
     late = chained(a=copy("code"), b=copy("a", searchable=False))
-    first = D.derive(places, late, until="indexed")
+    first = D.derive(gardens, late, until="indexed")
     assert "b" not in first.schema["entry"].dataType.fieldNames()
     second = D.derive(first, late, start="indexed")
-    assert second.filter("entry.b = entry.code and entry.a = entry.code").count() == 10
-    gated = chained(a={**copy("code"), "field_params": {"value": "code", "include_if": "density"}})
-    assert D.derive(places, gated).filter("entry.a is null").count() == 2
-    assert D.derive(places, chained(a=copy("larger_place"))).filter("entry.a is null").count() == 3
+    assert second.filter("entry.b = entry.code and entry.a = entry.code").count() == 8
+    gated = chained(a={**copy("code"), "field_params": {"value": "code", "include_if": "rating"}})
+    assert D.derive(gardens, gated).filter("entry.a is null").count() == 1
+    assert D.derive(gardens, chained(a=copy("parent"))).filter("entry.a is null").count() == 2
     D.register("total", lambda _f, p: F.aggregate(p["values"], F.lit(0).cast("long"), lambda s, x: s + x), {"type": "integer"})
-    listed = chained(a={"virtual": True, "plugin": "total", "field_params": {"values": ["population", "density"]}})
-    assert D.derive(places, listed).filter("id = '5' and entry.a = 0 or id = '4' and entry.a = 4132").count() == 2
+    listed = chained(a={"virtual": True, "plugin": "total", "field_params": {"values": ["visitors", "rating"]}})
+    assert D.derive(gardens, listed).filter("id = '3' and entry.a = 4 or id = '4' and entry.a = 120").count() == 2
     D.register("pair", lambda _f, p: F.concat_ws("-", p["x"], p["y"]), {"type": "string"})
-    pairs = chained(a={"virtual": True, "plugin": "pair", "collection": True, "flatten_params": True, "field_params": {"x": "municipality", "y": "str_collection"}})
-    assert D.derive(places, pairs).filter("id = '1'").first().entry.a == ["1-str1", "1-str2"]
+    pairs = chained(a={"virtual": True, "plugin": "pair", "collection": True, "flatten_params": True, "field_params": {"x": "district", "y": "tags"}})
+    assert D.derive(gardens, pairs).filter("id = '6'").first().entry.a == ["3-pond"]
 
 
-def test_derive_inside_collection(spark, towns):
+def test_derive_inside_collection(spark, districts):
     fields = {
         "code": {"type": "integer"},
         "rows": {
             "type": "object",
             "collection": True,
             "fields": {
-                "town": {"type": "integer"},
+                "place": {"type": "integer"},
                 "label": {"type": "string"},
-                "_town": {"virtual": True, "plugin": "link", "params": {"resource": "municipalities", "target": "code"}, "field_params": {"id": "rows.town"}},
+                "_place": {"virtual": True, "plugin": "link", "params": {"resource": "districts", "target": "code"}, "field_params": {"id": "rows.place"}},
                 "_label": copy("rows.label", "string"),
                 "_code": copy("code"),
             },
         },
     }
     spec = Spec.from_dict({"resource_id": "nested", "fields": fields})
-    df = data.entries(spark, [{"code": 1, "rows": [{"town": 2, "label": "x"}, {"town": 9}, {"label": "y"}]}, {"code": 2}], spec)
-    out = {r.id: r.entry for r in D.derive(df, spec, D.Context({"municipalities": D.Table(towns, TOWNS)})).collect()}
+    df = data.entries(spark, [{"code": 1, "rows": [{"place": 2, "label": "x"}, {"place": 9}, {"label": "y"}]}, {"code": 2}], spec)
+    out = {r.id: r.entry for r in D.derive(df, spec, D.Context({"districts": D.Table(districts, DISTRICTS)})).collect()}
     rows = out["1"].rows
-    assert rows[0]._town.entry.name == "Norsjö kommun" and rows[1]._town.error == "not found" and rows[2]._town is None
+    assert rows[0]._place.entry.name == "South ward" and rows[1]._place.error == "not found" and rows[2]._place is None
     assert [r._label for r in rows] == ["x", None, "y"] and [r._code for r in rows] == [1, 1, 1]
     assert out["2"].rows is None
 
 
-def test_preview_and_unstored(places, spark):
-    bodies = places.select("id", "entry")
-    assert D.preview(bodies, chained(a=copy("code"))).filter("entry.a = entry.code").count() == 10
-    hidden = Spec.from_dict({"resource_id": "places", "fields": {**data.PLACES_SPEC["fields"], "area": {"type": "integer", "store": False}}})
-    assert "area" not in K.hide_unstored(places, hidden).schema["entry"].dataType.fieldNames()
-    assert K.with_metadata(places).columns == ["resource", "id", "entry", "last_modified_by", "last_modified", "version"]
+def test_preview_and_unstored(gardens, spark):
+    bodies = gardens.select("id", "entry")
+    assert D.preview(bodies, chained(a=copy("code"))).filter("entry.a = entry.code").count() == 8
+    hidden = Spec.from_dict({"resource_id": "gardens", "fields": {**data.GARDENS_SPEC["fields"], "size": {"type": "integer", "store": False}}})
+    assert "size" not in K.hide_unstored(gardens, hidden).schema["entry"].dataType.fieldNames()
+    assert K.with_metadata(gardens).columns == ["resource", "id", "entry", "last_modified_by", "last_modified", "version"]
