@@ -11,7 +11,9 @@ on all rows of a band are candidates. Candidates are verified by their exact wei
 A band bucket may hold very many texts. They are not paired with each other: in each round a bucket has a few leaders,
 those of the least seeded hashes in its largest component, with whom its texts of other components are compared. What
 links joins components, and rounds go on with other leaders until one adds no link. Every band has its own leaders. A
-group of near copies is so connected with a few comparisons for each text.
+group of near copies is so connected with a few comparisons for each text. What is then still apart in a bucket is
+settled without leaders: all its texts of different components are held against each other by their samples, in blocks
+of bounded size, and what agrees in enough samples is verified. So no candidate is left out.
 
 Equal texts (as plain words) are one text from the start, and copies are never expanded.
 
@@ -41,6 +43,8 @@ BITS = 16
 LEAST_AGREEING = 13
 #: Leaders of a bucket in each round after the first.
 LEADERS = 4
+#: Texts in a block when the rest of a bucket is compared.
+BLOCK = 512
 #: Ids of texts that are sent to all executors to find or drop these, 8 bytes each; more of them are joined by a shuffle.
 MOST_SENT = 1 << 20
 #: Shingles that are sampled at once, to stay within the processor's cache.
@@ -185,22 +189,27 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
     buckets = materialise(buckets.join(shared, "bucket"), "buckets").withColumn("component", F.col("gid"))
 
     named = texts.select("gid", F.col("gid").alias("component"))
-    tested, number = None, 0
+    tested, number, last = None, 0, False
     while True:
-        pairs = _next_pairs(buckets, number)
+        pairs = _rest_pairs(buckets, texts) if last else _next_pairs(buckets, number)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         new = materialise(_linked_pairs(pairs, texts, rows, weights, least, size), "verified")
-        if new.isEmpty():
-            break
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         number += 1
+        if new.isEmpty():
+            if last:
+                break
+            last = True
+            continue
         joined = materialise(components(new), "components").select(F.col("node").alias("component"), F.col("component").alias("into"))
         renamed = F.coalesce("into", "component").alias("component")
         named = materialise(named.join(joined, "component", "left").select("gid", renamed), "named")
         labelled = buckets.join(joined, "component", "left").select("bucket", "gid", renamed)
         still = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        if last:
+            break
         buckets = materialise(labelled.join(still.select("bucket"), "bucket", "left_semi"), "buckets")
 
     whole = texts.drop("samples").join(named, "gid")
@@ -230,6 +239,63 @@ def _next_pairs(buckets: DataFrame, number: int) -> DataFrame:
     return pairs.select(a.alias("a"), b.alias("b"), of_a.alias("of_a"), of_b.alias("of_b")).distinct()
 
 
+def _rest_pairs(buckets: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, of_a, of_b): all texts of different components of a bucket that agree in enough samples.
+
+    Each bucket is cut into blocks: those of its largest component are compared with all others, but not with each other.
+    """
+    sizes = buckets.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    blocks = lambda n: F.ceil(n / block)
+    cut = whole.filter("parts > 1").select(
+        "bucket", F.col("largest.component").alias("leads"), blocks(F.col("largest.n")).alias("n_lead"), blocks(F.col("n") - F.col("largest.n")).alias("n_other")
+    )
+    held = buckets.join(cut, "bucket").join(texts.select("gid", "samples"), "gid")
+    leads, among = F.col("component") == F.col("leads"), F.xxhash64("gid")
+    own = F.when(leads, F.col("n_other") + F.pmod(among, "n_lead")).otherwise(F.pmod(among, "n_other"))
+    to = F.when(leads, F.col("n_other") - 1).otherwise(F.col("n_other") + F.col("n_lead") - 1)
+    held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), to)))
+    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    held = held.select(cell.alias("cell"), "gid", "component", "samples", (F.col("own") <= F.col("other")).alias("one"), (F.col("own") >= F.col("other")).alias("two"))
+    return held.repartition("cell").sortWithinPartitions("cell").mapInArrow(_agreeing, "a long, b long, of_a long, of_b long").distinct()
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell: each row marked ``one`` with each row marked ``two`` of the cell, if they agree enough."""
+    kept: list[np.ndarray] | None = None
+
+    def compare(cell: np.ndarray, gid: np.ndarray, component: np.ndarray, samples: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+        found = [np.empty((0, 4), np.int64)]
+        edges = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            left, right = start + np.flatnonzero(one[start:end]), start + np.flatnonzero(two[start:end])
+            for at in range(0, len(left), BLOCK):
+                x = left[at : at + BLOCK]
+                same = np.zeros((len(x), len(right)), np.uint8)
+                for k in range(samples.shape[1]):
+                    same += samples[x, k][:, None] == samples[right, k]
+                i, j = np.nonzero((same >= LEAST_AGREEING) & (component[x][:, None] != component[right]))
+                i, j = x[i], right[j]
+                i, j = np.where(gid[i] < gid[j], i, j), np.where(gid[i] < gid[j], j, i)
+                found.append(np.stack([gid[i], gid[j], component[i], component[j]], axis=1))
+        return list(np.concatenate(found).T)
+
+    def sent(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in compare(*columns)], names=["a", "b", "of_a", "of_b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        samples = batch.column("samples").flatten().to_numpy().reshape(batch.num_rows, -1)
+        new = [samples if n == "samples" else batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "gid", "component", "samples", "one", "two")]
+        rows = new if kept is None else [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
+        whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last cell may go on in the next batch
+        yield sent([c[:whole] for c in rows])
+        kept = [c[whole:] for c in rows]
+    if kept is not None:
+        yield sent(kept)
+
+
 def _sent(ids: DataFrame) -> DataFrame:
     """Written ids, to be sent to all executors while they are few enough."""
     return F.broadcast(ids) if ids.count() <= MOST_SENT else ids

@@ -248,3 +248,24 @@ def test_line_runs(docs, empty):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.text) for r in out.collect()}
     assert got[7] == (8, 6, 2, "new\n") and got[1][1] == 0 and got[2] == (0, 0, 0, None) and got[3][:3] == (1, 0, 0)
     assert got[8][1] == 0 and set(docs.columns) <= set(out.columns) and line_runs.without_repeats(empty).count() == 0
+
+
+def test_near_documents_compare_the_rest_of_a_bucket(spark):
+    rng = np.random.default_rng(3)
+    samples = rng.integers(0, 3, (90, 30))
+    component = [1000 + int(c) for c in rng.choice([0, 0, 0, 0, 1, 2, 3, 4], 90)]
+    bucket_of = [int(b) for b in rng.integers(0, 4, 90)]
+    texts = spark.createDataFrame([(i, [int(x) for x in samples[i]]) for i in range(90)], "gid long, samples array<long>")
+    buckets = spark.createDataFrame([(b, i, component[i]) for i, b in enumerate(bucket_of)] + [(9, 5, 1), (9, 6, 1)], "bucket long, gid long, component long")
+    close = lambda i, j: int((samples[i] == samples[j]).sum()) >= near_documents.LEAST_AGREEING
+    want = {
+        (i, j, component[i], component[j])
+        for i in range(90)
+        for j in range(i + 1, 90)
+        if bucket_of[i] == bucket_of[j] and component[i] != component[j] and close(i, j)
+    }
+    assert want
+    for block in (4, 512):
+        got = near_documents._rest_pairs(buckets, texts, block).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert near_documents._rest_pairs(buckets.limit(0), texts).count() == 0
