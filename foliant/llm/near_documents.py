@@ -148,16 +148,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signed(docs: DataFrame, weights, size: int) -> DataFrame:
-    """(doc_id, key, samples) of each row; no key without words."""
+    """(doc_id, key, samples, weight) of each row, the weight being that of all shingles; no key without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, often, keys = shingles(batch.column("text").to_pylist(), size)
-            drawn = signatures(found, [n * weights.value[_bins(f)] for f, n in zip(found, often, strict=True)]).view(np.int64)
+            weighed = [n * weights.value[_bins(f)] for f, n in zip(found, often, strict=True)]
+            drawn = signatures(found, weighed).view(np.int64)
             samples = [None if k is None else row for k, row in zip(keys, drawn, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))], names=["doc_id", "key", "samples"])
+            columns = [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64())), pa.array([float(w.sum()) for w in weighed])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "samples", "weight"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, samples array<bigint>")
+    return docs.mapInArrow(run, "doc_id long, key binary, samples array<bigint>, weight double")
 
 
 def _verified(weights, least: float, size: int):
@@ -165,9 +167,11 @@ def _verified(weights, least: float, size: int):
         for batch in batches:
             sides = []
             for side in ("a", "b"):
-                found, often, keys = shingles(batch.column(f"text_{side}").to_pylist(), size)
-                right = [x == y for x, y in zip(keys, batch.column(f"key_{side}").to_pylist(), strict=True)]  # ids may be shared by other texts
-                sides.append([(f, n * weights.value[_bins(f)]) if ok else None for f, n, ok in zip(found, often, right, strict=True)])
+                coded = batch.column(f"text_{side}").dictionary_encode()  # a text is in many pairs
+                found, often, keys = shingles(coded.dictionary.to_pylist(), size)
+                weighed = [(f, n * weights.value[_bins(f)]) for f, n in zip(found, often, strict=True)]
+                wanted = zip(coded.indices.to_pylist(), batch.column(f"key_{side}").to_pylist(), strict=True)
+                sides.append([weighed[i] if i is not None and keys[i] == k else None for i, k in wanted])  # ids may be shared by other texts
             links = [x is not None and y is not None and similarity(x, y) >= least for x, y in zip(*sides, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
@@ -180,7 +184,7 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weights = spark.sparkContext.broadcast(inverse_frequencies(rows, size=size))  # 2 ** BITS numbers
     signed = materialise(_signed(rows, weights, size), "signed")
-    texts = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("samples").alias("samples"))
+    texts = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("samples").alias("samples"), F.first("weight").alias("weight"))
     texts = materialise(texts.withColumn("gid", F.monotonically_increasing_id()), "texts")
 
     bands = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]))
@@ -212,7 +216,7 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
             break
         buckets = materialise(labelled.join(still.select("bucket"), "bucket", "left_semi"), "buckets")
 
-    whole = texts.drop("samples").join(named, "gid")
+    whole = texts.drop("samples", "weight").join(named, "gid")
     ids = whole.groupBy("component").agg(F.min("least_id").alias("class_id"))
     members = whole.join(ids, "component").select("key", "class_id")
     out = signed.select("doc_id", "key").join(members, "key", "left")
@@ -303,9 +307,12 @@ def _sent(ids: DataFrame) -> DataFrame:
 
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, weights, least: float, size: int) -> DataFrame:
     """The components (a, b) of texts that are similar enough, judged first by their samples and then by the texts."""
-    one, other = (texts.select(F.col("gid").alias(s), F.col("least_id").alias(f"id_{s}"), F.col("key").alias(f"key_{s}"), F.col("samples").alias(f"samples_{s}")) for s in "ab")
+    named = {"gid": "", "least_id": "id_", "key": "key_", "samples": "samples_", "weight": "weight_"}
+    one, other = (texts.select(*[F.col(c).alias(f"{prefix}{s}") for c, prefix in named.items()]) for s in "ab")
     agreeing = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda x: x))
-    close = pairs.join(one, "a").join(other, "b").filter(agreeing >= LEAST_AGREEING).drop("samples_a", "samples_b")
+    # the sum of minima is at most the smaller weight, the sum of maxima at least the larger one
+    possible = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (least - 1e-9)
+    close = pairs.join(one, "a").join(other, "b").filter(possible & (agreeing >= LEAST_AGREEING)).drop("samples_a", "samples_b", "weight_a", "weight_b")
     close = materialise(close, "close")
     wanted = _sent(materialise(close.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct(), "wanted"))
     found = rows.join(wanted, "doc_id", "left_semi").distinct()
