@@ -30,9 +30,14 @@ def field_values(df: DataFrame, path: str) -> Column:
 
 def multi_lookup(keys: DataFrame, df: DataFrame, path: str) -> DataFrame:
     """Many queries answered together: ``keys(query, value)`` gives one row per hit, and one without a hit for a
-    query that finds nothing."""
+    query that finds nothing.
+
+    The hits come from an inner join, where either side of a hot value can be split; an outer join splits only the keys.
+    """
     hits = df.select(F.explode(field_values(df, path)).alias("value"), F.struct("resource", "id", "entry").alias("hit"))
-    return keys.join(hits, "value", "left")
+    found = keys.join(hits, "value")
+    nothing = keys.join(hits.select("value").distinct(), "value", "left_anti")
+    return found.unionByName(nothing, allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- phrase keys
