@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from foliant.session import materialise
 
 
+#: Rounds whose joins are followed in one plan before the roots are written.
+CHAINED = 4
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b): the smallest node that it is connected with.
 
@@ -29,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         links = links.join(joins.withColumnRenamed("node", "b"), "b").select(F.least("c", "to").alias("a"), F.greatest("c", "to").alias("b"))
         links = materialise(links.filter("a <> b").distinct(), "links")
         roots = roots.join(joins.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots = materialise(roots, "roots")
+        if seed % CHAINED == 0:
+            roots = materialise(roots, "roots")
     names = roots.groupBy("root").agg(F.min("node").alias("component"))
     return roots.join(names, "root").select("node", "component")

@@ -10,7 +10,7 @@ on all rows of a band are candidates. Candidates are verified by their exact wei
 
 A band bucket may hold very many texts. They are not paired with each other: in each round a bucket has a few leaders,
 those of the least seeded hashes in its largest component, with whom its texts of other components are compared. What
-links joins components, and rounds go on with other leaders until one adds no link. Every band has its own leaders. A
+links joins components, and rounds go on with other leaders while they find links (``FRUITFUL``). Every band has its own leaders. A
 group of near copies is so connected with a few comparisons for each text. What is then still apart in a bucket is
 settled without leaders: all its texts of different components are held against each other by their samples, in blocks
 of bounded size, and what agrees in enough samples is verified. So no candidate is left out.
@@ -43,6 +43,8 @@ BITS = 16
 LEAST_AGREEING = 13
 #: Leaders of a bucket in each round after the first.
 LEADERS = 4
+#: Rounds with leaders go on while one finds at least this many links for each entry left in an open bucket.
+FRUITFUL = 0.001
 #: Texts in a block when the rest of a bucket is compared.
 BLOCK = 512
 #: Ids of texts that are sent to all executors to find or drop these, 8 bytes each; more of them are joined by a shuffle.
@@ -202,7 +204,8 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
         new = materialise(_linked_pairs(pairs, texts, rows, weights, least, size), "verified")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         number += 1
-        if new.isEmpty():
+        links = new.count()
+        if not links:
             if last:
                 break
             last = True
@@ -215,6 +218,7 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
         if last:
             break
         buckets = materialise(labelled.join(still.select("bucket"), "bucket", "left_semi"), "buckets")
+        last = links < FRUITFUL * buckets.count()
 
     whole = texts.drop("samples", "weight").join(named, "gid")
     ids = whole.groupBy("component").agg(F.min("least_id").alias("class_id"))
