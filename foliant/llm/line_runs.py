@@ -5,7 +5,9 @@ the same window and so the same selected hash: no repeated run is missed, and ne
 same line. Selected hashes that occur once in the corpus need no further look. Where one occurs again, the windows that
 selected it are joined by their position around it: windows of equal lines form a class, whose first place (document,
 line) is kept and whose later places are matches. Matches extend both ways by the neighbouring windows that match too,
-so a run is deleted as far as it repeats earlier lines. A line of ``LONG`` words or more is a window of its own.
+so a run is deleted as far as it repeats earlier lines. Fewer lines that hold ``LONG`` words or more together are a window
+of their own. With ``short=False`` only single lines are, as in the SQL of the query ``op10_line_runs``: passages of that
+many words on two lines are then left; ``op10_line_runs_by_words`` finds them too.
 
 Documents are ordered by id, lines by number. Within a document only places that do not overlap the first one are later.
 Lines are compared without blanks around them; blank lines are not counted and stay, unless runs are deleted on both sides
@@ -44,12 +46,12 @@ def _runs(removed: Column) -> tuple[Column, Column]:
     return starts, ends
 
 
-def line_hashes(docs: DataFrame, least_words: int = LONG) -> DataFrame:
-    """(doc_id, digest, lines): number, hash and length test of the lines that are not blank; one row per document."""
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, lines): number, hash and number of words of the lines that are not blank; one row per document."""
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     trimmed = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("number"), F.trim(x).alias("line")))
     some = F.filter(trimmed, lambda x: x["line"] != "")
-    hashed = F.transform(some, lambda x: F.struct(x["number"], F.xxhash64(x["line"]).alias("hash"), (words(x["line"]) >= least_words).alias("long")))
+    hashed = F.transform(some, lambda x: F.struct(x["number"], F.xxhash64(x["line"]).alias("hash"), words(x["line"]).alias("words")))
     rows = docs.filter("text is not null").select(F.col("doc_id"), F.xxhash64("text").alias("digest"), hashed.alias("lines"))
     return rows.filter(F.size("lines") > 0).dropDuplicates(["doc_id", "digest"])
 
@@ -61,9 +63,21 @@ def _later(places: DataFrame, keys: list[str], span: int) -> DataFrame:
     return places.join(first, keys).filter(apart).select("doc_id", "digest", "numbers")
 
 
-def repeated_lines(docs: DataFrame, lines: int = LINES, long: int = LONG) -> DataFrame:
+def _few_lines(rows: DataFrame, span: int, long: int) -> DataFrame:
+    """(doc_id, digest, at, window, numbers): the runs of ``span`` lines that hold ``long`` words or more together."""
+
+    def window(i: Column) -> Column:
+        own = [F.get("lines", i + k) for k in range(span)]
+        words = sum((x["words"] for x in own), F.lit(0))
+        return F.struct(i.alias("at"), words.alias("words"), F.xxhash64(*[x["hash"] for x in own]).alias("window"), F.array(*[x["number"] for x in own]).alias("numbers"))
+
+    windows = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - span), window), lambda w: w["words"] >= long)
+    return rows.filter(F.size("lines") >= span).select("doc_id", "digest", F.explode(windows).alias("w")).select("doc_id", "digest", "w.at", "w.window", "w.numbers")
+
+
+def repeated_lines(docs: DataFrame, lines: int = LINES, long: int = LONG, short: bool = True) -> DataFrame:
     """(doc_id, digest, removed): the sorted numbers of the lines to delete, for documents that have any."""
-    rows = materialise(line_hashes(docs, long), "lines")
+    rows = materialise(line_hashes(docs), "lines")
     value = lambda i, k: F.get("lines", i + k)["hash"]
     number = lambda i, k: F.get("lines", i + k)["number"]
 
@@ -82,16 +96,15 @@ def repeated_lines(docs: DataFrame, lines: int = LINES, long: int = LONG) -> Dat
     repeated = selected.groupBy("selected", "window").agg(F.count(F.lit(1)).alias("n")).groupBy("selected").agg(F.sum("n").alias("n")).filter("n > 1").select("selected")
     places = windowed.select("doc_id", "digest", F.explode("windows").alias("w")).select("doc_id", "digest", "w.*").join(repeated, "selected", "left_semi")
     found = _later(places, ["selected", "window"], lines)
-    alone = rows.select("doc_id", "digest", F.posexplode("lines").alias("at", "x")).filter("x.long")
-    alone = alone.select("doc_id", "digest", "at", F.col("x.hash").alias("window"), F.array("x.number").alias("numbers"))
-    found = found.unionByName(_later(alone, ["window"], 1))
+    for span in range(1, lines if short else min(lines, 2)):
+        found = found.unionByName(_later(_few_lines(rows, span, long), ["window"], span))
     return found.groupBy("doc_id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("numbers")))).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, lines: int = LINES, long: int = LONG, into: tuple[str, str, str] = ("n_lines", "n_removed", "n_runs")) -> DataFrame:
+def without_repeats(docs: DataFrame, lines: int = LINES, long: int = LONG, into: tuple[str, str, str] = ("n_lines", "n_removed", "n_runs"), short: bool = True) -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``, and the numbers of lines, deleted lines and deleted runs."""
     d, g, removed, digest, split = fresh(docs, "run_doc", "run_digest", "run_removed", "run_text_digest", "run_lines")
-    found = repeated_lines(docs, lines, long).select(F.col("doc_id").alias(d), F.col("digest").alias(g), F.col("removed").alias(removed))
+    found = repeated_lines(docs, lines, long, short).select(F.col("doc_id").alias(d), F.col("digest").alias(g), F.col("removed").alias(removed))
     out = docs.withColumn(digest, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(digest) == F.col(g)), "left")
     out = out.withColumn(split, F.split("text", "\n", -1))
     n_lines, n_removed, n_runs = into
@@ -106,8 +119,8 @@ def without_repeats(docs: DataFrame, lines: int = LINES, long: int = LONG, into:
     return out.drop(d, g, removed, digest, split)
 
 
-def query(spark: SparkSession, folder: str) -> DataFrame:
-    out = without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+def query(spark: SparkSession, folder: str, short: bool = True) -> DataFrame:
+    out = without_repeats(table(spark, folder, "documents").select("doc_id", "text"), short=short)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -250,6 +250,36 @@ def test_line_runs(docs, empty):
     assert got[8][1] == 0 and set(docs.columns) <= set(out.columns) and line_runs.without_repeats(empty).count() == 0
 
 
+def test_line_runs_by_words(spark):
+    rng = np.random.default_rng(4)
+    passage = [" ".join(f"p{k}" for k in range(23)), " ".join(f"q{k}" for k in range(46))]
+    lines = ["a", "b c", *passage, "w " * 51, "v " * 30, "u " * 25, ""]
+    rows = [(1, "one\n" + "\n".join(passage)), (2, "\n\n".join(passage) + "\ntwo"), (3, None), (4, passage[1] + "\n" + passage[0]), (5, passage[0])]
+    rows += [(10 + i, "\n".join(f"own{i}" if rng.random() < 0.3 else str(rng.choice(lines)) for _ in range(rng.integers(1, 14)))) for i in range(60)]
+
+    def removed(short):
+        kept = {i: [(n, x.strip(" ")) for n, x in enumerate((t or "").split("\n")) if x.strip(" ")] for i, t in rows}
+        first, gone = {}, {i: set() for i, _ in rows}
+        for span in (1, 2, 3):
+            for i in sorted(kept):
+                for at in range(len(kept[i]) - span + 1):
+                    run = kept[i][at : at + span]
+                    words = sum(x.count(" ") + 1 for _, x in run)
+                    if span == 3 or words >= 50 and (short or span == 1):
+                        doc, place = first.setdefault(tuple(x for _, x in run), (i, at))
+                        if doc != i or at >= place + span:
+                            gone[i] |= {n for n, _ in run}
+        return {i: sorted(x) for i, x in gone.items() if x}
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for short in (True, False):
+        want = removed(short)
+        assert {r.doc_id: r.removed for r in line_runs.repeated_lines(docs, short=short).collect()} == want
+        assert want.get(2) == ([0, 2] if short else None) and 4 not in want and 5 not in want
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_runs.without_repeats(docs).collect()}
+    assert got[1] == (0, rows[0][1]) and got[2] == (2, "\ntwo")
+
+
 def test_near_documents_compare_the_rest_of_a_bucket(spark):
     rng = np.random.default_rng(3)
     samples = rng.integers(0, 3, (90, 30))
