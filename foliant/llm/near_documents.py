@@ -2,7 +2,9 @@
 
 A shingle is ``SHINGLE`` consecutive plain words (all words of a shorter text), weighted by how often the text has it
 times an inverse document frequency, so that passages which many documents share count little. Frequencies are counted
-over all documents in 2 ** ``BITS`` hashed bins, a table of fixed size.
+for each shingle (as a 64-bit hash) over all documents: documents are dealt into batches of bounded size, a batch sends
+its distinct shingles packed by part of the hash space, and a part answers each batch in the order asked. Only packed
+numbers come back, and parts and batches grow in number with the corpus and not in size.
 
 Consistent weighted sampling draws ``BANDS * ROWS`` samples (shingle, quantised weight) of each text; two texts draw the
 same sample with a probability of their weighted Jaccard similarity, sum of minima over sum of maxima. Texts that agree
@@ -33,12 +35,16 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import MIX, PLAIN, encoded_words, fresh, mixed, table, word_hashes
 from foliant.llm.components import components
+from foliant.llm.packing import by_part, pack_keys, pack_numbers, unpack_keys, unpack_numbers
 from foliant.session import materialise
 
 SHINGLE = 5
+#: A character of a plain word.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 LEAST = 0.8
 BANDS, ROWS = 10, 3
-BITS = 16
+#: Bytes of text in a batch whose shingles are counted together, on average.
+BATCH_BYTES = 4 << 20
 #: Candidates that agree in fewer of all samples are not looked at: of pairs with a similarity of 0.8 or more, fewer than one in a million does.
 LEAST_AGREEING = 13
 #: Leaders of a bucket in each round after the first.
@@ -83,28 +89,45 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[list[np.ndar
     return found, often, keys
 
 
-def _bins(values: np.ndarray) -> np.ndarray:
-    return (values & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def _asked(parts: int, size: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """How many texts of a batch have each of its shingles, by part."""
+        keys, at = _batch_keys(shingles(rows.column("text").to_pylist(), size)[0], parts)
+        counts = np.bincount(at, minlength=len(keys))
+        every, starts = np.unique(keys % np.uint64(parts), return_index=True)
+        cuts = [slice(*x) for x in zip(starts, [*starts[1:], len(keys)], strict=True)]
+        columns = [
+            pa.array([key[0].as_py()] * len(cuts), pa.int64()),
+            pa.array(every.astype(np.int64)),
+            pa.array([pack_keys(keys[x], parts) for x in cuts], pa.binary()),
+            pa.array([pack_numbers(counts[x]) for x in cuts], pa.binary()),
+        ]
+        return pa.table(columns, names=["batch", "part", "keys", "counts"])
 
+    return run
 
-def inverse_frequencies(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> np.ndarray:
-    """The weight of a shingle in each bin: ln(1 + documents / shingles of the bin), each once per document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << BITS, np.int64), 0
-        for batch in batches:
-            found, _, _ = shingles(batch.column(0).to_pylist(), size)
-            total += np.bincount(_bins(np.concatenate([*found, np.empty(0, np.uint64)])), minlength=1 << BITS)
-            n += sum(len(x) > 0 for x in found)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["bin", "n"])
+def _answered(parts: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """Add up the counts of a part's shingles and answer every batch in the order that it asked."""
+        asked = [unpack_keys(x, key[0].as_py(), parts) for x in rows.column("keys").to_pylist()]
+        distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, at, np.concatenate([unpack_numbers(x) for x in rows.column("counts").to_pylist()]))
+        back = np.split(total[at], np.cumsum([len(x) for x in asked])[:-1])
+        return pa.table([rows.column("batch"), rows.column("part"), pa.array([pack_numbers(x) for x in back], pa.binary())], names=["batch", "part", "counts"])
+
+    return run
+
+
+def _batch_keys(found: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a batch, ordered by part, and the place of each text's shingles among them."""
+    return by_part(np.concatenate([*found, np.empty(0, np.uint64)]), parts)
 
-    rows = docs.select(text).mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # 2 ** BITS + 1 rows at most
-    counts = {r["bin"]: r["n"] for r in rows}
-    n = counts.pop(-1, 0)
-    frequency = np.ones(1 << BITS)
-    frequency[list(counts)] = list(counts.values())
-    return np.log1p(n / frequency)
+
+def weights_of(often: np.ndarray, counts: np.ndarray, documents: int) -> np.ndarray:
+    """The weights of a text's shingles: how often it has each, times ln(1 + documents / documents that have it)."""
+    return often * np.log1p(documents / counts)
 
 
 def _uniform(values: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -149,31 +172,46 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _signed(docs: DataFrame, weights, size: int) -> DataFrame:
-    """(doc_id, key, samples, weight) of each row, the weight being that of all shingles; no key without words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, often, keys = shingles(batch.column("text").to_pylist(), size)
-            weighed = [n * weights.value[_bins(f)] for f, n in zip(found, often, strict=True)]
-            drawn = signatures(found, weighed).view(np.int64)
-            samples = [None if k is None else row for k, row in zip(keys, drawn, strict=True)]
-            columns = [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64())), pa.array([float(w.sum()) for w in weighed])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "samples", "weight"])
-
-    return docs.mapInArrow(run, "doc_id long, key binary, samples array<bigint>, weight double")
+def signed(rows: DataFrame, documents: int, parts: int, size: int) -> DataFrame:
+    """(doc_id, key, samples, weight, counts) of each row; no key without words.
 
+    ``weight`` is that of all shingles, ``counts`` in how many documents each of them occurs, packed, in the order of ``shingles``.
+    """
 
-def _verified(weights, least: float, size: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        found, often, keys = shingles(docs.column("text").to_pylist(), size)
+        distinct, at = _batch_keys(found, parts)
+        given = np.concatenate([*map(unpack_numbers, answers.sort_by("part").column("counts").to_pylist()), np.empty(0, np.int64)])
+        if len(given) != len(distinct):
+            raise ValueError("the documents of a batch have changed while their shingles were counted")
+        counts = np.split(given[at], np.cumsum([len(x) for x in found])[:-1])
+        weighed = [weights_of(n, c, documents) for n, c in zip(often, counts, strict=True)]
+        drawn = signatures(found, weighed).view(np.int64)
+        samples = [None if k is None else row for k, row in zip(keys, drawn, strict=True)]
+        columns = [docs.column("doc_id"), pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))]
+        columns += [pa.array([float(w.sum()) for w in weighed], pa.float64()), pa.array([pack_numbers(c) for c in counts], pa.binary())]
+        return pa.table(columns, names=["doc_id", "key", "samples", "weight", "counts"])
+
+    dealt = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("long").alias("batch"), "doc_id", "text")
+    asked = dealt.groupBy("batch").applyInArrow(_asked(parts, size), "batch long, part long, keys binary, counts binary")
+    answers = asked.groupBy("part").applyInArrow(_answered(parts), "batch long, part long, counts binary")
+    schema = "doc_id long, key binary, samples array<bigint>, weight double, counts binary"
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
+
+
+def _verified(documents: int, least: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
-            for side in ("a", "b"):
-                coded = batch.column(f"text_{side}").dictionary_encode()  # a text is in many pairs
-                found, often, keys = shingles(coded.dictionary.to_pylist(), size)
-                weighed = [(f, n * weights.value[_bins(f)]) for f, n in zip(found, often, strict=True)]
-                wanted = zip(coded.indices.to_pylist(), batch.column(f"key_{side}").to_pylist(), strict=True)
-                sides.append([weighed[i] if i is not None and keys[i] == k else None for i, k in wanted])  # ids may be shared by other texts
+            for side in ("a", "b"):  # a text is in many pairs
+                text, key = (batch.column(f"{c}_{side}").dictionary_encode() for c in ("text", "key"))
+                both = text.indices.to_numpy().astype(np.int64) * len(key.dictionary) + key.indices.to_numpy()
+                _, first, at = np.unique(both, return_index=True, return_inverse=True)
+                rows = batch.take(pa.array(first))
+                found, often, keys = shingles(rows.column(f"text_{side}").to_pylist(), size)
+                wanted = zip(found, often, keys, rows.column(f"key_{side}").to_pylist(), rows.column(f"counts_{side}").to_pylist(), strict=True)
+                weighed = [(f, weights_of(n, unpack_numbers(c), documents)) if k == w else None for f, n, k, w, c in wanted]  # ids may be shared by other texts
+                sides.append([weighed[i] for i in at])
             links = [x is not None and y is not None and similarity(x, y) >= least for x, y in zip(*sides, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
@@ -182,11 +220,11 @@ def _verified(weights, least: float, size: int):
 
 def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataFrame:
     """(doc_id, key, class_id) of each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    weights = spark.sparkContext.broadcast(inverse_frequencies(rows, size=size))  # 2 ** BITS numbers
-    signed = materialise(_signed(rows, weights, size), "signed")
-    texts = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("samples").alias("samples"), F.first("weight").alias("weight"))
+    documents, bytes_ = rows.agg(F.count_if(F.rlike("text", F.lit(WORD))), F.sum(F.octet_length("text"))).first()
+    signs = materialise(signed(rows, documents, max(1, -(-(bytes_ or 0) // BATCH_BYTES)), size), "signed")
+    kept = [F.first(c).alias(c) for c in ("samples", "weight", "counts")]
+    texts = signs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), *kept)
     texts = materialise(texts.withColumn("gid", F.monotonically_increasing_id()), "texts")
 
     bands = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]))
@@ -201,7 +239,7 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        new = materialise(_linked_pairs(pairs, texts, rows, weights, least, size), "verified")
+        new = materialise(_linked_pairs(pairs, texts, rows, documents, least, size), "verified")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         number += 1
         links = new.count()
@@ -220,10 +258,10 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
         buckets = materialise(labelled.join(still.select("bucket"), "bucket", "left_semi"), "buckets")
         last = links < FRUITFUL * buckets.count()
 
-    whole = texts.drop("samples", "weight").join(named, "gid")
+    whole = texts.drop("samples", "weight", "counts").join(named, "gid")
     ids = whole.groupBy("component").agg(F.min("least_id").alias("class_id"))
     members = whole.join(ids, "component").select("key", "class_id")
-    out = signed.select("doc_id", "key").join(members, "key", "left")
+    out = signs.select("doc_id", "key").join(members, "key", "left")
     return out.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
@@ -309,22 +347,24 @@ def _sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
 
 
-def _linked_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, weights, least: float, size: int) -> DataFrame:
+def _linked_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, documents: int, least: float, size: int) -> DataFrame:
     """The components (a, b) of texts that are similar enough, judged first by their samples and then by the texts."""
-    named = {"gid": "", "least_id": "id_", "key": "key_", "samples": "samples_", "weight": "weight_"}
+    named = {"gid": "", "least_id": "id_", "samples": "samples_", "weight": "weight_"}
     one, other = (texts.select(*[F.col(c).alias(f"{prefix}{s}") for c, prefix in named.items()]) for s in "ab")
     agreeing = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda x: x))
     # the sum of minima is at most the smaller weight, the sum of maxima at least the larger one
     possible = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (least - 1e-9)
     close = pairs.join(one, "a").join(other, "b").filter(possible & (agreeing >= LEAST_AGREEING)).drop("samples_a", "samples_b", "weight_a", "weight_b")
     close = materialise(close, "close")
-    wanted = _sent(materialise(close.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct(), "wanted"))
-    found = rows.join(wanted, "doc_id", "left_semi").distinct()
+    ends = [F.struct(F.col(s).alias("gid"), F.col(f"id_{s}").alias("doc_id")) for s in "ab"]
+    wanted = _sent(materialise(close.select(F.explode(F.array(*ends)).alias("end")).select("end.*").distinct(), "wanted"))
+    found = rows.join(wanted.select("doc_id"), "doc_id", "left_semi").distinct()
+    whole = texts.select("gid", "key", "counts").join(wanted, "gid").join(found, "doc_id")
     for s in "ab":
-        side = found.select(F.col("doc_id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
-        close = close.join(side, f"id_{s}")
-    close = close.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"), "key_a", "key_b", "text_a", "text_b")
-    return close.mapInArrow(_verified(weights, least, size), "a long, b long").distinct()
+        side = whole.select(F.col("gid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "counts", "text")])
+        close = close.join(side, s)
+    close = close.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"), *[f"{c}_{s}" for c in ("key", "counts", "text") for s in "ab"])
+    return close.mapInArrow(_verified(documents, least, size), "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:

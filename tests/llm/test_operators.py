@@ -280,6 +280,30 @@ def test_line_runs_by_words(spark):
     assert got[1] == (0, rows[0][1]) and got[2] == (2, "\ntwo")
 
 
+def test_near_documents_count_each_shingle(spark):
+    rng = np.random.default_rng(5)
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, " ".join(f"n{x}" for x in rng.integers(0, 10**9, 400)) + f" {shared}") for i in range(400)] + [(900, None), (901, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, often, _ = near_documents.shingles([t for _, t in rows])
+    df = Counter(int(x) for own in found for x in own)
+    for parts in (1, 7):
+        got = {r.doc_id: r for r in near_documents.signed(docs, 400, parts, near_documents.SHINGLE).collect()}
+        for (i, _), own, n in zip(rows, found, often, strict=True):
+            counts = [df[int(x)] for x in own]
+            assert near_documents.unpack_numbers(bytes(got[i].counts)).tolist() == counts
+            assert got[i].weight == pytest.approx(sum(k * math.log1p(400 / c) for k, c in zip(n, counts, strict=True)))
+    # two texts of the passage and a word of their own, whose rare shingle agrees in its low bits with one of the passage
+    hot = {int(x) & 0xFFFF for x in near_documents.shingles([shared])[0][0]}
+    own = []
+    while len(own) < 2:
+        text = f"{shared} o{rng.integers(0, 10**9)}"
+        rare = [x for x in near_documents.shingles([text])[0][0] if int(x) not in df]
+        own += [(1000 + len(own), text)] if int(rare[0]) & 0xFFFF in hot else []
+    both = spark.createDataFrame(rows + own, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_documents.classes(both).filter("doc_id >= 1000").collect()} == {1000: 1000, 1001: 1001}
+
+
 def test_near_documents_compare_the_rest_of_a_bucket(spark):
     rng = np.random.default_rng(3)
     samples = rng.integers(0, 3, (90, 30))
