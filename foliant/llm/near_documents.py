@@ -20,7 +20,8 @@ of bounded size, and what agrees in enough samples is verified. So no candidate
 Equal texts (as plain words) are one text from the start, and copies are never expanded.
 
 Nulls, ties, edges: null, empty and wordless texts are no one's copy; repeated rows are copies; the class of a text is
-the smallest id in its group, where null ids do not count.
+the smallest id in its group, where null ids do not count. Texts are looked up by a hash of theirs, so that one without an
+id is compared and links others like any text.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(rows: DataFrame, documents: int, parts: int, size: int) -> DataFrame:
-    """(doc_id, key, samples, weight, counts) of each row; no key without words.
+    """(doc_id, digest, key, samples, weight, counts) of each row; no key without words.
 
     ``weight`` is that of all shingles, ``counts`` in how many documents each of them occurs, packed, in the order of ``shingles``.
     """
@@ -188,14 +189,14 @@ def signed(rows: DataFrame, documents: int, parts: int, size: int) -> DataFrame:
         weighed = [weights_of(n, c, documents) for n, c in zip(often, counts, strict=True)]
         drawn = signatures(found, weighed).view(np.int64)
         samples = [None if k is None else row for k, row in zip(keys, drawn, strict=True)]
-        columns = [docs.column("doc_id"), pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))]
+        columns = [docs.column("doc_id"), docs.column("digest"), pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))]
         columns += [pa.array([float(w.sum()) for w in weighed], pa.float64()), pa.array([pack_numbers(c) for c in counts], pa.binary())]
-        return pa.table(columns, names=["doc_id", "key", "samples", "weight", "counts"])
+        return pa.table(columns, names=["doc_id", "digest", "key", "samples", "weight", "counts"])
 
-    dealt = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("long").alias("batch"), "doc_id", "text")
+    dealt = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("long").alias("batch"), "doc_id", F.xxhash64("text").alias("digest"), "text")
     asked = dealt.groupBy("batch").applyInArrow(_asked(parts, size), "batch long, part long, keys binary, counts binary")
     answers = asked.groupBy("part").applyInArrow(_answered(parts), "batch long, part long, counts binary")
-    schema = "doc_id long, key binary, samples array<bigint>, weight double, counts binary"
+    schema = "doc_id long, digest long, key binary, samples array<bigint>, weight double, counts binary"
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
 
 
@@ -210,7 +211,7 @@ def _verified(documents: int, least: float, size: int):
                 rows = batch.take(pa.array(first))
                 found, often, keys = shingles(rows.column(f"text_{side}").to_pylist(), size)
                 wanted = zip(found, often, keys, rows.column(f"key_{side}").to_pylist(), rows.column(f"counts_{side}").to_pylist(), strict=True)
-                weighed = [(f, weights_of(n, unpack_numbers(c), documents)) if k == w else None for f, n, k, w, c in wanted]  # ids may be shared by other texts
+                weighed = [(f, weights_of(n, unpack_numbers(c), documents)) if k == w else None for f, n, k, w, c in wanted]  # hashes may be shared by other texts
                 sides.append([weighed[i] for i in at])
             links = [x is not None and y is not None and similarity(x, y) >= least for x, y in zip(*sides, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
@@ -224,7 +225,7 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
     documents, bytes_ = rows.agg(F.count_if(F.rlike("text", F.lit(WORD))), F.sum(F.octet_length("text"))).first()
     signs = materialise(signed(rows, documents, max(1, -(-(bytes_ or 0) // BATCH_BYTES)), size), "signed")
     kept = [F.first(c).alias(c) for c in ("samples", "weight", "counts")]
-    texts = signs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), *kept)
+    texts = signs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("digest").alias("digest"), *kept)
     texts = materialise(texts.withColumn("gid", F.monotonically_increasing_id()), "texts")
 
     bands = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]))
@@ -258,7 +259,7 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
         buckets = materialise(labelled.join(still.select("bucket"), "bucket", "left_semi"), "buckets")
         last = links < FRUITFUL * buckets.count()
 
-    whole = texts.drop("samples", "weight", "counts").join(named, "gid")
+    whole = texts.drop("digest", "samples", "weight", "counts").join(named, "gid")
     ids = whole.groupBy("component").agg(F.min("least_id").alias("class_id"))
     members = whole.join(ids, "component").select("key", "class_id")
     out = signs.select("doc_id", "key").join(members, "key", "left")
@@ -349,17 +350,17 @@ def _sent(ids: DataFrame) -> DataFrame:
 
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, documents: int, least: float, size: int) -> DataFrame:
     """The components (a, b) of texts that are similar enough, judged first by their samples and then by the texts."""
-    named = {"gid": "", "least_id": "id_", "samples": "samples_", "weight": "weight_"}
+    named = {"gid": "", "digest": "digest_", "samples": "samples_", "weight": "weight_"}
     one, other = (texts.select(*[F.col(c).alias(f"{prefix}{s}") for c, prefix in named.items()]) for s in "ab")
     agreeing = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda x: x))
     # the sum of minima is at most the smaller weight, the sum of maxima at least the larger one
     possible = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (least - 1e-9)
     close = pairs.join(one, "a").join(other, "b").filter(possible & (agreeing >= LEAST_AGREEING)).drop("samples_a", "samples_b", "weight_a", "weight_b")
     close = materialise(close, "close")
-    ends = [F.struct(F.col(s).alias("gid"), F.col(f"id_{s}").alias("doc_id")) for s in "ab"]
+    ends = [F.struct(F.col(s).alias("gid"), F.col(f"digest_{s}").alias("digest")) for s in "ab"]
     wanted = _sent(materialise(close.select(F.explode(F.array(*ends)).alias("end")).select("end.*").distinct(), "wanted"))
-    found = rows.join(wanted.select("doc_id"), "doc_id", "left_semi").distinct()
-    whole = texts.select("gid", "key", "counts").join(wanted, "gid").join(found, "doc_id")
+    found = rows.select(F.xxhash64("text").alias("digest"), "text").join(wanted.select("digest"), "digest", "left_semi").distinct()
+    whole = texts.select("gid", "key", "counts").join(wanted, "gid").join(found, "digest")
     for s in "ab":
         side = whole.select(F.col("gid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "counts", "text")])
         close = close.join(side, s)

@@ -304,6 +304,21 @@ def test_near_documents_count_each_shingle(spark):
     assert {r.doc_id: r.class_id for r in near_documents.classes(both).filter("doc_id >= 1000").collect()} == {1000: 1000, 1001: 1001}
 
 
+def test_near_documents_without_an_id_link_others(spark):
+    rng = np.random.default_rng(6)
+    some = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    one, others = some(300), [(10 + i, " ".join(some(50))) for i in range(30)]
+    bridge = one[:285] + some(15)
+    far = some(15) + bridge[15:]
+    alone = some(120)
+    rows = [(1, " ".join(one)), (None, " ".join(bridge)), (2, " ".join(far)), (None, " ".join(alone)), (None, " ".join([*alone[:119], "other"])), *others]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id) for r in near_documents.classes(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (None, None), (None, None), *[(i, i) for i, _ in others]], key=str)
+    apart = {r.doc_id: r.class_id for r in near_documents.classes(docs.filter("doc_id is not null")).collect()}
+    assert apart[1] == 1 and apart[2] == 2
+
+
 def test_near_documents_compare_the_rest_of_a_bucket(spark):
     rng = np.random.default_rng(3)
     samples = rng.integers(0, 3, (90, 30))
