@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import chat, decontaminate, line_runs, mixing, near_documents, near_vectors, quality, repeats, scoring, sharding
+from foliant.llm import chat, decontaminate, line_runs, mixing, near_documents, near_vectors, quality, repeats, scoring, sharding, token_counts
 from foliant.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op10_line_runs_by_words(spark: SparkSession, folder: str) -> DataFrame:
     return line_runs.query(spark, folder)
 
 
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of each document."""
+    return token_counts.query(spark, folder)
+
+
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_mix_sources": (op1_mix_sources, None),
@@ -79,4 +84,5 @@ QUERIES = {
     "op9_interpolated_scores": (op9_interpolated_scores, None),
     "op10_line_runs": (op10_line_runs, line_runs.SQL),
     "op10_line_runs_by_words": (op10_line_runs_by_words, None),
+    "op13_token_counts": (op13_token_counts, None),
 }
