@@ -35,8 +35,8 @@ from foliant.llm.common import table
 
 LIMIT = 1024
 PIECE = 4 << 20
-#: Merged stretches that a worker remembers.
-REMEMBERED = 200_000
+#: Merged stretches that a worker remembers, and the longest of them.
+REMEMBERED, SHORT = 200_000, 100
 CUT = re.compile(rb"[!-~](?= [!-~])")
 LETTER, NUMBER, OTHER, SPACE, SPECIAL = 1, 2, 3, 4, 5
 
@@ -69,7 +69,7 @@ class Vocabulary:
         self.special = re.compile(b"|".join(map(re.escape, self.specials))) if self.specials else None
         self.cuttable = not any(b" " in s for s in self.specials)
         self.classes = np.zeros(0x110000, np.uint8)
-        self.merged: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
 
     def classes_of(self, points: np.ndarray) -> np.ndarray:
         """The class of each character, by how the library splits it from a letter, a number and a sign."""
@@ -81,16 +81,23 @@ class Vocabulary:
             found = self.classes[points]
         return found
 
-    def tokens(self, stretch: bytes) -> int:
-        """How many tokens the merges leave of one stretch."""
-        n = self.merged.get(stretch)
-        if n is None:
-            if len(self.merged) >= REMEMBERED:
-                self.merged.clear()
-            n = len(self.model.tokenize(stretch.decode("latin-1").translate(self.letters)))
-            if len(stretch) < 100:
-                self.merged[stretch] = n
-        return n
+    def merged(self, stretches: pa.Array) -> list[int]:
+        """How many tokens the merges leave of each stretch."""
+        ends = np.cumsum(pc.binary_length(stretches).to_numpy()).tolist()
+        shown = b"".join(stretches.to_pylist()).decode("latin-1").translate(self.letters)
+        known, merge, out, start = self.known, self.model.tokenize, [], 0
+        if len(known) > REMEMBERED:
+            known.clear()
+        for end in ends:
+            own = shown[start:end]
+            n = known.get(own)
+            if n is None:
+                n = len(merge(own))
+                if end - start <= SHORT:
+                    known[own] = n
+            out.append(n)
+            start = end
+        return out
 
     def starts(self, points: np.ndarray, first: np.ndarray, special: np.ndarray) -> np.ndarray:
         """Where a stretch begins, by character. first: begins a text, or what stands beside a special string."""
@@ -140,7 +147,7 @@ class Vocabulary:
         alone = pc.is_in(coded.dictionary, value_set=pa.concat_arrays([self.whole, pa.array(self.specials, pa.large_binary())]))
         lengths = np.ones(len(coded.dictionary), np.int64)
         rest = np.flatnonzero(~alone.to_numpy(zero_copy_only=False))
-        lengths[rest] = [self.tokens(x) for x in coded.dictionary.take(pa.array(rest)).to_pylist()]
+        lengths[rest] = self.merged(coded.dictionary.take(pa.array(rest)))
         sums = np.concatenate([[0], np.cumsum(lengths[coded.indices.to_numpy(zero_copy_only=False)])])
         return np.diff(sums[np.searchsorted(begins, offsets)])
 

