@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.session import SETTINGS
+from foliant.session import SETTINGS, new_folder
 
 #: Bounds on what a Python worker holds at once, whatever the length of the texts.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
@@ -24,6 +24,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder whose few, large rows are written and read back a few megabytes at a time."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, name)
+    df.write.option("parquet.page.size.row.check.min", "1").option("parquet.page.size.row.check.max", "1").option("parquet.block.size", str(16 << 20)).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of ``df`` has, whatever extra columns came along."""
     taken = {c.lower() for c in df.columns}
