@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import chat, decontaminate, line_runs, mixing, near_documents, near_vectors, quality, repeats, scoring, sharding, token_counts, vector_codes
+from foliant.llm import chat, decontaminate, filter_audit, line_runs, mixing, near_documents, near_vectors, quality, repeats, scoring, sharding, token_counts, vector_codes
 from foliant.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op10_line_runs_by_words(spark: SparkSession, folder: str) -> DataFrame:
     return line_runs.query(spark, folder)
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each filter removes at each step of every order, by language."""
+    return filter_audit.query(spark, folder)
+
+
 def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Code and error of each vector, with a digest of the codebooks."""
     return vector_codes.query(spark, folder)
@@ -89,6 +94,7 @@ QUERIES = {
     "op9_interpolated_scores": (op9_interpolated_scores, None),
     "op10_line_runs": (op10_line_runs, line_runs.SQL),
     "op10_line_runs_by_words": (op10_line_runs_by_words, None),
+    "op11_filter_audit": (op11_filter_audit, filter_audit.SQL),
     "op12_vector_codes": (op12_vector_codes, vector_codes.SQL),
     "op13_token_counts": (op13_token_counts, None),
 }

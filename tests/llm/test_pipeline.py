@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_registered():
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not there")
