@@ -70,18 +70,21 @@ def test_against_brute_force(spark, size, monkeypatch):
     assert filter_audit.audited(filter_audit.failures(table.limit(0)), known.limit(0)).count() == 0
 
 
-def test_matrix_has_one_dictionary(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_matrix_has_one_dictionary(spark, monkeypatch, parts):
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", 1)
-    texts = ["b a b", "c a", "", "a a a b"]
+    texts = ["b a b", "c a", "", "a a a b größe", None, "größe\x0bd"]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
-    assert sorted(r.term for r in filter_audit.numbered(spark.createDataFrame([(w,) for w in "abcab"], "word string")).collect()) == [0, 1, 2]
+    matrix, dictionary = filter_audit.matrix(docs, parts)
+    words = {r.term: r.word for r in dictionary.collect()}
+    assert sorted(words) == list(range(5)) and sorted(words.values()) == sorted({"a", "b", "c", "d", "größe"})
     found = {}
-    for r in filter_audit.matrix(docs).collect():
+    for r in matrix.collect():
         indptr, indices, counts = (unpack_numbers(r[c]).tolist() for c in ("indptr", "indices", "counts"))
         for i, a, b in zip(r.doc_ids, indptr[:-1], indptr[1:], strict=True):
-            found[i] = dict(zip(indices[a:b], counts[a:b], strict=True))
-    a, b = next(t for t, n in found[3].items() if n == 3), next(t for t, n in found[3].items() if n == 1)
-    assert found[0] == {a: 1, b: 2} and found[2] == {} and found[1][a] == 1 and set(found[1]) - {a, b}
+            assert indices[a:b] == sorted(indices[a:b])
+            found[i] = {words[t]: n for t, n in zip(indices[a:b], counts[a:b], strict=True)}
+    assert found == {i: dict(Counter((t or "").split())) for i, t in enumerate(texts)}
     assert filter_audit.term_counts(pa.array([], pa.large_string()))[1].tolist() == [0]
 
 
