@@ -142,18 +142,39 @@ def rows_of(judged: DataFrame) -> DataFrame:
     )
 
 
+def with_extra(df: DataFrame) -> DataFrame:
+    """The body and what is beside it (``extra``, null where there is no such column) as one body that can be compared."""
+    extra = F.to_json("extra") if "extra" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("body", F.struct("body", extra.alias("extra"))).drop("extra")
+
+
+def without_extra(df: DataFrame) -> DataFrame:
+    """The two parts of bodies made by ``with_extra``, as columns."""
+    return df.withColumn("extra", F.parse_json("body.extra")).withColumn("body", F.col("body.body"))
+
+
 def apply_commands(hist: DataFrame, commands: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(new history rows, conflicts). Write the rows only if there are no conflicts."""
-    judged = judge(hist, normalise_ts(commands), width)
-    return rows_of(judged), conflicts_of(judged)
+    """(new history rows, conflicts). Write the rows only if there are no conflicts.
+
+    Where commands have an ``extra``, undeclared members belong to the body: a change of them alone makes a version.
+    """
+    commands = normalise_ts(commands)
+    if "extra" not in commands.columns:
+        judged = judge(hist, commands, width)
+        return rows_of(judged), conflicts_of(judged)
+    judged = judge(with_extra(hist), with_extra(commands), width)
+    return without_extra(rows_of(judged)), conflicts_of(judged)
 
 
 def add_entries(hist: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Idempotent adds of ``rows(position, entity_id, body, ...)``: (rows to add, conflicts).
 
     An id that already has the same body at version 1 is left as it is; another body is an integrity error (61).
-    Within the batch the first row of an id counts.
+    Within the batch the first row of an id counts. Where rows have an ``extra``, it belongs to the body.
     """
+    if "extra" in rows.columns:
+        added, conflicts = add_entries(with_extra(hist), with_extra(rows))
+        return without_extra(added).select(*rows.columns), conflicts
     first = rows.groupBy("entity_id").agg(
         F.min_by(F.struct("body"), "position").alias("_first"), F.min("position").alias("_pos")
     )
@@ -188,4 +209,5 @@ def as_add_commands(rows: DataFrame, user: str, message: str | None = None) -> D
         default("user", F.lit(user)),
         default("message", F.lit(message).cast("string")),
         (F.col("last_modified") if "last_modified" in have else F.lit(None).cast("double")).alias("last_modified"),
+        *(["extra"] if "extra" in have else []),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.rest import rest_changes
 from foliant.operators.history import HISTORY_PAGE, as_of, history_filter, history_page, with_previous
 
 CHANGE_ROW = "array<struct<type:string,field:string,before:string,after:string>>"
@@ -61,6 +62,11 @@ def diff(a: Column, b: Column, dtype: T.StructType) -> Column:
     return F.flatten(F.array(*members))
 
 
+def _with_rest(changes: Column, before: str, after: str, hist: DataFrame) -> Column:
+    """Changes of the declared members, and of the others where the history has any."""
+    return F.concat(changes, rest_changes(F.col(before), F.col(after))) if "extra" in hist.columns else changes
+
+
 def explode_changes(df: DataFrame, keys: list[str], name: str = "diff") -> DataFrame:
     return df.select(*keys, F.explode(name).alias("c")).select(*keys, "c.type", "c.field", "c.before", "c.after")
 
@@ -68,8 +74,9 @@ def explode_changes(df: DataFrame, keys: list[str], name: str = "diff") -> DataF
 def history_diffs(hist: DataFrame) -> DataFrame:
     """Every history row with its difference from the version before; version 1 is compared with nothing."""
     body = hist.schema["body"].dataType
-    rows = with_previous(hist, ["body"])
-    return rows.withColumn("diff", diff(F.col("previous_body"), F.col("body"), body)).drop("previous_body")
+    rows = with_previous(hist, ["body", "extra"] if "extra" in hist.columns else ["body"])
+    changes = _with_rest(diff(F.col("previous_body"), F.col("body"), body), "previous_extra", "extra", hist)
+    return rows.withColumn("diff", changes).drop("previous_body", "previous_extra")
 
 
 def history_page_diffs(hist: DataFrame, page: int = 0, page_size: int = HISTORY_PAGE, **bounds) -> DataFrame:
@@ -79,7 +86,10 @@ def history_page_diffs(hist: DataFrame, page: int = 0, page_size: int = HISTORY_
     rows = history_page(history_filter(hist, **bounds), page, page_size)
     on_page = Window.partitionBy(F.lit(0)).orderBy(F.col("last_modified").desc(), F.col("history_id").desc())
     rows = rows.withColumn("_newer", F.lag("body").over(on_page))
-    return rows.withColumn("diff", diff(F.col("_newer"), F.col("body"), body)).drop("_newer")
+    if "extra" in hist.columns:
+        rows = rows.withColumn("_newer_extra", F.lag("extra").over(on_page))
+    changes = _with_rest(diff(F.col("_newer"), F.col("body"), body), "_newer_extra", "extra", hist)
+    return rows.withColumn("diff", changes).drop("_newer", "_newer_extra")
 
 
 def version_diff(
@@ -104,7 +114,7 @@ def version_diff(
         "entity_id",
         "from_version",
         "to_version",
-        diff(F.col("from_body"), F.col("to_body"), body).alias("diff"),
+        _with_rest(diff(F.col("from_body"), F.col("to_body"), body), "from_extra", "to_extra", hist).alias("diff"),
     )
 
 
@@ -122,12 +132,13 @@ def _sides(hist, ids, from_version, from_date, to_version, to_date, supplied):
         older = as_of(hist, ids, version=from_version, after=from_date)
     else:
         older = as_of(hist, ids, oldest=True)
-    older = older.select("entity_id", F.col("version").alias("from_version"), F.col("body").alias("from_body"))
+    extra = lambda rows, name: (F.col("extra") if "extra" in rows.columns else F.lit(None).cast("variant")).alias(name)
+    older = older.select("entity_id", F.col("version").alias("from_version"), F.col("body").alias("from_body"), extra(older, "from_extra"))
     if to_version is not None or to_date is not None:
         newer = as_of(hist, ids, version=to_version, before=to_date)
     elif supplied is not None:
         newer = supplied.withColumn("version", F.lit(None).cast("int"))
     else:
         newer = as_of(hist, ids)
-    newer = newer.select("entity_id", F.col("version").alias("to_version"), F.col("body").alias("to_body"))
+    newer = newer.select("entity_id", F.col("version").alias("to_version"), F.col("body").alias("to_body"), extra(newer, "to_extra"))
     return older, newer

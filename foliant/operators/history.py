@@ -1,6 +1,7 @@
 """The append-only change log: latest state, as-of lookups, history pages.
 
-History rows: ``history_id, entity_id, version, last_modified, last_modified_by, body, status, message, op, discarded``.
+History rows: ``history_id, entity_id, version, last_modified, last_modified_by, body, status, message, op, discarded``
+and ``extra``, what a record holds beside its declared members (``functions.rest``); tables without it have none.
 ``history_id`` is a unique increasing integer, so ``history_id div WIDTH`` splits even one entity that holds a large
 part of the log into groups of bounded size; per-entity running values are made inside those groups and carried
 from group to group.
@@ -33,10 +34,17 @@ def history_type(body: T.DataType) -> T.StructType:
             T.StructField("message", T.StringType()),
             T.StructField("op", T.StringType()),
             T.StructField("discarded", T.BooleanType()),
+            T.StructField("extra", T.VariantType()),
         ]
     )
 
 
+def as_history(rows: DataFrame, body: T.DataType) -> DataFrame:
+    """Rows with the columns of a history table; without ``extra`` there are no undeclared members."""
+    have = rows if "extra" in rows.columns else rows.withColumn("extra", F.lit(None).cast("variant"))
+    return have.select(*[F.col(f.name) if f.name == "extra" else F.col(f.name).cast(f.dataType) for f in history_type(body).fields])
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: str | Column, pick: str = "max") -> DataFrame:
     """The row with the greatest (or least) ``order`` per key.
 
@@ -49,9 +57,24 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str | Column, pick: st
     return best.select("_row.*")
 
 
+def chosen_rows(hist: DataFrame, order: list[str], pick: str = "max") -> DataFrame:
+    """The row of every entity with the greatest (or least) ``order``, whose last column is ``history_id``.
+
+    Two steps: an aggregation of the narrow columns names the row of each entity, and whole rows are kept by a semi-join
+    on the name. Bodies take no part in the aggregation and are sent on only where the names are too many to broadcast,
+    by (entity, history id), which spreads an entity with very many versions.
+    """
+    best = F.max if pick == "max" else F.min
+    if len(order) == 1:
+        names = hist.groupBy("entity_id").agg(best(order[0]).alias("history_id"))
+    else:
+        names = hist.groupBy("entity_id").agg(best(F.struct(*order)).alias("_best")).select("entity_id", "_best.history_id")
+    return hist.join(names, ["entity_id", "history_id"], "left_semi")
+
+
 def heads(hist: DataFrame) -> DataFrame:
     """The newest row of every entity, deleted ones included."""
-    return latest_per_key(hist, ["entity_id"], "history_id")
+    return chosen_rows(hist, ["history_id"])
 
 
 def _touched(hist: DataFrame, since: float) -> DataFrame:
@@ -107,14 +130,14 @@ def as_of(
     """
     if ids is not None:
         hist = hist.join(ids.select("entity_id"), "entity_id", "left_semi")
-    time = F.struct("last_modified", "history_id")
+    time = ["last_modified", "history_id"]
     if version is not None:
         return hist.filter(F.col("version") == version)
     if after is not None:
-        return latest_per_key(hist.filter(F.col("last_modified") >= after), ["entity_id"], time, "min")
+        return chosen_rows(hist.filter(F.col("last_modified") >= after), time, "min")
     if before is not None:
-        return latest_per_key(hist.filter(F.col("last_modified") <= before), ["entity_id"], time)
-    return latest_per_key(hist, ["entity_id"], time, "min" if oldest else "max")
+        return chosen_rows(hist.filter(F.col("last_modified") <= before), time)
+    return chosen_rows(hist, time, "min" if oldest else "max")
 
 
 def history_filter(

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliant.operators.commands import apply_commands
 from foliant.operators.derive import Context, derive
-from foliant.operators.history import heads, history_type
+from foliant.operators.history import as_history, heads, history_type
 from foliant.plans.spec import Spec
 from foliant.session import materialise
 from foliant.sources.entries import dense_index
@@ -91,8 +91,7 @@ def stream_commands(
             return
         top = hist.agg(F.max("history_id").alias("m")).first()["m"]
         numbered = dense_index(rows, ["last_modified", "position"], "history_id", 0 if top is None else top + 1)
-        wanted = history_type(body)
-        numbered.select(*[F.col(f.name).cast(f.dataType) for f in wanted.fields]).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
+        as_history(numbered, body).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
 
     reader = spark.readStream.schema(command_type(body))
     if files_per_batch:

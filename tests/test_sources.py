@@ -1,10 +1,12 @@
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.functions import ids
+from foliant.functions import ids, rest
+from foliant.operators import diff as X
 from foliant.operators import lookups as L
 from foliant.operators import validate as V
 from foliant.operators.commands import apply_commands
@@ -82,9 +84,9 @@ def write_lines(spark, lines):
 
 def test_reading(spark):
     folder = write_lines(spark, ['{"name":"a","n":1,"zz":{"q":1}}', "{broken", '{"name":"b"}'])
-    rows = E.read_entries(spark, folder, SPEC).orderBy("position").collect()
+    rows = E.read_entries(spark, folder, SPEC).withColumn("extra", F.to_json("extra")).orderBy("position").collect()
     assert [r.entry and r.entry.name for r in rows] == ["a", None, "b"]
-    assert json.loads(rows[0].extra) == {"zz": '{"q":1}'} and rows[2].extra is None
+    assert json.loads(rows[0].extra) == {"zz": {"q": 1}} and rows[2].extra is None
     whole = write_lines(spark, ['[{"name":"a"},{"name":"b","n":2}]'])
     assert [r.entry.name for r in E.read_entries(spark, whole, SPEC, array=True).orderBy("position").collect()] == ["a", "b"]
     env = write_lines(spark, ['{"id":"E1","last_modified":5.5,"user":"u","message":"m","entry":{"name":"a"}}', '{"entry":{"name":"b"}}'])
@@ -93,6 +95,117 @@ def test_reading(spark):
     assert len(second.entity_id) == 26 and (second.user, second.message) == ("job", "msg")
 
 
+def _write(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "w", encoding="utf-8") as file:
+        file.write(text)
+    return f"{folder}/{name}"
+
+
+def test_arrays_over_splits(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["}", "{", "]},{", 'a"b', "\\", "\\\\}", "ä]", "", "x" * 300]
+    made = lambda depth: {rng.choice("abc") + str(i): rng.choice(texts) if depth == 0 or rng.random() < 0.5 else [made(depth - 1), rng.choice(texts), None] for i in range(rng.randrange(4))}
+    files = {}
+    for name, n, indent in (("one", 300, None), ("two", 200, 2), ("none", 0, None), ("long", 3, None)):
+        rows = [{"file": name, "i": i, **made(2)} for i in range(n)]
+        if name == "long":
+            rows[1]["a"] = "}," * 9000  # one record over many splits
+            rows[0]["a"] = ["[{"] * 3000
+        files[name] = rows
+        _write(str(tmp_path), name, json.dumps(rows, indent=indent, ensure_ascii=name == "two"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "1000", "277"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        read = [json.loads(r.raw) for r in E.read_raw_array(spark, str(tmp_path)).orderBy("position").collect()]
+        for name, rows in files.items():
+            assert [r for r in read if r["file"] == name] == rows
+        assert len(read) == 503
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(
+    "text, whole, faults",
+    [
+        ('[{"a":1},{"a":2},', 2, 1),
+        ('[{"a":1},{"a":2', 1, 1),
+        ('[{"a":1},{"a":2}', 2, 1),
+        ('[{"a":1},{"a":{"b":2}', 1, 1),
+        ('[{"a":1}] more', 1, 1),
+        ('[{"a":1},"x',1, 1),
+        ('[{"a":1}]\n', 1, 0),
+        (' [ ] ', 0, 0),
+        ('[{"a":1}, 7, {"a":2}]', 1, 1),
+        ('[[{"a":1}], {"a":2}]', 0, 1),
+        ('{"a":1}', 0, 1),
+    ],
+)
+def test_broken_arrays(spark, tmp_path, text, whole, faults):
+    path = _write(str(tmp_path), "broken.json", text)
+    rows = E.read_entries(spark, path, Spec.from_dict({"resource_id": "things", "fields": {"a": {"type": "integer"}}}), array=True)
+    good, bad = V.validate(rows, Spec.from_dict({"resource_id": "things", "fields": {"a": {"type": "integer"}}}))
+    assert (good.count(), bad.count()) == (whole, faults)
+
+
+EVERY = [
+    {"name": "a", "u": {"b": 2, "c": [1, None]}, "z": None},
+    {"name": "b", "n": None, "rows": [{"k": 1, "note": "n"}, {"k": 2}]},
+    {"name": "c", "obj": {"a": "z", "more": {"p": [1, {"q": None}]}}},
+    {"name": "d", "tags": ["x", None], "flag": True},
+    {"name": "e", "rows": [], "obj": {"a": "y"}},
+]
+OPEN = Spec.from_dict({**{"resource_id": "things"}, "fields": {"name": {"type": "string"}, "n": {"type": "integer"}, "flag": {"type": "boolean"}, "tags": {"type": "string", "collection": True}, "rows": {"type": "object", "collection": True, "fields": {"k": {"type": "integer"}}}, "obj": {"type": "object", "fields": {"a": {"type": "string"}}}, "_copy": {"virtual": True, "plugin": "copy", "params": {"config": {"type": "string"}}, "field_params": {"value": "name"}}}})
+
+
+def test_every_member_is_kept(spark):
+    """Import, history, update, difference, export and back."""
+    folder = write_lines(spark, [json.dumps({"id": f"E{i}", "last_modified": float(i), "user": "u", "message": "m", "entry": r}) for i, r in enumerate(EVERY)])
+    path, out = new_folder(spark, "hist"), new_folder(spark, "export")
+    rows = [json.loads(r) for r, in E.read_import(spark, folder, OPEN, "job").select("raw").collect()]
+    assert sorted(r["name"] for r in rows) == list("abcde")
+    good = E.read_import(spark, folder, OPEN, "job").drop("body", "extra")
+    # nulls of declared members are no valid values
+    valid = {r["name"]: r for r in EVERY if r["name"] not in "bd"}
+    E.bulk_add(spark, path, good.filter(~F.get_json_object("raw", "$.name").isin("b", "d")), OPEN, "job")
+    hist = E.read_history(spark, path, OPEN.body_type())
+    E.export(hist, OPEN, out, entry_only=True)
+    assert {r["name"]: r for r in (json.loads(x.value) for x in spark.read.text(out).collect())} == valid
+    expanded = new_folder(spark, "expanded")
+    E.export(hist, OPEN, expanded, expand=True)
+    assert {r["entry"]["name"]: r["entry"] for r in (json.loads(x.value) for x in spark.read.text(expanded).collect())} == {n: {**r, "_copy": n} for n, r in valid.items()}
+    for r in EVERY:
+        row = spark.createDataFrame([(json.dumps(r),)], "raw string").select(E.body_of(F.col("raw"), OPEN).alias("b"), rest.rest_of(F.col("raw"), OPEN).alias("r"))
+        assert json.loads(row.select(F.to_json(rest.merged(F.col("b"), F.col("r"), OPEN))).first()[0]) == r
+    # a change of undeclared members alone is a new version, and the same record is none
+    changed = {"name": "a", "u": {"b": 3, "c": [1]}, "w": "new"}
+    sent = spark.createDataFrame([(1, "update_entry", "E0", 1, json.dumps(changed)), (2, "update_entry", "E0", 2, json.dumps(changed)), (3, "update_entry", "E2", 1, json.dumps(EVERY[2])), (4, "delete_entry", "E4", 1, None)], "position long, cmdtype string, entity_id string, version long, raw string")
+    commands = sent.select("position", "cmdtype", "entity_id", "version", E.body_of(F.col("raw"), OPEN).alias("body"), rest.rest_of(F.col("raw"), OPEN).alias("extra"), F.lit("v").alias("user"), F.lit("").alias("message"), (F.lit(100.0) + F.col("position")).alias("last_modified"))
+    made, conflicts = apply_commands(hist, commands)
+    assert conflicts.count() == 0
+    E.append_history(spark, path, made, OPEN.body_type())
+    hist = E.read_history(spark, path, OPEN.body_type())
+    assert sorted((r.entity_id, r.version, r.op) for r in hist.filter("last_modified > 50").collect()) == [("E0", 2, "UPDATED"), ("E4", 2, "DELETED")]
+    diffs = {(c.type, c.field, c.before, c.after) for c in X.explode_changes(X.history_diffs(hist).filter("entity_id = 'E0' and version = 2"), ["entity_id"]).collect()}
+    wanted = {("CHANGE", "u.b", "2", "3"), ("REMOVED", "u.c[1]", "null", None), ("REMOVED", "z", "null", None), ("ADDED", "w", None, "new")}
+    assert diffs == wanted
+    assert {(c.type, c.field, c.before, c.after) for c in X.explode_changes(X.version_diff(hist).filter("entity_id = 'E0'"), ["entity_id"]).collect()} == wanted
+    again = new_folder(spark, "again")
+    E.export(hist, OPEN, again, entry_only=True)
+    assert {r["name"]: r for r in (json.loads(x.value) for x in spark.read.text(again).collect())} == {"a": changed, "c": EVERY[2]}
+
+
+def test_chunked_add(spark):
+    raws = [json.dumps({"name": f"n{i}"}) for i in range(12)]
+    for broken, kept in ((0, 0), (1, 1), (5, 1), (6, 6), (9, 6), (None, 12)):
+        path = new_folder(spark, "hist")
+        rows = [(i * 10, "{}" if i == broken else raw) for i, raw in enumerate(raws)]
+        _, bad = E.bulk_add(spark, path, spark.createDataFrame(rows, "position long, raw string"), SPEC, "me", chunk=5)
+        assert bad.count() == (broken is not None)
+        assert E.read_history(spark, path, SPEC.body_type()).count() == kept
+
+
 def test_append_and_export(spark):
     path = new_folder(spark, "hist")
     raw = spark.createDataFrame([(i, json.dumps({"name": f"n{i}", "n": i})) for i in range(50)], "position long, raw string")
