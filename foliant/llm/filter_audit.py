@@ -38,7 +38,7 @@ from foliant.llm.common import mixed, table, written
 from foliant.llm.packing import pack_numbers, unpack_numbers
 from foliant.session import materialise
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of text for each part of the global dictionary.
 PART_BYTES = 32 << 20
 LEAST_WORDS = 200
