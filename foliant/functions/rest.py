@@ -11,21 +11,12 @@ import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliant.plans.spec import Field, Spec
+from foliant.functions.paths import bind
+from foliant.plans.spec import SCALARS, Field, Spec
 
 MEMBERS = "map<string,variant>"
-# How the types of JSON values are called, by declared type.
-SHAPES = {
-    "string": "STRING",
-    "long_string": "STRING",
-    "integer": "BIGINT|INT|DECIMAL|DOUBLE",
-    "number": "BIGINT|INT|DECIMAL|DOUBLE|FLOAT",
-    "boolean": "BOOLEAN",
-    "dense_vector": "ARRAY",
-}
-
-
 def _members(v: Column) -> Column:
     return F.try_variant_get(v, "$", MEMBERS)
 
@@ -46,44 +37,60 @@ def _fits(v: Column, f: Field) -> Column:
     """Whether a value has the shape of one declared value."""
     if f.is_object:
         return _members(v).isNotNull()
-    shaped = F.schema_of_variant(v).rlike(f"^({SHAPES[f.type]})")
+    shape = F.schema_of_variant(v)
+    if SCALARS[f.type] == T.StringType():
+        return shape == "STRING"
+    if f.type == "boolean":
+        return shape == "BOOLEAN"
+    if f.type == "dense_vector":
+        return _items(v).isNotNull()
+    number = shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL")
     if f.type == "integer":
-        number = F.try_variant_get(v, "$", "double")
-        return shaped & (number == F.floor(number))
-    return shaped
+        value = F.try_variant_get(v, "$", "double")
+        return (shape == "BIGINT") | (number & (value == F.floor(value)))
+    return number
 
 
 def _fitting(f: Field):
     return lambda x: F.is_variant_null(x) | F.coalesce(_fits(x, f), F.lit(False))
 
 
+def _kept_of(member: Column, f: Field) -> Column:
+    """What to keep of a declared member, as a variant; null if its body holds all of it."""
+    if not f.collection:
+        fits = F.coalesce(_fits(member, f), F.lit(False)) & ~F.is_variant_null(member)
+        below = bind(_rest(member, f.fields), lambda m: F.when(m.isNotNull(), F.to_variant_object(m))) if f.is_object else F.lit(None).cast("variant")
+        return F.when(fits, below).otherwise(member)
+
+    def of_items(items: Column) -> Column:
+        fits = F.coalesce(F.forall(items, _fitting(f)), F.lit(False))
+        if not f.is_object:
+            return F.when(~fits, member)
+        each = F.transform(items, _resting(f.fields))
+        some = bind(each, lambda rests: F.when(F.exists(rests, lambda x: x.isNotNull()), F.to_variant_object(F.transform(rests, _object))))
+        return F.when(fits, some).otherwise(member)
+
+    return bind(_items(member), of_items)
+
+
 def _rest(v: Column, fields: dict[str, Field]) -> Column:
     """The members to keep of an object, as a map; null if there are none."""
-    given = _members(v)
-    whole, nested = [], []  # declared members that are kept as they are, and those of which parts are kept
-    for name, f in fields.items():
-        if f.virtual:
-            continue
-        member = F.element_at(given, F.lit(name))
-        if f.collection:
-            items = _items(member)
-            fits = items.isNotNull() & F.forall(items, _fitting(f))
-            if f.is_object:
-                each = F.transform(items, _resting(f.fields))
-                part = F.when(fits & F.exists(each, lambda x: x.isNotNull()), F.to_variant_object(F.transform(each, _object)))
-                nested.append((name, part))
-        else:
-            fits = _fits(member, f)
-            if f.is_object:
-                below = _rest(member, f.fields)
-                nested.append((name, F.when(below.isNotNull(), _object(below))))
-        whole.append(F.when(member.isNotNull() & (F.is_variant_null(member) | ~F.coalesce(fits, F.lit(False))), F.lit(name)))
-    declared = F.array(*[F.lit(n) for n, f in fields.items() if not f.virtual]) if whole else F.array().cast("array<string>")
-    kept = F.map_filter(given, lambda k, _x: ~F.array_contains(declared, k) | F.array_contains(F.array_compact(F.array(*whole)), k)) if whole else given
-    if nested:
-        pairs = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in nested])
-        kept = F.map_concat(kept, F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))
-    return F.when(F.size(kept) > 0, kept)
+    declared = {name: f for name, f in fields.items() if not f.virtual}
+
+    def of_members(given: Column) -> Column:
+        kept = given
+        if declared:
+            names = F.array(*map(F.lit, declared))
+            pairs = [F.struct(F.lit(n).alias("key"), bind(F.element_at(given, F.lit(n)), _keeping(f)).alias("value")) for n, f in declared.items()]
+            parts = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
+            kept = F.map_concat(F.map_filter(given, lambda k, _x: ~F.array_contains(names, k)), parts)
+        return bind(kept, lambda m: F.when(F.size(m) > 0, m))
+
+    return bind(_members(v), of_members)
+
+
+def _keeping(f: Field):
+    return lambda member: F.when(member.isNotNull(), _kept_of(member, f))
 
 
 def _resting(fields: dict[str, Field]):
@@ -92,31 +99,36 @@ def _resting(fields: dict[str, Field]):
 
 def rest_of(raw: Column, spec: Spec) -> Column:
     """What the body of a JSON record does not hold, as a variant; null if that is nothing or the text is no object."""
-    kept = _rest(F.try_parse_json(raw), spec.fields)
-    return F.when(kept.isNotNull(), F.to_variant_object(kept))
+    return bind(_rest(F.try_parse_json(raw), spec.fields), lambda kept: F.when(kept.isNotNull(), F.to_variant_object(kept)))
 
 
 def _merged(body: Column, rest: Column, fields: dict[str, Field]) -> Column:
     """The members of a body and its rest, as a map."""
-    more = F.coalesce(_members(rest), _none())
-    pairs = []
-    for name, f in fields.items():
-        if f.virtual:
-            continue
-        value, beside = body.getField(name), F.element_at(more, F.lit(name))
-        if f.collection and f.is_object:
-            items = _items(beside)
-            shown = F.to_variant_object(F.transform(value, _merging(_items(beside), f.fields)))
-        elif f.is_object:
-            shown = _object(_merged(value, beside, f.fields))
-        else:  # what the rest holds of such a field is the whole value
-            shown = F.to_variant_object(value) if f.collection or f.type == "dense_vector" else value.cast("variant")
-            shown = F.coalesce(beside, shown)
-        pairs.append(F.struct(F.lit(name).alias("key"), F.when(value.isNotNull(), shown).alias("value")))
-    if not pairs:
-        return more
-    typed = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
-    return F.map_concat(typed, F.map_filter(more, lambda k, _x: ~F.map_contains_key(typed, k)))
+
+    def with_rest(more: Column) -> Column:
+        pairs = []
+        for name, f in fields.items():
+            if f.virtual:
+                continue
+            value, beside = body.getField(name), F.element_at(more, F.lit(name))
+            if f.collection and f.is_object:
+                shown = bind(_items(beside), _merging_all(value, f.fields))
+            elif f.is_object:
+                shown = _object(_merged(value, beside, f.fields))
+            else:  # what the rest holds of such a field is the whole value
+                shown = F.to_variant_object(value) if f.collection or f.type == "dense_vector" else value.cast("variant")
+                shown = F.coalesce(beside, shown)
+            pairs.append(F.struct(F.lit(name).alias("key"), F.when(value.isNotNull(), shown).alias("value")))
+        if not pairs:
+            return more
+        typed = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
+        return bind(typed, lambda t: F.map_concat(t, F.map_filter(more, lambda k, _x: ~F.map_contains_key(t, k))))
+
+    return bind(F.coalesce(_members(rest), _none()), with_rest)
+
+
+def _merging_all(value: Column, fields: dict[str, Field]):
+    return lambda items: F.to_variant_object(F.transform(value, _merging(items, fields)))
 
 
 def _merging(items: Column, fields: dict[str, Field]):
@@ -127,8 +139,8 @@ def merged(body: Column, rest: Column, spec: Spec, derived: Column | None = None
     """The record that body and rest were made of, as a variant; null where both are. ``derived``: a struct of more members."""
     members = _merged(body, rest, spec.fields)
     if derived is not None:
-        more = _members(F.parse_json(F.to_json(derived)))
-        members = F.map_concat(members, F.map_filter(F.coalesce(more, _none()), lambda k, _x: ~F.map_contains_key(members, k)))
+        more = F.coalesce(_members(F.parse_json(F.to_json(derived))), _none())
+        members = bind(members, lambda m: F.map_concat(m, F.map_filter(more, lambda k, _x: ~F.map_contains_key(m, k))))
     return F.when(body.isNotNull() | rest.isNotNull(), _object(members))
 
 

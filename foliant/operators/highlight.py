@@ -49,12 +49,14 @@ def _matcher(p: Compare | Freetext) -> Matcher:
         "contains": lambda w: F.contains(w, F.lit(arg)),
         "startswith": lambda w: F.startswith(w, F.lit(arg)),
         "endswith": lambda w: F.endswith(w, F.lit(arg)),
-        "regexp": lambda w: F.rlike(w, F.lit(f"^(?:{arg})$")),
         "gt": lambda w: w > F.lit(arg),
         "gte": lambda w: w >= F.lit(arg),
         "lt": lambda w: w < F.lit(arg),
         "lte": lambda w: w <= F.lit(arg),
     }
+    pattern = p.word_pattern() if isinstance(p, Compare) else None
+    if pattern:  # the same test that finds the entry
+        return lambda words: F.transform(words, lambda w: F.rlike(w, F.lit(f"^(?:{pattern})$")))
     return phrase if op == "equals" else lambda words: F.transform(words, tests[op])
 
 

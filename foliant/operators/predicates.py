@@ -170,6 +170,12 @@ class Compare(Predicate):
         arg = str(self.value)
         return {"contains": f".*{arg}.*", "startswith": f"{arg}.*", "endswith": f".*{arg}"}.get(self.op, arg)
 
+    def word_pattern(self) -> str | None:
+        """The regular expression that has to match a word completely, for the tests that are one."""
+        if self.op == "regexp" or (self.regex and self.op in ("contains", "startswith", "endswith")):
+            return f"(?iu){self._pattern()}"
+        return None
+
     def _typed(self, col: Column, kind: str | None) -> Column:
         if self.op in ("regexp", "contains", "startswith", "endswith"):
             if kind != "keyword":
@@ -189,8 +195,8 @@ class Compare(Predicate):
             return text.text_contains_phrase(col, phrase)
         arg = str(self.value).lower()
         words = _words(scope, col, at)
-        if self.op == "regexp" or (self.regex and self.op in ("contains", "startswith", "endswith")):
-            return text.any_word_matches(words, f"(?iu){self._pattern()}")
+        if self.word_pattern():
+            return text.any_word_matches(words, self.word_pattern())
         if self.op == "contains":
             return text.any_word_contains(words, arg)
         if self.op == "startswith":

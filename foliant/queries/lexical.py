@@ -83,11 +83,10 @@ def paradigms(spark) -> DataFrame:
 
 
 def _vocabulary(spark, d) -> DataFrame:
-    words = T.load(spark, d, "documents").select(F.explode(F.array_distinct(text.analyze(F.col("text")))).alias("lemma")).distinct()
-    return words.filter(F.rlike("lemma", F.lit("^[a-zåäö]+$")))
+    return T.load(spark, d, "documents").select(F.explode(F.array_distinct(text.analyze(F.col("text")))).alias("lemma")).distinct()
 
 
-_VOCAB = f"w AS (SELECT DISTINCT unnest({T.sql_words('text')}) AS lemma FROM documents), voc AS (SELECT lemma FROM w WHERE regexp_full_match(lemma, '[a-zåäö]+'))"
+_VOCAB = f"voc AS (SELECT DISTINCT unnest({T.sql_words('text')}) AS lemma FROM documents)"
 _LAST = "regexp_extract(lemma, '^(.*)([{0}])([^{0}]*)$', {1})"
 _OM = f"CASE WHEN regexp_matches(lemma, '[aouåy]') THEN {_LAST.format('aouåy', 1)} || translate({_LAST.format('aouåy', 2)}, 'aouåy', 'äööäö') || {_LAST.format('aouåy', 3)} ELSE lemma END"
 _AV = f"CASE WHEN regexp_matches(lemma, '[aouåeiyäö]') THEN {_LAST.format('aouåeiyäö', 1)} || 'i' || {_LAST.format('aouåeiyäö', 3)} ELSE lemma END"

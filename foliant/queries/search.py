@@ -175,12 +175,10 @@ def raw_values(spark, d):
 
 @add(
     "T3_swedish_order",
-    f"WITH {WORDS}, e AS (SELECT DISTINCT unnest(words) AS word FROM w) SELECT word FROM e WHERE regexp_full_match(word, '[a-zåäö]+') "
-    "ORDER BY translate(word, 'åäö', '{|}') DESC LIMIT 200",
+    f"WITH {WORDS}, e AS (SELECT DISTINCT unnest(words) AS word FROM w) SELECT word FROM e ORDER BY word COLLATE sv DESC LIMIT 200",
 )
 def swedish_order(spark, d):
     words = T.load(spark, d, "documents").select(F.explode(F.array_distinct(text.analyze(F.col("text")))).alias("word")).distinct()
-    words = words.filter(F.rlike("word", F.lit("^[a-zåäö]+$")))
     return words.orderBy(text.sv_sort(F.col("word")).desc()).limit(200)
 
 
@@ -192,6 +190,15 @@ def highlight(spark, d):
     return rows.select("code", "field", F.get("fragments", F.lit(0)).alias("fragment"))
 
 
+@add("T4_highlight_regexp", "SELECT p_partkey AS code, 'name' AS field, regexp_replace(p_name, '([\\p{L}\\p{N}_]*n[\\p{L}\\p{N}_]*)', '<em>\\1</em>', 'g') AS fragment FROM part WHERE regexp_matches(p_name, 'n')")
+def highlight_regexp(spark, d):
+    """Words without a digit that hold an n: what the pattern finds is what is marked."""
+    p = P.regexp("name", r"\D*N\D*")
+    hits = H.highlight(P.matching(T.parts(spark, d), p, T.PARTS), p, T.PARTS)
+    rows = hits.select(F.col("entry.code").alias("code"), F.explode("highlight").alias("field", "fragments"))
+    return rows.select("code", "field", F.get("fragments", F.lit(0)).alias("fragment"))
+
+
 @add("T5_highlight_positions", f"WITH {T.SQL_LINES} SELECT code, 'lines[' || pos || '].flag' AS field, '<em>R</em>' AS fragment FROM l WHERE flag = 'R'")
 def highlight_positions(spark, d):
     p = P.sub("lines", P.equals("flag", "r"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.rest import rest_of
 from foliant.operators import commands as C
+from foliant.operators import diff as X
 from foliant.operators import history as H
 from foliant.operators.collections import hide_unstored
 from foliant.queries import tables as T
@@ -33,7 +35,29 @@ def read_entries(spark, d):
     rows.withColumn("note", F.col("priority")).write.json(folder)
     read = E.read_entries(spark, folder, T.ORDERS)
     lines = F.coalesce(F.size(F.coalesce("entry.lines", F.array().cast(read.schema["entry"].dataType["lines"].dataType))), F.lit(0))
-    return read.select("entry.code", "entry.status", as_long(lines, "lines"), "extra")
+    return read.select("entry.code", "entry.status", as_long(lines, "lines"), F.to_json("extra").alias("extra"))
+
+
+@add("S1_read_arrays", QUERIES["S1_read_entries"][1])
+def read_arrays(spark, d):
+    """The same from files that hold one JSON array each, as many as there are tasks."""
+    rows = T.order_rows(spark, d).withColumn("note", F.col("priority"))
+    folder = new_folder(spark, "arrays")
+
+    def in_brackets(batches):
+        import pyarrow as pa
+
+        before = "["
+        for batch in batches:
+            texts = batch.column("value").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([(before if i == 0 else ",") + t for i, t in enumerate(texts)], pa.string())], names=["value"])
+            before = "," if texts else before
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"])], names=["value"])
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(in_brackets, "value string").write.text(folder)
+    read = E.read_entries(spark, folder, T.ORDERS, array=True)
+    lines = F.coalesce(F.size(F.coalesce("entry.lines", F.array().cast(read.schema["entry"].dataType["lines"].dataType))), F.lit(0))
+    return read.select("entry.code", "entry.status", as_long(lines, "lines"), F.to_json("extra").alias("extra"))
 
 
 @add("S2_read_import", "SELECT c_custkey AS code, CASE WHEN c_nationkey > 12 THEN 26 ELSE len('C' || c_custkey) END AS id_length, CASE WHEN c_mktsegment = 'BUILDING' THEN 'builder' ELSE 'job' END AS \"user\", 'imported' AS message, CAST(c_custkey AS DOUBLE) AS last_modified FROM customer")
@@ -110,6 +134,60 @@ def import_entries(spark, d):
     return hist.select("body.code", "entity_id", F.col("last_modified_by").alias("user"), "last_modified", "history_id")
 
 
+# customers with members that are not declared, at two levels and with nulls; those of some nations are changed later, in
+# these members alone
+_RECORD = "concat('{\"code\":', c_custkey, ',\"name\":\"', c_name, '\",\"note\":{\"segment\":\"', c_mktsegment, '\",\"list\":[', c_nationkey, ',null]},\"gone\":null}')"
+_CHANGED_RECORD = "concat('{\"code\":', c_custkey, ',\"name\":\"', c_name, '\",\"note\":{\"segment\":\"X\",\"list\":[', c_nationkey, ']},\"added\":{\"at\":[]}}')"
+
+
+def kept_history(spark, d):
+    people = T.load(spark, d, "customer")
+    folder, path = new_folder(spark, "import"), new_folder(spark, "history")
+    envelope = F.concat(F.lit('{"id":"C'), "c_custkey", F.lit('","last_modified":1.0,"entry":'), F.expr(_RECORD), F.lit("}"))
+    people.select(envelope.alias("value")).write.text(folder)
+    E.bulk_add(spark, path, E.read_import(spark, folder, T.CUSTOMERS, "job").drop("body", "extra"), T.CUSTOMERS, "job")
+    body = T.CUSTOMERS.body_type()
+    raw = F.expr(_CHANGED_RECORD)
+    commands = people.filter("c_nationkey < 12").select(
+        F.col("c_custkey").cast("long").alias("position"), F.lit(C.UPDATE).alias("cmdtype"), F.concat(F.lit("C"), "c_custkey").alias("entity_id"), F.lit(1).cast("long").alias("version"),
+        E.body_of(raw, T.CUSTOMERS).alias("body"), rest_of(raw, T.CUSTOMERS).alias("extra"), F.lit("editor").alias("user"), F.lit("").alias("message"), F.lit(2.0).alias("last_modified"),
+    )
+    rows, _ = C.apply_commands(E.read_history(spark, path, body), commands)
+    E.append_history(spark, path, rows, body)
+    return E.read_history(spark, path, body)
+
+
+_NOTE = """'{"gone":null,"note":{"list":[' || c_nationkey || ',null],"segment":"' || c_mktsegment || '"}}'"""
+_NEW_NOTE = """'{"added":{"at":[]},"note":{"list":[' || c_nationkey || '],"segment":"X"}}'"""
+
+
+@add("V13_every_member", f"SELECT 'C' || c_custkey AS entity_id, 1 AS version, 'ADDED' AS op, {_NOTE} AS extra FROM customer UNION ALL SELECT 'C' || c_custkey, 2, 'UPDATED', {_NEW_NOTE} FROM customer WHERE c_nationkey < 12")
+def every_member(spark, d):
+    return kept_history(spark, d).select("entity_id", "version", "op", F.to_json("extra").alias("extra"))
+
+
+@add(
+    "S4_export_every_member",
+    """SELECT CASE WHEN c_nationkey < 12 THEN '{"added":{"at":[]},"code":' || c_custkey || ',"name":"' || c_name || '","note":{"list":[' || c_nationkey || '],"segment":"X"}}'
+    ELSE '{"code":' || c_custkey || ',"gone":null,"name":"' || c_name || '","note":{"list":[' || c_nationkey || ',null],"segment":"' || c_mktsegment || '"}}' END AS record FROM customer""",
+)
+def export_every_member(spark, d):
+    folder = new_folder(spark, "export")
+    E.export(kept_history(spark, d), T.CUSTOMERS, folder, entry_only=True)
+    return spark.read.text(folder).withColumnRenamed("value", "record")
+
+
+@add(
+    "V7_undeclared_diffs",
+    """WITH c AS (SELECT 'C' || c_custkey AS entity_id, * FROM customer WHERE c_nationkey < 12)
+    SELECT entity_id, 'CHANGE' AS type, 'note.segment' AS field, c_mktsegment AS before, 'X' AS after FROM c
+    UNION ALL SELECT entity_id, 'REMOVED', 'note.list[1]', 'null', NULL FROM c UNION ALL SELECT entity_id, 'REMOVED', 'gone', 'null', NULL FROM c
+    UNION ALL SELECT entity_id, 'ADDED', 'added', NULL, '{"at":[]}' FROM c""",
+)
+def undeclared_diffs(spark, d):
+    return X.explode_changes(X.history_diffs(kept_history(spark, d)).filter("version = 2"), ["entity_id"])
+
+
 BUCKETS = 8
 SNAP = f"WITH {T.SQL_HEADS} SELECT entity_id AS id, version, value, k FROM heads WHERE NOT discarded"
 

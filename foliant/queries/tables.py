@@ -155,7 +155,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
 
 # lines with their position in the order
 SQL_LINES = """
-l AS (SELECT l_orderkey AS code, l_partkey AS part, l_suppkey AS supplier, l_quantity AS quantity, l_extendedprice AS amount,
+l AS (SELECT l_orderkey AS code, l_linenumber AS number, l_partkey AS part, l_suppkey AS supplier, l_quantity AS quantity, l_extendedprice AS amount,
   l_returnflag AS flag, l_linestatus AS state,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus) - 1 AS pos
   FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"""

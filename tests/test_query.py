@@ -217,7 +217,7 @@ def copy(source, type="integer", **kw):
 
 def test_derive_order_and_flags(gardens):
     spec = chained(a3=copy("a2", collection="true"), a1=copy("district", collection="true", hidden=True), a2=copy("a1", collection=True))
-    assert D.derivation_order(spec) == ["a1", "a2", "a3"]
+    assert D.derivation_levels(spec) == [["a1"], ["a2"], ["a3"]]
     row = D.derive(gardens, spec).filter("id = '5'").first().entry
     assert row.a3 == [2, 3] and row.a2 == [2, 3] and "a1" not in row.asDict()
     with pytest.raises(D.DeriveError, match="cycle"):
@@ -268,6 +268,69 @@ def test_derive_inside_collection(spark, districts):
     assert out["2"].rows is None
 
 
+def test_chained_links_read_the_entries_once_a_level(spark):
+    """Five links, each through the entry that the one before found: one more table read for each level, not twice as many."""
+    n = 40
+    plain = Spec.from_dict({"resource_id": "nodes", "fields": {"code": {"type": "integer"}, "next": {"type": "integer"}}})
+    nodes = data.entries(spark, [{"code": i, "next": (i * 7 + 3) % (n + 2)} for i in range(n)], plain)
+    link = lambda source: {"virtual": True, "plugin": "link", "params": {"resource": "nodes", "target": "code"}, "field_params": {"id": source}}
+    reads = []
+    for depth in (1, 3, 5):
+        fields = {"code": {"type": "integer"}, "next": {"type": "integer"}}
+        for k in range(depth):
+            fields[f"_l{k}"] = link("next" if k == 0 else f"_l{k - 1}.entry.next")
+        spec = Spec.from_dict({"resource_id": "nodes", "fields": fields})
+        out = D.derive(nodes, spec, D.Context({"nodes": D.Table(nodes, plain)}))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        reads.append(plan.count("Relation ["))
+        for r in out.collect():
+            at = r.entry.next
+            for k in range(depth):
+                found = r.entry[f"_l{k}"]
+                if at is None:
+                    assert found is None
+                elif at < n:
+                    assert found.entry.code == at
+                    at = found.entry.next
+                else:
+                    assert found.error == "not found"
+                    at = None
+    assert reads == [2, 4, 6]
+
+
+def test_derive_in_nested_collections(spark):
+    """Table functions at two levels of collections, with lists, empty ones, and two fields that ask the same."""
+    asked = []
+
+    def half(_context, _fixed, combos):
+        asked.append(combos)
+        return combos.select("*", F.when(F.col("x") % 2 == 0, F.struct((F.col("x") / 2).cast("long").alias("h"))).alias("result"))
+
+    D.register("half", half, {"type": "object", "fields": {"h": {"type": "integer"}}}, "table")
+    derived = lambda source, **kw: {"virtual": True, "plugin": "half", "params": {}, "field_params": {"x": source}, **kw}
+    inner = {"n": {"type": "integer"}, "m": {"type": "integer", "collection": True}, "_n": derived("rows.cells.n"), "_m": derived("rows.cells.m", collection=True, flatten_params=True)}
+    fields = {"code": {"type": "integer"}, "rows": {"type": "object", "collection": True, "fields": {"cells": {"type": "object", "collection": True, "fields": inner}}}, "_c": derived("code")}
+    spec = Spec.from_dict({"resource_id": "deep", "fields": fields})
+    cell = lambda n, m: {"n": n, "m": m}
+    bodies = [
+        {"code": 4, "rows": [{"cells": [cell(2, [4, 5, 6]), cell(None, []), cell(3, None)]}, {"cells": []}, {"cells": None}, {"cells": [cell(8, [2])]}]},
+        {"code": 5, "rows": []},
+        {"code": 6},
+        {"code": 8, "rows": [{"cells": [cell(i, list(range(i))) for i in range(30)]} for _ in range(20)]},
+    ]
+    want = lambda x: {"h": x // 2} if x is not None and x % 2 == 0 else None
+    df = data.entries(spark, bodies, spec)
+    got = {r.id: r.entry.asDict(True) for r in D.derive(df, spec, D.Context()).collect()}
+    assert len(asked) == 1  # one question for all fields
+    ids = [r.id for r in df.collect()]
+    for i, body in zip(ids, bodies, strict=True):
+        assert got[i]["_c"] == want(body["code"])
+        for row, given in zip(got[i]["rows"] or [], body.get("rows") or [], strict=True):
+            for out, c in zip(row["cells"] or [], given["cells"] or [], strict=True):
+                assert out["_n"] == want(c["n"])
+                assert out["_m"] == (None if c["m"] is None else [want(x) for x in c["m"]])
+
+
 def test_preview_and_unstored(gardens, spark):
     bodies = gardens.select("id", "entry")
     assert D.preview(bodies, chained(a=copy("code"))).filter("entry.a = entry.code").count() == 8
