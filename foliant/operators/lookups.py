@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.paths import array_depth, get_path, parts_of, path_type, values_at
-from foliant.functions.text import analyze, ngrams
+from foliant.functions.text import analyze
+from foliant.session import materialise
 
 # How many collected values one row may hold; more come in several rows, told apart by ``part``.
 PART = 100_000
@@ -40,41 +41,49 @@ def multi_lookup(keys: DataFrame, df: DataFrame, path: str) -> DataFrame:
     return found.unionByName(nothing, allowMissingColumns=True)
 
 
-# ---------------------------------------------------------------- phrase keys
+# ---------------------------------------------------------------- phrases
 
 
-def phrase_keys(df: DataFrame, path: str, max_words: int) -> Column:
-    """Every phrase of up to ``max_words`` words in the texts at a path: what an equality test on text can find."""
-    texts = values_at(F.col("entry"), df.schema["entry"].dataType, path)
-    words = F.transform(texts, analyze)
+def text_words(df: DataFrame, paths: list[str]) -> DataFrame:
+    """(words): the words of every text at the given paths, in order."""
+    found = [values_at(F.col("entry"), df.schema["entry"].dataType, path) for path in paths]
+    texts = df.select(F.explode(F.flatten(F.array(*found))).alias("text"))
+    return texts.select(analyze(F.col("text")).alias("words")).filter(F.size("words") > 0)
 
-    def runs(n: int) -> Column:
-        return F.flatten(F.transform(words, lambda w: ngrams(w, n)))
 
-    sized = [runs(n) for n in range(1, max_words + 1)]
-    return F.array_distinct(F.flatten(F.array(*sized)))
+def _phrases_in(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``wanted(_words)``, of two words or more, that stand in ``texts(words)``.
 
-
-def _longest(words: DataFrame) -> int:
-    return words.agg(F.max(F.size("_words")).alias("n")).first()["n"] or 0
+    A phrase is looked for where its rarest word stands. Texts send only the surroundings of such words, as far as their
+    longest phrase reaches, and phrases are compared there; what is exchanged follows the places of rare words.
+    """
+    parts = wanted.select("_words", F.explode(F.array_distinct("_words")).alias("word"))
+    counts = texts.select(F.explode("words").alias("word")).join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rated = parts.join(counts, "word", "left").groupBy("_words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rarest"))
+    rated = materialise(rated.filter("rarest.n > 0").select("_words", F.col("rarest.word").alias("word"), (F.array_position("_words", F.col("rarest.word")) - 1).cast("int").alias("at")), "anchors")
+    reach = rated.groupBy("word").agg(F.max("at").alias("left"), F.max(F.size("_words") - F.col("at")).alias("right"))
+    # where an anchor stands, with as many words before and after it as some phrase needs
+    here = texts.select(F.posexplode("words").alias("i", "word"), "words").join(reach, "word")
+    start = F.greatest(F.col("i") - F.col("left"), F.lit(0))
+    windows = here.select("word", (F.col("i") - start).alias("i"), F.slice("words", start + 1, F.col("i") + F.col("right") - start).alias("around")).distinct()
+    stands = (F.col("i") >= F.col("at")) & (F.slice("around", F.greatest(F.col("i") - F.col("at"), F.lit(0)) + 1, F.size("_words")) == F.col("_words"))
+    return windows.join(rated, "word").filter(stands).select("_words").distinct()
 
 
 def not_found(words: DataFrame, df: DataFrame, paths: list[str], max_words: int | None = None) -> DataFrame:
     """Those of ``words(word)`` that occur in none of the given text fields.
 
-    Occurring means being a phrase of the field; the fields are turned into distinct phrases of the lengths asked
-    for, and only phrases that some word needs reach the join.
+    Occurring means being a phrase of the field. Single words are looked up among the distinct words of the texts; longer
+    phrases where their rarest word stands. ``max_words=1`` says that there are no longer ones.
     """
     wanted = words.select("word").distinct().withColumn("_words", analyze(F.col("word")))
-    longest = _longest(wanted) if max_words is None else max_words
-    if longest == 0:
-        return wanted.select("word")
-    wanted = wanted.select("word", F.array_join("_words", " ").alias("_phrase"))
-    found = None
-    for path in paths:
-        some = df.select(F.explode(phrase_keys(df, path, longest)).alias("_phrase"))
-        found = some if found is None else found.unionByName(some)
-    return wanted.join(found.distinct(), "_phrase", "left_anti").select("word")
+    texts = text_words(df, paths) if max_words == 1 else materialise(text_words(df, paths), "words")
+    known = texts.select(F.explode(F.array_distinct("words")).alias("_single")).distinct()
+    missing = wanted.filter(F.size("_words") <= 1).withColumn("_single", F.get("_words", F.lit(0))).join(known, "_single", "left_anti").select("word")
+    if max_words == 1:
+        return missing
+    phrases = wanted.filter(F.size("_words") > 1)
+    return missing.unionByName(phrases.join(_phrases_in(phrases.select("_words").distinct(), texts), "_words", "left_anti").select("word"))
 
 
 # ---------------------------------------------------------------- links
@@ -105,20 +114,28 @@ def backlink_edges(other: DataFrame, target: str, field: str) -> DataFrame:
 
     The complete result in long form; no group is ever collected.
     """
-    return other.select(F.explode(field_values(other, target)).alias("ref"), get_path(other, f"entry.{field}").alias("value"))
+    return _edges(other, target, field).drop("source")
+
+
+def _edges(other: DataFrame, target: str, field: str) -> DataFrame:
+    """``backlink_edges`` with the entry that each comes from."""
+    source = F.struct(*[F.col(c) for c in ("resource", "id") if c in other.columns]).alias("source")
+    return other.select(F.explode(field_values(other, target)).alias("ref"), get_path(other, f"entry.{field}").alias("value"), source)
 
 
-def collect_parts(edges: DataFrame, keys: list[str], value: str | Column, name: str, limit: int = PART) -> DataFrame:
+def collect_parts(edges: DataFrame, keys: list[str], value: str | Column, name: str, limit: int = PART, salt: str | Column | None = None) -> DataFrame:
     """Values per key as arrays of about ``limit`` values at most: (keys, part, name).
 
     Keys with more values than that are found by a count with map-side combining, and their values are spread over as
-    many parts as they need before anything is collected.
+    many parts as they need before anything is collected: by ``salt``, which tells rows with equal values apart, so that
+    a value that very many rows share is spread, too.
     """
     value = F.col(value) if isinstance(value, str) else value
+    salted = value if salt is None else F.col(salt) if isinstance(salt, str) else salt
     hot = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     spread = edges.join(hot, keys, "left")
     parts = F.ceil(F.coalesce("_n", F.lit(1)) / limit)
-    part = F.pmod(F.xxhash64(F.to_json(F.struct(value.alias("v")))), parts).cast("int")
+    part = F.pmod(F.xxhash64(F.to_json(F.struct(salted.alias("v")))), parts).cast("int")
     return (
         spread.withColumn("part", F.when(F.col("_n").isNull(), 0).otherwise(part))
         .groupBy(*keys, "part")
@@ -133,9 +150,9 @@ def backlink(
 
     An entry with more than ``limit`` of them comes in several rows, numbered by ``part``.
     """
-    edges = backlink_edges(other, target, field)
+    edges = _edges(other, target, field)
     kind = edges.schema["value"].dataType
-    grouped = collect_parts(edges, ["ref"], "value", name, limit).withColumnRenamed("ref", "_ref")
+    grouped = collect_parts(edges, ["ref"], "value", name, limit, "source").withColumnRenamed("ref", "_ref")
     joined = df.withColumn("_id", get_path(df, f"entry.{id}")).join(grouped, F.col("_id") == F.col("_ref"), "left")
     filled = F.coalesce(name, F.array().cast(T.ArrayType(kind)))
     return joined.withColumn(name, filled).withColumn("part", F.coalesce("part", F.lit(0))).drop("_id", "_ref")
@@ -152,17 +169,24 @@ def resource_values(other: DataFrame, path: str = "") -> DataFrame:
     return other.select(value.alias("value")).filter("value IS NOT NULL")
 
 
-def collect_resource(df: DataFrame, other: DataFrame, path: str = "", name: str = "values", limit: int = PART) -> DataFrame:
-    """Put every value of a path in another collection, as one array, on each entry.
+def collect_resource(df: DataFrame, other: DataFrame, path: str = "", name: str = "values", limit: int | None = PART) -> DataFrame:
+    """Put every value of a path in another collection on each entry, as arrays of about ``limit`` values at most.
 
-    Copying a whole collection onto every entry is sensible for small ones only, so its size is checked first; a larger one stays
-    in the long form of ``resource_values``.
+    A collection with more values comes in several rows per entry, numbered by ``part``; an entry with none has ``[]``.
+    The arrays are joined on their part, and only their number is known to all tasks. ``limit=None`` is for collections
+    that are known to be small: one array. ``resource_values`` is the long form.
     """
     values = resource_values(other, path)
-    if values.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} values: join resource_values instead of copying them onto every entry")
-    array = values.agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return df.withColumn(name, array.scalar())
+    kind = T.ArrayType(values.schema["value"].dataType)
+    parts = F.lit(1)
+    if limit:
+        parts = values.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / limit)).cast("int")).scalar()
+    # told apart by where they are read, so that equal values are spread, too
+    place = F.xxhash64(F.monotonically_increasing_id())
+    numbered = values.withColumn("_parts", parts).select("value", F.pmod(place, "_parts").cast("int").alias("part"))
+    arrays = numbered.groupBy("part").agg(F.array_sort(F.collect_list("value")).alias(name))
+    every = df.withColumn("_parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("_parts") - 1).cast("int"))))
+    return every.join(arrays, "part", "left").withColumn(name, F.coalesce(name, F.array().cast(kind))).select(*df.columns, "part", name)
 
 
 # ---------------------------------------------------------------- publication and permissions

@@ -333,10 +333,22 @@ def backlink_edges(spark, d):
 NATIONS = Spec.from_dict({"resource_id": "regions", "fields": {"code": {"type": "integer"}, "name": {"type": "string"}}})
 
 
-@add("L4_collect_resource", "SELECT s_suppkey AS code, (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS regions FROM supplier")
+@add("L4_collect_resource", "SELECT s_suppkey AS code, 0 AS part, (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS regions FROM supplier")
 def collect_resource(spark, d):
     regions = as_entries(T.load(spark, d, "region").selectExpr("r_regionkey code", "r_name name"), NATIONS, F.col("code"))
-    return L.collect_resource(T.suppliers(spark, d), regions, "name").select(code(), F.array_join("values", ",").alias("regions"))
+    return L.collect_resource(T.suppliers(spark, d), regions, "name").select(code(), "part", F.array_join("values", ",").alias("regions"))
+
+
+@add("L3_backlink_parts", "SELECT o_orderpriority AS status, count(*) AS n, TRUE AS bounded, TRUE AS spread FROM orders GROUP BY o_orderpriority")
+def backlink_parts(spark, d):
+    """A few entries that all orders refer to, with equal values: many parts of bounded size that hold all of them."""
+    rows = T.load(spark, d, "orders").selectExpr("o_orderkey code", "o_orderpriority priority", "'same' status")
+    spec = Spec.from_dict({"resource_id": "marks", "fields": {"code": {"type": "integer"}, "priority": {"type": "string"}, "status": {"type": "string"}}})
+    entries = as_entries(rows, spec, F.col("code"))
+    first = as_entries(rows.groupBy("priority").agg(F.min("code").alias("code"), F.first("status").alias("status")), spec, F.col("code"))
+    linked = L.backlink(first, entries, "priority", "status", "priority", limit=200)
+    sizes = linked.select(F.col("entry.priority").alias("status"), F.size("backlinks").alias("n"))
+    return sizes.groupBy("status").agg(as_long(F.sum("n"), "n"), (F.max("n") < 400).alias("bounded"), (F.count(F.lit(1)) >= F.sum("n") / 400).alias("spread"))
 
 
 @add("L15_by_ids", "SELECT c_custkey AS code, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")

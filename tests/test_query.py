@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,8 +175,9 @@ def test_lookups(gardens, districts, spark):
         merged.setdefault(r.entry.code, []).extend(r.backlinks)
     assert {k: sorted(v) for k, v in merged.items()} == expected
     assert sorted(L.collect_resource(gardens, districts, "name").first()["values"]) == ["Isle of Ängs", "North ward", "South ward"]
-    with pytest.raises(ValueError):
-        L.collect_resource(gardens, districts, "name", limit=2)
+    parts = L.collect_resource(gardens, districts, "name", limit=2).collect()
+    assert len(parts) == 16 and sorted(v for r in parts if r.id == "1" for v in r["values"]) == ["Isle of Ängs", "North ward", "South ward"]
+    assert L.collect_resource(gardens, districts.limit(0), "name").filter("size(values) = 0 and part = 0").count() == 8
     words = spark.createDataFrame([("ängs",), ("ward",), ("south ward",), ("ward south",), ("x",)], "word string")
     assert sorted(r.word for r in L.not_found(words, districts, ["name", "county"]).collect()) == ["ward south", "x"]
     keys = spark.createDataFrame([(0, 3), (1, 1), (2, 99)], "query int, value long")
@@ -187,6 +189,22 @@ def test_lookups(gardens, districts, spark):
     assert L.by_ids(both, spark.createDataFrame([("gardens", "1")], "resource string, id string")).count() == 1
 
 
+def test_phrases_stand_where_their_rarest_word_does(spark):
+    rng = random.Random(9)
+    words = ["a"] * 12 + ["b"] * 5 + ["c", "d", "e", "Å-f", "g9"]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [line(rng.randrange(0, 15)) for _ in range(60)] + ["a " * 500 + "rare", ""]
+    plain = Spec.from_dict({"resource_id": "lines", "fields": {"one": {"type": "string"}, "more": {"type": "string", "collection": True}}})
+    df = data.entries(spark, [{"one": t, "more": [line(3), line(4)]} for t in texts], plain)
+    asked = sorted({line(rng.randrange(1, 6)) for _ in range(200)} | {"a a a rare", "rare a", "x", "", "...", "a a", "rare", "c x"})
+    fold = lambda t: t.lower().replace("-", "").split()
+    held = [fold(t) for r in df.collect() for t in [r.entry.one, *r.entry.more]]
+    holds = lambda w: any(t[i : i + len(w)] == w for t in held for i in range(len(t) - len(w) + 1))
+    want = {p for p in asked if not (w := fold(p.strip("."))) or not holds(w)}
+    got = L.not_found(spark.createDataFrame([(p,) for p in asked], "word string"), df, ["one", "more"])
+    assert {r.word for r in got.collect()} == want and want & {"rare a", "x"} and "a a a rare" not in want
+
+
 def test_derive(gardens, districts):
     context = D.Context({"districts": D.Table(districts, DISTRICTS), "gardens": D.Table(gardens, GARDENS)})
     out = D.derive(gardens, GARDENS, context, until="indexed").filter("id = '5'").first()
