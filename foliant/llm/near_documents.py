@@ -10,6 +10,11 @@ Consistent weighted sampling draws ``BANDS * ROWS`` samples (shingle, quantised
 same sample with a probability of their weighted Jaccard similarity, sum of minima over sum of maxima. Texts that agree
 on all rows of a band are candidates. Candidates are verified by their exact weighted similarity.
 
+Most texts need no samples. A shingle that no other text has is in no intersection: if such shingles hold more than a
+share of 1 - 0.8 of a text's weight, nothing is similar enough to it, whatever the rest. The exact frequencies tell these
+shingles, so such texts are settled before they are sampled, and what others can have in common with a text bounds the
+similarity of every pair.
+
 A band bucket may hold very many texts. They are not paired with each other: in each round a bucket has a few leaders,
 those of the least seeded hashes in its largest component, with whom its texts of other components are compared. What
 links joins components, and rounds go on with other leaders while they find links (``FRUITFUL``). Every band has its own leaders. A
@@ -58,6 +63,8 @@ BLOCK = 512
 MOST_SENT = 1 << 20
 #: Shingles that are sampled at once, to stay within the processor's cache.
 SLICE = 16_384
+#: Share of a sum of weights by which it may be off.
+SLACK = 1e-9
 
 
 def _plain(text: str | None) -> bytes:
@@ -173,10 +180,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def signed(rows: DataFrame, documents: int, parts: int, size: int) -> DataFrame:
-    """(doc_id, digest, key, samples, weight, counts) of each row; no key without words.
+def signed(rows: DataFrame, documents: int, parts: int, size: int, least: float = LEAST) -> DataFrame:
+    """(doc_id, digest, key, samples, weight, low, alone, counts) of each row; no key without words.
 
-    ``weight`` is that of all shingles, ``counts`` in how many documents each of them occurs, packed, in the order of ``shingles``.
+    ``weight`` is that of all shingles, ``counts`` in how many documents each of them occurs, packed, in the order of ``shingles``;
+    ``low`` is the least of these, and ``alone`` the weight of the shingles that have it. No samples are drawn of a text
+    that nothing else can be similar to.
     """
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -187,16 +196,22 @@ def signed(rows: DataFrame, documents: int, parts: int, size: int) -> DataFrame:
             raise ValueError("the documents of a batch have changed while their shingles were counted")
         counts = np.split(given[at], np.cumsum([len(x) for x in found])[:-1])
         weighed = [weights_of(n, c, documents) for n, c in zip(often, counts, strict=True)]
-        drawn = signatures(found, weighed).view(np.int64)
-        samples = [None if k is None else row for k, row in zip(keys, drawn, strict=True)]
+        low = np.array([c.min() if len(c) else 0 for c in counts], np.int64)
+        weight = np.array([w.sum() for w in weighed])
+        alone = np.array([w[c == n].sum() for w, c, n in zip(weighed, counts, low, strict=True)])
+        partners = np.flatnonzero((low > 1) | (weight - alone >= least * weight * (1 - SLACK)))  # a frequency of 1: no copies either
+        drawn = signatures([found[i] for i in partners], [weighed[i] for i in partners]).view(np.int64)
+        samples: list[np.ndarray | None] = [None] * len(keys)
+        for i, row in zip(partners.tolist(), drawn, strict=True):
+            samples[i] = None if keys[i] is None else row
         columns = [docs.column("doc_id"), docs.column("digest"), pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))]
-        columns += [pa.array([float(w.sum()) for w in weighed], pa.float64()), pa.array([pack_numbers(c) for c in counts], pa.binary())]
-        return pa.table(columns, names=["doc_id", "digest", "key", "samples", "weight", "counts"])
+        columns += [pa.array(weight, pa.float64()), pa.array(low), pa.array(alone, pa.float64()), pa.array([pack_numbers(c) for c in counts], pa.binary())]
+        return pa.table(columns, names=["doc_id", "digest", "key", "samples", "weight", "low", "alone", "counts"])
 
     dealt = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("long").alias("batch"), "doc_id", F.xxhash64("text").alias("digest"), "text")
     asked = dealt.groupBy("batch").applyInArrow(_asked(parts, size), "batch long, part long, keys binary, counts binary")
     answers = asked.groupBy("part").applyInArrow(_answered(parts), "batch long, part long, counts binary")
-    schema = "doc_id long, digest long, key binary, samples array<bigint>, weight double, counts binary"
+    schema = "doc_id long, digest long, key binary, samples array<bigint>, weight double, low long, alone double, counts binary"
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
 
 
@@ -223,13 +238,16 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
     """(doc_id, key, class_id) of each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     documents, bytes_ = rows.agg(F.count_if(F.rlike("text", F.lit(WORD))), F.sum(F.octet_length("text"))).first()
-    signs = materialise(signed(rows, documents, max(1, -(-(bytes_ or 0) // BATCH_BYTES)), size), "signed")
-    kept = [F.first(c).alias(c) for c in ("samples", "weight", "counts")]
-    texts = signs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("digest").alias("digest"), *kept)
+    signs = materialise(signed(rows, documents, max(1, -(-(bytes_ or 0) // BATCH_BYTES)), size, least), "signed")
+    kept = [F.first(c).alias(c) for c in ("samples", "weight", "low", "alone", "counts")]
+    texts = signs.filter("samples is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("digest").alias("digest"), F.count(F.lit(1)).alias("copies"), *kept)
+    # what only the copies of a text have is not shared with any other
+    shared_weight = F.col("weight") - F.when(F.col("low") == F.col("copies"), F.col("alone")).otherwise(0.0)
+    texts = texts.withColumn("common", shared_weight * (1 + SLACK)).drop("low", "alone", "copies")
     texts = materialise(texts.withColumn("gid", F.monotonically_increasing_id()), "texts")
 
     bands = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]))
-    buckets = texts.select(bands.alias("bucket"), "gid")
+    buckets = texts.filter(F.col("common") >= least * F.col("weight")).select(bands.alias("bucket"), "gid")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = materialise(buckets.join(shared, "bucket"), "buckets").withColumn("component", F.col("gid"))
 
@@ -259,11 +277,11 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
         buckets = materialise(labelled.join(still.select("bucket"), "bucket", "left_semi"), "buckets")
         last = links < FRUITFUL * buckets.count()
 
-    whole = texts.drop("digest", "samples", "weight", "counts").join(named, "gid")
+    whole = texts.select("gid", "key", "least_id").join(named, "gid")
     ids = whole.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    members = whole.join(ids, "component").select("key", "class_id")
+    members = whole.join(ids, "component").select("key", "class_id", "component")
     out = signs.select("doc_id", "key").join(members, "key", "left")
-    return out.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return out.select("doc_id", "key", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def _next_pairs(buckets: DataFrame, number: int) -> DataFrame:
@@ -350,12 +368,13 @@ def _sent(ids: DataFrame) -> DataFrame:
 
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, documents: int, least: float, size: int) -> DataFrame:
     """The components (a, b) of texts that are similar enough, judged first by their samples and then by the texts."""
-    named = {"gid": "", "digest": "digest_", "samples": "samples_", "weight": "weight_"}
+    named = {"gid": "", "digest": "digest_", "samples": "samples_", "weight": "weight_", "common": "common_"}
     one, other = (texts.select(*[F.col(c).alias(f"{prefix}{s}") for c, prefix in named.items()]) for s in "ab")
     agreeing = F.size(F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda x: x))
-    # the sum of minima is at most the smaller weight, the sum of maxima at least the larger one
-    possible = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (least - 1e-9)
-    close = pairs.join(one, "a").join(other, "b").filter(possible & (agreeing >= LEAST_AGREEING)).drop("samples_a", "samples_b", "weight_a", "weight_b")
+    # the sum of minima is at most what both can share, and the sum of maxima is all weight without it
+    both = F.least("common_a", "common_b")
+    possible = both >= (F.col("weight_a") + F.col("weight_b") - both) * (least - SLACK)
+    close = pairs.join(one, "a").join(other, "b").filter(possible & (agreeing >= LEAST_AGREEING)).drop("samples_a", "samples_b", "weight_a", "weight_b", "common_a", "common_b")
     close = materialise(close, "close")
     ends = [F.struct(F.col(s).alias("gid"), F.col(f"digest_{s}").alias("digest")) for s in "ab"]
     wanted = _sent(materialise(close.select(F.explode(F.array(*ends)).alias("end")).select("end.*").distinct(), "wanted"))
