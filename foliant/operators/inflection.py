@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.paths import bind
+from foliant.session import materialise
 
 DEFINITION = (
     "array<struct<row:double,rules:string,heading:string,tagg:string,prescript:string,postscript:string,extra:string>>"
@@ -238,9 +239,6 @@ def inflection_rows(inflected: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- matching paradigms
 
-CHUNK = 1000
-
-
 def conditions(text: str | None) -> list[tuple[str, str | None]]:
     """``wf1|tag1,wf2`` as (form, tag or None) pairs."""
     pairs = []
@@ -271,33 +269,83 @@ def fits(all_forms: Column, include: Column, exclude: Column) -> Column:
     return F.coalesce(possible & wanted & ~unwanted, F.lit(False))
 
 
-def match_paradigms(lemmas: DataFrame, paradigms: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def stem_index(paradigms: DataFrame) -> DataFrame:
+    """(change, ending, tag, name): every rule chain once, as the change it makes to a stem and the ending it adds then.
+
+    The ending is what the steps after the last one that is no addition put on; the change is everything before it. A
+    chain of additions only has no change, and one that is a form itself has that form as its change.
+    """
+    rows = paradigms.select("name", F.explode("definition").alias("d"))
+    steps = F.filter(F.regexp_extract_all("d.rules", F.lit(STEP), F.lit(0)), lambda s: s != "=")
+    adds = lambda s: F.startswith(s, F.lit("+"))
+
+    def split(all_steps: Column) -> Column:
+        last = F.array_max(F.transform(all_steps, lambda s, i: F.when(~adds(s), i + 1).otherwise(0)))
+        count = F.coalesce(last, F.lit(0))
+        ending = F.transform(F.slice(all_steps, count + 1, F.size(all_steps) + 1), lambda s: F.replace(F.substring(s, 2, 1 << 30), F.lit("/"), F.lit("")))
+        return F.struct(F.array_join(F.slice(all_steps, 1, count), "").alias("change"), F.array_join(ending, "").alias("ending"))
+
+    parts = rows.withColumn("p", bind(steps, split))
+    return parts.select("p.change", "p.ending", F.col("d.tagg").alias("tag"), "name").distinct()
+
+
+def _plain_forms(lemma: Column, kind: Column, form: Column) -> Column:
+    """What the inflected word of a (multi-word) form can be."""
+    particles = F.slice(F.split(lemma, " "), 2, F.greatest(F.size(F.split(lemma, " ")), F.lit(1)))
+    multi = F.coalesce(kind.isin(PARTICLE_VERB, REFLEXIVE_VERB), F.lit(False)) & (F.size(particles) > 0)
+    behind, glued = F.concat(F.lit(" "), F.array_join(particles, " ")), F.array_join(particles, "")
+    cut = lambda start: F.substring(form, F.length(start) + 1, F.length(form))
+    shorter = F.left(glued, F.length(glued) - 1)
+    found = F.array(
+        F.when(F.endswith(form, behind), F.left(form, F.length(form) - F.length(behind))),
+        F.when(F.startswith(form, glued), cut(glued)),
+        F.when(F.startswith(form, shorter), cut(shorter)),
+    )
+    return F.when(multi, F.array_distinct(F.array_compact(found))).otherwise(F.array(form))
+
+
+def _candidates(lemmas: DataFrame, paradigms: DataFrame) -> DataFrame:
+    """(_row, name): the paradigms that give the longest required form of each word, by equality on change and ending.
+
+    A word is put through every change once; where the required form begins with the result, the rest is the ending.
+    There are far fewer changes than paradigms, as they are made of a fixed set of steps.
+    """
+    index = materialise(stem_index(paradigms), "stems")
+    changes = index.agg(F.collect_set("change")).scalar()
+    wanted = F.filter(_condition_column(F.col("include")), lambda c: F.length(F.get(c, F.lit(0))) >= 0)
+    longest = F.array_max(F.transform(wanted, lambda c: F.struct(F.length(F.get(c, F.lit(0))).alias("n"), F.get(c, F.lit(0)).alias("form"), F.get(c, F.lit(1)).alias("tag"))))
+    asked = lemmas.select("_row", "lemma", "kind", longest.alias("c")).withColumn("_changes", changes)
+    multi = F.coalesce(F.col("kind").isin(PARTICLE_VERB, REFLEXIVE_VERB), F.lit(False))
+    head = F.when(multi, F.get(F.split("lemma", " "), F.lit(0))).otherwise(F.col("lemma"))
+    asked = asked.select("_row", head.alias("head"), F.col("c.tag").alias("tag"), F.explode(_plain_forms(F.col("lemma"), F.col("kind"), F.col("c.form"))).alias("form"), "_changes")
+    stems = asked.withColumn("s", F.explode(F.transform("_changes", lambda x: F.struct(x.alias("change"), apply_rules(F.col("head"), x).alias("stem")))))
+    stems = stems.filter(F.startswith("form", F.col("s.stem")))
+    keyed = stems.select("_row", "tag", F.col("s.change").alias("change"), F.substring(F.col("form"), F.length("s.stem") + 1, F.length("form")).alias("ending"))
+    index = index.withColumnRenamed("tag", "_tag")
+    found = keyed.join(index, ["change", "ending"]).filter(F.col("tag").isNull() | (F.col("tag") == F.col("_tag")))
+    return found.select("_row", "name").distinct()
+
+
+def match_paradigms(lemmas: DataFrame, paradigms: DataFrame) -> DataFrame:
     """``lemmas(lemma, kind, include, exclude[, paradigm])`` with every paradigm that fits: (lemma, name, forms).
 
-    With a ``paradigm`` the named one is tried, by an equi-join. Otherwise each word is tried against every paradigm:
-    paradigms travel to the words in arrays of at most ``chunk``, and only fitting ones leave the row, so pairs are
-    tested but never produced.
+    With a ``paradigm`` the named one is tried. Otherwise a word is tried with the paradigms that can give its longest
+    required form, found in the index of stems; only these are inflected in full and compared with all conditions. Words
+    that require no form fit nearly every paradigm, and so meet all of them.
     """
     made = forms(F.col("lemma"), F.col("kind"), F.col("definition"))
     if "paradigm" in lemmas.columns:
         tried = lemmas.join(paradigms.withColumnRenamed("name", "paradigm"), "paradigm").withColumn("forms", made)
         good = tried.filter(fits(F.col("forms"), F.col("include"), F.col("exclude")))
         return good.select("lemma", F.col("paradigm").alias("name"), "forms")
-    count = paradigms.count()
-    pieces = max(1, -(-count // chunk))
-    out = None
-    for i in range(pieces):
-        some = paradigms.filter(F.pmod(F.xxhash64("name"), F.lit(pieces)) == i) if pieces > 1 else paradigms
-        held = some.agg(F.collect_list(F.struct("name", "definition")).alias("p")).scalar()
-        given = lemmas.withColumn("_paradigms", held)
-
-        def attempt(p: Column) -> Column:
-            return F.struct(p.getField("name").alias("name"), forms(F.col("lemma"), F.col("kind"), p.getField("definition")).alias("forms"))
-
-        tried = F.filter(F.transform("_paradigms", attempt), lambda t: fits(t.getField("forms"), F.col("include"), F.col("exclude")))
-        rows = given.select("lemma", F.explode(tried).alias("t")).select("lemma", "t.name", "t.forms")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    lemmas = materialise(lemmas.select("lemma", "kind", "include", "exclude").withColumn("_row", F.monotonically_increasing_id()), "lemmas")
+    requires = F.coalesce(F.length("include") > 0, F.lit(False))
+    some = lemmas.filter(requires)
+    pairs = some.join(_candidates(some, paradigms), "_row")
+    # every paradigm is part of the answer for the others: one row per pair is what was asked for
+    every = lemmas.filter(~requires).withColumn("name", F.explode(paradigms.agg(F.collect_set("name")).scalar()))
+    tried = pairs.unionByName(every).join(paradigms, "name").withColumn("forms", made)
+    return tried.filter(fits(F.col("forms"), F.col("include"), F.col("exclude"))).select("lemma", "name", "forms")
 
 
 def parse_rules(rules: str) -> list[str]:

@@ -4,7 +4,12 @@ Vectors are assigned to the nearest of a fixed number of pivots. From the radius
 the triangle inequality, which cells can hold a neighbour of a vector; the vector is sent only to those. Cells are
 cut into blocks of bounded size on both sides, so a class or cell that holds a third of all vectors becomes many
 small tasks, and a task returns at most ``k`` candidates per vector and block: pairs are compared, never produced.
-The result is exact; with ``probes`` only that many nearest cells are searched, which makes the work linear.
+The result is exact; with ``probes`` only that many nearest cells are searched.
+
+``approximate`` is for large collections: an inverted file of two levels. As many cells as the square root of the number
+of vectors are trained on a bounded sample, in groups: a vector is compared with the centres of the groups and then with
+those of the nearest groups, never with all cells. It is stored in one cell and looks for neighbours in a fixed number of
+them.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from foliant.session import materialise
 K = 10
 
 MAX_CELLS = 256
+#: Vectors that centres are trained on, rounds of training, and groups of cells that a vector looks into.
+SAMPLE, ROUNDS, GROUPS = 20_000, 8, 8
 BLOCK = 2048
 DIGITS = 9
 
@@ -122,6 +129,11 @@ def knn(
     assigned = materialise(assign(vectors, pivots), "assigned")
     sizes = _cells(assigned, k)
     routed = materialise(_route(assigned, sizes, pivots, probes), "routed")
+    return _nearest(assigned, sizes.select("class", "cell", "n"), routed, k, block, dict(vectors.dtypes)["id"])
+
+
+def _nearest(assigned: DataFrame, sizes: DataFrame, routed: DataFrame, k: int, block: int, kind: str) -> DataFrame:
+    """The ``k`` nearest members of the cells that each vector was sent to, compared in blocks of bounded size."""
     asked = routed.groupBy("class", "cell").agg(F.count(F.lit(1)).alias("q"))
     grid = sizes.select("class", "cell", F.ceil(F.col("n") / block).cast("int").alias("cb")).join(
         asked.select("class", "cell", F.ceil(F.col("q") / block).cast("int").alias("qb")), ["class", "cell"]
@@ -133,7 +145,6 @@ def knn(
     members = assigned.join(grid, ["class", "cell"]).select(
         "class", "cell", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qb"), F.pmod(hashed, "cb").cast("int").alias("cb"), "id", "vector"
     )
-    kind = dict(vectors.dtypes)["id"]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -156,3 +167,86 @@ def knn(
     )
     order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("neighbour"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+# ---------------------------------------------------------------- inverted file
+
+
+def _trained(points: np.ndarray, n: int) -> np.ndarray:
+    """``n`` centres of unit vectors: rounds of assigning and averaging from evenly spaced points; empty ones stay."""
+    centres = points[np.linspace(0, len(points) - 1, min(n, len(points))).astype(int)].copy()
+    for _ in range(ROUNDS):
+        near = (points @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, points)
+        used = np.linalg.norm(sums, axis=1) > 0
+        centres[used] = _unit(sums[used])
+    return centres
+
+
+def centres_of(vectors: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres of groups, centres of about ``cells`` cells, and the group of each cell, from a bounded sample by hash."""
+    n = vectors.count()
+    share = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * SAMPLE / max(n, 1)) * (1 << 30)))
+    rows = vectors.filter(share).select("vector").limit(SAMPLE).collect()
+    if not rows:
+        return np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, np.int64)
+    points = _unit(np.array([r["vector"] for r in rows], dtype=np.float64))
+    groups = _trained(points, max(1, round(cells**0.5)))
+    own = (points @ groups.T).argmax(axis=1)
+    parts = [_trained(points[own == g], max(1, round(cells * (own == g).mean()))) for g in range(len(groups)) if (own == g).any()]
+    kept = np.array([g for g in range(len(groups)) if (own == g).any()])
+    return groups[kept], np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+def _near_cells(units: np.ndarray, groups: np.ndarray, cells: np.ndarray, group_of: np.ndarray, wanted: int, looked: int) -> np.ndarray:
+    """The nearest ``wanted`` cells of each vector, by nearness, among those of its nearest ``looked`` groups; -1 where
+    these have fewer."""
+    looked = min(looked, len(groups))
+    near = np.argsort(-(units @ groups.T), axis=1, kind="stable")[:, :looked]
+    score = np.full((len(units), len(cells)), -np.inf)
+    for g in range(len(groups)):
+        rows, own = np.flatnonzero((near == g).any(axis=1)), np.flatnonzero(group_of == g)
+        score[np.ix_(rows, own)] = units[rows] @ cells[own].T
+    best = np.argsort(-score, axis=1, kind="stable")[:, :wanted]
+    return np.where(np.isfinite(np.take_along_axis(score, best, axis=1)), best, -1)
+
+
+def approximate(vectors: DataFrame, k: int = K, cells: int | None = None, probes: int = 16, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+    """As ``knn``, from the ``probes`` cells nearest to each vector among ``groups`` groups; some neighbours are missed.
+
+    ``cells`` is the square root of the number of vectors by default. Vectors of length zero have no neighbours here.
+    """
+    vectors = vectors.select("id", "class", "vector").filter("vector IS NOT NULL AND class IS NOT NULL")
+    if cells is None:
+        cells = max(1, round(vectors.count() ** 0.5))
+    centres = centres_of(vectors, cells)
+    kinds = dict(vectors.dtypes)
+
+    def place(wanted: int):
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame):
+                    continue
+                units = _unit(_stack(frame["vector"]))
+                found = _near_cells(units, *centres, wanted, 2 if wanted == 1 else groups)
+                rows, places = np.nonzero(found >= 0)
+                out = frame[["id", "class"]].iloc[rows].reset_index(drop=True)
+                yield out.assign(vector=list(units[rows]), cell=found[rows, places].astype("int32"))
+
+        return work
+
+    shape = f"id {kinds['id']}, class {kinds['class']}, vector array<double>, cell int"
+    assigned = materialise(vectors.mapInPandas(place(1), shape), "assigned")
+    routed = materialise(vectors.mapInPandas(place(probes), shape), "routed")
+    sizes = assigned.groupBy("class", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return _nearest(assigned, sizes, routed, k, block, kinds["id"])
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(vectors, wanted, recall): the share of the exact neighbours that were found. Neighbours as near as the last exact
+    one count, too."""
+    last = exact.groupBy("id").agg(F.min("similarity").alias("_least"), F.count(F.lit(1)).alias("_wanted"))
+    good = found.join(last, "id").filter("similarity >= _least").groupBy("id").agg(F.count(F.lit(1)).alias("_found"))
+    both = last.join(good, "id", "left").select("_wanted", F.least(F.coalesce("_found", F.lit(0)), "_wanted").alias("_found"))
+    return both.agg(F.count(F.lit(1)).alias("vectors"), F.sum("_wanted").alias("wanted"), (F.sum("_found") / F.sum("_wanted")).alias("recall"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,14 +205,24 @@ def publish_snapshot(spark, d):
     return _shown(hide_unstored(S.read_snapshot(spark, root, "users"), T.EVENT_BODY))
 
 
-@add("S11_list_snapshots", "SELECT 'users' AS resource, FALSE AS missing, n = 2 AS current, TRUE AS sized FROM (SELECT unnest([1, 2]) AS n) WHERE (SELECT count(*) FROM events) > 0 UNION ALL SELECT 'nothing', TRUE, FALSE, FALSE")
+@add(
+    "S11_list_snapshots",
+    f"""WITH {T.SQL_HEADS}, n AS (SELECT count(*) FILTER (NOT discarded AND last_modified < {T.MIDDLE}) AS old FROM (SELECT * FROM h WHERE last_modified < {T.MIDDLE} QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY history_id DESC) = 1)),
+    m AS (SELECT count(*) AS new FROM heads WHERE NOT discarded)
+    SELECT 'users' AS resource, FALSE AS missing, FALSE AS current, TRUE AS sized, old AS entries FROM n UNION ALL SELECT 'users', FALSE, TRUE, TRUE, new FROM m UNION ALL SELECT 'nothing', TRUE, FALSE, FALSE, 0""",
+)
 def list_snapshots(spark, d):
     root = new_folder(spark, "snapshots")
     hist = T.history(spark, d)
     S.publish_snapshot(spark, hist.filter(F.col("last_modified") < T.MIDDLE), T.EVENT_BODY, root, buckets=BUCKETS)
     S.publish_snapshot(spark, hist, T.EVENT_BODY, root, buckets=BUCKETS)
     rows = S.list_snapshots(spark, root, ["users", "nothing"])
-    return rows.select("resource", (F.col("name") == "missing").alias("missing"), "current", F.coalesce(F.col("size") > 0, F.lit(False)).alias("sized"))
+    # what each of the listed tables holds
+    names = [r["name"] for r in rows.filter("name <> 'missing'").collect()]
+    held = [spark.read.parquet(f"{root}/users/{n}").filter("id IS NOT NULL").select(F.lit(n).alias("name")) for n in names]
+    counts = reduce(DataFrame.unionByName, held).groupBy("name").agg(F.count(F.lit(1)).alias("entries"))
+    shown = rows.join(counts, "name", "left")
+    return shown.select("resource", (F.col("name") == "missing").alias("missing"), "current", F.coalesce(F.col("size") > 0, F.lit(False)).alias("sized"), F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 @add("ST1_sync_snapshot", SNAP)
@@ -222,6 +234,18 @@ def sync_snapshot(spark, d):
     return _shown(S.read_snapshot(spark, root, "users"))
 
 
+@add("ST1_sync_older_times", f"WITH {T.SQL_HEADS} SELECT entity_id AS id, version, value, k FROM heads WHERE NOT discarded")
+def sync_older_times(spark, d):
+    """Changes whose time is before the snapshot's: what is appended later has a later id, whatever its time."""
+    root = new_folder(spark, "snapshots")
+    hist = T.history(spark, d)
+    half = hist.agg((F.max("history_id") / 2).cast("long")).first()[0]
+    late = hist.withColumn("last_modified", F.when(F.col("history_id") > half, F.col("last_modified") - 1e9).otherwise(F.col("last_modified")))
+    S.publish_snapshot(spark, late.filter(F.col("history_id") <= half), T.EVENT_BODY, root, buckets=BUCKETS)
+    S.sync_snapshot(spark, late, T.EVENT_BODY, root)
+    return _shown(S.read_snapshot(spark, root, "users"))
+
+
 @add("ST1_stream_sync", SNAP)
 def stream_sync(spark, d):
     root = new_folder(spark, "snapshots")

@@ -35,7 +35,7 @@ def stream_sync(spark: SparkSession, history_path: str, spec: Spec, root: str, c
             F.col("body").alias("entry"),
         )
         gone = newest.filter("discarded").select(F.col("entity_id").alias("id"))
-        mark = newest.agg(F.max("last_modified").alias("m")).first()["m"]
+        mark = newest.agg(F.max("history_id").alias("m")).first()["m"]
         if mark is not None:
             apply_changes(spark, root, spec, derive(upserts, spec, context, until="indexed"), gone, mark)
 

@@ -3,6 +3,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,19 +67,60 @@ def test_tables(spark):
     assert I.inflection_rows(I.inflect(lemmas, paradigms(spark))).count() == 4 + 5 + 2 + 2
 
 
-@pytest.mark.parametrize("chunk", [1000, 1])
-def test_match(spark, chunk):
+def test_match(spark):
     lemmas = spark.createDataFrame(
         [("hund", None, "hunden,hundar|PNI", ""), ("flicka", None, "flickan", None), ("flicka", None, "", "flickan"), ("hund", None, "hundar|SNI", "")],
         "lemma string, kind string, include string, exclude string",
     )
-    got = sorted((r.lemma, r.name) for r in I.match_paradigms(lemmas, paradigms(spark), chunk).collect())
+    got = sorted((r.lemma, r.name) for r in I.match_paradigms(lemmas, paradigms(spark)).collect())
     assert got == [("flicka", "s1"), ("flicka", "s2"), ("flicka", "v1"), ("hund", "s2")]
     named = lemmas.withColumn("paradigm", F.lit("s1"))
     assert sorted((r.lemma, r.name) for r in I.match_paradigms(named, paradigms(spark)).collect()) == [("flicka", "s1")]
     assert I.conditions("a|b,c") == [("a", "b"), ("c", None)] and I.conditions("") == []
 
 
+def test_match_is_what_trying_every_paradigm_gives(spark):
+    """The stem index against every word tried with every paradigm."""
+    rng = random.Random(12)
+    chains = ["=", "+en", "+a/r", "%sv+an", "%sv+or", "%om+er", "%om", "%asc", "%ascc", "%dk+t", "%av" + "i%dk", "%sp+de", "%ek", "%fv+ar", "+x%om+y", "fast", "fast%asc", "%ts", "=+s", "%ss+sar"]
+    made = [(f"p{i}", [(float(k), rng.choice(chains), rng.choice(["A", "B", "Perfekt particip"]), rng.choice(["T1", "T2", "P"])) for k in range(rng.randrange(1, 4))]) for i in range(60)]
+    names = ("row", "rules", "heading", "tagg", "prescript", "postscript", "extra")
+    js = spark.createDataFrame([(n, json.dumps([dict(zip(names, (*r, "", "", ""), strict=True)) for r in rows])) for n, rows in made], "name string, j string")
+    every = js.select("name", F.from_json("j", I.DEFINITION).alias("definition")).cache()
+    words = ["hus", "flicka", "man", "bok", "a", "s", "gata", "leta upp", "tvätta sig", "stå fast", "ö", "kummel"]
+    kinds = {"leta upp": "partikelverb", "tvätta sig": "reflexivt_verb", "stå fast": "partikelverb"}
+    plain = spark.createDataFrame([(w, kinds.get(w)) for w in words], "lemma string, kind string")
+    pairs = plain.crossJoin(every).withColumn("forms", I.forms(F.col("lemma"), F.col("kind"), F.col("definition"))).cache()
+    given = {}
+    for r in pairs.collect():
+        given.setdefault(r.lemma, []).extend((f.form, f.tag) for f in r.forms if f.form)
+    asked = []
+    for w in words:
+        for _ in range(6):
+            some = rng.sample(given[w], min(len(given[w]), rng.randrange(0, 3)))
+            include = ",".join(f if rng.random() < 0.6 else f"{f}|{t}" for f, t in some)
+            asked.append((w, kinds.get(w), include, rng.choice([None, "", rng.choice(given[w])[0], "none"])))
+        asked.append((w, kinds.get(w), None, None))
+    lemmas = spark.createDataFrame(asked, "lemma string, kind string, include string, exclude string")
+    want = lemmas.join(pairs.select("lemma", "name", "forms"), "lemma").filter(I.fits(F.col("forms"), F.col("include"), F.col("exclude")))
+    rows = lambda df: sorted((r.lemma, r.name, str(r.forms)) for r in df.collect())
+    got = rows(I.match_paradigms(lemmas, every))
+    assert got == rows(want) and len(got) > 500
+
+
+def test_approximate_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16))
+    vectors = centres[rng.integers(0, 60, 3000)] + rng.normal(scale=0.15, size=(3000, 16))
+    df = spark.createDataFrame([(i, i % 2, [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, class int, vector array<double>")
+    exact = N.knn(df, 5).cache()
+    found = N.approximate(df, 5, cells=300, probes=24)
+    row = N.recall(found, exact).first()
+    assert (row.vectors, row.wanted) == (3000, 15000) and row.recall >= 0.95
+    assert N.recall(N.approximate(df, 5, cells=300, probes=300, groups=300), exact).first().recall == 1.0
+    assert found.filter("id = neighbour").isEmpty() and N.approximate(df.limit(0)).isEmpty()
+
+
 def test_valency(spark):
     cases = {
         "a/b c": ["a c", "b c"],

@@ -301,19 +301,36 @@ def test_snapshots(spark):
     expected = {r.entity_id: r.body.n for r in latest(hist).collect()}
     assert state(S.read_snapshot(spark, root, "things")) == expected and expected["e1"] == 100
     assert S.sync_snapshot(spark, hist, SPEC, root) == 0
+    # a change with an older time, and an entity whose bucket has nothing left
+    rows, bad = apply_commands(hist, commands(spark, [("update_entry", "e3", 1, body(300))], -5000))
+    E.append_history(spark, path, rows, BODY)
+    hist = E.read_history(spark, path, BODY)
+    second = S.publish_snapshot(spark, hist.filter("history_id < 45"), SPEC, root, buckets=100)
+    S.sync_snapshot(spark, hist, SPEC, root)
+    expected = {r.entity_id: r.body.n for r in latest(hist).collect()}
+    assert state(S.read_snapshot(spark, root, "things")) == expected and expected["e3"] == 300
+    rows, bad = apply_commands(hist, commands(spark, [("delete_entry", f"e{i}", 1, None) for i in range(10, 30)], 2000))
+    E.append_history(spark, path, rows, BODY)
+    hist = E.read_history(spark, path, BODY)
+    assert S.sync_snapshot(spark, hist, SPEC, root) > 10
+    expected = {r.entity_id: r.body.n for r in latest(hist).collect()}
+    assert state(S.read_snapshot(spark, root, "things")) == expected and len(expected) == 19
     listed = S.list_snapshots(spark, root, ["things", "absent"]).collect()
-    assert sorted((r.resource, r.current) for r in listed) == [("absent", False), ("things", False), ("things", True)]
+    assert sorted((r.resource, r.name, r.current, (r.size or 0) > 0) for r in listed) == [("absent", "missing", False, False), ("things", first, False, True), ("things", second, True, True)]
     S.set_current(spark, root, "things", first)
-    assert state(S.read_snapshot(spark, root, "things"))["e1"] == 1
-    wanted = spark.createDataFrame([("e1",)], "id string")
+    assert state(S.read_snapshot(spark, root, "things"))["e3"] == 3
+    wanted = spark.createDataFrame([("e3",)], "id string")
     assert S.refresh(spark, hist, SPEC, root, wanted) == 1
-    assert state(S.read_snapshot(spark, root, "things"))["e1"] == 100
+    assert state(S.read_snapshot(spark, root, "things"))["e3"] == 300
     S.publish_snapshot(spark, hist, SPEC, root, drop_old=True, buckets=4)
     assert state(S.read_snapshot(spark, root, "things")) == expected
     with pytest.raises(ValueError):
         S.set_current(spark, root, "things", first)
+    S.set_current(spark, root, "things", second)
+    S.drop_snapshots(spark, root, "things")
     S.drop_snapshots(spark, root, "things")
-    assert [r.name for r in S.list_snapshots(spark, root, ["things"]).collect()] == ["missing"]
+    assert S.current_snapshot(spark, root, "things") is None
+    assert len([r.name for r in S.list_snapshots(spark, root, ["things"]).collect()]) == 1
 
 
 def test_streams(spark):
