@@ -11,6 +11,8 @@ its own sake; rows with the same source and key are one unit, taken together; an
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,6 @@ MAX_EPOCHS = 3
 SEED = 20
 #: Units of a source that are put in order by one task.
 CHUNK = 2_000
-#: Times that one more unit is looked for to fill what a source still lacks.
-TOP_UPS = 2
 
 
 def n_words(text: Column) -> Column:
@@ -65,12 +65,16 @@ def _order(key: Column, chunks: Column, seed: int) -> list[Column]:
     return [F.pmod(hashed, chunks), hashed]
 
 
-def plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per source that decides for each of its documents how often it is taken.
+class Plan(NamedTuple):
+    """How often each document of a source is taken: ``whole`` times, and once more if its place in the seeded order is at
+    most ``cut``, or if it is one of ``picks`` (source, doc_id), which are worth less than one document of each source."""
 
-    ``sizes`` has doc_id, source and size. ``whole``: copies of each document. One more copy goes to the documents whose
-    place in the seeded order is at most ``cut``, and to those with a key in ``picks``.
-    """
+    sources: DataFrame
+    picks: DataFrame
+
+
+def plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> Plan:
+    """What the mix takes of the documents (doc_id, source, size)."""
     sources = materialise(weighted_sources(sizes, weights), "sources")
     filled = water_fill(sources, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
@@ -92,30 +96,51 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: floa
     place = F.struct("chunk", "hashed", "doc_id")
     cuts = ordered.filter("first").groupBy("source").agg(F.max(place).alias("cut"), F.sum("size").alias("got"))
     decided = filled.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    decided = decided.withColumn("left", F.col("lack") - F.coalesce("got", F.lit(0))).withColumn("picks", F.array().cast("array<bigint>")).drop("got")
-    rest = ordered.filter(~F.col("first") & (F.col("size") > 0)).select("source", "doc_id", "size", "hashed")
-    for _ in range(TOP_UPS):
-        wanted = decided.select(F.col("source").alias("s"), F.col("left"), "picks")
-        fits = rest.join(wanted, F.col("source").eqNullSafe(F.col("s"))).filter(
-            (F.col("size") <= F.col("left")) & ~F.coalesce(F.array_contains("picks", F.col("doc_id")), F.lit(False))
-        )
-        best = fits.groupBy("source").agg(F.max(F.struct("size", "hashed", "doc_id")).alias("best")).withColumnRenamed("source", "s")
-        decided = decided.join(best, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-        decided = decided.withColumn("picks", F.when(F.col("best").isNotNull(), F.array_append("picks", F.col("best.doc_id"))).otherwise(F.col("picks")))
-        decided = materialise(decided.withColumn("left", F.col("left") - F.coalesce("best.size", F.lit(0))).drop("best"), "decided")
-    return decided.select("source", "source_size", "target", "whole", "chunks", "cut", "picks")
-
-
-def copies(docs: DataFrame, decided: DataFrame, seed: int = SEED, key: str = "doc_id", source: str = "source", into: str = "copies", keep=()) -> DataFrame:
+    room = decided.select("source", (F.col("lack") - F.coalesce("got", F.lit(0))).alias("room"))
+    rest = ordered.filter(~F.col("first") & (F.col("size") > 0)).select("source", "doc_id", "size", "chunk", "hashed")
+    return Plan(decided.select("source", "source_size", "target", "whole", "chunks", "cut"), _picked(rest, room))
+
+
+def _picked(rest: DataFrame, room: DataFrame) -> DataFrame:
+    """(source, doc_id): units that fill the room of their sources, round by round.
+
+    In a round the units that fit are taken in order as long as their sum does. Only the chunks that the sum reaches are
+    put in order.
+    """
+    place = F.struct("chunk", "hashed", "doc_id")
+    picks = None
+    while True:
+        given = room.withColumnRenamed("source", "s")
+        rest = materialise(rest.join(given, F.col("source").eqNullSafe(F.col("s"))).filter("size <= room").drop("s"), "rest")
+        if rest.isEmpty():
+            break
+        sums = rest.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.select(F.col("source").alias("s"), F.col("chunk").alias("c"), before.alias("before"))
+        reached = rest.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).filter("before < room").drop("s", "c")
+        running = F.sum("size").over(Window.partitionBy("source", "chunk").orderBy("hashed", "doc_id"))
+        taken = materialise(reached.withColumn("running", F.col("before") + running).filter("running <= room"), "taken")
+        picks = taken.select("source", "doc_id") if picks is None else picks.unionByName(taken.select("source", "doc_id"))
+        got = taken.groupBy("source").agg(F.max(place).alias("cut"), (F.max("room") - F.sum("size")).alias("left"))
+        got = materialise(got, "got")
+        # a source that took nothing has nothing that fits
+        room = got.select("source", F.col("left").alias("room"))
+        ends = got.select(F.col("source").alias("s"), "cut")
+        rest = rest.drop("room").join(ends, F.col("source").eqNullSafe(F.col("s"))).filter(place > F.col("cut")).drop("s", "cut")
+    return rest.select("source", "doc_id") if picks is None else picks
+
+
+def copies(docs: DataFrame, decided: Plan, seed: int = SEED, key: str = "doc_id", source: str = "source", into: str = "copies", keep=()) -> DataFrame:
     """``docs`` with the number of times the mix takes each document, and the columns ``keep`` of the plan."""
-    names = fresh(docs, "mix_source", "mix_whole", "mix_chunks", "mix_cut", "mix_picks")
-    s, whole, chunks, cut, picks = names
-    plan_columns = ["source", "whole", "chunks", "cut", "picks"]
-    right = decided.select(*[F.col(a).alias(b) for a, b in zip(plan_columns, names, strict=True)], *keep)
+    names = fresh(docs, "mix_source", "mix_whole", "mix_chunks", "mix_cut", "mix_picked_source", "mix_picked", "mix_pick")
+    s, whole, chunks, cut, of, picked, pick = names
+    plan_columns = ["source", "whole", "chunks", "cut"]
+    right = decided.sources.select(*[F.col(a).alias(b) for a, b in zip(plan_columns, names[:4], strict=True)], *keep)
+    picks = decided.picks.select(F.col("source").alias(of), F.col("doc_id").alias(picked), F.lit(1).alias(pick))
     chunk, hashed = _order(F.col(key), F.col(chunks), seed)
     place = F.struct(chunk.alias("chunk"), hashed.alias("hashed"), F.col(key).alias("doc_id"))
-    more = F.coalesce(place <= F.col(cut), F.lit(False)) | F.coalesce(F.array_contains(picks, F.col(key)), F.lit(False))
-    out = docs.join(right, F.col(source).eqNullSafe(F.col(s)), "left")
+    more = F.coalesce(place <= F.col(cut), F.lit(False)) | F.col(pick).isNotNull()
+    out = docs.join(right, F.col(source).eqNullSafe(F.col(s)), "left").join(picks, F.col(source).eqNullSafe(F.col(of)) & F.col(key).eqNullSafe(F.col(picked)), "left")
     return out.withColumn(into, (F.col(whole) + more.cast("long")).cast("long")).drop(*names)
 
 

@@ -70,6 +70,28 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r.n - r.t) <= 2 for r in out)
 
 
+def test_mix_fills_until_nothing_fits(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"s{int(rng.integers(0, 9))}", int(x)) for i, x in enumerate(np.concatenate([rng.integers(1, 40, 300), rng.integers(500, 4000, 60), [0, 0, 0]]))]
+    rows += [(1000, "big", 5000), (1001, "big", 40), (1002, "big", 30), (1003, "big", 7), (1004, None, 90), (1004, None, 10), (1005, None, 3)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.copies(sizes, mixing.plan(sizes), keep=("target", "source_size")).collect()
+    assert len(out) == len(rows)
+    units, taken, targets = {}, Counter(), {}
+    for r in out:
+        unit = units.setdefault((r.source, r.doc_id), [0, r.copies])
+        unit[0] += r.size
+        assert unit[1] == r.copies <= 3
+        taken[r.source] += r.copies * r.size
+        targets[r.source] = (r.target, r.source_size)
+    for source, (target, size) in targets.items():
+        room = target - taken[source]
+        assert room > -1e-6
+        whole = int(target / size + 1e-12) if size else 0
+        left = [n for (s, _), (n, c) in units.items() if s == source and c == whole and n > 0]
+        assert all(n > room for n in left) or taken[source] >= target - 1e-6
+
+
 def test_chat(spark):
     odd = "<|im_end|> <\\|x and \\n"
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "there"), (1, 2, "user", odd), (2, 0, "user", "hi"), (2, 1, "assistant", "there"), (2, 2, "assistant", None), (3, 0, "user", "hi"), (3, 1, "assistant", "there")]
