@@ -36,6 +36,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 #: Ranks whose lengths are summed by one task.
 CHUNK = 10_000
+#: Stretches of the sequence, with the segment that each lies in and the depths of its turns.
+INTERVALS = "array<struct<start:bigint,end:bigint,owner:bigint,from_depth:bigint,to_depth:bigint>>"
 _LIKE = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 
@@ -134,29 +136,33 @@ def packed(conversations: DataFrame) -> Packed:
     owners = steps.groupBy("node").agg(F.min("rank").alias("owner"))
     steps = materialise(steps.join(owners, "node"), "steps")
 
-    owned = steps.filter(F.col("owner") == F.col("rank")).groupBy("rank").agg(F.sum("length").alias("length"), F.min("position").alias("first"))
-    sizes = ranks.join(owned, "rank", "left").select("conv_id", "rank", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("first", F.lit(0)).alias("first"))
+    owned = steps.filter(F.col("owner") == F.col("rank")).groupBy("rank").agg(F.sum("length").alias("length"), F.min("position").alias("first"), F.min("depth").alias("top"), F.max("depth").alias("bottom"))
+    sizes = ranks.join(owned, "rank", "left").select("conv_id", "rank", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("first", F.lit(0)).alias("first"), "top", "bottom")
     sizes = sizes.withColumn("chunk", F.floor(F.col("rank") / CHUNK))
     chunks = sizes.groupBy("chunk").agg(F.sum("length").alias("total"))
     before = F.sum("total").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))  # one row per CHUNK conversations
     chunks = chunks.select("chunk", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("length").over(Window.partitionBy("chunk").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("inside", inside).join(chunks, "chunk")
-    starts = materialise(starts.select("conv_id", "rank", "length", "first", (F.col("before") + F.col("inside")).alias("start")), "starts")
+    starts = materialise(starts.select("conv_id", "rank", "length", "first", "top", "bottom", (F.col("before") + F.col("inside")).alias("start")), "starts")
 
     by_owner = starts.select(F.col("rank").alias("owner"), F.col("start").alias("owner_start"), F.col("first").alias("owner_first"))
-    borrowed = steps.filter(F.col("owner") < F.col("rank")).groupBy("rank", "owner").agg(F.min("position").alias("low"), F.max(F.col("position") + F.col("length")).alias("high"))
+    borrowed = steps.filter(F.col("owner") < F.col("rank")).groupBy("rank", "owner").agg(
+        F.min("position").alias("low"), F.max(F.col("position") + F.col("length")).alias("high"), F.min("depth").alias("from_depth"), F.max("depth").alias("to_depth")
+    )
     borrowed = borrowed.join(by_owner, "owner")
     shift = F.col("owner_start") - F.col("owner_first")
-    interval = F.struct((F.col("low") + shift).alias("start"), (F.col("high") + shift).alias("end"))
-    ancestors = borrowed.groupBy("rank").agg(F.array_sort(F.collect_list(interval)).alias("ancestors"))
+    interval = F.struct((F.col("low") + shift).alias("start"), (F.col("high") + shift).alias("end"), "owner", "from_depth", "to_depth")
+    ancestors = borrowed.groupBy("rank").agg(F.array_sort(F.collect_list(interval)).cast(INTERVALS).alias("ancestors"))
     segments = starts.join(ancestors, "rank", "left").select(
         "conv_id",
         F.col("rank").alias("segment"),
         "start",
         (F.col("start") + F.col("length")).alias("end"),
         F.col("first").alias("position"),
-        F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("ancestors"),
+        F.coalesce("ancestors", F.array().cast(INTERVALS)).alias("ancestors"),
+        F.col("top").cast("long").alias("from_depth"),
+        F.col("bottom").cast("long").alias("to_depth"),
     )
     mine = starts.select(F.col("conv_id").alias("c"), F.col("rank").alias("segment"), (F.col("start") - F.col("first")).alias("shift"))
     nodes = turns.join(owners.withColumnRenamed("node", "n"), F.col("node") == F.col("n"))
@@ -166,17 +172,15 @@ def packed(conversations: DataFrame) -> Packed:
 
 
 def unpacked(out: Packed) -> DataFrame:
-    """The turns of each conversation, read back from its segment and the intervals it attends to."""
-    own = F.struct(F.col("start"), F.col("end"))
+    """The turns of each conversation, read back from its segment and the intervals it attends to.
+
+    An interval tells the segment that it lies in and the depths of its turns, and a segment has one turn at a depth: the
+    turns are found by equality, one row for each turn that is wanted.
+    """
+    own = F.struct(F.col("start"), F.col("end"), F.col("segment").alias("owner"), "from_depth", "to_depth")
     seen = out.segments.select("conv_id", F.explode(F.filter(F.array_append("ancestors", own), lambda x: x["start"] < x["end"])).alias("seen"))
-    starts = out.segments.filter("start < end").select(F.col("segment").alias("owner"), F.col("start").alias("owner_start"), F.col("end").alias("owner_end"))
-    # an interval lies in the segment that holds its start; segments are found by chunks of the sequence that they touch
-    width = 1 << 16
-    chunks = starts.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("owner_start") / width), F.floor((F.col("owner_end") - 1) / width))))
-    found = seen.withColumn("chunk", F.floor(F.col("seen.start") / width)).join(chunks, "chunk")
-    found = found.filter((F.col("seen.start") >= F.col("owner_start")) & (F.col("seen.start") < F.col("owner_end")))
-    rows = found.select("conv_id", "owner", "seen").join(out.nodes.withColumnRenamed("segment", "owner"), "owner")
-    rows = rows.filter((F.col("offset") >= F.col("seen.start")) & (F.col("offset") < F.col("seen.end")))
+    wanted = seen.select("conv_id", F.col("seen.owner").alias("segment"), F.explode(F.sequence("seen.from_depth", "seen.to_depth")).alias("depth"))
+    rows = wanted.join(out.nodes.drop("parent", "node"), ["segment", "depth"])
     return rows.select("conv_id", "position", "formatted", "loss_start", "loss_end")
 
 
