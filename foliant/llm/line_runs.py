@@ -6,15 +6,15 @@ same line. Selected hashes that occur once in the corpus need no further look. W
 selected it are joined by their position around it: windows of equal lines form a class, whose first place (document,
 line) is kept and whose later places are matches. Matches extend both ways by the neighbouring windows that match too,
 so a run is deleted as far as it repeats earlier lines. Fewer lines that hold ``LONG`` words or more together are a window
-of their own. With ``short=False`` only single lines are, as in the SQL of the query ``op10_line_runs``: passages of that
-many words on two lines are then left; ``op10_line_runs_by_words`` finds them too.
+of their own.
 
 Documents are ordered by id, lines by number. Within a document only places that do not overlap the first one are later.
 Lines are compared without blanks around them; blank lines are not counted and stay, unless runs are deleted on both sides
 of them as one.
 
 Nulls, ties, edges: a null text has no lines; a null id comes first; rows with the same id and text are one document and
-treated alike; other rows with the same id are ordered by a hash of their text.
+treated alike; other rows with the same id are ordered by a hash of their text. Where the documents have columns of the
+names of the counts, the counts get an underscore in front.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def _few_lines(rows: DataFrame, span: int, long: int) -> DataFrame:
     return rows.filter(F.size("lines") >= span).select("doc_id", "digest", F.explode(windows).alias("w")).select("doc_id", "digest", "w.at", "w.window", "w.numbers")
 
 
-def repeated_lines(docs: DataFrame, lines: int = LINES, long: int = LONG, short: bool = True) -> DataFrame:
+def repeated_lines(docs: DataFrame, lines: int = LINES, long: int = LONG) -> DataFrame:
     """(doc_id, digest, removed): the sorted numbers of the lines to delete, for documents that have any."""
     rows = materialise(line_hashes(docs), "lines")
     value = lambda i, k: F.get("lines", i + k)["hash"]
@@ -96,18 +96,18 @@ def repeated_lines(docs: DataFrame, lines: int = LINES, long: int = LONG, short:
     repeated = selected.groupBy("selected", "window").agg(F.count(F.lit(1)).alias("n")).groupBy("selected").agg(F.sum("n").alias("n")).filter("n > 1").select("selected")
     places = windowed.select("doc_id", "digest", F.explode("windows").alias("w")).select("doc_id", "digest", "w.*").join(repeated, "selected", "left_semi")
     found = _later(places, ["selected", "window"], lines)
-    for span in range(1, lines if short else min(lines, 2)):
+    for span in range(1, lines):
         found = found.unionByName(_later(_few_lines(rows, span, long), ["window"], span))
     return found.groupBy("doc_id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("numbers")))).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, lines: int = LINES, long: int = LONG, into: tuple[str, str, str] = ("n_lines", "n_removed", "n_runs"), short: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, lines: int = LINES, long: int = LONG, into: tuple[str, str, str] = ("n_lines", "n_removed", "n_runs")) -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``, and the numbers of lines, deleted lines and deleted runs."""
     d, g, removed, digest, split = fresh(docs, "run_doc", "run_digest", "run_removed", "run_text_digest", "run_lines")
-    found = repeated_lines(docs, lines, long, short).select(F.col("doc_id").alias(d), F.col("digest").alias(g), F.col("removed").alias(removed))
+    found = repeated_lines(docs, lines, long).select(F.col("doc_id").alias(d), F.col("digest").alias(g), F.col("removed").alias(removed))
     out = docs.withColumn(digest, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(digest) == F.col(g)), "left")
     out = out.withColumn(split, F.split("text", "\n", -1))
-    n_lines, n_removed, n_runs = into
+    n_lines, n_removed, n_runs = fresh(docs, *into)
     out = out.withColumns(
         {
             n_lines: F.coalesce(F.size(split), F.lit(0)).cast("long"),
@@ -119,8 +119,8 @@ def without_repeats(docs: DataFrame, lines: int = LINES, long: int = LONG, into:
     return out.drop(d, g, removed, digest, split)
 
 
-def query(spark: SparkSession, folder: str, short: bool = True) -> DataFrame:
-    out = without_repeats(table(spark, folder, "documents").select("doc_id", "text"), short=short)
+def query(spark: SparkSession, folder: str) -> DataFrame:
+    out = without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
@@ -130,17 +130,24 @@ WITH lines AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number FROM documents)
 ), placed AS (
   SELECT doc_id, number, line, row_number() OVER (PARTITION BY doc_id ORDER BY number) - 1 AS place,
-         length(line) - length(replace(line, ' ', '')) + 1 >= 50 AS long
+         length(line) - length(replace(line, ' ', '')) + 1 AS words
   FROM lines WHERE line <> ''
 ), windows AS (
   SELECT doc_id, place, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY place)
 ), firsts AS (
   SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(place) OVER w AS first_at
   FROM windows WHERE c IS NOT NULL WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, place)
+), pairs AS (
+  SELECT doc_id, place, line AS a, lead(line) OVER w AS b, words + lead(words) OVER w AS words FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+), first_pairs AS (
+  SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(place) OVER w AS first_at
+  FROM pairs WHERE b IS NOT NULL AND words >= 50 WINDOW w AS (PARTITION BY a, b ORDER BY doc_id, place)
 ), later AS (
   SELECT doc_id, place + k AS place FROM firsts, (VALUES (0), (1), (2)) AS t(k) WHERE first_doc <> doc_id OR place >= first_at + 3
   UNION
-  SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS n FROM placed WHERE long) WHERE n > 1
+  SELECT doc_id, place + k FROM first_pairs, (VALUES (0), (1)) AS t(k) WHERE first_doc <> doc_id OR place >= first_at + 2
+  UNION
+  SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS n FROM placed WHERE words >= 50) WHERE n > 1
 ), marked AS (
   SELECT l.doc_id, l.number, l.raw, r.doc_id IS NOT NULL AS removed
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number FROM documents) l

@@ -57,12 +57,7 @@ def op9_interpolated_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of each document that repeat an earlier run of three lines, or a long line, by the rule of the SQL."""
-    return line_runs.query(spark, folder, short=False)
-
-
-def op10_line_runs_by_words(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with runs of two lines that hold as many words as a long line."""
+    """Lines of each document that repeat an earlier run of three lines, or of fewer lines with 50 words together."""
     return line_runs.query(spark, folder)
 
 
@@ -93,7 +88,7 @@ QUERIES = {
     "op8_near_documents": (op8_near_documents, None),
     "op9_interpolated_scores": (op9_interpolated_scores, None),
     "op10_line_runs": (op10_line_runs, line_runs.SQL),
-    "op10_line_runs_by_words": (op10_line_runs_by_words, None),
+    "op10_line_runs_by_words": (op10_line_runs, line_runs.SQL),  # the same query under its name of the last round
     "op11_filter_audit": (op11_filter_audit, filter_audit.SQL),
     "op12_vector_codes": (op12_vector_codes, vector_codes.SQL),
     "op13_token_counts": (op13_token_counts, None),

@@ -118,6 +118,22 @@ def test_chat(spark):
     assert chat.digests(chat.packed(table.limit(0))).count() == 0
 
 
+def test_chats_with_one_first_turn_are_read_back_turn_by_turn(spark):
+    """A first turn that all share, and a long conversation that others leave at every depth: as many rows as turns."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "hello" if t == 0 else f"{c} {t}") for c in range(300) for t in range(3)]
+    rows += [(1000 + c, t, "user", "hello" if t == 0 else f"long {t}" if t < c else f"own {c}") for c in range(1, 40) for t in range(c + 1)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.packed(table)
+    back = chat.unpacked(out)
+    assert back.count() == len(rows) and out.nodes.filter("depth = 0").count() == 1
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "segment" in plan and "depth" in plan and " >= " not in plan.split("Join Inner")[1].split("\n")[0]
+    got = {r.conv_id: r for r in chat.digests(out).collect()}
+    for c in (0, 299, 1001, 1039):
+        own = [(r, t) for i, _, r, t in sorted(rows) if i == c]
+        assert got[c].n_turns == len(own) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+
+
 def test_quality(spark):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(80)]
@@ -279,7 +295,7 @@ def test_line_runs_by_words(spark):
     rows = [(1, "one\n" + "\n".join(passage)), (2, "\n\n".join(passage) + "\ntwo"), (3, None), (4, passage[1] + "\n" + passage[0]), (5, passage[0])]
     rows += [(10 + i, "\n".join(f"own{i}" if rng.random() < 0.3 else str(rng.choice(lines)) for _ in range(rng.integers(1, 14)))) for i in range(60)]
 
-    def removed(short):
+    def removed():
         kept = {i: [(n, x.strip(" ")) for n, x in enumerate((t or "").split("\n")) if x.strip(" ")] for i, t in rows}
         first, gone = {}, {i: set() for i, _ in rows}
         for span in (1, 2, 3):
@@ -287,17 +303,18 @@ def test_line_runs_by_words(spark):
                 for at in range(len(kept[i]) - span + 1):
                     run = kept[i][at : at + span]
                     words = sum(x.count(" ") + 1 for _, x in run)
-                    if span == 3 or words >= 50 and (short or span == 1):
+                    if span == 3 or words >= 50:
                         doc, place = first.setdefault(tuple(x for _, x in run), (i, at))
                         if doc != i or at >= place + span:
                             gone[i] |= {n for n, _ in run}
         return {i: sorted(x) for i, x in gone.items() if x}
 
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for short in (True, False):
-        want = removed(short)
-        assert {r.doc_id: r.removed for r in line_runs.repeated_lines(docs, short=short).collect()} == want
-        assert want.get(2) == ([0, 2] if short else None) and 4 not in want and 5 not in want
+    want = removed()
+    assert {r.doc_id: r.removed for r in line_runs.repeated_lines(docs).collect()} == want
+    assert want.get(2) == [0, 2] and 4 not in want and 5 not in want
+    clash = line_runs.without_repeats(docs.withColumn("n_lines", F.lit(7)).withColumn("n_runs", F.lit("x")))
+    assert clash.filter("n_lines <> 7 or n_runs <> 'x'").isEmpty() and {"_n_lines", "n_removed", "_n_runs"} <= set(clash.columns)
     got = {r.doc_id: (r.n_removed, r.text) for r in line_runs.without_repeats(docs).collect()}
     assert got[1] == (0, rows[0][1]) and got[2] == (2, "\ntwo")
 
