@@ -16,7 +16,7 @@ from foliant.operators.highlight import highlight
 from foliant.functions import text
 from foliant.plans.spec import Spec
 from tests import data
-from tests.test_query import GARDENS, NESTED
+from tests.test_query import NESTED, TOOLS
 
 
 @pytest.mark.parametrize("chunk", [1])
@@ -274,20 +274,23 @@ def test_markup(spark):
 
 
 def test_highlight(spark):
-    gardens = data.entries(spark, data.GARDENS, GARDENS)
-
-    def marks(p, df=gardens, spec=GARDENS, **kw):
-        return {r.entry.code: r.highlight for r in highlight(P.matching(df, p, spec), p, spec, **kw).collect()}
-
-    assert marks(P.equals("name", "court")) == {1: {"name": ["Linden <em>court</em>"]}, 2: {"name": ["Oak <em>court</em>"]}}
-    assert marks(P.equals("name", "oak court")) == {2: {"name": ["<em>Oak</em> <em>court</em>"]}}
-    assert marks(P.freetext("herb"))[1] == {"tags": ["<em>herb</em>"]}
-    assert marks(P.equals("size", 300)) == {5: None}
-    assert marks(None)[1] is None
+    tools = data.entries(spark, data.TOOLS, TOOLS, "key")
+
+    def marks(p, df=tools, spec=TOOLS, **kw):
+        return {r.id: r.highlight for r in highlight(P.matching(df, p, spec), p, spec, **kw).collect()}
+
+    assert marks(P.equals("jobs.what", "trim")) == {"saw": {"jobs.what": ["<em>Trim</em>"]}, "plane": {"jobs.what": ["<em>Trim</em> edges"]}}
+    assert marks(P.equals("label", "BENCH vice")) == {"vice": {"label": ["<em>Bench</em> <em>vice</em>"]}}
+    assert marks(P.regexp("label", r"\d+")) == {"drill": {"label": ["Hand-drill <em>40</em>"]}}
+    assert marks(P.regexp("label", r"\D+"))["drill"] == {"label": ["<em>Hand-drill</em> 40"]}
+    assert marks(P.startswith("label", r"f\S", regex=True)) == {"saw": {"label": ["<em>Fine</em> saw"]}, "rule": {"label": ["<em>Folding</em> rule"]}}
+    assert marks(P.freetext("joints"))["gauge"] == {"jobs.what": ["Mark <em>joints</em>"]}
+    assert marks(P.equals("weight", 11)) == {"vice": None}
+    assert marks(None)["saw"] is None
     nested = data.entries(spark, [{"code": 1, "infT": [{"wf": "väl-känd x"}, {"wf": "y"}, {"wf": "välkänd"}]}], NESTED)
     p = P.sub("infT", P.startswith("wf", "välk"))
-    assert marks(p, nested, NESTED) == {1: {"infT.wf": ["<em>väl-känd</em> x", "<em>välkänd</em>"]}}
-    assert marks(p, nested, NESTED, positions=True) == {1: {"infT[0].wf": ["<em>väl-känd</em> x"], "infT[2].wf": ["<em>välkänd</em>"]}}
+    assert marks(p, nested, NESTED) == {"1": {"infT.wf": ["<em>väl-känd</em> x", "<em>välkänd</em>"]}}
+    assert marks(p, nested, NESTED, positions=True) == {"1": {"infT[0].wf": ["<em>väl-känd</em> x"], "infT[2].wf": ["<em>välkänd</em>"]}}
     assert list(itertools.chain()) == []
 
 

@@ -14,22 +14,35 @@ from foliant.operators import stats as S
 from foliant.plans.spec import Field, IncompatibleFields, SortError, Spec, SpecError, UnknownField
 from tests import data
 
-GARDENS = Spec.from_dict(data.GARDENS_SPEC)
-DISTRICTS = Spec.from_dict(data.DISTRICTS_SPEC)
+TOOLS = Spec.from_dict(data.TOOLS_SPEC)
+MAKERS = Spec.from_dict(data.MAKERS_SPEC)
 
 
 @pytest.fixture(scope="module")
-def gardens(spark):
-    return data.entries(spark, data.GARDENS, GARDENS).cache()
+def tools(spark):
+    return data.entries(spark, data.TOOLS, TOOLS, "key").cache()
 
 
 @pytest.fixture(scope="module")
-def districts(spark):
-    return data.entries(spark, data.DISTRICTS, DISTRICTS).cache()
+def makers(spark):
+    return data.entries(spark, data.MAKERS, MAKERS, "key").cache()
 
 
-def codes(df, predicate, spec=GARDENS):
-    return sorted(r.c for r in P.matching(df, predicate, spec).select(F.col("entry.code").alias("c")).collect())
+def found(df, predicate, spec=TOOLS):
+    return sorted(r.id for r in P.matching(df, predicate, spec).collect())
+
+
+def codes(df, predicate, spec):
+    return [int(i) for i in found(df, predicate, spec)]
+
+
+def having(test, records=data.TOOLS):
+    """The keys of the records that a plain test holds for."""
+    return sorted(r["key"] for r in records if test(r))
+
+
+def jobs(r):
+    return r.get("jobs") or []
 
 
 def test_words(spark):
@@ -42,46 +55,48 @@ def test_words(spark):
     assert words("  ") == []
 
 
-def test_leaf_predicates(gardens):
-    assert codes(gardens, P.equals("name", "willow")) == [8]
-    assert codes(gardens, P.equals("name", "COURT")) == [1, 2]
-    assert codes(gardens, P.equals("name", "linden court")) == [1]
-    assert codes(gardens, P.equals("name", "court linden")) == []
-    assert codes(gardens, P.equals("name", "...")) == []
-    assert codes(gardens, P.contains("name", "Oak")) == [2, 4]
-    assert codes(gardens, P.contains("name", "n c")) == []
-    assert codes(gardens, P.regexp("name", "O.*")) == [2, 4]
-    assert codes(gardens, P.regexp("name", r"\D+")) == list(range(1, 9)) and codes(gardens, P.regexp("name", r"\d+")) == []
-    assert codes(gardens, P.regexp("name", r"\p{Lu}.*")) == list(range(1, 9))  # case does not matter
-    assert codes(gardens, P.startswith("name", "mapl")) == [3]
-    assert codes(gardens, P.endswith("name", "lm")) == [6, 7]
-    assert codes(gardens, P.contains("name", r"L\Sn", regex=True)) == [1, 3, 5]
-    assert codes(gardens, P.gt("name", "walk")) == [6, 8]
-    assert codes(gardens, P.equals("district", 1)) == [1, 4, 8]
-    assert codes(gardens, P.gte("visitors", 2500)) == [2, 5]
-    assert codes(gardens, P.lt("rating", 2)) == [6]
-    assert codes(gardens, P.exists("parent")) == [2, 3, 4, 6, 7, 8]
-    assert codes(gardens, P.missing("rating")) == [4]
-    assert codes(gardens, P.equals("tags", "herb")) == [1]
-    assert codes(gardens, P.equals(P.meta("id"), "3")) == [3]
-    assert codes(gardens, P.gte(P.meta("version"), 2)) == []
+def test_leaf_predicates(tools):
+    everyone = having(lambda r: True)
+    assert found(tools, P.equals("label", "mallet")) == ["mallet"]
+    assert found(tools, P.equals("label", "BENCH vice")) == ["vice"] and found(tools, P.equals("label", "vice bench")) == []
+    assert found(tools, P.equals("label", "handdrill")) == ["drill"] and found(tools, P.equals("label", "...")) == []
+    assert found(tools, P.contains("label", "L")) == having(lambda r: any("l" in w for w in r["label"].lower().split()))
+    assert found(tools, P.contains("label", "e s")) == []
+    assert found(tools, P.regexp("label", "[FB].*")) == ["plane", "rule", "saw", "vice"]
+    assert found(tools, P.regexp("label", r"\D+")) == everyone and found(tools, P.regexp("label", r"\d+")) == ["drill"]
+    assert found(tools, P.regexp("label", r"\p{Lu}.*")) == everyone  # case does not matter
+    assert found(tools, P.startswith("label", "RUL")) == ["rule"] and found(tools, P.endswith("label", "ng")) == ["rule"]
+    assert found(tools, P.contains("label", r"L\Sn", regex=True)) == ["plane"]
+    assert found(tools, P.gt("label", "rule")) == having(lambda r: any(w > "rule" for w in ("saw", "vice", "ångström") if w in r["label"].lower()))
+    assert found(tools, P.equals("made.by", "holm")) == having(lambda r: r.get("made", {}).get("by") == "holm")
+    assert found(tools, P.startswith("made.by", "ö")) == ["rule", "vice"]
+    assert found(tools, P.gte("weight", 0.75)) == having(lambda r: r.get("weight", 0) >= 0.75)
+    assert found(tools, P.lt("made.year", 2003)) == having(lambda r: r.get("made", {}).get("year", 9999) < 2003)
+    assert found(tools, P.equals("lent", False)) == having(lambda r: r.get("lent") is False)
+    assert found(tools, P.exists("made.year")) == having(lambda r: "year" in r.get("made", {}))
+    assert found(tools, P.missing("made")) == ["mallet"] and found(tools, P.missing("lent")) == having(lambda r: "lent" not in r)
+    assert found(tools, P.equals("jobs.along", "vice")) == having(lambda r: any("vice" in j.get("along", []) for j in jobs(r)))
+    assert found(tools, P.gt("jobs.hours", 0.4)) == having(lambda r: any(j.get("hours", 0) > 0.4 for j in jobs(r)))
+    assert found(tools, P.equals(P.meta("id"), "saw")) == ["saw"] and found(tools, P.gte(P.meta("version"), 2)) == []
     with pytest.raises(SpecError):
-        codes(gardens, P.regexp("visitors", "1"))
+        found(tools, P.regexp("weight", "1"))
     with pytest.raises(UnknownField):
-        codes(gardens, P.equals("nothing", 1))
-
-
-def test_combinations(gardens):
-    everyone = list(range(1, 9))
-    assert codes(gardens, None) == everyone and codes(gardens, P.and_()) == everyone
-    assert codes(gardens, P.or_()) == []
-    assert codes(gardens, P.and_(P.equals("district", 2), P.lt("visitors", 2000))) == [1, 7]
-    assert codes(gardens, P.not_(P.gt("visitors", 400))) == [3, 4, 6, 8]
-    assert codes(gardens, P.not_(P.gt("visitors", 400), P.equals("name", "willow"))) == [3, 4, 6]
-    assert codes(gardens, P.not_(P.not_(P.gt("visitors", 1000)))) == [2, 5]
-    assert codes(gardens, P.freetext("Ängsholm")) == [6]
-    assert codes(gardens, P.freetext("75")) == [2, 3]
-    assert codes(gardens, P.freetext("user1")) == everyone
+        found(tools, P.equals("nothing", 1))
+
+
+def test_combinations(tools):
+    everyone = having(lambda r: True)
+    heavy = lambda r: r.get("weight", 0) > 0.5
+    assert found(tools, None) == everyone and found(tools, P.and_()) == everyone and found(tools, P.or_()) == []
+    assert found(tools, P.and_(P.equals("made.by", "holm"), P.gt("weight", 0.5))) == ["plane"]
+    assert found(tools, P.not_(P.gt("weight", 0.5))) == having(lambda r: not heavy(r))
+    assert found(tools, P.not_(P.gt("weight", 0.5), P.equals("label", "gauge"))) == having(lambda r: not heavy(r) and r["key"] != "gauge")
+    assert found(tools, P.not_(P.not_(P.gt("weight", 0.5)))) == having(heavy)
+    assert found(tools, P.or_(P.equals("label", "mallet"), P.equals("jobs.what", "bore"))) == ["drill", "mallet"]
+    one_job = P.sub("jobs", P.and_(P.equals("what", "trim"), P.gt("hours", 0.75)))
+    assert found(tools, one_job) == having(lambda r: any("Trim" in j["what"] and j.get("hours", 0) > 0.75 for j in jobs(r)))
+    assert found(tools, P.freetext("JOINTS")) == ["gauge", "saw"] and found(tools, P.freetext("2003")) == ["drill", "gauge"]
+    assert found(tools, P.freetext("user1")) == everyone
     with pytest.raises(SpecError):
         P.not_()
 
@@ -118,29 +133,30 @@ def test_same_element_and_any_element(spark):
     assert P.sub("a", P.and_(P.equals("b", 1), P.exists("c"))).paths() == {"a.b", "a.c"}
 
 
-def test_sort_and_pages(gardens, districts):
-    names = [r.value for r in Q.query(gardens, GARDENS, size=None, path="entry.name").hits.collect()]
-    assert names == ["Birch lane", "Elm walk", "Linden court", "Maple lane", "Oak court", "Oaken", "Willow", "Ängsholm"]
-    found = Q.query(gardens, GARDENS, P.gt("size", 20), sort=["rating|desc", "name"], from_=1, size=3)
-    assert [r.entry.code for r in found.hits.collect()] == [5, 3, 1]
-    assert found.total.first().total == 5
-    assert [tuple(r) for r in found.distribution.collect()] == [("gardens", 5)]
-    falling = Q.query(gardens, GARDENS, sort=["visitors|desc"], size=None).hits.collect()
-    assert {r.entry.code for r in falling[-2:]} == {3, 8}
-    assert Q.query(gardens, GARDENS, size=0).hits.count() == 0
-    values = [r.value for r in Q.query(gardens, GARDENS, path="entry.district").hits.collect()]
-    assert [2, 3] in values and [1] in values
-    both = K.union_collections([(gardens, GARDENS), (districts, DISTRICTS)])
-    stats = {r.resource: r["count"] for r in Q.distribution(P.matching(both, P.exists("name"), [GARDENS, DISTRICTS])).collect()}
-    assert stats == {"gardens": 8, "districts": 3}
+def test_sort_and_pages(tools, makers):
+    names = [r.value for r in Q.query(tools, TOOLS, size=None, path="entry.label").hits.collect()]
+    assert names == ["Bench vice", "Block plane", "Fine saw", "Folding rule", "Hand-drill 40", "Mallet", "Ångström gauge"]
+    some = Q.query(tools, TOOLS, P.lt("weight", 5), sort=["weight|desc", "label"], from_=1, size=2)
+    assert [r.id for r in some.hits.collect()] == ["plane", "mallet"]
+    assert some.total.first().total == 4 and [tuple(r) for r in some.distribution.collect()] == [("tools", 4)]
+    falling = Q.query(tools, TOOLS, sort=["made.year|desc"], size=None).hits.collect()
+    assert sorted(r.id for r in falling[-3:]) == having(lambda r: "year" not in r.get("made", {}))
+    longest = Q.query(tools, TOOLS, sort=["jobs.hours|desc"], size=2).hits.collect()
+    assert [r.id for r in longest] == ["saw", "plane"]
+    assert Q.query(tools, TOOLS, size=0).hits.count() == 0
+    values = [r.value for r in Q.query(tools, TOOLS, path="entry.jobs.along").hits.collect()]
+    assert [["vice", "plane"], None] in values and [] in values
+    both = K.union_collections([(tools, TOOLS), (makers, MAKERS)])
+    stats = {r.resource: r["count"] for r in Q.distribution(P.matching(both, P.exists("label"), [TOOLS, MAKERS])).collect()}
+    assert stats == {"tools": 7, "makers": 3}
     with pytest.raises(IncompatibleFields):
-        P.matching(both, P.exists("size"), [GARDENS, DISTRICTS])
+        P.matching(both, P.exists("lent"), [TOOLS, MAKERS])
     with pytest.raises(UnknownField):
-        P.matching(both, P.exists("rating"), [GARDENS, DISTRICTS])
+        P.matching(both, P.exists("weight"), [TOOLS, MAKERS])
     with pytest.raises(SortError):
-        Q.ordered(both, [GARDENS, Spec("xx", {"n": Field(type="integer")}, sort=("n",))])
+        Q.ordered(both, [TOOLS, Spec("xx", {"n": Field(type="integer")}, sort=("n",))])
     with pytest.raises(SortError):
-        Q.ordered(gardens, GARDENS, ["nope"])
+        Q.ordered(tools, TOOLS, ["nope"])
 
 
 def test_swedish_order(spark):
@@ -151,42 +167,48 @@ def test_swedish_order(spark):
     assert [r.entry.w for r in Q.ordered(df, spec, ["arr.k|desc"]).collect()][:1] == ["ö"]
 
 
-def test_statistics(gardens, spark):
-    assert {(r.value, r["count"]) for r in S.statistics(gardens, "size", GARDENS).collect()} == {(75, 2), (40, 2), (10, 2), (300, 1)}
-    assert [tuple(r) for r in S.statistics(gardens, "district", GARDENS).collect()] == [(2, 4), (3, 4), (1, 3)]
+def test_statistics(tools, spark):
+    assert {(r.value, r["count"]) for r in S.statistics(tools, "weight", TOOLS).collect()} == {(0.75, 2), (0.4, 1), (11.0, 1), (1.25, 1)}
+    assert [tuple(r) for r in S.statistics(tools, "made.by", TOOLS).collect()] == [("holm", 2), ("öberg", 2), ("nobody", 1)]
+    # an entry counts once for a value, however often it has it
+    assert {tuple(r) for r in S.statistics(tools, "jobs.along", TOOLS).collect()} == {("vice", 2), ("plane", 1), ("lost", 1), ("saw", 1), ("mallet", 1)}
     with pytest.raises(S.TooManyValues):
-        S.statistics(gardens, "name", GARDENS, max_values=3)
+        S.statistics(tools, "label", TOOLS, max_values=3)
     nested = data.entries(spark, [{"code": 1, "infT": [{"wf": "a"}, {"wf": "a"}, {"wf": "b"}]}, {"code": 2, "infT": [{"wf": "a"}]}], NESTED)
     assert [tuple(r) for r in S.statistics(nested, "infT.wf").collect()] == [("a", 2), ("b", 1)]
 
 
-def test_lookups(gardens, districts, spark):
-    got = {r.id: (r.link.error, r.link.entry and r.link.entry.name) for r in L.link(gardens, districts, "parent", "code").filter("entry.parent is not null").collect()}
-    assert got == {"2": (None, "North ward"), "3": (None, "South ward"), "4": ("not found", None), "6": ("not found", None), "7": (None, "South ward"), "8": ("not found", None)}
-    many = L.link(districts, gardens, "code", "district").collect()
-    assert {r.link.error for r in many} == {"multiple matches"}
-    expected = {1: [1, 4, 8], 2: [1, 2, 5, 7], 3: [3, 5, 6, 8]}
-    back = L.backlink(districts, gardens, "district", "code", "code").collect()
-    assert {r.entry.code: r.backlinks for r in back} == expected
-    parts = L.backlink(districts, gardens, "district", "code", "code", limit=1).collect()
-    assert len(parts) > 3
-    merged = {}
+def test_lookups(tools, makers, spark):
+    linked = {r.id: (r.link.error, r.link.entry and r.link.entry.label) if r.link else None for r in L.link(tools, makers, "made.by", "key").collect()}
+    names = {m["key"]: m["label"] for m in data.MAKERS}
+    for r in data.TOOLS:
+        by = r.get("made", {}).get("by")
+        assert linked[r["key"]] == (None if by is None else (None, names[by]) if by in names else ("not found", None))
+    many = {r.id: r.link.error for r in L.link(makers, tools, "key", "made.by").collect()}
+    assert many == {"holm": "multiple matches", "öberg": "multiple matches", "kil": "not found"}
+    expected = {m["key"]: having(lambda r, m=m: r.get("made", {}).get("by") == m["key"]) for m in data.MAKERS}
+    assert {r.id: r.backlinks for r in L.backlink(makers, tools, "made.by", "key", "key").collect()} == expected
+    used = {r.id: r.backlinks for r in L.backlink(tools, tools, "jobs.along", "key", "key").collect()}
+    assert used == {t["key"]: having(lambda r, t=t: any(t["key"] in j.get("along", []) for j in jobs(r))) for t in data.TOOLS}
+    parts = L.backlink(makers, tools, "made.by", "key", "key", limit=1).collect()
+    joined = {}
     for r in parts:
-        merged.setdefault(r.entry.code, []).extend(r.backlinks)
-    assert {k: sorted(v) for k, v in merged.items()} == expected
-    assert sorted(L.collect_resource(gardens, districts, "name").first()["values"]) == ["Isle of Ängs", "North ward", "South ward"]
-    parts = L.collect_resource(gardens, districts, "name", limit=2).collect()
-    assert len(parts) == 16 and sorted(v for r in parts if r.id == "1" for v in r["values"]) == ["Isle of Ängs", "North ward", "South ward"]
-    assert L.collect_resource(gardens, districts.limit(0), "name").filter("size(values) = 0 and part = 0").count() == 8
-    words = spark.createDataFrame([("ängs",), ("ward",), ("south ward",), ("ward south",), ("x",)], "word string")
-    assert sorted(r.word for r in L.not_found(words, districts, ["name", "county"]).collect()) == ["ward south", "x"]
-    keys = spark.createDataFrame([(0, 3), (1, 1), (2, 99)], "query int, value long")
-    hits = sorted((r.query, r.hit.id if r.hit else None) for r in L.multi_lookup(keys, gardens, "district").collect())
-    assert hits == [(0, "3"), (0, "5"), (0, "6"), (0, "8"), (1, "1"), (1, "4"), (1, "8"), (2, None)]
-    assert L.by_ids(gardens, spark.createDataFrame([("1",), ("2",), ("77",)], "id string")).count() == 2
-    both = K.union_collections([(gardens, GARDENS), (districts, DISTRICTS)])
-    assert L.by_ids(both, spark.createDataFrame([("1",)], "id string")).count() == 2
-    assert L.by_ids(both, spark.createDataFrame([("gardens", "1")], "resource string, id string")).count() == 1
+        joined.setdefault(r.id, []).extend(r.backlinks)
+    assert len(parts) >= 3 and {k: sorted(v) for k, v in joined.items()} == expected
+    labels = sorted(names.values())
+    assert sorted(L.collect_resource(tools, makers, "label").first()["values"]) == labels
+    parts = L.collect_resource(tools, makers, "label", limit=2).collect()
+    assert len(parts) == 14 and sorted(v for r in parts if r.id == "saw" for v in r["values"]) == labels
+    assert L.collect_resource(tools, makers.limit(0), "label").filter("size(values) = 0 and part = 0").count() == 7
+    words = spark.createDataFrame([("lund",), ("söner",), ("holm söner",), ("söner holm",), ("x",)], "word string")
+    assert sorted(r.word for r in L.not_found(words, makers, ["label", "towns"]).collect()) == ["söner holm", "x"]
+    asked = spark.createDataFrame([(0, "vice"), (1, "saw"), (2, "none")], "query int, value string")
+    hits = sorted((r.query, r.hit.id if r.hit else None) for r in L.multi_lookup(asked, tools, "jobs.along").collect())
+    assert hits == [(0, "plane"), (0, "saw"), (1, "gauge"), (2, None)]
+    assert L.by_ids(tools, spark.createDataFrame([("saw",), ("vice",), ("77",)], "id string")).count() == 2
+    both = K.union_collections([(tools, TOOLS), (makers.withColumn("id", F.when(F.col("id") == "kil", "saw").otherwise(F.col("id"))), MAKERS)])
+    assert L.by_ids(both, spark.createDataFrame([("saw",)], "id string")).count() == 2
+    assert L.by_ids(both, spark.createDataFrame([("tools", "saw")], "resource string, id string")).count() == 1
 
 
 def test_phrases_stand_where_their_rarest_word_does(spark):
@@ -205,85 +227,84 @@ def test_phrases_stand_where_their_rarest_word_does(spark):
     assert {r.word for r in got.collect()} == want and want & {"rare a", "x"} and "a a a rare" not in want
 
 
-def test_derive(gardens, districts):
-    context = D.Context({"districts": D.Table(districts, DISTRICTS), "gardens": D.Table(gardens, GARDENS)})
-    out = D.derive(gardens, GARDENS, context, until="indexed").filter("id = '5'").first()
-    assert [m.entry.name for m in out.entry._district] == ["South ward", "Isle of Ängs"]
-    spec = D.effective_spec(GARDENS, context)
-    everything = D.derive(gardens, GARDENS, context)
-    assert codes(everything, P.sub("_district", P.freetext("isle")), spec) == [3, 5, 6, 8]
-    assert codes(everything, P.or_(P.freetext("isle"), P.freetext("walk")), spec) == [3, 5, 6, 7, 8]
-    fields = {k: data.DISTRICTS_SPEC["fields"][k] for k in ("name", "code")}
-    fields["_gardens"] = {"virtual": True, "plugin": "backlink", "params": {"resource": "gardens", "target": "district", "field": "code"}, "field_params": {"id": "code"}}
-    fields["_names"] = {"virtual": True, "plugin": "resource", "params": {"resource": "districts", "path": "name"}, "field_params": {}}
-    back = Spec.from_dict({"resource_id": "districts", "fields": fields})
-    rows = D.derive(districts, back, context).collect()
-    assert {r.entry.code: r.entry._gardens for r in rows} == {1: [1, 4, 8], 2: [1, 2, 5, 7], 3: [3, 5, 6, 8]}
-    assert all(sorted(r.entry._names) == ["Isle of Ängs", "North ward", "South ward"] for r in rows)
+def test_derive(tools, makers):
+    context = D.Context({"makers": D.Table(makers, MAKERS), "tools": D.Table(tools, TOOLS)})
+    out = {r.id: r.entry._maker for r in D.derive(tools, TOOLS, context, until="indexed").collect()}
+    assert out["plane"].entry.towns == ["Ängsö", "Lund"] and out["gauge"].error == "not found" and out["drill"] is None
+    spec = D.effective_spec(TOOLS, context)
+    everything = D.derive(tools, TOOLS, context)
+    assert found(everything, P.sub("_maker", P.freetext("lund")), spec) == having(lambda r: r.get("made", {}).get("by") in ("holm", "öberg"))
+    assert found(everything, P.or_(P.freetext("ängsö"), P.freetext("bore")), spec) == ["drill", "plane", "saw"]
+    fields = {k: data.MAKERS_SPEC["fields"][k] for k in ("label", "key")}
+    fields["_tools"] = {"virtual": True, "plugin": "backlink", "params": {"resource": "tools", "target": "made.by", "field": "key"}, "field_params": {"id": "key"}}
+    fields["_labels"] = {"virtual": True, "plugin": "resource", "params": {"resource": "makers", "path": "label"}, "field_params": {}}
+    back = Spec.from_dict({"resource_id": "makers", "fields": fields})
+    rows = D.derive(makers, back, context).collect()
+    assert {r.id: r.entry._tools for r in rows} == {m["key"]: having(lambda r, m=m: r.get("made", {}).get("by") == m["key"]) for m in data.MAKERS}
+    assert all(sorted(r.entry._labels) == sorted(m["label"] for m in data.MAKERS) for r in rows)
 
 
-def chained(**extra):
-    fields = json.loads(json.dumps(data.GARDENS_SPEC["fields"]))
-    del fields["_district"]
-    fields.update(extra)
-    return Spec.from_dict({"resource_id": "gardens", "fields": fields})
+def with_derived(**extra):
+    fields = {k: v for k, v in data.TOOLS_SPEC["fields"].items() if k != "_maker"}
+    return Spec.from_dict({"resource_id": "tools", "fields": {**json.loads(json.dumps(fields)), **extra}})
 
 
 def copy(source, type="integer", **kw):
     return {"virtual": True, "plugin": "copy", "params": {"config": {"type": type}}, "field_params": {"value": source}, **kw}
 
 
-def test_derive_order_and_flags(gardens):
-    spec = chained(a3=copy("a2", collection="true"), a1=copy("district", collection="true", hidden=True), a2=copy("a1", collection=True))
-    assert D.derivation_levels(spec) == [["a1"], ["a2"], ["a3"]]
-    row = D.derive(gardens, spec).filter("id = '5'").first().entry
-    assert row.a3 == [2, 3] and row.a2 == [2, 3] and "a1" not in row.asDict()
+def test_derive_order_and_flags(tools):
+    spec = with_derived(c=copy("b", "number"), a=copy("weight", "number", hidden=True), b=copy("a", "number"))
+    assert D.derivation_levels(spec) == [["a"], ["b"], ["c"]]
+    row = D.derive(tools, spec).filter("id = 'vice'").first().entry
+    assert row.c == 11.0 and row.b == 11.0 and "a" not in row.asDict()
     with pytest.raises(D.DeriveError, match="cycle"):
-        D.derive(gardens, chained(a=copy("b"), b=copy("a")))
+        D.derive(tools, with_derived(a=copy("b"), b=copy("a")))
     with pytest.raises(D.DeriveError, match="cycle"):
-        D.derive(gardens, chained(a=copy("a")))
+        D.derive(tools, with_derived(a=copy("a")))
     with pytest.raises(D.DeriveError, match="later phase"):
-        D.derive(gardens, chained(a=copy("b"), b=copy("code", searchable=False)), until="indexed")
+        D.derive(tools, with_derived(a=copy("b"), b=copy("made.year", searchable=False)), until="indexed")
     with pytest.raises(D.DeriveError, match="not found"):
-        D.derive(gardens, chained(a={"virtual": True, "plugin": "nope"}))
-    late = chained(a=copy("code"), b=copy("a", searchable=False))
-    first = D.derive(gardens, late, until="indexed")
+        D.derive(tools, with_derived(a={"virtual": True, "plugin": "nope"}))
+    late = with_derived(a=copy("key", "string"), b=copy("a", "string", searchable=False))
+    first = D.derive(tools, late, until="indexed")
     assert "b" not in first.schema["entry"].dataType.fieldNames()
     second = D.derive(first, late, start="indexed")
-    assert second.filter("entry.b = entry.code and entry.a = entry.code").count() == 8
-    gated = chained(a={**copy("code"), "field_params": {"value": "code", "include_if": "rating"}})
-    assert D.derive(gardens, gated).filter("entry.a is null").count() == 1
-    assert D.derive(gardens, chained(a=copy("parent"))).filter("entry.a is null").count() == 2
-    D.register("total", lambda _f, p: F.aggregate(p["values"], F.lit(0).cast("long"), lambda s, x: s + x), {"type": "integer"})
-    listed = chained(a={"virtual": True, "plugin": "total", "field_params": {"values": ["visitors", "rating"]}})
-    assert D.derive(gardens, listed).filter("id = '3' and entry.a = 4 or id = '4' and entry.a = 120").count() == 2
+    assert second.filter("entry.b = id and entry.a = id").count() == 7
+    gated = with_derived(a={**copy("key", "string"), "field_params": {"value": "key", "include_if": "lent"}})
+    assert sorted(r.id for r in D.derive(tools, gated).filter("entry.a is not null").collect()) == having(lambda r: r.get("lent"))
+    assert sorted(r.id for r in D.derive(tools, with_derived(a=copy("made.year"))).filter("entry.a is null").collect()) == having(lambda r: "year" not in r.get("made", {}))
+    D.register("total", lambda _f, p: F.aggregate(p["values"], F.lit(0.0), lambda s, x: s + x), {"type": "number"})
+    listed = with_derived(a={"virtual": True, "plugin": "total", "field_params": {"values": ["weight", "weight"]}})
+    assert D.derive(tools, listed).filter("entry.a <> 2 * entry.weight").isEmpty() and D.derive(tools, listed).filter("id = 'rule' and entry.a = 0").count() == 1
     D.register("pair", lambda _f, p: F.concat_ws("-", p["x"], p["y"]), {"type": "string"})
-    pairs = chained(a={"virtual": True, "plugin": "pair", "collection": True, "flatten_params": True, "field_params": {"x": "district", "y": "tags"}})
-    assert D.derive(gardens, pairs).filter("id = '6'").first().entry.a == ["3-pond"]
+    pairs = with_derived(a={"virtual": True, "plugin": "pair", "collection": True, "flatten_params": True, "field_params": {"x": "jobs.what", "y": "jobs.along"}})
+    made = {r.id: r.entry.a for r in D.derive(tools, pairs).collect()}
+    assert made["gauge"] == ["Mark joints-saw", "Mark joints-mallet", "Mark joints-saw"] and made["saw"][:2] == ["Cut joints-vice", "Cut joints-plane"] and len(made["saw"]) == 4
 
 
-def test_derive_inside_collection(spark, districts):
+def test_derive_inside_collection(spark, makers):
     fields = {
         "code": {"type": "integer"},
-        "rows": {
+        "bids": {
             "type": "object",
             "collection": True,
             "fields": {
-                "place": {"type": "integer"},
-                "label": {"type": "string"},
-                "_place": {"virtual": True, "plugin": "link", "params": {"resource": "districts", "target": "code"}, "field_params": {"id": "rows.place"}},
-                "_label": copy("rows.label", "string"),
+                "from": {"type": "long_string"},
+                "note": {"type": "string"},
+                "_from": {"virtual": True, "plugin": "link", "params": {"resource": "makers", "target": "key"}, "field_params": {"id": "bids.from"}},
+                "_note": copy("bids.note", "string"),
                 "_code": copy("code"),
             },
         },
     }
-    spec = Spec.from_dict({"resource_id": "nested", "fields": fields})
-    df = data.entries(spark, [{"code": 1, "rows": [{"place": 2, "label": "x"}, {"place": 9}, {"label": "y"}]}, {"code": 2}], spec)
-    out = {r.id: r.entry for r in D.derive(df, spec, D.Context({"districts": D.Table(districts, DISTRICTS)})).collect()}
-    rows = out["1"].rows
-    assert rows[0]._place.entry.name == "South ward" and rows[1]._place.error == "not found" and rows[2]._place is None
-    assert [r._label for r in rows] == ["x", None, "y"] and [r._code for r in rows] == [1, 1, 1]
-    assert out["2"].rows is None
+    spec = Spec.from_dict({"resource_id": "orders", "fields": fields})
+    df = data.entries(spark, [{"code": 1, "bids": [{"from": "kil", "note": "x"}, {"from": "who"}, {"note": "y"}]}, {"code": 2}], spec)
+    out = {r.id: r.entry for r in D.derive(df, spec, D.Context({"makers": D.Table(makers, MAKERS)})).collect()}
+    bids = out["1"].bids
+    assert bids[0]._from.entry.label == "Kil verktyg" and bids[1]._from.error == "not found" and bids[2]._from is None
+    assert [b._note for b in bids] == ["x", None, "y"] and [b._code for b in bids] == [1, 1, 1]
+    assert out["2"].bids is None
 
 
 def test_chained_links_read_the_entries_once_a_level(spark):
@@ -349,9 +370,9 @@ def test_derive_in_nested_collections(spark):
                 assert out["_m"] == (None if c["m"] is None else [want(x) for x in c["m"]])
 
 
-def test_preview_and_unstored(gardens, spark):
-    bodies = gardens.select("id", "entry")
-    assert D.preview(bodies, chained(a=copy("code"))).filter("entry.a = entry.code").count() == 8
-    hidden = Spec.from_dict({"resource_id": "gardens", "fields": {**data.GARDENS_SPEC["fields"], "size": {"type": "integer", "store": False}}})
-    assert "size" not in K.hide_unstored(gardens, hidden).schema["entry"].dataType.fieldNames()
-    assert K.with_metadata(gardens).columns == ["resource", "id", "entry", "last_modified_by", "last_modified", "version"]
+def test_preview_and_unstored(tools, spark):
+    bodies = tools.select("id", "entry")
+    assert D.preview(bodies, with_derived(a=copy("key", "string"))).filter("entry.a = id").count() == 7
+    hidden = Spec.from_dict({"resource_id": "tools", "fields": {**data.TOOLS_SPEC["fields"], "weight": {"type": "number", "store": False}}})
+    assert "weight" not in K.hide_unstored(tools, hidden).schema["entry"].dataType.fieldNames()
+    assert K.with_metadata(tools).columns == ["resource", "id", "entry", "last_modified_by", "last_modified", "version"]
