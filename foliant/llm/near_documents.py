@@ -246,15 +246,15 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
     texts = texts.withColumn("common", shared_weight * (1 + SLACK)).drop("low", "alone", "copies")
     texts = materialise(texts.withColumn("gid", F.monotonically_increasing_id()), "texts")
 
-    bands = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]))
-    buckets = texts.filter(F.col("common") >= least * F.col("weight")).select(bands.alias("bucket"), "gid")
+    bands = F.posexplode(F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]))
+    buckets = texts.filter(F.col("common") >= least * F.col("weight")).select(bands.alias("band", "bucket"), "gid")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = materialise(buckets.join(shared, "bucket"), "buckets").withColumn("component", F.col("gid"))
 
     named = texts.select("gid", F.col("gid").alias("component"))
     tested, number, last = None, 0, False
     while True:
-        pairs = _rest_pairs(buckets, texts) if last else _next_pairs(buckets, number)
+        pairs = _rest_pairs(buckets, texts, least=least) if last else _next_pairs(buckets, number)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -270,7 +270,7 @@ def classes(docs: DataFrame, least: float = LEAST, size: int = SHINGLE) -> DataF
         joined = materialise(components(new), "components").select(F.col("node").alias("component"), F.col("component").alias("into"))
         renamed = F.coalesce("into", "component").alias("component")
         named = materialise(named.join(joined, "component", "left").select("gid", renamed), "named")
-        labelled = buckets.join(joined, "component", "left").select("bucket", "gid", renamed)
+        labelled = buckets.join(joined, "component", "left").select("bucket", "band", "gid", renamed)
         still = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         if last:
             break
@@ -304,32 +304,38 @@ def _next_pairs(buckets: DataFrame, number: int) -> DataFrame:
     return pairs.select(a.alias("a"), b.alias("b"), of_a.alias("of_a"), of_b.alias("of_b")).distinct()
 
 
-def _rest_pairs(buckets: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+def _rest_pairs(buckets: DataFrame, texts: DataFrame, block: int = BLOCK, least: float = LEAST) -> DataFrame:
     """(a, b, of_a, of_b): all texts of different components of a bucket that agree in enough samples.
 
     Each bucket is cut into blocks: those of its largest component are compared with all others, but not with each other.
+    Where the band of a bucket and the weights of texts are known, a pair is given by the first band that it shares, and
+    only if the weights allow it.
     """
+    buckets = buckets if "band" in buckets.columns else buckets.withColumn("band", F.lit(-1))
+    texts = texts if "common" in texts.columns else texts.withColumns({"weight": F.lit(1.0), "common": F.lit(1.0)})
     sizes = buckets.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     whole = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
     blocks = lambda n: F.ceil(n / block)
     cut = whole.filter("parts > 1").select(
         "bucket", F.col("largest.component").alias("leads"), blocks(F.col("largest.n")).alias("n_lead"), blocks(F.col("n") - F.col("largest.n")).alias("n_other")
     )
-    held = buckets.join(cut, "bucket").join(texts.select("gid", "samples"), "gid")
+    held = buckets.join(cut, "bucket").join(texts.select("gid", "samples", "weight", "common"), "gid")
     leads, among = F.col("component") == F.col("leads"), F.xxhash64("gid")
     own = F.when(leads, F.col("n_other") + F.pmod(among, "n_lead")).otherwise(F.pmod(among, "n_other"))
     to = F.when(leads, F.col("n_other") - 1).otherwise(F.col("n_other") + F.col("n_lead") - 1)
     held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), to)))
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    held = held.select(cell.alias("cell"), "gid", "component", "samples", (F.col("own") <= F.col("other")).alias("one"), (F.col("own") >= F.col("other")).alias("two"))
-    return held.repartition("cell").sortWithinPartitions("cell").mapInArrow(_agreeing, "a long, b long, of_a long, of_b long").distinct()
+    held = held.select(cell.alias("cell"), "gid", "component", "samples", "band", "weight", "common", (F.col("own") <= F.col("other")).alias("one"), (F.col("own") >= F.col("other")).alias("two"))
+    return held.repartition("cell").sortWithinPartitions("cell").mapInArrow(_agreeing(least), "a long, b long, of_a long, of_b long").distinct()
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+COLUMNS = ("cell", "gid", "component", "samples", "band", "weight", "common", "one", "two")
+
+
+def _agreeing(least: float):
     """Rows sorted by cell: each row marked ``one`` with each row marked ``two`` of the cell, if they agree enough."""
-    kept: list[np.ndarray] | None = None
 
-    def compare(cell: np.ndarray, gid: np.ndarray, component: np.ndarray, samples: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    def compare(cell, gid, component, samples, band, weight, common, one, two) -> list[np.ndarray]:
         found = [np.empty((0, 4), np.int64)]
         edges = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
         for start, end in zip(edges[:-1], edges[1:], strict=True):
@@ -341,6 +347,14 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     same += samples[x, k][:, None] == samples[right, k]
                 i, j = np.nonzero((same >= LEAST_AGREEING) & (component[x][:, None] != component[right]))
                 i, j = x[i], right[j]
+                both = np.minimum(common[i], common[j])
+                kept = both >= (weight[i] + weight[j] - both) * (least - SLACK)
+                kept &= (gid[i] < gid[j]) | ~(two[i] & one[j])  # else the pair is also seen the other way round
+                i, j = i[kept], j[kept]
+                if len(i) and band[start] >= 0:
+                    agree = (samples[i] == samples[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
+                    first = agree.any(axis=1) & (agree.argmax(axis=1) == band[start])
+                    i, j = i[first], j[first]
                 i, j = np.where(gid[i] < gid[j], i, j), np.where(gid[i] < gid[j], j, i)
                 found.append(np.stack([gid[i], gid[j], component[i], component[j]], axis=1))
         return list(np.concatenate(found).T)
@@ -348,17 +362,21 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sent(columns: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in compare(*columns)], names=["a", "b", "of_a", "of_b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        samples = batch.column("samples").flatten().to_numpy().reshape(batch.num_rows, -1)
-        new = [samples if n == "samples" else batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "gid", "component", "samples", "one", "two")]
-        rows = new if kept is None else [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
-        whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last cell may go on in the next batch
-        yield sent([c[:whole] for c in rows])
-        kept = [c[whole:] for c in rows]
-    if kept is not None:
-        yield sent(kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            samples = batch.column("samples").flatten().to_numpy().reshape(batch.num_rows, -1)
+            new = [samples if n == "samples" else batch.column(n).to_numpy(zero_copy_only=False) for n in COLUMNS]
+            rows = new if kept is None else [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
+            whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last cell may go on in the next batch
+            yield sent([c[:whole] for c in rows])
+            kept = [c[whole:] for c in rows]
+        if kept is not None:
+            yield sent(kept)
+
+    return run
 
 
 def _sent(ids: DataFrame) -> DataFrame:
