@@ -197,12 +197,11 @@ class Compare(Predicate):
         words = _words(scope, col, at)
         if self.word_pattern():
             return text.any_word_matches(words, self.word_pattern())
-        if self.op == "contains":
-            return text.any_word_contains(words, arg)
-        if self.op == "startswith":
-            return text.any_word_starts(words, arg)
-        if self.op == "endswith":
-            return text.any_word_ends(words, arg)
+        found = {"contains": text.any_word_contains, "startswith": text.any_word_starts, "endswith": text.any_word_ends}.get(self.op)
+        if found:
+            # words are parts of the folded text: it is searched first, so that the costlier split runs on candidates only
+            tested = found(words, arg)
+            return tested if at in scope.words else F.contains(text.fold(col), F.lit(arg)) & tested
         return F.exists(words, lambda w: _RANGES[self.op](w, F.lit(arg)))
 
 
