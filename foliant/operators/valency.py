@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -148,47 +149,71 @@ def _written(parts: list, picks: tuple[int, ...]) -> str:
     return "".join(out)
 
 
-def variants(pattern: str) -> Iterator[str]:
-    """All variants of a cleaned pattern, in the order of their decisions."""
+def variants(pattern: str, start: int = 0, end: int | None = None) -> Iterator[str]:
+    """The variants of a cleaned pattern with the numbers from ``start`` up to ``end``, in the order of their decisions.
+
+    A number stands for one choice at each decision, as its digits would with the alternatives as bases.
+    """
     tree, decisions = _read(pattern)
-    for picks in itertools.product(*(range(len(c.alternatives)) for c in decisions)):
-        yield _written(tree, picks).replace("_", " ")
+    sizes = [len(c.alternatives) for c in decisions]
+    for number in range(start, math.prod(sizes) if end is None else end):
+        picks = []
+        for size in reversed(sizes):
+            number, pick = divmod(number, size)
+            picks.append(pick)
+        yield _written(tree, tuple(reversed(picks))).replace("_", " ")
 
 
-def expansions(pattern: str, cleaned: str) -> Iterator[tuple[int, str]]:
-    """Numbered variants that differ from the pattern; a single one counts as none."""
-    kept = (v for v in variants(cleaned) if v != pattern)
-    some = list(itertools.islice(kept, 2))
-    if len(some) == 2:
-        yield from enumerate(itertools.chain(some, kept))
+def count(cleaned: str) -> int:
+    """How many variants a cleaned pattern has; none if there is nothing to choose."""
+    decisions = _read(cleaned)[1]
+    return math.prod(len(c.alternatives) for c in decisions) if decisions else 0
 
 
 ROWS_PER_FRAME = 10_000
+#: Variants of a pattern that are written by one task.
+RANGE = 1 << 16
+
 
+def expand_patterns(df: DataFrame, keys: list[str], col: str, numbers: int = RANGE) -> DataFrame:
+    """One row per variant: ``keys``, ``position``, ``variant``.
+
+    Variants are numbered. Patterns with few are worked off where they lie. Of others, ranges of at most ``numbers``
+    variants are dealt to all tasks, and every range is written on its own. A pattern with n slashes has 2^n at most.
+    """
+    source = df.select(*keys, cleanup(F.col(col)).alias("_cleaned"))
+    # patterns without anything to choose have no variants
+    slashes = F.length("_cleaned") - F.length(F.replace("_cleaned", F.lit("/"), F.lit("")))
+    few = math.log2(numbers)
+    whole = source.filter((slashes > 0) & (slashes <= few)).withColumns({"_start": F.lit(0).cast("long"), "_end": F.lit(None).cast("long")})
+    names = [*keys, "_cleaned", "_start", "_end"]
+
+    def ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for own in frame.itertuples(index=False, name=None):
+                n = count(own[-1])
+                starts = iter(range(0, n, numbers))
+                while some := list(itertools.islice(starts, ROWS_PER_FRAME)):
+                    yield pd.DataFrame([(*own, a, min(n, a + numbers)) for a in some], columns=names)
 
-def expand_patterns(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """One row per variant: ``keys``, ``position``, ``variant``. Rows are worked off where they lie; a pattern with
-    very many variants is streamed out in frames of bounded size."""
-    source = df.select(*keys, F.col(col).alias("_pattern"), cleanup(F.col(col)).alias("_cleaned"))
-    # patterns without anything to choose have at most one variant
-    source = source.filter(F.rlike("_cleaned", F.lit("/")))
-    schema = T.StructType(
-        [df.schema[k] for k in keys]
-        + [T.StructField("position", T.IntegerType()), T.StructField("variant", T.StringType())]
-    )
+    dealt = source.filter(slashes > few).mapInPandas(ranges, T.StructType([*source.schema.fields, T.StructField("_start", T.LongType()), T.StructField("_end", T.LongType())]))
+    # by number and pattern, so that the ranges of one pattern go to different tasks
+    dealt = dealt.repartition("_start", "_cleaned")
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("position", T.LongType()), T.StructField("variant", T.StringType())])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keys, "position", "variant"]
+        out = [*keys, "position", "variant"]
         rows: list[tuple] = []
         for frame in frames:
             held = frame[keys].itertuples(index=False, name=None)
-            for own, pattern, cleaned in zip(held, frame["_pattern"], frame["_cleaned"], strict=True):
-                for i, v in expansions(pattern, cleaned):
+            for own, cleaned, start, end in zip(held, frame["_cleaned"], frame["_start"], frame["_end"], strict=True):
+                upto = count(cleaned) if pd.isna(end) else int(end)
+                for i, v in enumerate(variants(cleaned, int(start), upto), int(start)):
                     rows.append((*own, i, v))
                     if len(rows) >= ROWS_PER_FRAME:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield pd.DataFrame(rows, columns=out)
                         rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=out)
 
-    return source.mapInPandas(work, schema)
+    return whole.mapInPandas(work, schema).unionByName(dealt.mapInPandas(work, schema))

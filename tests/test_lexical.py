@@ -140,6 +140,22 @@ def test_valency(spark):
     assert {k: got.get(k, []) for k in cases} == cases
 
 
+def test_valency_ranges(spark):
+    """A pattern with very many variants: its numbers are dealt in ranges, and all variants come out once."""
+    from pyspark.sql import types as T
+
+    patterns = [("long", " ".join(f"a{i}/b{i}" for i in range(18))), ("wide", "x (" + "/".join(f"c{i}" for i in range(40)) + ") y/z"), ("short", "p/q"), ("none", "a / "), ("nothing", None)]
+    df = spark.createDataFrame(patterns, "key string, p string")
+    rows = V.expand_patterns(df, ["key"], "p", numbers=1 << 12)
+    assert rows.schema["position"].dataType == T.LongType()
+    kept = rows.withColumn("task", F.spark_partition_id()).cache()
+    sizes = {r.key: (r.n, r.different, r.low, r.high) for r in kept.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("variant").alias("different"), F.min("position").alias("low"), F.max("position").alias("high")).collect()}
+    assert sizes == {"long": (1 << 18, 1 << 18, 0, (1 << 18) - 1), "wide": (80, 80, 0, 79), "short": (2, 2, 0, 1)}
+    assert kept.filter("key = 'long'").select("task").distinct().count() > 2
+    few = {r.position: r.variant for r in kept.filter("key = 'long' and position in (0, 1, 5000, 262143)").collect()}
+    assert few == {n: " ".join(f"{'ab'[n >> (17 - i) & 1]}{i}" for i in range(18)) for n in (0, 1, 5000, 262143)}
+
+
 def brute(rows, k):
     out = set()
     for i, c, v in rows:
