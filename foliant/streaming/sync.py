@@ -73,12 +73,15 @@ def read_stream_history(spark: SparkSession, path: str, body: T.DataType, before
 
 
 def stream_commands(
-    spark: SparkSession, command_path: str, history_path: str, rejected_path: str, body: T.DataType, checkpoint: str, files_per_batch: int | None = None
+    spark: SparkSession, command_path: str, history_path: str, rejected_path: str, body: T.DataType, checkpoint: str, files_per_batch: int | None = None, numbered: bool = False
 ) -> StreamingQuery:
     """Commands that arrive as JSON files become history rows, batch by batch, each batch all or nothing.
 
     A batch with a conflict adds no rows and leaves its conflicts in ``rejected_path``. Each batch owns a folder that a
     replay overwrites, and reads only the folders of earlier batches, so replays change nothing.
+
+    History ids follow the order of commands, whatever times these give. They go on after the greatest one there; with
+    ``numbered``, positions count up over all batches, as in a log, and are the ids.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -89,9 +92,12 @@ def stream_commands(
         if conflicts.limit(1).count():
             conflicts.write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
             return
-        top = hist.agg(F.max("history_id").alias("m")).first()["m"]
-        numbered = dense_index(rows, ["last_modified", "position"], "history_id", 0 if top is None else top + 1)
-        as_history(numbered, body).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
+        if numbered:
+            made = rows.withColumn("history_id", F.col("position"))
+        else:
+            top = hist.agg(F.max("history_id").alias("m")).first()["m"]
+            made = dense_index(rows, ["position"], "history_id", 0 if top is None else top + 1)
+        as_history(made, body).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
 
     reader = spark.readStream.schema(command_type(body))
     if files_per_batch:

@@ -354,6 +354,18 @@ def test_streams(spark):
     assert state(S.read_snapshot(spark, mirror, "things")) == {r.entity_id: r.body.n for r in latest(hist).collect()}
 
 
+def test_stream_of_commands_with_times_that_go_back(spark):
+    cmd, plain, numbered, bad_path = (new_folder(spark, n) for n in ("cmd", "hist", "numbered", "bad"))
+    made = commands(spark, [("add_entry", "a", None, body(0)), ("update_entry", "a", 1, body(1)), ("update_entry", "a", 2, body(2))], 10)
+    for half in (F.col("position") < 12, F.col("position") >= 12):
+        made.filter(half).withColumn("last_modified", 1000.0 - F.col("position")).coalesce(1).write.mode("append").json(cmd)
+        ST.stream_commands(spark, cmd, plain, bad_path, BODY, f"{plain}-cp").awaitTermination()
+        ST.stream_commands(spark, cmd, numbered, bad_path, BODY, f"{numbered}-cp", numbered=True).awaitTermination()
+    seen = lambda path: sorted((r.history_id, r.version, r.body.n) for r in ST.read_stream_history(spark, path, BODY).collect())
+    assert seen(plain) == [(0, 1, 0), (1, 2, 1), (2, 3, 2)]
+    assert seen(numbered) == [(10, 1, 0), (11, 2, 1), (12, 3, 2)]
+
+
 class _Unset:
     """A session on one machine, or on a cluster, without a shared folder."""
 
