@@ -154,7 +154,10 @@ def variants(pattern: str, start: int = 0, end: int | None = None) -> Iterator[s
 
     A number stands for one choice at each decision, as its digits would with the alternatives as bases.
     """
-    tree, decisions = _read(pattern)
+    return _numbered(*_read(pattern), start, end)
+
+
+def _numbered(tree: list, decisions: list[Choice], start: int, end: int | None) -> Iterator[str]:
     sizes = [len(c.alternatives) for c in decisions]
     for number in range(start, math.prod(sizes) if end is None else end):
         picks = []
@@ -207,8 +210,10 @@ def expand_patterns(df: DataFrame, keys: list[str], col: str, numbers: int = RAN
         for frame in frames:
             held = frame[keys].itertuples(index=False, name=None)
             for own, cleaned, start, end in zip(held, frame["_cleaned"], frame["_start"], frame["_end"], strict=True):
-                upto = count(cleaned) if pd.isna(end) else int(end)
-                for i, v in enumerate(variants(cleaned, int(start), upto), int(start)):
+                tree, decisions = _read(cleaned)
+                if not decisions:
+                    continue
+                for i, v in enumerate(_numbered(tree, decisions, int(start), None if pd.isna(end) else int(end)), int(start)):
                     rows.append((*own, i, v))
                     if len(rows) >= ROWS_PER_FRAME:
                         yield pd.DataFrame(rows, columns=out)

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -47,3 +48,9 @@ def test_same_rows_as_sql(spark, name):
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert rows and [r.n_chars for r in rows] == sorted((r.n_chars for r in rows), reverse=True)
+
+
+@needs_data
+def test_patterns_of_one_file_are_read_by_all_cores(spark):
+    rows = entry.queries()["T8_valency"](spark, FOLDER)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
