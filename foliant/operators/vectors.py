@@ -1,15 +1,19 @@
 """Nearest neighbours by cosine among vectors of the same class.
 
-Vectors are assigned to the nearest of a fixed number of pivots. From the radius and count of each cell follows, by
-the triangle inequality, which cells can hold a neighbour of a vector; the vector is sent only to those. Cells are
-cut into blocks of bounded size on both sides, so a class or cell that holds a third of all vectors becomes many
-small tasks, and a task returns at most ``k`` candidates per vector and block: pairs are compared, never produced.
-The result is exact; with ``probes`` only that many nearest cells are searched.
+Vectors are assigned to the nearest of a number of pivots, about a block of each class to a cell. From the radius and
+count of each cell follows, by the triangle inequality, which cells can hold neighbours of the members of which; blocks of
+the one are compared with blocks of the other. Cells are cut into blocks of bounded size on both sides, so a class or cell
+that holds a third of all vectors becomes many small tasks, and a task returns at most ``k`` candidates per vector and
+block: pairs are compared, never produced. A vector is sent to a block of others, not to every cell that it looks into, so
+what is shuffled is the number of vectors times the number of blocks of their class. The result is exact; with ``probes``
+only that many nearest cells are searched. Without clusters all blocks of a class meet: comparing is quadratic in the class
+then, memory is not.
 
 ``approximate`` is for large collections: an inverted file of two levels. As many cells as the square root of the number
 of vectors are trained on a bounded sample, in groups: a vector is compared with the centres of the groups and then with
 those of the nearest groups, never with all cells. It is stored in one cell and looks for neighbours in a fixed number of
-them.
+them. Where that number is greater than that of the blocks of a class, vectors meet block by block instead, with a bit for
+each cell that they look into, and members of other cells are left out.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.session import materialise
@@ -29,8 +33,12 @@ K = 10
 MAX_CELLS = 256
 #: Vectors that centres are trained on, rounds of training, and groups of cells that a vector looks into.
 SAMPLE, ROUNDS, GROUPS = 20_000, 8, 8
-BLOCK = 2048
+BLOCK = 8192
+#: Pairs that a task holds at once.
+HELD = 1 << 21
 DIGITS = 9
+#: What distances may differ by for vectors whose rounded similarities are equal.
+SLACK = 1e-4
 
 
 def _stack(values: pd.Series) -> np.ndarray:
@@ -52,19 +60,24 @@ def _pivots(vectors: DataFrame, cells: int) -> np.ndarray:
     return _unit(np.array([r["vector"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
 
 
+def _blocks_of_class(vectors: DataFrame, block: int) -> int:
+    """How many blocks the largest class has."""
+    most = vectors.groupBy("class").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return max(1, -(-(most or 0) // block))
+
+
 def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(id, class, vector of length one, cell, distance to the cell's pivot)."""
+    """(id, class, vector, cell, distance to the cell's pivot)."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                units = _unit(_stack(frame["vector"]))
-                gaps = _distances(units, pivots)
+                gaps = _distances(_unit(_stack(frame["vector"])), pivots)
                 cell = gaps.argmin(axis=1)
-                yield frame.assign(vector=list(units), cell=cell.astype("int32"), gap=gaps[np.arange(len(cell)), cell])
+                yield frame.assign(cell=cell.astype("int32"), gap=gaps[np.arange(len(cell)), cell])
 
     kinds = dict(vectors.dtypes)
-    return vectors.mapInPandas(work, f"id {kinds['id']}, class {kinds['class']}, vector array<double>, cell int, gap double")
+    return vectors.mapInPandas(work, f"id {kinds['id']}, class {kinds['class']}, vector {kinds['vector']}, cell int, gap double")
 
 
 def _cells(assigned: DataFrame, k: int) -> DataFrame:
@@ -81,31 +94,36 @@ def _cells(assigned: DataFrame, k: int) -> DataFrame:
     return sizes.join(kth, ["class", "cell"])
 
 
-def _route(assigned: DataFrame, cells: DataFrame, pivots: np.ndarray, probes: int | None) -> DataFrame:
-    """Each vector with the cells it has to be compared with."""
-    per_class = cells.groupBy("class").agg(F.collect_list(F.struct("cell", "radius", "kth")).alias("cells"))
-    joined = assigned.join(per_class, "class")
+def _pairs(cells: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(class, cell, other): the cells that can hold neighbours of the members of a cell. A class has few cells."""
     between = _distances(pivots, pivots)
 
+    def work(known: pd.DataFrame) -> pd.DataFrame:
+        cell, radius = known["cell"].to_numpy(), known["radius"].to_numpy()
+        kth = known["kth"].to_numpy(dtype=np.float64, na_value=np.inf)
+        kth = np.where(np.isnan(kth), np.inf, kth)
+        apart = between[np.ix_(cell, cell)]
+        # all members of a cell have k neighbours within that distance
+        bound = (apart + kth[None, :]).min(axis=1) + radius + SLACK
+        rows, others = np.nonzero(apart - radius[:, None] - radius[None, :] <= bound[:, None])
+        return pd.DataFrame({"class": known["class"].iloc[rows].to_numpy(), "cell": cell[rows], "other": cell[others]})
+
+    return cells.groupBy("class").applyInPandas(work, f"class {dict(cells.dtypes)['class']}, cell int, other int")
+
+
+def _route(assigned: DataFrame, cells: DataFrame, pivots: np.ndarray, probes: int) -> DataFrame:
+    """Each vector with the ``probes`` cells of its class that are nearest to it."""
+    joined = assigned.join(cells.groupBy("class").agg(F.collect_list("cell").alias("cells")), "class")
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            units = _stack(frame["vector"])
-            gaps = _distances(units, pivots)
+            gaps = _distances(_unit(_stack(frame["vector"])), pivots)
             picks, owners = [], []
-            for i, (known, own) in enumerate(zip(frame["cells"], frame["cell"], strict=True)):
-                cell = np.array([c["cell"] for c in known])
-                radius = np.array([c["radius"] for c in known])
-                kth = np.array([np.inf if c["kth"] is None else c["kth"] for c in known], dtype=np.float64)
-                gap = gaps[i, cell]
-                if probes is None:
-                    bound = (gap + kth).min() + 1e-9
-                    apart = between[own, cell]
-                    plane = np.divide(gap**2 - gaps[i, own] ** 2, 2 * apart, out=np.zeros_like(gap), where=apart > 0)
-                    wanted = cell[np.maximum(gap - radius, plane) <= bound]
-                else:
-                    wanted = cell[np.argsort(gap, kind="stable")[:probes]]
+            for i, known in enumerate(frame["cells"]):
+                cell = np.sort(np.asarray(known))
+                wanted = cell[np.argsort(gaps[i, cell], kind="stable")[:probes]]
                 picks.extend(wanted.tolist())
                 owners.extend([i] * len(wanted))
             out = frame[["id", "class", "vector"]].iloc[owners].reset_index(drop=True)
@@ -113,7 +131,7 @@ def _route(assigned: DataFrame, cells: DataFrame, pivots: np.ndarray, probes: in
             yield out
 
     kinds = dict(assigned.dtypes)
-    return joined.mapInPandas(work, f"id {kinds['id']}, class {kinds['class']}, vector array<double>, cell int")
+    return joined.mapInPandas(work, f"id {kinds['id']}, class {kinds['class']}, vector {kinds['vector']}, cell int")
 
 
 def knn(
@@ -123,27 +141,51 @@ def knn(
     the same class; equal similarities (nine digits) are ordered by id."""
     vectors = vectors.select("id", "class", "vector").filter("vector IS NOT NULL AND class IS NOT NULL")
     if cells is None:
-        # about a block per cell, within a fixed number of pivots
-        cells = max(1, min(MAX_CELLS, -(-vectors.count() // block)))
+        # about a block per class and cell, within a fixed number of pivots
+        cells = min(MAX_CELLS, _blocks_of_class(vectors, block))
     pivots = _pivots(vectors, cells)
     assigned = materialise(assign(vectors, pivots), "assigned")
     sizes = _cells(assigned, k)
+    if probes is None:
+        return _nearest(assigned, assigned, _pairs(sizes, pivots), k, block)
     routed = materialise(_route(assigned, sizes, pivots, probes), "routed")
-    return _nearest(assigned, sizes.select("class", "cell", "n"), routed, k, block, dict(vectors.dtypes)["id"])
+    return _nearest(routed, assigned, sizes.select("class", "cell", F.col("cell").alias("other")), k, block)
 
 
-def _nearest(assigned: DataFrame, sizes: DataFrame, routed: DataFrame, k: int, block: int, kind: str) -> DataFrame:
-    """The ``k`` nearest members of the cells that each vector was sent to, compared in blocks of bounded size."""
-    asked = routed.groupBy("class", "cell").agg(F.count(F.lit(1)).alias("q"))
-    grid = sizes.select("class", "cell", F.ceil(F.col("n") / block).cast("int").alias("cb")).join(
-        asked.select("class", "cell", F.ceil(F.col("q") / block).cast("int").alias("qb")), ["class", "cell"]
-    )
+def _best(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` greatest finite values of each row; of equal ones the first columns."""
+    k = min(k, near.shape[1])
+    least = -np.partition(-near, k - 1, axis=1)[:, k - 1]
+    rows, columns = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+    order = np.lexsort((columns, -near[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], columns[kept]
+
+
+def _nearest(asking: DataFrame, members: DataFrame, pairs: DataFrame, k: int, block: int, looked: Column | None = None, own: Column | None = None) -> DataFrame:
+    """The ``k`` nearest members for each asking vector, compared in blocks of bounded size.
+
+    ``pairs(class, cell, other)`` tells which cell of members (``other``) the vectors of a cell are compared with.
+    ``looked`` is a bit for each fine cell that a vector looks into; then only members whose fine cell is ``own`` count.
+    """
+
+    def cut(rows: DataFrame, cell: str, name: str) -> DataFrame:
+        return rows.groupBy("class", F.col("cell").alias(cell)).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    grid = pairs.join(cut(asking, "cell", "qn"), ["class", "cell"]).join(cut(members, "other", "cn"), ["class", "other"])
+    # at most the square of the number of cells for each class: one small row per pair of cells
+    grid = materialise(grid, "grid")
     hashed = F.xxhash64("id")
-    queries = routed.join(grid, ["class", "cell"]).select(
-        "class", "cell", F.pmod(hashed, "qb").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("cb"), "id", "vector"
+    looked = F.lit(None).cast("binary") if looked is None else looked
+    own = F.lit(None).cast("int") if own is None else own
+    queries = asking.join(grid, ["class", "cell"]).select(
+        "class", "cell", "other", F.pmod(hashed, "qn").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("cb"), "id", "vector", looked.alias("looked")
     )
-    members = assigned.join(grid, ["class", "cell"]).select(
-        "class", "cell", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qb"), F.pmod(hashed, "cb").cast("int").alias("cb"), "id", "vector"
+    # under names of their own: both sides may be one table
+    against = members.select(*[F.col(c).alias(c) for c in ("class", "id", "vector")], F.col("cell").alias("other"), own.alias("own"))
+    found_in = against.join(grid, ["class", "other"]).select(
+        "class", "cell", "other", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb"), F.pmod(hashed, "cn").cast("int").alias("cb"), "id", "vector", "own"
     )
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -151,18 +193,24 @@ def _nearest(assigned: DataFrame, sizes: DataFrame, routed: DataFrame, k: int, b
             return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
         right = right.sort_values("id", kind="stable")
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        near = np.round(_stack(left["vector"]) @ _stack(right["vector"]).T, DIGITS)
-        near[ids[:, None] == others[None, :]] = -np.inf
-        best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-        scores = np.take_along_axis(near, best, axis=1)
-        kept = np.isfinite(scores)
-        rows = np.broadcast_to(np.arange(len(ids))[:, None], best.shape)[kept]
-        return pd.DataFrame({"id": ids[rows], "neighbour": others[best[kept]], "similarity": scores[kept]})
-
-    keys = ["class", "cell", "qb", "cb"]
+        units, against = _unit(_stack(left["vector"])), _unit(_stack(right["vector"])).T
+        masked = left["looked"].iloc[0] is not None
+        fine = right["own"].to_numpy(dtype=np.int64) if masked else None
+        step, out = max(1, HELD // len(others)), []
+        for at in range(0, len(ids), step):
+            near = np.round(units[at : at + step] @ against, DIGITS)
+            near[~np.isfinite(near) | (ids[at : at + step, None] == others[None, :])] = -np.inf
+            if masked:
+                bits = np.stack([np.frombuffer(x, np.uint8) for x in left["looked"].iloc[at : at + step]])
+                near[np.unpackbits(bits, axis=1)[:, fine] == 0] = -np.inf
+            rows, columns = _best(near, k)
+            out.append(pd.DataFrame({"id": ids[at + rows], "neighbour": others[columns], "similarity": near[rows, columns]}))
+        return pd.concat(out)
+
+    keys, kind = ["class", "cell", "other", "qb", "cb"], dict(asking.dtypes)["id"]
     found = (
         queries.groupBy(*keys)
-        .cogroup(members.groupBy(*keys))
+        .cogroup(found_in.groupBy(*keys))
         .applyInPandas(compare, f"id {kind}, neighbour {kind}, similarity double")
     )
     order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("neighbour"))
@@ -222,8 +270,9 @@ def approximate(vectors: DataFrame, k: int = K, cells: int | None = None, probes
         cells = max(1, round(vectors.count() ** 0.5))
     centres = centres_of(vectors, cells)
     kinds = dict(vectors.dtypes)
+    by_block = probes > 2 * _blocks_of_class(vectors, block)
 
-    def place(wanted: int):
+    def place(wanted: int, bits: bool = False):
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if not len(frame):
@@ -231,16 +280,25 @@ def approximate(vectors: DataFrame, k: int = K, cells: int | None = None, probes
                 units = _unit(_stack(frame["vector"]))
                 found = _near_cells(units, *centres, wanted, 2 if wanted == 1 else groups)
                 rows, places = np.nonzero(found >= 0)
-                out = frame[["id", "class"]].iloc[rows].reset_index(drop=True)
-                yield out.assign(vector=list(units[rows]), cell=found[rows, places].astype("int32"))
+                if bits:
+                    seen = np.zeros((len(frame), max(1, len(centres[1]))), np.uint8)
+                    seen[rows, found[rows, places]] = 1
+                    yield frame.assign(cell=np.int32(0), looked=[x.tobytes() for x in np.packbits(seen, axis=1)])
+                    continue
+                out = frame.iloc[rows].reset_index(drop=True)
+                yield out.assign(cell=found[rows, places].astype("int32"))
 
         return work
 
-    shape = f"id {kinds['id']}, class {kinds['class']}, vector array<double>, cell int"
+    shape = f"id {kinds['id']}, class {kinds['class']}, vector {kinds['vector']}, cell int"
     assigned = materialise(vectors.mapInPandas(place(1), shape), "assigned")
+    if by_block:
+        asking = materialise(vectors.mapInPandas(place(probes, True), f"{shape}, looked binary"), "asking")
+        members = assigned.withColumn("own", F.col("cell")).withColumn("cell", F.lit(0))
+        once = members.select("class", "cell", F.col("cell").alias("other")).distinct()
+        return _nearest(asking, members, once, k, block, F.col("looked"), F.col("own"))
     routed = materialise(vectors.mapInPandas(place(probes), shape), "routed")
-    sizes = assigned.groupBy("class", "cell").agg(F.count(F.lit(1)).alias("n"))
-    return _nearest(assigned, sizes, routed, k, block, kinds["id"])
+    return _nearest(routed, assigned, assigned.select("class", "cell", F.col("cell").alias("other")).distinct(), k, block)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -121,6 +121,30 @@ def test_approximate_neighbours(spark):
     assert found.filter("id = neighbour").isEmpty() and N.approximate(df.limit(0)).isEmpty()
 
 
+def test_neighbours_are_sent_to_blocks_not_to_cells(spark, monkeypatch):
+    """Vectors without clusters look into nearly all cells: what is written must not grow with the number of those."""
+    written = []
+    real = N.materialise
+
+    def counted(df, name="table"):
+        out = real(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(N, "materialise", counted)
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 2, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 24)))]
+    df = spark.createDataFrame(rows, "id long, class int, vector array<double>")
+    got = {(r.id, r.neighbour) for r in N.knn(df, 5, block=50).collect()}
+    assert got == brute(rows, 5)
+    by_vector = {(r.id, r.neighbour, r.similarity) for r in N.approximate(df, 5, cells=40, probes=20, groups=6, block=10).collect()}
+    assert sum(n for _, n in written) > 600 * 10  # probes are fewer than blocks: by vector
+    written.clear()
+    by_block = {(r.id, r.neighbour, r.similarity) for r in N.approximate(df, 5, cells=40, probes=20, groups=6, block=300).collect()}
+    assert by_block == by_vector and all(n <= 600 for _, n in written)
+    assert {(r.id, r.neighbour) for r in N.knn(df, 5, block=50).collect()} == got and all(n <= 600 for _, n in written)
+
+
 def test_valency(spark):
     cases = {
         "a/b c": ["a c", "b c"],
