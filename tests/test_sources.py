@@ -12,6 +12,7 @@ from foliant.operators import validate as V
 from foliant.operators.commands import apply_commands
 from foliant.operators.history import latest
 from foliant.plans.spec import Spec
+from foliant.queries.tables import order_rows
 from foliant.session import new_folder
 from foliant.sources import catalog as C
 from foliant.sources import entries as E
@@ -388,3 +389,30 @@ def test_work_folder():
     assert own and own == work_dir(_Unset("local[2]"))
     with pytest.raises(RuntimeError):
         work_dir(_Unset("yarn"))
+
+
+def test_whole_objects_are_settled_by_their_shape(spark):
+    """What a shape settles is what looking into every member gives, and it settles objects without undeclared members."""
+    rows = [
+        {"rows": [{"k": 1}, {"k": 2}, {}], "obj": {"a": "z"}},
+        {"rows": [{"k": 1}, {"k": "2"}]}, {"rows": [{"k": 1}, {"k": 1.5}]}, {"rows": [{"k": 1}, {"k": 1.0}]}, {"rows": [{"k": 1, "l": 2}]},
+        {"rows": [{"k": None}, {"k": 3}]}, {"rows": [None, {"k": 3}]}, {"rows": [1, {"k": 3}]}, {"rows": [{"k": 1}, {"k": [1]}]}, {"rows": {"k": 1}},
+        {"rows": [{"k: BIGINT, k": 1}]}, {"obj": {"a": "null"}}, {"obj": {"a": 1}}, {"obj": {}}, {"obj": []}, {"obj": {"a": {"a": "x"}}}, {"rows": []}, {"note": "x", "rows": [{"k": 2}]},
+    ]
+    raw, f = F.col("raw"), OPEN.fields["rows"]
+    text = lambda m: F.to_json(F.to_variant_object(m))
+    df = spark.createDataFrame([(json.dumps(r),) for r in rows], "raw string")
+    slow = text(rest._rest(F.try_parse_json(raw), OPEN.fields, F.lit(False)))
+    got = df.select(F.to_json(rest.rest_of(raw, OPEN)).alias("fast"), slow.alias("slow")).collect()
+    assert all(r.fast == r.slow for r in got)
+    shape = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), "$.rows", "variant"))
+    settled = df.select(F.rlike(shape, F.lit(rf"\A{rest._shape(f)}\z")).alias("s")).collect()
+    assert [r.s for r in settled[:5]] == [True, False, False, False, False]
+    assert settled[-1].s and settled[-2].s
+
+
+def test_lines_are_gathered_in_the_order_of_the_join(spark):
+    """No hash map of arrays, which is sorted when it is full, and one sort of the lines."""
+    plan = order_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan.count("SortAggregate") == 1
+    assert plan.count("+- Sort [") + plan.count(":- Sort [") == 2
