@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,52 +22,51 @@ from foliant.functions.paths import (
 )
 from foliant.plans.spec import Spec
 
-PATH_ROW = "array<struct<field:string,template:string,positions:array<int>,value:string,kind:string>>"
+PATH_ROW = "array<struct<field:string,template:string,value:string,kind:string>>"
 
 
 def _kind(dtype: T.DataType) -> str:
     return "array" if isinstance(dtype, T.ArrayType) else "object" if isinstance(dtype, T.StructType) else dtype.simpleString()
 
 
-def _concat(arrays: list[Column], ddl: str) -> Column:
-    return F.flatten(F.array(*arrays)) if arrays else F.array().cast(ddl)
-
-
 def _slot(depth: int) -> str:
     return f"{{{depth}}}"
 
 
-def _path_rows(
-    col: Column, dtype: T.DataType, field: str, template: str, positions: Column, depth: int, inner: bool
-) -> tuple[list[Column], list[Column]]:
-    """Structs for the values at and below ``col`` and arrays of structs for what lies in its arrays.
+@dataclass
+class _Group:
+    """The values that lie in the same arrays: each array found in a record makes a group of what its elements hold."""
+
+    above: tuple[int, ...]  # the groups of the arrays around, outermost first, itself last
+    made: list[Column] = field(default_factory=list)  # its values, and the arrays in it, as columns
+    rows: list[Column] = field(default_factory=list)
+
+
+def _groups(root: Column, dtype: T.StructType, inner: bool) -> list[_Group]:
+    groups = [_Group(())]
+    names = itertools.count()
+
+    def walk(col: Column, dt: T.DataType, name: str, template: str, group: int) -> None:
+        nested = isinstance(dt, (T.ArrayType, T.StructType))
+        if inner or not nested:
+            own = f"_v{next(names)}"
+            groups[group].made.append((col.isNotNull() if nested else col).alias(own))
+            value = F.lit(None).cast("string") if nested else F.col(own).cast("string")
+            # an absent value has no kind, which is how its row is dropped later
+            kind = F.when(F.col(own) if nested else F.col(own).isNotNull(), _kind(dt))
+            groups[group].rows.append(F.struct(F.lit(name).alias("field"), F.lit(template).alias("template"), value.alias("value"), kind.alias("kind")))
+        if isinstance(dt, T.StructType):
+            for f in dt.fields:
+                walk(col.getField(f.name), f.dataType, f"{name}.{f.name}", f"{template}.{f.name}", group)
+        elif isinstance(dt, T.ArrayType):
+            above, n = groups[group].above, len(groups)
+            groups.append(_Group((*above, n)))
+            groups[group].made.append(col.alias(f"_a{n}"))
+            walk(F.col(f"_x{n}"), dt.elementType, name, f"{template}.{_slot(len(above))}", n)
 
-    A path is kept as a constant template and the positions that go into it, so the row itself builds no text.
-    """
-    leaf = not isinstance(dtype, (T.ArrayType, T.StructType))
-    value = col.cast("string") if leaf else F.lit(None).cast("string")
-    # an absent value has no kind, which is how its row is dropped later
-    kind = F.when(col.isNotNull(), _kind(dtype))
-    own = F.struct(
-        F.lit(field).alias("field"), F.lit(template).alias("template"), positions.alias("positions"), value.alias("value"), kind.alias("kind")
-    )
-    if leaf:
-        return [own], []
-    structs, arrays = ([own] if inner else []), []
-    if isinstance(dtype, T.StructType):
-        for f in dtype.fields:
-            more = _path_rows(col.getField(f.name), f.dataType, f"{field}.{f.name}", f"{template}.{f.name}", positions, depth, inner)
-            structs.extend(more[0])
-            arrays.extend(more[1])
-    else:
-
-        def element(x: Column, i: Column) -> Column:
-            here = F.concat(positions, F.array(i))
-            below = _path_rows(x, dtype.elementType, field, f"{template}.{_slot(depth)}", here, depth + 1, inner)
-            return _concat([F.array(*below[0])] * bool(below[0]) + below[1], PATH_ROW)
-
-        arrays.append(F.coalesce(F.flatten(F.transform(col, element)), F.array().cast(PATH_ROW)))
-    return structs, arrays
+    for f in dtype.fields:
+        walk(root.getField(f.name), f.dataType, f.name, f.name, 0)
+    return groups
 
 
 def _depth(dtype: T.DataType) -> int:
@@ -78,27 +80,36 @@ def _depth(dtype: T.DataType) -> int:
 def flatten_paths(df: DataFrame, keys: list[str], root: str = "entry", inner: bool = False) -> DataFrame:
     """One row per (entry, path, value): ``path`` holds positions, ``field`` does not. One scan, no shuffle.
 
-    ``inner=True`` also lists the objects and arrays above the values.
+    ``inner=True`` also lists the objects and arrays above the values. A record is a row per group of values first, then a
+    row per element of the arrays around the group, and last a row per value: no array of all paths of a record is made.
+    What a step explodes is a column of its own before: column pruning goes wrong for members of exploded objects.
+    A path is kept as a constant template and the positions that go into it, so the row itself builds no text.
     """
     dtype = df.schema[root].dataType
-    none = F.array().cast("array<int>")
-    structs: list[Column] = []
-    arrays: list[Column] = []
-    for f in dtype.fields:
-        more = _path_rows(F.col(root).getField(f.name), f.dataType, f.name, f.name, none, 0, inner)
-        structs.extend(more[0])
-        arrays.extend(more[1])
-    built = _concat([F.array(*structs)] * bool(structs) + arrays, PATH_ROW)
-    rows = df.select(*keys, F.explode(built).alias("r")).filter("r.kind IS NOT NULL")
+    groups = _groups(F.col(root), dtype, inner)
+    rows = df.select(*keys, *groups[0].made).select("*", F.explode(F.array(*[F.lit(n) for n in range(len(groups))])).alias("_group"))
+    for n, group in enumerate(groups[1:], 1):
+        inside = [m for m, other in enumerate(groups) if n in other.above]
+        others = [c for c in rows.columns if c != f"_a{n}"]
+        rows = rows.select("*", F.posexplode_outer(F.when(F.col("_group").isin(inside), F.col(f"_a{n}"))).alias(f"_i{n}", f"_x{n}"))
+        rows = rows.select(*others, f"_i{n}", *group.made)
+    built, positions = F.lit(None).cast(PATH_ROW), F.array().cast("array<int>")
+    for n, group in reversed(list(enumerate(groups))):
+        here = F.col("_group") == n
+        if group.rows:
+            built = F.when(here, F.array(*group.rows)).otherwise(built)
+        if group.above:
+            positions = F.when(here, F.array(*[F.col(f"_i{m}") for m in group.above])).otherwise(positions)
+    rows = rows.select("*", F.explode_outer(built).alias("r")).filter("r.kind IS NOT NULL").withColumn("_positions", positions)
     path = F.col("r.template")
     for depth in range(_depth(dtype)):
-        number = F.coalesce(F.get("r.positions", F.lit(depth)).cast("string"), F.lit(""))
+        number = F.coalesce(F.get("_positions", F.lit(depth)).cast("string"), F.lit(""))
         path = F.replace(path, F.lit(_slot(depth)), number)
     return rows.select(
         *keys,
         path.alias("path"),
         F.col("r.field").alias("field"),
-        F.col("r.positions").alias("positions"),
+        F.col("_positions").alias("positions"),
         F.col("r.value").alias("value"),
         F.col("r.kind").alias("kind"),
     )

@@ -133,3 +133,36 @@ def test_replace_text(spark):
     two = df.withColumn("resource", F.explode(F.array(F.lit("p"), F.lit("q"))))
     one = edits.withColumn("resource", F.lit("q"))
     assert [r.resource for r in R.replace_text(two, one).collect()] == ["q"]
+
+
+def test_paths_without_an_array_of_them_all(spark):
+    """Every group of values by itself, without functions on arrays, against a walk over the records."""
+    ddl = "id int, entry struct<a:int,l:array<struct<b:string,m:array<struct<c:int>>,n:array<array<int>>>>,o:struct<p:array<string>,q:int>>"
+    records = [
+        {"a": 1, "l": [{"b": "x", "m": [{"c": 1}, {"c": None}, None], "n": [[1, 2], [], None, [3]]}, None, {"b": None, "m": [], "n": None}], "o": {"p": ["s", None], "q": 5}},
+        {"a": None, "l": [], "o": {"p": None, "q": None}},
+        {"a": 2, "l": None, "o": None},
+    ]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], ddl)
+    want, objects = [], []
+
+    def walk(i, value, field, path, positions):
+        if isinstance(value, dict):
+            objects.append((i, path, "object"))
+            for k, v in value.items():
+                walk(i, v, f"{field}.{k}", f"{path}.{k}", positions)
+        elif isinstance(value, list):
+            objects.append((i, path, "array"))
+            for k, v in enumerate(value):
+                walk(i, v, field, f"{path}.{k}", (*positions, k))
+        elif value is not None:
+            want.append((i, path[1:], field[1:], positions, str(value), "string" if isinstance(value, str) else "int"))
+
+    for i, r in enumerate(records):
+        for k, v in r.items():
+            walk(i, v, f".{k}", f".{k}", ())
+    rows = R.flatten_paths(df, ["id"])
+    assert sorted((r.id, r.path, r.field, tuple(r.positions), r.value, r.kind) for r in rows.collect()) == sorted(want)
+    both = sorted((r.id, r.path, r.kind) for r in R.flatten_paths(df, ["id"], inner=True).collect())
+    assert both == sorted([(i, p[1:], k) for i, p, k in objects] + [(w[0], w[1], w[5]) for w in want])
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
