@@ -223,9 +223,15 @@ def table(all_forms: Column) -> Column:
     return bind(all_forms, headings)
 
 
+def _stored(paradigms: DataFrame) -> DataFrame:
+    """Paradigms from files, whose size is known: a small table is sent to where the words are. By a shuffle all words of a
+    paradigm would be inflected in one task."""
+    return materialise(paradigms.select("name", "definition"), "paradigms")
+
+
 def inflect(lemmas: DataFrame, paradigms: DataFrame) -> DataFrame:
     """``lemmas(lemma, paradigm, kind)`` with the forms of their paradigm ``paradigms(name, definition)``."""
-    names = paradigms.select(F.col("name").alias("paradigm"), "definition")
+    names = _stored(paradigms).select(F.col("name").alias("paradigm"), "definition")
     joined = lemmas.join(names, "paradigm")
     made = forms(F.col("lemma"), F.col("kind"), F.col("definition"))
     return joined.withColumn("forms", made).drop("definition")
@@ -333,19 +339,24 @@ def match_paradigms(lemmas: DataFrame, paradigms: DataFrame) -> DataFrame:
     required form, found in the index of stems; only these are inflected in full and compared with all conditions. Words
     that require no form fit nearly every paradigm, and so meet all of them.
     """
-    made = forms(F.col("lemma"), F.col("kind"), F.col("definition"))
+    paradigms = _stored(paradigms)
+    # forms are made once, however often the conditions look at them
+    made = F.array(forms(F.col("lemma"), F.col("kind"), F.col("definition")))
+    good = F.explode(F.filter(made, lambda f: fits(f, F.col("include"), F.col("exclude")))).alias("forms")
     if "paradigm" in lemmas.columns:
-        tried = lemmas.join(paradigms.withColumnRenamed("name", "paradigm"), "paradigm").withColumn("forms", made)
-        good = tried.filter(fits(F.col("forms"), F.col("include"), F.col("exclude")))
-        return good.select("lemma", F.col("paradigm").alias("name"), "forms")
+        tried = lemmas.join(paradigms.withColumnRenamed("name", "paradigm"), "paradigm")
+        return tried.select("lemma", F.col("paradigm").alias("name"), good)
     lemmas = materialise(lemmas.select("lemma", "kind", "include", "exclude").withColumn("_row", F.monotonically_increasing_id()), "lemmas")
     requires = F.coalesce(F.length("include") > 0, F.lit(False))
     some = lemmas.filter(requires)
     pairs = some.join(_candidates(some, paradigms), "_row")
     # every paradigm is part of the answer for the others: one row per pair is what was asked for
     every = lemmas.filter(~requires).withColumn("name", F.explode(paradigms.agg(F.collect_set("name")).scalar()))
-    tried = pairs.unionByName(every).join(paradigms, "name").withColumn("forms", made)
-    return tried.filter(fits(F.col("forms"), F.col("include"), F.col("exclude"))).select("lemma", "name", "forms")
+    # narrow rows, each worth much work: dealt to all tasks, whatever their size
+    spark = lemmas.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tried = pairs.unionByName(every).repartition(tasks, "_row", "name").join(paradigms, "name")
+    return tried.select("lemma", "name", good)
 
 
 def parse_rules(rules: str) -> list[str]:

@@ -369,3 +369,15 @@ def test_derived_functions(spark, lexicon):
     words = Spec.from_dict({"resource_id": "words", "fields": {"word": {"type": "string"}, "tab": virtual("first_paradigm", word="word"), "infl": {**virtual("inflection", lemma="word", table="tab"), "hidden": False}}})
     out = D.derive(data.entries(spark, [{"word": "hund"}], words, "word"), words).first().entry
     assert out.infl[0].heading == "S" and out.infl[0].rows[0].preform[0].form == "hunden"
+
+
+def test_words_meet_their_paradigms_where_they_are(spark):
+    """No shuffle by the name of a paradigm, of which there are few, and each table of forms is made once."""
+    lemmas = spark.createDataFrame([(w, None, f"{w}en", f"{w}x") for w in ("hund", "katt")], "lemma string, kind string, include string, exclude string")
+    few = paradigms(spark)
+    named = lemmas.withColumn("paradigm", F.lit("s1"))
+    for df in (I.match_paradigms(lemmas, few), I.match_paradigms(named, few), I.inflect(named, few)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [name" not in plan and "SortMergeJoin [paradigm" not in plan
+    steps = [df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") for df in (I.match_paradigms(named, few), I.inflect(named, few))]
+    assert steps[0] == steps[1]
