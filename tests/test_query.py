@@ -376,3 +376,12 @@ def test_preview_and_unstored(tools, spark):
     hidden = Spec.from_dict({"resource_id": "tools", "fields": {**data.TOOLS_SPEC["fields"], "weight": {"type": "number", "store": False}}})
     assert "weight" not in K.hide_unstored(tools, hidden).schema["entry"].dataType.fieldNames()
     assert K.with_metadata(tools).columns == ["resource", "id", "entry", "last_modified_by", "last_modified", "version"]
+
+
+def test_answers_are_sent_to_their_entries_once(spark):
+    """Answers in nested places go to their entry in one exchange, whatever the depth."""
+    rows = spark.createDataFrame([(r, i, j, f"{r}{i}{j}") for r in range(3) for i in range(2) for j in range(2)], "_row long, _i0 int, _i1 int, _result string")
+    made = D._gathered(rows.unionByName(spark.createDataFrame([(3, None, None, None)], rows.schema)), 2, "_a")
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {r._row: r._a for r in made.collect()}
+    assert got == {**{r: [[f"{r}{i}{j}" for j in range(2)] for i in range(2)] for r in range(3)}, 3: []}
